@@ -38,6 +38,8 @@ from codelode.llm.workspace import fresh_path, materialize
 
 END_ID = 2
 FILE_IDS = 8_000_000
+#: Ids decoded at once when documents are read in order.
+READ_IDS = 500_000
 MAGIC = b"DAC1"
 _BLOCK = 512
 
@@ -137,7 +139,7 @@ class Codes:
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS, path: str | None = None) -> DataFrame:
     """Write the files in ascending document order; returns the manifest (shard, part, file, n_docs, n_ids, start)."""
     path = path or fresh_path(docs.sparkSession, "dac")
-    ordered = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         system, folder = pafs.FileSystem.from_uri(path)
@@ -192,12 +194,16 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
             for row in batch.to_pylist():
                 codes = open_codes(row["file"])
                 begins = np.cumsum(codes.lengths) - codes.lengths
-                crcs, ids = [], []
-                for a, n in zip(begins.tolist(), codes.lengths.tolist()):
-                    got = codes.range(a, n).astype("<u4")
-                    crcs.append(zlib.crc32(got.tobytes()))
-                    if with_ids:
-                        ids.append(got.astype(np.int64))
+                crcs, ids, k = [], [], 0
+                while k < len(begins):
+                    # documents that together have about READ_IDS ids
+                    end = max(k + 1, int(np.searchsorted(begins, begins[k] + READ_IDS)))
+                    some = codes.range(int(begins[k]), int(codes.lengths[k:end].sum())).astype("<u4")
+                    for a, n in zip((begins[k:end] - begins[k]).tolist(), codes.lengths[k:end].tolist()):
+                        crcs.append(zlib.crc32(some[a : a + n]))
+                        if with_ids:
+                            ids.append(some[a : a + n].astype(np.int64))
+                    k = end
                 columns = [pa.array(codes.doc_ids, mask=codes.doc_ids == NULL_ID), pa.array(begins + row["start"]), pa.array(codes.lengths), pa.array(crcs, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import dac, decontaminate, langid, media, packing, urlrules
+from codelode.llm import dac, decontaminate, langid, linededup, media, neardup, packing, pii, toxicity, urlrules
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,10 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_before")))
+    return docs.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_kept"), (F.col("n_before") - F.length("text")).cast("long").alias("n_cut"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(~langid.held_out()), table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -44,7 +63,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_packing, op6_decontaminate, op7_url_rules, op8_token_files, op9_language, op10_media)
+    own = (op1_line_dedup, op2_near_duplicates, op3_personal_data, op4_packing, op5_toxicity, op6_decontaminate, op7_url_rules, op8_token_files, op9_language, op10_media)
     return {f.__name__: f for f in own}
 
 
