@@ -1 +1 @@
-
+"""Sources: trees of files, logs, manifests and reports as DataFrames."""
