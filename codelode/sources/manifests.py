@@ -12,9 +12,10 @@ import re
 import tomllib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from codelode.sources.perfile import rows_per_file
+
 SCHEMA = "project string, parent string, child string, parent_version string, child_version string, ordinal long"
 Edge = tuple[str, str, str | None, str | None]
 
@@ -207,19 +208,14 @@ FORMATS: dict[str, Callable[[str], Iterator[Edge]]] = {
 def read(files: DataFrame) -> DataFrame:
     """Edges of all lock files among files (path, content); a file that doesn't parse gives none."""
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                form = FORMATS.get(path.rpartition("/")[2])
-                if form and content is not None:
-                    try:
-                        out += [(path, *edge[:4], k) for k, edge in enumerate(form(content))]
-                    except (ValueError, KeyError, TypeError, AttributeError):
-                        continue
-            yield pd.DataFrame(out, columns=["project", "parent", "child", "parent_version", "child_version", "ordinal"])
-
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    names = ("parent", "child", "parent_version", "child_version")
+
+    def rows(path, content):
+        form = FORMATS.get(path.rpartition("/")[2])
+        for k, edge in enumerate(form(content) if form else ()):
+            yield {"project": path, **dict(zip(names, edge)), "ordinal": k}
+
+    return rows_per_file(files, rows, SCHEMA, (ValueError, KeyError, TypeError, AttributeError))
 
 
 def requirement(text: str) -> tuple[str, str | None, bool]:

@@ -1,6 +1,6 @@
 """Python sources parsed with the standard library: symbols, calls, imports, complexity.
 
-One pass over a file (``mapInPandas``) yields rows tagged with their relation;
+One pass over a file yields rows tagged with their relation;
 files that don't parse yield none.
 """
 
@@ -12,10 +12,11 @@ import io
 import tokenize
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.sources.perfile import rows_per_file
+
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 SCHEMA = (
     "relation string, file string, name string, kind string, start_line int, end_line int, parent string, signature string, docstring string, visibility string, "
@@ -118,16 +119,7 @@ def rows_of(file: str, source: str) -> Iterator[dict]:
 
 def extract(files: DataFrame) -> DataFrame:
     """All rows of files (path, content) of Python, tagged by relation; meant to be written once and read by relation."""
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    whole = {"start_line", "end_line", "complexity", "line"}
-
-    def run(batches):
-        for pdf in batches:
-            found = [{**r, "file": path} for path, content in zip(pdf["path"], pdf["content"]) if content is not None for r in rows_of(path, content)]
-            out = pd.DataFrame(found, columns=columns)
-            yield out.astype({c: "Int32" for c in whole})
-
-    return files.where(F.col("path").rlike(r"\.pyi?w?$")).select("path", "content").mapInPandas(run, SCHEMA)
+    return rows_per_file(files.where(F.col("path").rlike(r"\.pyi?w?$")), lambda path, content: ({**r, "file": path} for r in rows_of(path, content)), SCHEMA)
 
 
 def relation(rows: DataFrame, name: str) -> DataFrame:
