@@ -32,10 +32,24 @@ def _get(value: Column, steps: list) -> Column:
     return F.variant_get(value, path, "variant") if steps else value
 
 
+def _stages(program: str) -> list[str]:
+    """Split at the pipes outside brackets and quotes."""
+    out, depth, quoted = [""], 0, False
+    for k, c in enumerate(program):
+        if c == '"' and program[k - 1 : k] != "\\":
+            quoted = not quoted
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "|" and depth == 0 and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 def apply(df: DataFrame, column: str, program: str) -> DataFrame:
     """Rows of ``value`` (JSON text) that the program gives for each row's document."""
     out = df.select(F.parse_json(column).alias("v"))
-    for stage in (s.strip() for s in re.split(r"\|(?![^()]*\))", program)):
+    for stage in _stages(program):
         if m := re.fullmatch(r"select\((\.[^|=]*?)\s*==\s*(.+)\)", stage):
             want = json.loads(m[2])
             kind = "string" if isinstance(want, str) else "boolean" if isinstance(want, bool) else "double"

@@ -21,7 +21,11 @@ def tree(spark: SparkSession, root: str, hidden: bool = True, skip: tuple[str, .
     higher ones.
     """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*").load(base)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    # Spark's listing leaves out names that start with a dot or an underscore
+    unlisted = _unlisted(spark, base)
+    if unlisted:
+        raw = raw.unionByName(spark.read.format("binaryFile").load(unlisted))
     start = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     prefix = "/" + base.split(":", 1)[-1].lstrip("/") + "/"
     files = raw.select(F.replace(start, F.lit(prefix), F.lit("")).alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
@@ -36,6 +40,19 @@ def tree(spark: SparkSession, root: str, hidden: bool = True, skip: tuple[str, .
     return files.select("path", F.lit(False).alias("is_dir"), "mtime", "size", F.coalesce(line_count(text, MOST_BYTES), F.lit(0)).alias("lines"), text.alias("content"))
 
 
+def _unlisted(spark: SparkSession, base: str) -> list[str]:
+    """Files below ``base`` that Spark's own listing would skip, but for those of ``.git``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    out = []
+    while listed.hasNext():
+        path = listed.next().getPath().toString()
+        below = path.split(base.split(":", 1)[-1], 1)[-1].split("/")
+        if any(p[:1] in (".", "_") for p in below) and ".git" not in below:
+            out.append(path)
+    return out
+
+
 def without_ignored(files: DataFrame) -> DataFrame:
     """Applies the ``.gitignore`` files among ``files``."""
     verdict = F.lit(False)
