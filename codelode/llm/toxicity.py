@@ -14,11 +14,13 @@ Matched clauses add up to the document's log odds, starting from the share of
 toxic documents in training; the score is their logistic.
 
 The insult lexicon is learned from all labelled training rows: terms (words,
-and word beginnings of 4 and 5 letters, which carry families of invented or
-inflected words) whose share of toxic documents is significant after a
-correction for the number of terms; a term's weight is its log odds ratio.
-Only terms in at least ``LEAST_SHARE`` of the toxic rows are weighed, which
-bounds the lexicon by (terms a document) / LEAST_SHARE.
+and word beginnings of 4 and 5 letters that several words share, which carry
+families of invented or inflected words) whose share of toxic documents is
+significant after a correction for the number of terms; a term's weight is its
+log odds ratio. A term counts once a document and once a context (the words
+beside it), whichever is less, so a word that a group of copies repeats in one
+place is no evidence. Only terms in at least ``LEAST_SHARE`` of the toxic rows
+are weighed, which bounds the lexicon by (terms a document) / LEAST_SHARE.
 
 Edge cases: null and empty texts score the training share of toxic rows (0 if
 there is none); null labels are left out; without any toxic training row the
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -53,6 +56,10 @@ LEAST_DOCS, LEAST_SHARE = 5, 0.001
 #: Chance that one of all tested terms is taken by accident.
 ACCIDENT = 0.05
 LEAST_WEIGHT = 2.0
+#: A beginning needs so many times the count of its most frequent word.
+FAMILY = 1.5
+#: (term, context) counts that a training task holds before it passes them on.
+HELD = 300_000
 #: What the transducers multiply by, and over how many tokens they reach.
 TARGET_GAIN, NEGATION_LOSS, REPORT_LOSS = 1.2, 0.6, 0.7
 TARGET_REACH, NEGATION_REACH = 4, 3
@@ -70,6 +77,17 @@ def terms_of(text: str | None) -> set[str]:
     return out
 
 
+def contexts_of(text: str | None) -> dict[str, set[int]]:
+    """Terms with the hashes of the words beside them."""
+    words = [t for t in _TOKEN.findall((text or "").lower()) if t[0].isalpha()]
+    out: dict[str, set[int]] = {}
+    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+        beside = zlib.crc32(f"{before} {after}".encode())
+        for term in (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n)):
+            out.setdefault(term, set()).add(beside)
+    return out
+
+
 class Lexicon:
     """Token to (class, weight)."""
 
@@ -194,29 +212,47 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"weights": {}, "prior": 0.0}
     prior = n_toxic / (n_toxic + n_clean)
 
-    def count(known=None):
+    def met(batches):
+        # (term, context) with the number of documents in which it is the term's first
+        counts: Counter = Counter()
+        for part in slices(batches, "text"):
+            for text in part.column("text").to_pylist():
+                for term, contexts in contexts_of(text).items():
+                    counts.update(dict.fromkeys(((term, c) for c in contexts), 0))
+                    counts[term, min(contexts)] += 1
+            if len(counts) > HELD:
+                yield _met(counts)
+                counts = Counter()
+        yield _met(counts)
+
+    def clean_rows(known):
         def run(batches):
             counts: Counter = Counter()
             for part in slices(batches, "text"):
                 for text in part.column("text").to_pylist():
-                    found = terms_of(text)
-                    counts.update(found & known.value if known is not None else found)
-                if known is None and len(counts) > 500_000:
-                    yield _rows(counts)
-                    counts = Counter()
-            yield _rows(counts)
+                    counts.update(terms_of(text) & known.value)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
         return run
 
     least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n_toxic))
-    totals = rows.where("y = 1").select("text").mapInArrow(count(), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    tested = totals.count()
+    places = rows.where("y = 1").select("text").mapInArrow(met, "term string, context long, n long").groupBy("term", "context").agg(F.sum("n").alias("n"))
+    totals = places.groupBy("term").agg(F.least(F.sum("n"), F.count("*")).alias("n"))
     toxic = dict(map(tuple, totals.where(F.col("n") >= least).collect()))
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(toxic))
-    clean = dict(map(tuple, rows.where("y = 0").select("text").mapInArrow(count(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()))
-    bar = math.log(max(1, tested) / ACCIDENT)
+    clean = dict(map(tuple, rows.where("y = 0").select("text").mapInArrow(clean_rows(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()))
+    bar = math.log(max(1, len(toxic)) / ACCIDENT)
+    # the most frequent word of each beginning
+    top = {n: Counter() for n in PREFIXES}
+    for term, k in toxic.items():
+        if not term.endswith("*"):
+            for n in PREFIXES:
+                if len(term) > n:
+                    top[n][term[:n] + "*"] = max(k, top[n][term[:n] + "*"])
     weights = {}
     for term, k in toxic.items():
+        if term.endswith("*") and k < FAMILY * top[len(term) - 1][term]:
+            continue
         other = clean.get(term, 0)
         weight = math.log((k + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_clean + 1))
         if weight >= LEAST_WEIGHT and surprise(k, k + other, prior) >= bar:
@@ -224,8 +260,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"weights": weights, "prior": prior}
 
 
-def _rows(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+def _met(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([c for _, c in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "context", "n"])
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
