@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +27,17 @@ def tree(spark: SparkSession, root: str, hidden: bool = True, skip: tuple[str, .
     # Spark's listing leaves out names that start with a dot or an underscore
     unlisted = _unlisted(spark, base)
     if unlisted:
-        raw = raw.unionByName(spark.read.format("binaryFile").load(unlisted))
+        raw = raw.select("path", "modificationTime", "length", "content").unionByName(_opened(spark, unlisted))
     start = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     prefix = "/" + base.split(":", 1)[-1].lstrip("/") + "/"
     files = raw.select(F.replace(start, F.lit(prefix), F.lit("")).alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
     files = files.where(~F.col("path").rlike(r"(?:^|/)\.git/"))
-    if not hidden:
-        files = files.where(~F.col("path").rlike(r"(?:^|/)\.[^/]"))
     if skip:
         files = files.where(~F.col("path").rlike(r"(?:^|/)(?:" + "|".join(skip) + ")/"))
     if ignore:
         files = without_ignored(files)
+    if not hidden:
+        files = files.where(~F.col("path").rlike(r"(?:^|/)\.[^/]"))
     text = F.when(F.is_valid_utf8(F.col("content")), F.col("content").cast("string"))
     return files.select("path", F.lit(False).alias("is_dir"), "mtime", "size", F.coalesce(line_count(text, MOST_BYTES), F.lit(0)).alias("lines"), text.alias("content"))
 
@@ -53,6 +55,23 @@ def _unlisted(spark: SparkSession, base: str) -> list[str]:
     return out
 
 
+def _opened(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files that Spark's readers refuse by name, opened on the executors."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, name = pafs.FileSystem.from_uri(path)
+                with system.open_input_file(name) as source:
+                    content = source.read()
+                changed = int(system.get_file_info(name).mtime.timestamp())
+                yield pa.RecordBatch.from_pylist([{"path": path, "changed": changed, "length": len(content), "content": content}], schema=pa.schema([("path", pa.string()), ("changed", pa.int64()), ("length", pa.int64()), ("content", pa.binary())]))
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 64))
+    found = rows.mapInArrow(run, "path string, changed long, length long, content binary")
+    return found.select("path", F.timestamp_seconds("changed").alias("modificationTime"), "length", "content")
+
+
 def without_ignored(files: DataFrame) -> DataFrame:
     """Applies the ``.gitignore`` files among ``files``."""
     verdict = F.lit(False)
