@@ -18,17 +18,28 @@ becomes empty; repeated rows (same id and text) share their occurrences and
 stay or go alike; a single repeated line is no chunk of several lines and
 stays; an empty table gives an empty table; null ids order first and are
 matched null-safely; columns other than id and text are carried along.
+
+That rule alone misses a passage that holds no whole chunk, so
+:func:`remove_passages` goes before it: every run of ``WORDS`` words or more
+that occurs before (in the order above) is removed in full, wherever it begins
+and ends, however short its lines. Words are what white space parts; the kind
+of white space doesn't count. A window of WORDS words is anchored at the least
+hash of its half windows; windows with an anchor that occurs once can't be
+repeated, all others are compared by the hashes of both their halves (128
+bits). Of repeats that overlap their first occurrence, the part beyond it goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.workspace import materialize
 
 LEAST_CHARS = 60
 LEAST_LINES = 2
+#: Words of the shortest run that is removed by itself; even.
+WORDS = 50
 #: Rows of a set up to which it is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -111,3 +122,93 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda c: c["text"]), "")).otherwise(F.col(text_col))
     removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     return cut.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], removed.alias("n_removed"))
+
+
+def _paired(array: str, by: int, f) -> Column:
+    """f of every value and the one ``by`` places later; shorter by ``by``."""
+    most = F.greatest(F.size(array) - by, F.lit(0))
+    return F.zip_with(F.slice(array, 1, most), F.slice(array, by + 1, most), f)
+
+
+def _spanned(df: DataFrame, name: str, width: int, f) -> DataFrame:
+    """Makes each value of array ``name`` one over ``width`` values from there on, by doubling."""
+    now = 1
+    while now < width:
+        by = min(now, width - now)
+        df = held(df, _next=_paired(name, by, f)).drop(name).withColumnRenamed("_next", name)
+        now += by
+    return df
+
+
+def _halves(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _th, _lead and ``_half``: hashes of the half windows of texts with WORDS words or more.
+
+    ``_lead`` is 1 where white space stands before the first word, a piece of its own.
+    """
+    df = docs.where(F.length(text_col) >= 2 * WORDS - 1).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    df = held(df, _pieces=F.split("_text", r"\s+")).drop("_text")
+    lead = (F.get("_pieces", F.lit(0)) == "").cast("int")
+    tail = (F.element_at("_pieces", -1) == "").cast("int")
+    df = df.withColumn("_lead", lead).withColumn("_n", F.size("_pieces") - lead - tail).where(F.col("_n") >= WORDS)
+    df = held(df, _half=F.transform(F.slice("_pieces", F.col("_lead") + 1, F.col("_n")), lambda w: F.xxhash64(w))).drop("_pieces", "_n")
+    return _spanned(df, "_half", WORDS // 2, lambda x, y: F.xxhash64(x, y))
+
+
+def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _th, anchor, at, n): n windows from ``at`` on have this anchor.
+
+    One occurrence of an anchor serves no more windows than a window has
+    halves; beyond those it occurs again, which starts a row for each window.
+    """
+    reach = WORDS // 2 + 1
+    df = _spanned(_halves(docs, id_col, text_col).withColumnRenamed("_half", "_least"), "_least", reach, lambda x, y: F.least(x, y))
+    starts = F.transform("_least", lambda x, i: F.when((i == 0) | (x != F.get("_least", i - 1)) | F.coalesce(x == F.get("_least", i - reach), F.lit(False)), i))
+    df = held(df, _starts=F.array_compact(starts))
+    rows = F.transform("_starts", lambda at, k: F.struct(F.get("_least", at).alias("anchor"), at.alias("at"), (F.coalesce(F.get("_starts", k + 1), F.size("_least")) - at).alias("n")))
+    return df.select("_id", "_th", F.inline(rows))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _th, _runs) with the runs of words to remove: structs (first, last) of places, in order."""
+    anchors = materialize(_anchors(docs, id_col, text_col), "line-anchors")
+    often = materialize(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "line-often")
+    spans = anchors.join(_small(often), "anchor").groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "n")).alias("_spans"))
+    spans = materialize(spans.select(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"), "_spans"), "line-spans")
+    near = docs.select(F.col(id_col), F.col(text_col)).join(_small(spans.select("_sid", "_sth")), F.col(id_col).eqNullSafe(F.col("_sid")) & (F.xxhash64(text_col) == F.col("_sth")), "left_semi")
+    halves = _halves(near, id_col, text_col).join(_small(spans), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")))
+
+    def window(i):
+        return F.struct(F.get("_half", i).alias("head"), F.get("_half", i + WORDS // 2).alias("rest"), (i + F.col("_lead")).alias("at"))
+
+    windows = F.flatten(F.transform("_spans", lambda s: F.transform(F.sequence(s["at"], s["at"] + s["n"] - 1), window)))
+    windows = materialize(halves.select("_id", "_th", F.inline(windows)), "line-windows")
+    place = F.struct(F.col("_id").isNotNull().alias("named"), "_id", "_th", "at")
+    counted = windows.groupBy("head", "rest").agg(F.min(place).alias("first"), F.max(place).alias("_last")).where("first <> _last").select("head", "rest", "first")
+    again = windows.join(materialize(counted, "line-firsts"), ["head", "rest"]).where(place != F.col("first"))
+    own = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_th") == F.col("first._th"))
+    again = again.select("_id", "_th", F.when(own, F.greatest("at", F.col("first.at") + WORDS)).otherwise(F.col("at")).alias("from"), (F.col("at") + WORDS - 1).alias("to"))
+    inside = Window.partitionBy("_id", "_th").orderBy("from", "to")
+    before = F.max("to").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    marked = again.withColumn("_new", F.coalesce((F.col("from") > before + 1).cast("int"), F.lit(0)))
+    runs = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).groupBy("_id", "_th", "_run").agg(F.min("from").alias("first"), F.max("to").alias("last"))
+    return runs.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without repeated runs of WORDS words or more; ``n_runs`` is added."""
+    gone = materialize(repeated_runs(docs, id_col, text_col).select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_runs"), "line-runs")
+    joined = docs.join(_small(gone), F.col(id_col).eqNullSafe(F.col("_gid")) & (F.xxhash64(text_col) == F.col("_gth")), "left")
+    cut = held(joined, _pieces=F.split(F.when(F.col("_runs").isNotNull(), F.col(text_col)), r"(?<=\s)(?=\S)"))
+    ends = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(F.size("_pieces")))
+    begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["last"] + 1))
+    kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("_pieces", a + 1, b - a)))
+    text = F.when(F.col("_runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text_col))
+    runs = F.when(F.col("_runs").isNotNull(), F.size("_runs")).otherwise(0).cast("long")
+    return cut.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], runs.alias("n_runs"))
+
+
+def remove_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`remove_passages`, then :func:`remove_repeats` for shorter passages; ``n_removed`` counts runs and chunks."""
+    left = materialize(remove_passages(docs, id_col, text_col), "line-left")
+    out = remove_repeats(left, id_col, text_col)
+    return out.select(*docs.columns, (F.col("n_removed") + F.col("n_runs")).alias("n_removed"))

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = linededup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_before")))
+    docs = linededup.remove_all(table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_before")))
     return docs.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_kept"), (F.col("n_before") - F.length("text")).cast("long").alias("n_cut"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -91,6 +91,56 @@ def test_line_dedup_broadcast_or_not(spark, monkeypatch):
     assert both[0] == both[1]
 
 
+def brute_passages(docs, n=50):
+    """Texts without the runs of n words whose windows stand at an earlier place."""
+    order = sorted({(d, t) for d, t, *_ in docs if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
+    first, out = {}, {}
+    for doc, text in order:
+        pieces = re.findall(r"\S+\s*|^\s+", text)
+        lead = bool(pieces) and pieces[0].isspace()
+        words, gone = [p.strip() for p in pieces], set()
+        for at in range(lead, len(words) - n + 1):
+            owner, begin = first.setdefault(tuple(words[at : at + n]), ((doc, text), at))
+            if (owner, begin) != ((doc, text), at):
+                gone |= set(range(max(at, begin + n) if owner == (doc, text) else at, at + n))
+        out[doc, text] = "".join(p for k, p in enumerate(pieces) if k not in gone)
+    return out
+
+
+def passage_documents(passages):
+    rng = random.Random(5)
+
+    def own():
+        return " ".join(f"u{rng.randrange(10**9)}" + rng.choice(["", "", ".", "\n"]) for _ in range(rng.randrange(5, 90)))
+
+    docs = []
+    for passage in passages:
+        docs += [(len(docs) + k, f"{own()} {passage} {own()}", "en", "s") for k in range(2)]
+    return docs
+
+
+def test_line_dedup_removes_every_passage_of_50_words(spark):
+    rng = random.Random(4)
+
+    def words(n):
+        return [f"p{rng.randrange(10**9)}" for _ in range(n)]
+
+    passages = [". ".join(" ".join(words(k)) for _ in range(55 // k + 1)) + "." for k in (11, 18, 55) for _ in range(12)]
+    docs = passage_documents([*passages, " ".join(words(50)), " ".join(words(49))])
+    docs += [(900, "  " + docs[0][1], "en", "s"), (901, passages[0].replace(" ", "\n"), "en", "s"), (902, "a b " * 300, "en", "s"), (903, passages[1] + " x " + passages[1], "en", "s")]
+    docs += [(904, docs[4][1], "en", "s"), (904, docs[4][1], "en", "s"), (None, docs[5][1], "en", "s"), (905, None, "en", "s"), (906, "", "en", "s"), *line_documents()[1:24]]
+    want = brute_passages(docs)
+    for bound in (0, 1 << 40):
+        linededup.BROADCAST_ROWS, kept = bound, linededup.BROADCAST_ROWS
+        try:
+            got = linededup.remove_passages(frame(spark, docs)).collect()
+        finally:
+            linededup.BROADCAST_ROWS = kept
+        assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter((d, t if t is None else want[d, t]) for d, t, *_ in docs)
+    rows = {r.doc_id: r.text for r in linededup.remove_all(frame(spark, docs[:72])).collect()}
+    assert not [k for k, p in enumerate(passages) if set(p.split()) & set(rows[2 * k + 1].split())]
+
+
 # ---- near duplicates -------------------------------------------------------------------------
 
 
