@@ -141,6 +141,16 @@ def test_line_dedup_removes_every_passage_of_50_words(spark):
     assert not [k for k, p in enumerate(passages) if set(p.split()) & set(rows[2 * k + 1].split())]
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(6)
+    passages = ["\n".join(" ".join(f"{rng.randrange(36**3)}" for _ in range(k)) for _ in range(60 // k)) for k in (1, 2, 3) for _ in range(8)]
+    docs = passage_documents(passages)
+    rows = {r.doc_id: r.text for r in linededup.remove_all(frame(spark, docs)).collect()}
+    for k, passage in enumerate(passages):
+        assert passage in rows[2 * k] and passage in docs[2 * k + 1][1]
+        assert rows[2 * k + 1] == brute_passages(docs)[2 * k + 1, docs[2 * k + 1][1]] and passage[:40] not in rows[2 * k + 1]
+
+
 # ---- near duplicates -------------------------------------------------------------------------
 
 
