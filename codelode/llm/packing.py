@@ -5,9 +5,9 @@ most ``buckets`` boundaries such that padding every document to its bucket's
 boundary wastes the fewest tokens; inside each bucket, documents form batches
 of at most ``budget`` padded tokens (one document at least).
 
-The program runs on the driver over the histogram: one entry a distinct
-length, or at most ``max_bins`` entries, where longer histograms are rounded
-up to a multiple of a grain. Numbering inside a bucket is done in blocks
+The program runs on the driver over the exact histogram, one entry a distinct
+length; distinct lengths are few, as n of them take n * n / 2 tokens at least.
+Numbering inside a bucket is done in blocks
 (hashes of the id, their number follows the corpus), whose counts give the
 blocks' offsets; no bucket is gathered in one task.
 
@@ -31,7 +31,6 @@ from codelode.llm.workspace import materialize
 
 BUCKETS = 16
 BUDGET = 16_384
-MAX_BINS = 1 << 16
 #: Documents a numbering block holds on average.
 BLOCK_DOCS = 2_000
 
@@ -88,17 +87,14 @@ def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, n_tokens long").withColumnRenamed("_id", id_col)
 
 
-def pack(lengths: DataFrame, id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET, max_bins: int = MAX_BINS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def pack(lengths: DataFrame, id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Rows of (id, n_tokens) with bucket, bucket_len, batch, slot and padding."""
-    seen = lengths.agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n")).first()
-    grain = max(1, -(-(seen["longest"] or 1) // max_bins))
-    binned = (F.ceil(F.col("n_tokens") / grain) * grain).cast("long")
-    histogram = sorted(map(tuple, lengths.groupBy(binned.alias("length")).count().collect()))
+    histogram = sorted(map(tuple, lengths.groupBy("n_tokens").count().collect()))
     tops = boundaries([x for x, _ in histogram], [k for _, k in histogram], buckets)
     if not tops:
         tops = [1]
     array = F.array(*[F.lit(int(x)).cast("long") for x in tops])
-    blocks = max(64, seen["n"] // block_docs)
+    blocks = max(64, sum(k for _, k in histogram) // block_docs)
     placed = lengths.select(
         F.col(id_col),
         "n_tokens",

@@ -150,6 +150,16 @@ def test_packing_fills_batches(spark):
     assert packing.pack_documents(frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_packing_is_optimal_beside_one_long_document(spark):
+    rng = random.Random(8)
+    every = [rng.randrange(1, 400) for _ in range(300)] + [1_000_003]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(every)), "doc_id long, n_tokens long"), buckets=8).collect()
+    lengths = sorted(set(every))
+    best = packing.padding(np.array(every), packing.boundaries(lengths, [every.count(x) for x in lengths], 8))
+    assert sum(r.padding for r in rows) == best
+    assert {r.bucket_len for r in rows} <= set(lengths)
+
+
 def test_language(spark):
     rng = random.Random(4)
     vocabulary = {"en": "the house and water is where they think of this".split(), "de": "der die und nicht straße schön für einen haus".split(), "fr": "le la où été garçon maison avec pour dans".split()}
