@@ -14,7 +14,9 @@ digest), so a text with millions of copies is stored and rebuilt once.
 
 Edge cases: null text is an empty payload of 64 zero bytes, as is empty text;
 very long payloads have longer chunk lists, nothing else; repeated document
-rows give repeated rows; an empty table gives an empty store.
+rows give repeated rows; rows of one id, or of none, may have different texts
+(what a row stores is planned by id and text); an empty table gives an empty
+store.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def _list(batches):
             sizes.append(n)
             keys.append(key)
             digests.append([hashlib.sha256(c).digest() for c in chunk(payload)])
-        yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], names=["_id", "n_bytes", "key", "digests"])
+        yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_sha"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], names=["_id", "_sha", "n_bytes", "key", "digests"])
 
 
 def _keep(batches):
@@ -130,22 +132,25 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     objects: key, manifest and the chunks that this payload owns, with bytes.
     foreign: (key, at, owner, owner_at) of every chunk owned elsewhere.
     """
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # of a text, as its key is: tells rows with one id apart
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), sha.alias("_sha"))
     kind = source.schema["_id"].dataType.simpleString()
-    listed = materialize(source.mapInArrow(_list, f"_id {kind}, n_bytes long, key binary, digests array<binary>"), "media-list")
-    references = listed.drop("digests")
+    listed = materialize(source.mapInArrow(_list, f"_id {kind}, _sha string, n_bytes long, key binary, digests array<binary>"), "media-list")
+    references = listed.drop("digests", "_sha")
     # one document stands for each payload
-    chosen = listed.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull(), "_id"))["_id"].alias("_id"), F.first("digests").alias("digests"))
-    places = materialize(chosen.select("key", "_id", F.posexplode("digests").alias("at", "digest")), "media-places")
+    chosen = listed.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull(), "_id"))["_id"].alias("_id"), F.first("_sha").alias("_sha"), F.first("digests").alias("digests"))
+    places = materialize(chosen.select("key", "_id", "_sha", F.posexplode("digests").alias("at", "digest")), "media-places")
     owners = places.groupBy("digest").agg(F.min(F.struct("key", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-    linked = materialize(places.join(owners, "digest").select("key", "_id", "at", F.col("owner.key").alias("owner"), F.col("owner.at").alias("owner_at")), "media-links")
+    linked = materialize(places.join(owners, "digest").select("key", "_id", "_sha", "at", F.col("owner.key").alias("owner"), F.col("owner.at").alias("owner_at")), "media-links")
     mine = (F.col("owner") == F.col("key")) & (F.col("owner_at") == F.col("at"))
     foreign = linked.where(~mine).select("key", "at", "owner", "owner_at")
-    plan = linked.groupBy("_id").agg(F.collect_list(F.when(~mine, F.col("at"))).alias("_away"), F.collect_list(F.when(mine, F.col("at"))).alias("_shared"))
-    spare = references.join(chosen.select("key", F.col("_id").alias("_first")), "key").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id").distinct()
-    plan = materialize(plan.unionByName(spare.select("_id", F.array(F.lit(-1)).alias("_away"), F.array().cast("array<int>").alias("_shared"))).groupBy("_id").agg(F.flatten(F.collect_list("_away")).alias("_away"), F.flatten(F.collect_list("_shared")).alias("_shared")), "media-plan")
+    plan = linked.groupBy("_id", "_sha").agg(F.collect_list(F.when(~mine, F.col("at"))).alias("_away"), F.collect_list(F.when(mine, F.col("at"))).alias("_shared"))
+    spare = listed.select("_id", "_sha", "key").join(chosen.select("key", F.col("_id").alias("_first")), "key").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_sha").distinct()
+    plan = materialize(plan.unionByName(spare.select("_id", "_sha", F.array(F.lit(-1)).alias("_away"), F.array().cast("array<int>").alias("_shared"))).groupBy("_id", "_sha").agg(F.flatten(F.collect_list("_away")).alias("_away"), F.flatten(F.collect_list("_shared")).alias("_shared")), "media-plan")
     side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    todo = source.join(side.withColumnRenamed("_id", "_p"), F.col("_id").eqNullSafe(F.col("_p")), "left").drop("_p")
+    side = side.withColumnsRenamed({"_id": "_p", "_sha": "_psha"})
+    todo = source.join(side, F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_sha") == F.col("_psha")), "left").drop("_p", "_sha", "_psha")
     objects = materialize(todo.mapInArrow(_keep, "key binary, manifest binary, whole boolean, any_shared boolean, own array<struct<at:int,shared:boolean,data:binary>>"), "media-store")
     return references, objects, foreign
 
@@ -196,4 +201,6 @@ def rebuild(references: DataFrame, objects: DataFrame, foreign: DataFrame, id_co
     got = foreign.join(lent, ["owner", "owner_at"]).groupBy("key").agg(F.collect_list(F.struct("at", "data")).alias("borrowed"))
     mixed = objects.where("not whole").select("key", "manifest", F.transform("own", lambda c: F.struct(c["at"].alias("at"), c["data"].alias("data"))).alias("own")).join(got, "key")
     described = whole.mapInArrow(_rebuild, _FEATURES).unionByName(mixed.select("key", "manifest", "own", "borrowed").mapInArrow(_rebuild, _FEATURES)).groupBy("key").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
-    return references.join(described, "key").withColumnRenamed("_id", id_col).drop("key")
+    # a reference without its payload is an error, not a row less
+    there = F.coalesce("payload_bytes", F.raise_error(F.lit("a payload isn't in the store")).cast("long"))
+    return references.join(described, "key", "left").withColumn("payload_bytes", there).withColumnRenamed("_id", id_col).drop("key")

@@ -206,3 +206,21 @@ def test_media_round_trip(spark):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert values.setdefault(texts[r.doc_id], tuple(r)[1:]) == tuple(r)[1:]
     assert media.rebuild(*media.store(frame(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 40])
+def test_media_rows_of_one_id(spark, monkeypatch, bound):
+    monkeypatch.setattr(media, "BROADCAST_ROWS", bound)
+    rng = random.Random(10)
+    body = "".join(chr(rng.randrange(97, 123)) for _ in range(20_000))
+    docs = [(7, "A", "x", "s"), (7, "B", "x", "s"), (3, "A", "x", "s"), (None, "A", "x", "s"), (None, "C", "x", "s"), (None, None, "x", "s"), (8, "", "x", "s")]
+    docs += [(9, body, "x", "s"), (9, "shift " + body, "x", "s"), (9, body[:9000] + "edit" + body[9000:], "x", "s"), (None, "other " + body, "x", "s"), (None, body, "x", "s")]
+    rows = media.rebuild(*media.store(frame(spark, docs))).collect()
+    want = [(d, hashlib.sha256(media.payload_of((t or "").encode())).hexdigest()) for d, t, *_ in docs]
+    assert sorted(map(repr, ((r.doc_id, r.payload_sha256) for r in rows))) == sorted(map(repr, want))
+
+
+def test_media_missing_payload_is_an_error(spark):
+    references, objects, foreign = media.store(frame(spark, [(1, "A", "x", "s"), (2, "B", "x", "s")]))
+    with pytest.raises(Exception, match="isn't in the store"):
+        media.rebuild(references, objects.limit(1), foreign).collect()
