@@ -98,8 +98,11 @@ def rows_of(file: str, source: str) -> Iterator[dict]:
                         if isinstance(sub, ast.Call) and (said := _called(sub)):
                             yield {"relation": "calls", "caller_symbol": node.name, "callee_name": said[0], "callee_qualifier": said[1], "line": sub.lineno}
                 yield from walk(node.body, node.name, "class" if is_class else "function")
-            elif hasattr(node, "body") and isinstance(node.body, list):
-                yield from walk(node.body, parent, inside)
+            else:
+                # bodies, else and finally, except handlers, match cases
+                for field in ("body", "handlers", "cases", "orelse", "finalbody"):
+                    if isinstance(below := getattr(node, field, None), list):
+                        yield from walk(below, parent, inside)
 
     yield from walk(module.body, None, "module")
     for node in ast.walk(module):

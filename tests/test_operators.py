@@ -388,3 +388,10 @@ def test_python_queries(spark):
     assert [(r.variable, r.value, r.flows_from, r.terminal, r.calls, r.branch) for r in trace] == [("y", "x + g(1)", ["g", "x"], False, ["g"], None), ("y", "2", [], True, [], "if x")]
     assert [(r.function, r.value) for r in python_trace.returns(files).collect()] == [("f", "y")]
     assert python_trace.nodes(files).where("depth = 0").first().kind == "Module"
+
+
+def test_python_symbols_in_every_branch():
+    source = "try:\n    from x import f\nexcept ImportError:\n    def a(): return g()\nelse:\n    def b(): pass\nfinally:\n    class C:\n        def m(self): pass\nif x:\n    pass\nelif y:\n    def d(): pass\nelse:\n    def e(): pass\nmatch x:\n    case 1:\n        def h(): pass\nfor i in x:\n    pass\nelse:\n    def k(): pass\n"
+    rows = list(python_code.rows_of("a.py", source))
+    assert [r["name"] for r in rows if r["relation"] == "symbols"] == ["a", "b", "C", "m", "d", "e", "h", "k"]
+    assert [(r["caller_symbol"], r["callee_name"]) for r in rows if r["relation"] == "calls"] == [("a", "g")]
