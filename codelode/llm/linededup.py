@@ -1,32 +1,30 @@
-"""Removal of repeated passages by content-defined line chunks, in Spark SQL functions only.
-
-A text is cut into lines: after every line feed, and, since a line of running
-text is often a whole paragraph, after every full stop, exclamation or
-question mark. A rolling hash over a line and the one before it is taken at
-each line; a chunk ends where that hash is a strict local minimum, so where a
-chunk ends depends on a few lines around it, not on what stands further ahead
-(shift resistance), and every chunk but a text's last has two lines at least.
-
-Chunks of several lines and at least ``least_chars`` characters are counted
-over all documents by a 64-bit hash. Of a chunk that occurs repeatedly, the
-first occurrence (by document id, text hash and place) stays; each other one
-is removed after its text was compared with the first's. The lines that stay
-are put together unchanged.
-
-Edge cases: null and empty texts stay as they are; a text whose chunks all go
-becomes empty; repeated rows (same id and text) share their occurrences and
-stay or go alike; a single repeated line is no chunk of several lines and
-stays; an empty table gives an empty table; null ids order first and are
-matched null-safely; columns other than id and text are carried along.
-
-That rule alone misses a passage that holds no whole chunk, so
-:func:`remove_passages` goes before it: every run of ``WORDS`` words or more
-that occurs before (in the order above) is removed in full, wherever it begins
-and ends, however short its lines. Words are what white space parts; the kind
-of white space doesn't count. A window of WORDS words is anchored at the least
-hash of its half windows; windows with an anchor that occurs once can't be
-repeated, all others are compared by the hashes of both their halves (128
-bits). Of repeats that overlap their first occurrence, the part beyond it goes.
+"""Removal of repeated passages by content-defined lines, in Spark SQL functions only.
+
+Words are what white space parts; the kind of white space doesn't count. A
+line is a stretch of words that begins where a word's hash is the least of some
+``REACH`` words in a row (the first of equal ones): where lines begin depends
+on the words around, not on what stands further ahead (shift resistance), a
+line has ``REACH`` words at most, and any ``WORDS`` words in a row hold the same
+two whole lines at least in every text that has them. Line feeds and sentence
+ends would not do as lines: a passage may hold one sentence, or a part of one.
+
+A rolling hash over the hashes of two lines, taken at each line, is counted
+over all documents. The chunks that repeat are the longest stretches of lines
+whose every two neighbours occur in an earlier document (one of a smaller id)
+or earlier in the same text; stretches under ``LEAST`` words are left alone.
+Each chunk is compared, byte by byte, with the document that has its lines
+first, and grows by the words that stand on both sides there as well; what was
+confirmed is removed, the first occurrence stays. So of every passage of
+``WORDS`` words or more that occurs before, wherever it begins and ends, its
+words go, and what repeats in shorter chunks of two lines or more goes too.
+
+Edge cases: null and empty texts stay as they are; a text that repeats
+altogether becomes empty; repeated rows (same id and text) stay or go alike;
+rows of one id with different texts count as one document, so what they share
+with each other stays, as is so for rows without an id, which come last;
+passages that repeat inside a text go but for the first; an empty table gives
+an empty table; text in one word of any length is no passage. Columns of any
+name are carried along, but for ``n_removed``, which is replaced.
 """
 
 from __future__ import annotations
@@ -34,16 +32,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.llm.workspace import materialize
+from codelode.llm.workspace import materialize, small
 
-LEAST_CHARS = 60
-LEAST_LINES = 2
-#: Words of the shortest run that is removed by itself; even.
+#: Words of the shortest passage that is found wherever it begins.
 WORDS = 50
-#: Rows of a set up to which it is broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 500_000
+#: Words of a window whose least hash begins a line; 16, as :func:`_least` is made for it.
+REACH = 16
+#: Words in whole lines that such a passage holds at least.
+LEAST = WORDS - 2 * REACH + 1
+#: Words by which a chunk may grow on either side; more would be further lines.
+EDGE = 2 * REACH
 
-_LINES = r"(?<=[\n.!?])"
+#: Bits of a word's place and of its hash in one number.
+_PLACE = (1 << 30) - 1
+_HASH = 0x7FFFFFFFFFFFFFFF & ~_PLACE
 
 
 def held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -57,158 +59,147 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
-def lines_of(text: Column) -> Column:
-    """Lines with their end marks; joined, they are the text again."""
-    return F.split(text, _LINES)
+def _words(text: Column) -> Column:
+    """Words; white space at the text's ends gives an empty word there."""
+    return F.split(text, r"\s+")
 
 
-def _shifted(array: Column, by: int) -> Column:
-    """The array's values one place later (1) or earlier (-1), null at the free end."""
-    none = F.array(F.lit(None).cast("bigint"))
-    most = F.greatest(F.size(array) - 1, F.lit(0))
-    return F.concat(none, F.slice(array, 1, most)) if by > 0 else F.concat(F.slice(array, 2, most), none)
+def _least(df: DataFrame, name: str) -> DataFrame:
+    """Makes each value of array ``name`` the least of the 16 from there on."""
 
+    def of_four(by: int) -> Column:
+        values = F.slice(name, 1, F.greatest(F.size(name) - 3 * by, F.lit(0)))
+        return F.transform(values, lambda x, i: F.least(x, F.get(name, i + by), F.get(name, i + 2 * by), F.get(name, i + 3 * by)))
 
-def with_chunks(df: DataFrame, text: Column) -> DataFrame:
-    """Adds ``_chunks``: structs (lines, text) of a text's consecutive chunks."""
-    df = held(df, _lines=lines_of(text))
-    df = held(df, _hash=F.transform("_lines", lambda x: F.xxhash64(x)))
-    df = held(df, _roll=F.zip_with("_hash", _shifted(F.col("_hash"), 1), lambda x, before: F.xxhash64(x, before)))
-    around = F.arrays_zip(F.col("_roll").alias("x"), _shifted(F.col("_roll"), 1).alias("before"), _shifted(F.col("_roll"), -1).alias("after"))
-    last = F.transform(around, lambda z, i: F.when(z["after"].isNull() | ((z["x"] < z["before"]) & (z["x"] < z["after"])), i))
-    df = held(df, _ends=F.array_compact(last))
-    begins = F.concat(F.array(F.lit(0)), F.transform(F.slice("_ends", 1, F.greatest(F.size("_ends") - 1, F.lit(0))), lambda e: e + 1))
-
-    def chunk(begin, end):
-        return F.struct((end - begin + 1).alias("lines"), F.array_join(F.slice("_lines", begin + 1, end - begin + 1), "").alias("text"))
-
-    return held(df, _chunks=F.zip_with(begins, "_ends", chunk)).drop("_lines", "_hash", "_roll", "_ends")
-
-
-def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    cut = with_chunks(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.col("_text"))
-    return cut.select("_id", F.xxhash64("_text").alias("_th"), F.posexplode("_chunks").alias("at", "c"))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_lines: int = LEAST_LINES) -> DataFrame:
-    """(_id, _th, at) of every chunk occurrence to remove, distinct."""
-    chunks = materialize(
-        _chunked(docs.where(F.length(text_col) >= least_chars), id_col, text_col)
-        .where((F.col("c.lines") >= least_lines) & (F.length("c.text") >= least_chars))
-        .select("_id", "_th", "at", F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("text")),
-        "line-chunks",
-    )
-    place = F.struct(F.col("_id").isNotNull().alias("named"), "_id", "_th", "at")
-    # hot chunks meet as one partial count a task
-    counted = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("_last")).where("first <> _last").select("hash", "first")
-    counted = materialize(counted, "line-repeats")
-    found = materialize(chunks.join(_small(counted), "hash").select("hash", "text", "_id", "_th", "at", (place == F.col("first")).alias("is_first")), "line-found")
-    firsts = found.where("is_first").groupBy("hash").agg(F.first("text").alias("first_text"))
-    confirmed = found.where("not is_first").join(firsts, "hash").where("text = first_text")
-    return materialize(confirmed.select("_id", "_th", "at").distinct(), "line-removals")
-
+    for by in (1, 4):
+        df = held(df, _next=of_four(by)).drop(name).withColumnRenamed("_next", name)
+    return df
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_lines: int = LEAST_LINES) -> DataFrame:
-    """The documents with repeated chunks taken out of the text; ``n_removed`` is added."""
-    gone = repeated_chunks(docs, id_col, text_col, least_chars, least_lines).groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_list("at").alias("_gone"))
-    gone = materialize(gone, "line-gone")
-    joined = docs.join(_small(gone), F.col(id_col).eqNullSafe(F.col("_gid")) & (F.xxhash64(text_col) == F.col("_gth")), "left")
-    cut = with_chunks(joined, F.when(F.col("_gone").isNotNull(), F.col(text_col)))
-    kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda c: c["text"]), "")).otherwise(F.col(text_col))
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return cut.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], removed.alias("n_removed"))
 
+def with_lines(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``_at``: the first words of lines, and ``_pair``: the rolling hash at each line but the last two places."""
+    df = held(df, _w=_words(text))
+    df = held(df, _h=F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
+    df = _least(held(df, _k=F.transform("_h", lambda x, i: x.bitwiseAND(F.lit(_HASH)).bitwiseOR(i.cast("long")))), "_k")
+    df = held(df, _at=F.array_distinct(F.transform("_k", lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))).drop("_k")
+    lines = F.transform(F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, i: F.xxhash64(F.slice("_h", a + 1, F.get("_at", i + 1) - a)))
+    df = held(df, _line=lines).drop("_h")
+    most = F.greatest(F.size("_line") - 1, F.lit(0))
+    return held(df, _pair=F.zip_with(F.slice("_line", 1, most), F.slice("_line", 2, most), lambda x, y: F.xxhash64(x, y))).drop("_line")
 
-def _paired(array: str, by: int, f) -> Column:
-    """f of every value and the one ``by`` places later; shorter by ``by``."""
-    most = F.greatest(F.size(array) - by, F.lit(0))
-    return F.zip_with(F.slice(array, 1, most), F.slice(array, by + 1, most), f)
 
+def _places(df: DataFrame) -> DataFrame:
+    """Adds ``_places``: structs (k, pair, again); again: whether the value stands before in the same text."""
+    ordered = F.array_sort(F.transform("_pair", lambda x, i: F.struct(x.alias("pair"), i.alias("k"))))
+    df = held(df, _ordered=F.when(F.size(F.array_distinct("_pair")) < F.size("_pair"), ordered))
+    marked = F.transform("_ordered", lambda p, j: F.struct(p["k"].alias("k"), p["pair"].alias("pair"), F.coalesce(p["pair"] == F.get("_ordered", j - 1)["pair"], F.lit(False)).alias("again")))
+    once = F.transform("_pair", lambda x, i: F.struct(i.alias("k"), x.alias("pair"), F.lit(False).alias("again")))
+    return df.withColumn("_places", F.when(F.col("_ordered").isNotNull(), marked).otherwise(once)).drop("_ordered")
 
-def _spanned(df: DataFrame, name: str, width: int, f) -> DataFrame:
-    """Makes each value of array ``name`` one over ``width`` values from there on, by doubling."""
-    now = 1
-    while now < width:
-        by = min(now, width - now)
-        df = held(df, _next=_paired(name, by, f)).drop(name).withColumnRenamed("_next", name)
-        now += by
-    return df
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.length(text_col) >= 2 * LEAST - 1).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
 
-def _halves(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _th, _lead and ``_half``: hashes of the half windows of texts with WORDS words or more.
 
-    ``_lead`` is 1 where white space stands before the first word, a piece of its own.
-    """
-    df = docs.where(F.length(text_col) >= 2 * WORDS - 1).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    df = held(df, _pieces=F.split("_text", r"\s+")).drop("_text")
-    lead = (F.get("_pieces", F.lit(0)) == "").cast("int")
-    tail = (F.element_at("_pieces", -1) == "").cast("int")
-    df = df.withColumn("_lead", lead).withColumn("_n", F.size("_pieces") - lead - tail).where(F.col("_n") >= WORDS)
-    df = held(df, _half=F.transform(F.slice("_pieces", F.col("_lead") + 1, F.col("_n")), lambda w: F.xxhash64(w))).drop("_pieces", "_n")
-    return _spanned(df, "_half", WORDS // 2, lambda x, y: F.xxhash64(x, y))
+def _same_text(ids: str, hashes: str) -> Column:
+    return F.col("_id").eqNullSafe(F.col(ids)) & (F.col("_th") == F.col(hashes))
 
 
-def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _th, anchor, at, n): n windows from ``at`` on have this anchor.
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_sid, _sth, _runs): of a text, the chunks to compare, structs (cuts, source).
 
-    One occurrence of an anchor serves no more windows than a window has
-    halves; beyond those it occurs again, which starts a row for each window.
+    cuts: the first words of its lines, and the end; source: the id of the
+    document that has its lines first.
     """
-    reach = WORDS // 2 + 1
-    df = _spanned(_halves(docs, id_col, text_col).withColumnRenamed("_half", "_least"), "_least", reach, lambda x, y: F.least(x, y))
-    starts = F.transform("_least", lambda x, i: F.when((i == 0) | (x != F.get("_least", i - 1)) | F.coalesce(x == F.get("_least", i - reach), F.lit(False)), i))
-    df = held(df, _starts=F.array_compact(starts))
-    rows = F.transform("_starts", lambda at, k: F.struct(F.get("_least", at).alias("anchor"), at.alias("at"), (F.coalesce(F.get("_starts", k + 1), F.size("_least")) - at).alias("n")))
-    return df.select("_id", "_th", F.inline(rows))
+    lines = materialize(with_lines(_texts(docs, id_col, text_col), F.col("_text")).drop("_text").where(F.size("_pair") > 0), "line-pairs")
+    counted = lines.select("_id", F.explode("_pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"), F.min("_id").alias("source"))
+    often = materialize(counted.where("n > 1").select("pair", "source"), "line-often")
+    places = _places(lines.select("_id", "_th", "_pair")).select("_id", "_th", F.inline("_places"))
+    met = places.join(small(often, F.lit(24)), "pair").where("again or _id > source or (_id is null and source is not null)")
+    found = met.groupBy(F.col("_id").alias("_sid"), F.col("_th").alias("_sth")).agg(F.array_sort(F.collect_set(F.struct("k", "source"))).alias("_found"))
+    found = materialize(found, "line-found")
+    runs = held(lines.select("_id", "_th", "_at").join(small(found, 32 + 16 * F.size("_found")), _same_text("_sid", "_sth")).drop("_id", "_th"), _starts=_run_starts())
+    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("_found")) - 1
+    first, last = lambda s: F.get("_found", s)["k"], lambda j: F.get("_found", end(j))["k"]
+    each = F.transform("_starts", lambda s, j: F.struct(F.slice("_at", first(s) + 1, last(j) - first(s) + 3).alias("cuts"), F.get("_found", s)["source"].alias("source")))
+    runs = runs.select("_sid", "_sth", F.explode(each).alias("run")).withColumns({"from": F.get("run.cuts", F.lit(0)), "to": F.element_at("run.cuts", -1)})
+    return _regions(runs, ["_sid", "_sth"]).groupBy("_sid", "_sth").agg(F.collect_list("run").alias("_runs"))
+
+
+def _run_starts() -> Column:
+    """Places in ``_found`` where a stretch of neighbours with one source begins."""
+    fresh = lambda x, i: (i == 0) | (x["k"] != F.get("_found", i - 1)["k"] + 1) | ~x["source"].eqNullSafe(F.get("_found", i - 1)["source"])
+    return F.array_compact(F.transform("_found", lambda x, i: F.when(fresh(x, i), i)))
+
+
+def _regions(spans: DataFrame, text: list[str]) -> DataFrame:
+    """Spans (from, to) that together, where they meet or overlap, cover LEAST words; adds ``region``."""
+    order = Window.partitionBy(*text).orderBy("from", "to")
+    before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", F.coalesce((F.col("from") > before).cast("int"), F.lit(0)))
+    marked = marked.withColumn("region", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    own = Window.partitionBy(*text, "region")
+    return marked.withColumn("_covered", F.max("to").over(own) - F.min("from").over(own)).where(F.col("_covered") >= LEAST).drop("_covered")
+
+
+def _alike(mine: str, theirs: str) -> Column:
+    """How many leading words of two arrays are equal."""
+    equal = F.zip_with(mine, theirs, lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False)))
+    return F.when(F.array_contains(equal, False), F.array_position(equal, False) - 1).otherwise(F.size(equal)).cast("int")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, _runs) with the runs of words to remove: structs (first, last) of places, in order."""
-    anchors = materialize(_anchors(docs, id_col, text_col), "line-anchors")
-    often = materialize(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "line-often")
-    spans = anchors.join(_small(often), "anchor").groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "n")).alias("_spans"))
-    spans = materialize(spans.select(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"), "_spans"), "line-spans")
-    near = docs.select(F.col(id_col), F.col(text_col)).join(_small(spans.select("_sid", "_sth")), F.col(id_col).eqNullSafe(F.col("_sid")) & (F.xxhash64(text_col) == F.col("_sth")), "left_semi")
-    halves = _halves(near, id_col, text_col).join(_small(spans), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")))
-
-    def window(i):
-        return F.struct(F.get("_half", i).alias("head"), F.get("_half", i + WORDS // 2).alias("rest"), (i + F.col("_lead")).alias("at"))
-
-    windows = F.flatten(F.transform("_spans", lambda s: F.transform(F.sequence(s["at"], s["at"] + s["n"] - 1), window)))
-    windows = materialize(halves.select("_id", "_th", F.inline(windows)), "line-windows")
-    place = F.struct(F.col("_id").isNotNull().alias("named"), "_id", "_th", "at")
-    counted = windows.groupBy("head", "rest").agg(F.min(place).alias("first"), F.max(place).alias("_last")).where("first <> _last").select("head", "rest", "first")
-    again = windows.join(materialize(counted, "line-firsts"), ["head", "rest"]).where(place != F.col("first"))
-    own = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_th") == F.col("first._th"))
-    again = again.select("_id", "_th", F.when(own, F.greatest("at", F.col("first.at") + WORDS)).otherwise(F.col("at")).alias("from"), (F.col("at") + WORDS - 1).alias("to"))
-    inside = Window.partitionBy("_id", "_th").orderBy("from", "to")
-    before = F.max("to").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    marked = again.withColumn("_new", F.coalesce((F.col("from") > before + 1).cast("int"), F.lit(0)))
-    runs = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).groupBy("_id", "_th", "_run").agg(F.min("from").alias("first"), F.max("to").alias("last"))
-    return runs.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
-
-
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without repeated runs of WORDS words or more; ``n_runs`` is added."""
-    gone = materialize(repeated_runs(docs, id_col, text_col).select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_runs"), "line-runs")
-    joined = docs.join(_small(gone), F.col(id_col).eqNullSafe(F.col("_gid")) & (F.xxhash64(text_col) == F.col("_gth")), "left")
-    cut = held(joined, _pieces=F.split(F.when(F.col("_runs").isNotNull(), F.col(text_col)), r"(?<=\s)(?=\S)"))
-    ends = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(F.size("_pieces")))
-    begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["last"] + 1))
-    kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("_pieces", a + 1, b - a)))
-    text = F.when(F.col("_runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text_col))
-    runs = F.when(F.col("_runs").isNotNull(), F.size("_runs")).otherwise(0).cast("long")
-    return cut.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], runs.alias("n_runs"))
-
-
-def remove_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`remove_passages`, then :func:`remove_repeats` for shorter passages; ``n_removed`` counts runs and chunks."""
-    left = materialize(remove_passages(docs, id_col, text_col), "line-left")
-    out = remove_repeats(left, id_col, text_col)
-    return out.select(*docs.columns, (F.col("n_removed") + F.col("n_runs")).alias("n_removed"))
+    """(_gid, _gth, _runs) with the runs of words to remove: structs (from, to), the end exclusive, in order."""
+    runs = materialize(candidates(docs, id_col, text_col), "line-runs")
+    texts = _texts(docs, id_col, text_col)
+    near = held(texts.join(small(runs, 32 + 48 * F.size("_runs")), _same_text("_sid", "_sth")).drop("_sid", "_sth"), _w=_words(F.col("_text"))).drop("_text")
+    near = near.select("_id", "_th", "_w", F.inline("_runs")).withColumns({"from": F.get("cuts", F.lit(0)), "to": F.element_at("cuts", -1)})
+
+    def said(a, b):
+        return F.concat(F.lit(" "), F.array_join(F.slice("_w", a + 1, b - a), " "), F.lit(" "))
+
+    chunks = near.select(
+        "_id", "_th", "source", "cuts", "from", "to",
+        said(F.col("from"), F.col("to")).alias("said"),
+        F.when(F.col("from") > 0, F.length(said(F.lit(0), F.col("from")))).otherwise(1).alias("ahead"),
+        F.reverse(F.slice("_w", F.greatest(F.col("from") - EDGE, F.lit(0)) + 1, F.least(F.col("from"), F.lit(EDGE)))).alias("left"),
+        F.slice("_w", F.col("to") + 1, EDGE).alias("right"),
+    )
+    sources = runs.select(F.explode("_runs.source").alias("_s")).distinct()
+    firsts = texts.join(small(sources, F.lit(16)), F.col("_id") == F.col("_s")).select("_s", F.col("_th").alias("_sth"), F.concat(F.lit(" "), F.array_join(_words(F.col("_text")), " "), F.lit(" ")).alias("_there"))
+    # a source may stand for very many chunks: a skewed join that Spark can split
+    met = chunks.join(firsts, F.col("source") == F.col("_s"))
+    # of its own text, only what stands before
+    limit = F.when(F.col("_id") == F.col("_s"), F.when(F.col("_th") == F.col("_sth"), F.col("ahead")).otherwise(F.lit(0))).otherwise(F.length("_there") + 1)
+    before = lambda place: (place > 0) & (place < F.col("_limit"))
+    met = held(met, _limit=limit, _place=F.instr(F.col("_there"), F.col("said")))
+    ahead = F.split(F.substring_index(F.expr("substring(_there, 1, _place - 1)"), " ", -EDGE), " ")
+    after = F.split(F.substring_index(F.expr("substring(_there, _place + length(said))"), " ", EDGE), " ")
+    grown = held(met, _ahead=F.reverse(ahead), _after=after)
+    whole = F.array(F.struct((F.col("from") - _alike("left", "_ahead")).alias("from"), (F.col("to") + _alike("right", "_after")).alias("to")))
+    # a chunk that its source has in several places: two lines at a time
+    grown = held(grown, _w=F.when(~before(F.col("_place")), F.split(F.expr("substring(said, 2)"), " ")))
+
+    def pair(a, i):
+        end = F.get("cuts", i + 2)
+        two = F.concat(F.lit(" "), F.array_join(F.slice("_w", a - F.col("from") + 1, end - a), " "), F.lit(" "))
+        return F.when(before(F.instr(F.col("_there"), two)), F.struct(a.alias("from"), end.alias("to")))
+
+    parts = F.array_compact(F.transform(F.slice("cuts", 1, F.size("cuts") - 2), pair))
+    spans = grown.select("_id", "_th", F.inline(F.when(before(F.col("_place")), whole).otherwise(parts)))
+    merged = _regions(spans, ["_id", "_th"]).groupBy("_id", "_th", "region").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return merged.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_runs"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with repeated passages taken out of the text; ``n_removed`` counts the runs of words that went."""
+    gone = materialize(repeated_runs(docs, id_col, text_col), "line-gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
+    joined = rows.join(small(gone, 32 + 16 * F.size("_runs")), _same_text("_gid", "_gth"), "left")
+    cut = held(joined, _pieces=F.split(F.when(F.col("_runs").isNotNull(), F.col("_text")), r"(?<=\s)(?=\S)"))
+    ends = F.concat(F.transform("_runs", lambda r: r["from"]), F.array(F.size("_pieces")))
+    begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["to"]))
+    kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("_pieces", a + 1, F.greatest(b - a, F.lit(0)))))
+    text = F.when(F.col("_runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col("_text"))
+    removed = F.when(F.col("_runs").isNotNull(), F.size("_runs")).otherwise(0).cast("long")
+    return cut.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "n_removed"], removed.alias("n_removed"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes up to which :func:`small` lets a table be broadcast; beyond, Spark shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _FALLBACK: dict[str, str] = {}
 
@@ -13,12 +17,14 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a bare local session) is a local
-    temporary folder made, once per process.
+    Only where that setting is absent and the session is local, so that all
+    tasks share the driver's disk, a temporary folder is made, once a process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="codelode-"))
 
 
@@ -32,3 +38,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df``, marked for broadcast if its rows, each of about ``row_bytes``, stay within BROADCAST_BYTES."""
+    total = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

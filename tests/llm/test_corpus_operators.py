@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from codelode.llm import linededup, neardup, pii, toxicity
+from codelode.llm import linededup, neardup, pii, toxicity, workspace
 from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -25,18 +25,6 @@ def sentence(rng, n=8):
 # ---- line dedup ------------------------------------------------------------------------------
 
 
-def brute_chunks(spark, text):
-    """Chunks by the definition: lines, hashes by Spark's xxhash64, strict local minima."""
-    if text is None:
-        return []
-    lines = re.split(r"(?<=[\n.!?])", text)
-    hashes = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string").orderBy("k").select(F.xxhash64("x")).collect()]
-    pairs = [(k, h, hashes[k - 1] if k else None) for k, h in enumerate(hashes)]
-    rolled = [r[0] for r in spark.createDataFrame(pairs, "k int, a long, b long").orderBy("k").select(F.xxhash64("a", "b")).collect()]
-    ends = [i for i in range(len(lines)) if i == len(lines) - 1 or (i > 0 and rolled[i] < rolled[i - 1] and rolled[i] < rolled[i + 1])]
-    return [lines[a:b] for a, b in zip([0, *[e + 1 for e in ends]], [e + 1 for e in ends])]
-
-
 def line_documents():
     rng = random.Random(11)
     passage = "".join(sentence(rng) for _ in range(14))
@@ -50,27 +38,37 @@ def line_documents():
     return docs
 
 
-def test_line_dedup_equals_brute_force(spark):
+def repeated_windows(texts, n=50):
+    """(id, place) of every window of n words that stands in a text of a smaller id, or before."""
+    seen, out = set(), []
+    for doc in sorted(texts):
+        words = texts[doc].split()
+        for at in range(len(words) - n + 1):
+            window = tuple(words[at : at + n])
+            out += [(doc, at)] if window in seen else []
+            seen.add(window)
+    return out
+
+
+def test_line_dedup_leaves_no_repeat_of_50_words_and_takes_only_repeats(spark):
     docs = line_documents()
     got = linededup.remove_repeats(frame(spark, docs))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_removed"]
     rows = got.collect()
-    assert len(rows) == len(docs)
-    order = sorted({(d, t) for d, t, *_ in docs if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
-    first, want = {}, {}
-    for doc, text in order:
-        kept, cut = [], 0
-        for at, chunk in enumerate(brute_chunks(spark, text)):
-            said = "".join(chunk)
-            if len(chunk) >= linededup.LEAST_LINES and len(said) >= linededup.LEAST_CHARS:
-                if first.setdefault(said, (doc, at)) != (doc, at):
-                    cut += 1
-                    continue
-            kept.append(said)
-        want[doc, text] = ("".join(kept), cut)
-    given = collections.Counter((d, *want[d, t]) if t is not None else (d, None, 0) for d, t, *_ in docs)
-    assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in rows) == given
-    assert sum(r.n_removed for r in rows) > 20
+    assert len(rows) == len(docs) and {(r.doc_id, r.text) for r in rows if r.doc_id in (100, 101, 102)} == {(100, None), (101, ""), (102, "one line")}
+    left = {r.doc_id: r.text for r in rows if r.doc_id is not None and r.text is not None}
+    before = {d: t for d, t, *_ in docs if d is not None and t is not None}
+    assert len(repeated_windows(before)) > 500 and not repeated_windows(left)
+    # what went stands elsewhere, LEAST words at a time
+    for doc, text in before.items():
+        words, kept = text.split(), left[doc].split()
+        if len(kept) < len(words) and doc < 100:
+            others = {tuple(w[i : i + linededup.LEAST]) for d, t in before.items() if d < doc for w in [t.split()] for i in range(len(w) - linededup.LEAST + 1)}
+            held = {k for i in range(len(words) - linededup.LEAST + 1) if tuple(words[i : i + linededup.LEAST]) in others for k in range(i, i + linededup.LEAST)}
+            assert len(words) - len(kept) <= len(held)
+    assert [r.text for r in rows if r.doc_id == 103] == ["", ""]
+    assert not repeated_windows({0: docs[1][1], 1: next(r.text for r in rows if r.doc_id is None)})
+    assert sum(r.n_removed for r in rows) > 10
     assert linededup.remove_repeats(frame(spark, [])).count() == 0
 
 
@@ -80,43 +78,29 @@ def test_line_dedup_resists_shifts_and_leaves_unique_texts(spark):
     docs = frame(spark, [(0, "Start. " + passage, "en", "s"), (1, "Some. Other words here. Longer! " + passage + "End.", "en", "s"), (2, "".join(sentence(rng) for _ in range(30)), "en", "s")])
     rows = {r.doc_id: r for r in linededup.remove_repeats(docs).collect()}
     assert rows[0].n_removed == 0 and rows[2].n_removed == 0
-    assert len(rows[1].text) < 0.25 * len(passage)
+    assert rows[1].text == "Some. Other words here. Longer! End."
 
 
 def test_line_dedup_broadcast_or_not(spark, monkeypatch):
     both = []
     for bound in (0, 1 << 40):
-        monkeypatch.setattr(linededup, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(workspace, "BROADCAST_BYTES", bound)
         both.append(sorted(map(repr, linededup.remove_repeats(frame(spark, line_documents())).collect())))
     assert both[0] == both[1]
 
 
-def brute_passages(docs, n=50):
-    """Texts without the runs of n words whose windows stand at an earlier place."""
-    order = sorted({(d, t) for d, t, *_ in docs if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
-    first, out = {}, {}
-    for doc, text in order:
-        pieces = re.findall(r"\S+\s*|^\s+", text)
-        lead = bool(pieces) and pieces[0].isspace()
-        words, gone = [p.strip() for p in pieces], set()
-        for at in range(lead, len(words) - n + 1):
-            owner, begin = first.setdefault(tuple(words[at : at + n]), ((doc, text), at))
-            if (owner, begin) != ((doc, text), at):
-                gone |= set(range(max(at, begin + n) if owner == (doc, text) else at, at + n))
-        out[doc, text] = "".join(p for k, p in enumerate(pieces) if k not in gone)
-    return out
-
-
 def passage_documents(passages):
     rng = random.Random(5)
 
     def own():
-        return " ".join(f"u{rng.randrange(10**9)}" + rng.choice(["", "", ".", "\n"]) for _ in range(rng.randrange(5, 90)))
+        return " ".join(f"u{rng.randrange(10**9)}" + rng.choice(["", "", ".", "\n"]) for _ in range(rng.randrange(5, 90))).strip()
 
-    docs = []
+    docs, outer = [], {}
     for passage in passages:
-        docs += [(len(docs) + k, f"{own()} {passage} {own()}", "en", "s") for k in range(2)]
-    return docs
+        for k in range(2):
+            outer[len(docs)] = (own(), own())
+            docs.append((len(docs), f"{outer[len(docs)][0]} {passage} {outer[len(docs)][1]}", "en", "s"))
+    return docs, outer
 
 
 def test_line_dedup_removes_every_passage_of_50_words(spark):
@@ -125,30 +109,36 @@ def test_line_dedup_removes_every_passage_of_50_words(spark):
     def words(n):
         return [f"p{rng.randrange(10**9)}" for _ in range(n)]
 
-    passages = [". ".join(" ".join(words(k)) for _ in range(55 // k + 1)) + "." for k in (11, 18, 55) for _ in range(12)]
-    docs = passage_documents([*passages, " ".join(words(50)), " ".join(words(49))])
-    docs += [(900, "  " + docs[0][1], "en", "s"), (901, passages[0].replace(" ", "\n"), "en", "s"), (902, "a b " * 300, "en", "s"), (903, passages[1] + " x " + passages[1], "en", "s")]
-    docs += [(904, docs[4][1], "en", "s"), (904, docs[4][1], "en", "s"), (None, docs[5][1], "en", "s"), (905, None, "en", "s"), (906, "", "en", "s"), *line_documents()[1:24]]
-    want = brute_passages(docs)
-    for bound in (0, 1 << 40):
-        linededup.BROADCAST_ROWS, kept = bound, linededup.BROADCAST_ROWS
-        try:
-            got = linededup.remove_passages(frame(spark, docs)).collect()
-        finally:
-            linededup.BROADCAST_ROWS = kept
-        assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter((d, t if t is None else want[d, t]) for d, t, *_ in docs)
-    rows = {r.doc_id: r.text for r in linededup.remove_all(frame(spark, docs[:72])).collect()}
-    assert not [k for k, p in enumerate(passages) if set(p.split()) & set(rows[2 * k + 1].split())]
+    passages = [". ".join(" ".join(words(k)) for _ in range(55 // k + 1)) + "." for k in (11, 18, 55) for _ in range(30)] + [" ".join(words(50)) for _ in range(60)]
+    # lines of one to three words; a period of few words
+    passages += ["\n".join(" ".join(words(k)) for _ in range(60 // k)) for k in (1, 2, 3) for _ in range(8)]
+    docs, outer = passage_documents(passages)
+    docs += [(9001, "  " + docs[0][1], "en", "s"), (9002, passages[1].replace(" ", "\n"), "en", "s"), (9003, "a b " * 300, "en", "s"), (9004, "z " + "a b " * 200, "en", "s"), (None, docs[5][1], "en", "s")]
+    rows = {r.doc_id: r for r in linededup.remove_repeats(frame(spark, docs)).collect()}
+    for k in range(len(passages)):
+        assert rows[2 * k].n_removed == 0 and rows[2 * k].text == docs[2 * k][1]
+        # the words before, with the white space behind them, and the words behind the passage
+        assert rows[2 * k + 1].text == f"{outer[2 * k + 1][0]} {outer[2 * k + 1][1]}"
+    assert rows[9002].text == "" and rows[9001].text.strip() == "" and len(rows[9003].text.split()) < 40 and len(rows[9004].text.split()) < 40 and rows[None].text == ""
 
 
-def test_line_dedup_of_short_lines(spark):
-    rng = random.Random(6)
-    passages = ["\n".join(" ".join(f"{rng.randrange(36**3)}" for _ in range(k)) for _ in range(60 // k)) for k in (1, 2, 3) for _ in range(8)]
-    docs = passage_documents(passages)
-    rows = {r.doc_id: r.text for r in linededup.remove_all(frame(spark, docs)).collect()}
-    for k, passage in enumerate(passages):
-        assert passage in rows[2 * k] and passage in docs[2 * k + 1][1]
-        assert rows[2 * k + 1] == brute_passages(docs)[2 * k + 1, docs[2 * k + 1][1]] and passage[:40] not in rows[2 * k + 1]
+def test_line_dedup_with_chunks_of_one_source_in_another_order(spark):
+    rng = random.Random(3)
+    a, b, c = ([f"w{rng.randrange(10**9)}" for _ in range(60)] for _ in range(3))
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    rows = {r.doc_id: r.text for r in linededup.remove_repeats(frame(spark, [(0, text(a, b, c, b, a), "en", "s"), (1, text(c, a, b, a), "en", "s"), (2, text(b, c), "en", "s")])).collect()}
+    assert rows[0] in (text(a, b, c) + " ", text(a, b, c))
+    # words beside a seam may stay; no passage does
+    assert len(rows[1].split()) < 50 and rows[2] == ""
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"w{rng.randrange(10**9)}" for _ in range(80))
+    names = ["_id", "_th", "_text", "_row", "_w", "_at", "_pair", "_runs", "_gid", "_pieces", "from", "to", "n_removed", "x.y"]
+    docs = spark.createDataFrame([(k, passage, *[f"{n}{k}" for n in names]) for k in range(2)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = linededup.remove_repeats(docs).orderBy("doc_id").collect()
+    assert rows[1].asDict() == {"doc_id": 1, "text": "", **{n: f"{n}1" for n in names}, "n_removed": 1}
 
 
 # ---- near duplicates -------------------------------------------------------------------------
