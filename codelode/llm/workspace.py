@@ -44,3 +44,11 @@ def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """``df``, marked for broadcast if its rows, each of about ``row_bytes``, stay within BROADCAST_BYTES."""
     total = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def free_name(df: DataFrame, wish: str = "_n") -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while wish in taken:
+        wish += "_"
+    return wish
