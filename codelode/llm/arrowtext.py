@@ -33,15 +33,15 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most SLICE_BYTES of ``column`` or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``most`` bytes of ``column`` or one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, offsets = text_bytes(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            end = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1
+            end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
             end = min(max(end, at + 1), at + SLICE_ROWS, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end

@@ -3,20 +3,19 @@
 A text is lower-cased; every run of bytes that are not letters becomes one
 space; n-grams are the 1 to 3 byte long substrings of the UTF-8 form. A
 language's profile is its ``profile`` most frequent n-grams over all training
-documents. A document's most frequent n-grams are ranked and compared with
-each profile by the sum of rank differences, where an n-gram that a profile
-lacks costs the full profile length.
-
-n-grams that no profile's candidate list (the ``candidates`` most frequent of
-a language) knows share one extra symbol per document, which never ranks; they
-lower the score through ``known``, the share of known n-grams.
+documents, in rank order. A document's own ``profile`` most frequent n-grams,
+of all that it has, are compared with each language's by the sum of rank
+differences; an n-gram that a profile lacks costs the full profile length. The
+language with the least distance wins; the score is one less its distance by
+the farthest possible.
 
 Edge cases: null text and text without a letter give ``und`` with score 0;
 training ignores rows whose language is null; with no training rows at all
 every text is ``und``; ties between n-gram counts go to the n-gram that is more
-frequent in training, ties between languages to the alphabetically first;
-texts of any length are read whole; repeated rows are judged row by row; only
-the named columns are read.
+frequent among the languages' ``candidates`` most frequent ones, then to the
+smaller code; ties between languages to the alphabetically first; texts of any
+length are read whole, in pieces; repeated rows are judged row by row; only
+the named columns are read, ``keep_known`` carries columns of any name.
 """
 
 from __future__ import annotations
@@ -34,31 +33,59 @@ CANDIDATES = 1500
 UNKNOWN = "und"
 
 #: 0: separator; 1..26: a-z; 27..: bytes of non-ASCII characters.
-_SYMBOL = np.zeros(256, np.int32)
+_SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[0x61:0x7B] = np.arange(1, 27)
 _SYMBOL[0x80:] = np.arange(27, 155)
 _N = 155
 _CODES = _N**3 + _N**2 + _N
-#: Cells of per-language counters that a training task keeps at once.
-_HELD_LANGUAGES = 6
+#: Bytes of text whose n-grams a worker holds at once.
+PIECE = 512 << 10
+#: (language, n-gram) counts that a training task keeps before it passes them on.
+_HELD = 1 << 20
 
 
-def _grams(arr: pa.Array):
-    """(codes, rows) of all n-grams of a slice: an n-gram lies within one row."""
+def _pieces(arr: pa.Array):
+    """(codes, rows) of all n-grams, for PIECE symbols at a time; an n-gram lies within one row."""
     data, offsets = text_bytes(pc.utf8_lower(arr))
     symbols = _SYMBOL[data]
-    row = np.repeat(np.arange(len(arr)), np.diff(offsets))
-    again = np.zeros(len(symbols), bool)
-    again[1:] = (symbols[1:] == 0) & (symbols[:-1] == 0) & (row[1:] == row[:-1])
-    symbols, row = symbols[~again], row[~again]
-    two = symbols[:-1] * _N + symbols[1:]
-    same2 = row[:-1] == row[1:]
-    three = two[:-1] * _N + symbols[2:]
-    same3 = row[:-2] == row[2:]
-    letters = symbols > 0
-    codes = np.concatenate([_N**3 + _N**2 + symbols[letters], (_N**3 + two)[same2], three[same3]])
-    rows = np.concatenate([row[letters], row[:-1][same2], row[:-2][same3]])
-    return codes, rows
+    # of a run of separators, the first; a row's first symbol anyway
+    kept = symbols > 0
+    kept[1:] |= symbols[:-1] > 0
+    kept[offsets[:-1][offsets[:-1] < len(data)]] = True
+    offsets = np.append(np.int32(0), np.cumsum(kept, dtype=np.int32))[offsets]
+    symbols = symbols[kept]
+    for begin in range(0, len(symbols), PIECE):
+        some = symbols[begin : begin + PIECE + 2].astype(np.int32)
+        own = min(PIECE, len(symbols) - begin)
+        row = np.searchsorted(offsets, np.arange(begin, begin + len(some)), side="right").astype(np.int32) - 1
+        two = some[:-1] * _N + some[1:]
+        three = two[:-1] * _N + some[2:]
+        letters = some[:own] > 0
+        same2 = (row[:-1] == row[1:])[:own]
+        same3 = (row[:-2] == row[2:])[:own]
+        codes = np.concatenate([_N**3 + _N**2 + some[:own][letters], _N**3 + two[:own][same2], three[:own][same3]])
+        yield codes, np.concatenate([row[:own][letters], row[:-1][:own][same2], row[:-2][:own][same3]])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with how often they are there."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+    return keys[first], counts.astype(np.int64)
+
+
+def _grams(arr: pa.Array, of_row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (row, or what it stands for, times _CODES, plus code) in order, with their counts."""
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for codes, rows in _pieces(arr):
+        more, k = _summed((rows if of_row is None else of_row[rows]).astype(np.int64) * _CODES + codes)
+        keys, n = _summed(np.concatenate([keys, more]), np.concatenate([n, k])) if len(keys) else (more, k)
+    return keys, n
 
 
 def _has_letter(arr: pa.Array) -> np.ndarray:
@@ -66,26 +93,21 @@ def _has_letter(arr: pa.Array) -> np.ndarray:
 
 
 def _count(batches):
-    held: dict[str, np.ndarray] = {}
-
-    def emit(lang):
-        counts = held.pop(lang)
-        codes = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(counts[codes], pa.int64())], names=["lang", "code", "n"])
-
-    for part in slices(batches, "text"):
-        langs = part.column("lang").to_numpy(zero_copy_only=False)
-        codes, rows = _grams(part.column("text"))
-        for lang in sorted(set(langs)):
-            if lang not in held and len(held) >= _HELD_LANGUAGES:
-                yield emit(next(iter(held)))
-            own = np.bincount(codes[(langs == lang)[rows]], minlength=_CODES)
-            if lang in held:
-                held[lang] += own
-            else:
-                held[lang] = own
-    for lang in list(held):
-        yield emit(lang)
+    names: dict[str, int] = {}
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def told():
+        langs = np.array(list(names), object)[keys // _CODES] if len(keys) else []
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys % _CODES, pa.int32()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+
+    for part in slices(batches, "text", PIECE):
+        of_row = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()])
+        more, k = _grams(part.column("text"), of_row)
+        keys, n = _summed(np.concatenate([keys, more]), np.concatenate([n, k]))
+        if len(keys) > _HELD:
+            yield told()
+            keys, n = keys[:0], n[:0]
+    yield told()
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profile: int = PROFILE, candidates: int = CANDIDATES) -> dict:
@@ -112,47 +134,31 @@ class Identifier:
     def __init__(self, model: dict):
         self.langs, self.ranks, self.profile = model["langs"], model["ranks"], model["profile"]
         self.n = len(model["codes"])
-        self.place = np.full(_CODES, self.n, np.int32)
+        # candidates by their frequency, then all others by code
+        self.place = np.arange(self.n, self.n + _CODES, dtype=np.int32)
         self.place[model["codes"]] = np.arange(self.n)
+        # what no profile has
+        self.beyond = np.full((len(self.langs), 1), self.profile, np.int32)
 
     def judge(self, arr: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score (0 to 1) of each text."""
-        lettered = _has_letter(arr)
-        best = np.full(len(arr), -1)
-        score = np.zeros(len(arr))
-        if self.langs:
-            codes, rows = _grams(arr)
-            symbols = self.place[codes]
-            order = np.argsort(rows, kind="stable")
-            symbols, rows = symbols[order], rows[order]
-            step = max(1, (1 << 22) // (self.n + 1))
-            for a in range(0, len(arr), step):
-                b = min(a + step, len(arr))
-                lo, hi = np.searchsorted(rows, [a, b])
-                counts = np.bincount((rows[lo:hi] - a) * (self.n + 1) + symbols[lo:hi], minlength=(b - a) * (self.n + 1)).reshape(b - a, self.n + 1)
-                best[a:b], score[a:b] = self._nearest(counts)
-        found = lettered & (best >= 0)
-        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, found)], np.where(found, score, 0.0)
-
-    def _nearest(self, counts: np.ndarray):
-        total = np.maximum(counts.sum(1), 1)
-        known = 1 - counts[:, -1] / total
-        width = min(self.profile, self.n)
-        # unique keys: by count, then by the symbol's place
-        keys = counts[:, :-1].astype(np.int64) * self.n + (self.n - 1 - np.arange(self.n))
-        top = -np.partition(-keys, width - 1, axis=1)[:, :width]
-        top = -np.sort(-top, axis=1)
-        present = top >= self.n
-        symbol = self.n - 1 - top % self.n
-        used = np.maximum(present.sum(1), 1)
-        apart = np.empty((len(self.langs), len(counts)))
-        for k, ranks in enumerate(self.ranks):
-            there = ranks[symbol]
-            off = np.where(there < self.profile, np.abs(there - np.arange(width)), self.profile)
-            apart[k] = (off * present).sum(1) / used
+        found = _has_letter(arr)
+        if not self.langs:
+            return [UNKNOWN] * len(arr), np.zeros(len(arr))
+        keys, n = _grams(arr)
+        row, place = keys // _CODES, self.place[keys % _CODES].astype(np.int64)
+        order = np.lexsort((place, -n, row))
+        row, place = row[order], place[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < self.profile
+        row, place, rank = row[top], place[top], rank[top]
+        there = np.concatenate([self.ranks, self.beyond], 1)[:, np.minimum(place, self.n)]
+        off = np.where(there < self.profile, np.abs(there - rank), self.profile)
+        used = np.maximum(np.bincount(row, minlength=len(arr)), 1)
+        apart = np.stack([np.bincount(row, o, minlength=len(arr)) for o in off]) / used
         best = apart.argmin(0)
-        near = apart[best, np.arange(len(counts))] / self.profile
-        return np.where(present.any(1), best, -1), np.clip((1 - near) * known, 0, 1)
+        score = np.clip(1 - apart[best, np.arange(len(arr))] / self.profile, 0, 1)
+        return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, found)], np.where(found, score, 0.0)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -167,7 +173,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         identifier = Identifier(shared.value)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", PIECE):
             lang, score = identifier.judge(part.column("_text"))
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["_id", "lang_pred", "score"])
 
@@ -180,7 +186,7 @@ def keep_known(docs: DataFrame, model: dict, text_col: str = "text", least: floa
 
     def run(batches):
         identifier = Identifier(shared.value)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, PIECE):
             lang, score = identifier.judge(part.column(text_col))
             yield part.filter(pa.array((np.array(lang) != UNKNOWN) & (score > least)))
 

@@ -20,7 +20,7 @@ import re
 import numpy as np
 
 #: Chunks per cache generation.
-CACHE = 600_000
+CACHE = 160_000
 #: Words that one call of the library encodes.
 JOINED = 512
 #: A character from which lower-casing first might change the ids.
