@@ -38,20 +38,20 @@ def dependency_paths(edges: DataFrame, roots: DataFrame, target: str, levels: in
     A target also matches names that end in ``/target``. Cycles are not walked twice.
     """
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("_dep_edges")
-    roots.createOrReplaceTempView("_dep_roots")
     said = "'" + target.replace("\\", "\\\\").replace("'", "\\'") + "'"
     is_hit = lambda c: f"({c} = {said} OR endswith({c}, concat('/', {said})))"
     return spark.sql(
         f"""
         WITH RECURSIVE walk(name, path, hit) MAX RECURSION LEVEL {int(levels)} AS (
-          SELECT name, array(name), {is_hit('name')} FROM _dep_roots
+          SELECT name, array(name), {is_hit('name')} FROM {{roots}}
           UNION ALL
           SELECT e.child, concat(w.path, array(e.child)), {is_hit('e.child')}
-          FROM walk w JOIN _dep_edges e ON e.parent = w.name
+          FROM walk w JOIN {{edges}} e ON e.parent = w.name
           WHERE NOT w.hit AND NOT array_contains(w.path, e.child))
         SELECT array_join(path, ' > ') AS path, CAST(size(path) - 1 AS BIGINT) AS depth FROM walk WHERE hit
-        """
+        """,
+        edges=edges,
+        roots=roots,
     )
 
 

@@ -15,7 +15,10 @@ COMPLEXITY_BANDS = ((5, "low"), (10, "moderate"), (20, "high"))
 LENGTH_BANDS = ((20, "short"), (50, "medium"), (100, "long"))
 COMPLEXITY_STEPS = ((3, 1.0), (5, 0.9), (7, 0.8), (10, 0.7), (15, 0.5))
 RISK_STEPS = ((0.01, 1.0), (0.02, 0.9), (0.03, 0.8), (0.05, 0.7), (0.1, 0.5))
-LOCKFILES = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "poetry.lock", "uv.lock", "Pipfile.lock", "Gemfile.lock", "composer.lock", "go.sum", "flake.lock", "mix.lock")
+LOCKFILES = (
+    "uv.lock", "Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "bun.lock", "poetry.lock", "Pipfile.lock", "Gemfile.lock", "composer.lock", "go.sum", "flake.lock",
+    "packages.lock.json", "paket.lock", "pubspec.lock", "mix.lock", "rebar.lock", "Podfile.lock", "shrinkwrap.yaml", "deno.lock", "gradle.lockfile",
+)
 
 
 def _steps(x: Column, steps, otherwise) -> Column:
@@ -140,24 +143,29 @@ def similar_types(fields: DataFrame, threshold: int = 70, least: int = 2, allowe
     """Pairs of types whose shared fields make ``threshold`` percent of the smaller one.
 
     fields (type, name): repeated names count in a type's size, but once as
-    shared. Pairs come from a prefix filter: names are ranked by how rare they
-    are, and a pair over the threshold shares a name among the first
-    d - ceil(t * m / 100) + 1 of each type's d distinct names (m: least size),
-    so frequent names build few pairs. Types of equal name are no pair.
+    shared. Names are ranked by how rare they are. Of a pair over the threshold
+    the smaller type, with d distinct names and size m, has one of its
+    d - ceil(t * m / 100) + 1 rarest names in common with the other, so that
+    prefix alone meets the names of types that are no smaller; frequent names
+    seldom are in a prefix. Candidates are pairs of ids; the names come back
+    for those alone. Types of equal name are no pair.
     """
     if threshold <= 0:
         raise ValueError("a threshold over 0 is needed")
     sizes = fields.groupBy("type").agg(F.count("*").alias("size"), F.countDistinct("name").alias("distinct")).where(F.col("size") >= least)
-    names = fields.distinct().join(fields.distinct().groupBy("name").agg(F.count("*").alias("df")), "name").join(sizes, "type")
+    own = fields.distinct()
+    names = own.join(own.groupBy("name").agg(F.count("*").alias("df")), "name").join(sizes, "type")
     listed = names.groupBy("type", "size", "distinct").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("names"))
     listed = listed.select("type", "size", "distinct", F.transform("names", lambda x: x["name"]).alias("names"))
-    # a partner may be as small as ``least``, but then shares at least this many names
-    need = F.ceil(F.lit(threshold) * least / 100.0)
-    prefix = listed.withColumn("key", F.explode(F.slice("names", 1, F.greatest(F.lit(1), (F.col("distinct") - need + 1).cast("int")))))
-    a, b = (prefix.select(*[F.col(c).alias(f"{c}_{s}") for c in ("type", "size", "names")], "key") for s in "ab")
-    pairs = a.join(b, "key").where("type_a < type_b").dropDuplicates(["type_a", "type_b"])
-    common = F.size(F.array_intersect("names_a", "names_b"))
-    out = pairs.withColumn("common", common.cast("long")).withColumn("overlap", F.expr("(common * 100) div least(size_a, size_b)")).where(F.col("overlap") >= threshold)
+    first = (F.col("distinct") - F.ceil(F.lit(threshold) * F.col("size") / 100.0) + 1).cast("int")
+    probes = listed.where(first > 0).select(F.col("type").alias("small"), F.col("size").alias("small_size"), F.explode(F.slice("names", 1, first)).alias("name"))
+    met = probes.join(names.select("name", F.col("type").alias("large"), F.col("size").alias("large_size")), "name")
+    pairs = met.where("small_size < large_size or (small_size = large_size and small < large)").select("small", "large").distinct()
+    held = lambda c: listed.select(F.col("type").alias(c), F.col("names").alias(f"names_{c}"), F.col("size").alias(f"size_{c}"))
+    common = F.size(F.array_intersect("names_small", "names_large"))
+    out = pairs.join(held("small"), "small").join(held("large"), "large").withColumn("common", common.cast("long"))
+    out = out.withColumn("overlap", F.expr("(common * 100) div size_small")).where(F.col("overlap") >= threshold)
+    out = out.select(F.least("small", "large").alias("type_a"), F.greatest("small", "large").alias("type_b"), "common", "overlap")
     if allowed is not None:
         out = out.join(allowed.select(F.least("a", "b").alias("type_a"), F.greatest("a", "b").alias("type_b")), ["type_a", "type_b"], "left_anti")
     return out.select("type_a", "type_b", "common", "overlap")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Precedence of where a rule comes from.
 LAYERS = ("builtin", "user", "project")
+#: Rules that one pass over the lines tries.
+RULES_AT_ONCE = 100
 
 
 def predicate(name: str, captures: Column, args: list[str]) -> Column:
@@ -84,12 +86,27 @@ def meets(requires: Column, context: Column, numeric: bool = False) -> Column:
 def line_findings(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Matches of line rules (id, severity, message, regex) on lines (file, line, text, language).
 
-    Rules are few: one pass over the lines tries them all. A rule with
-    languages only looks at those.
+    Rules are a stated list and come to the driver; RULES_AT_ONCE of them share
+    one pass over the lines, with each pattern as a literal that is compiled
+    once, and lines without any match leave before the rules are told apart. A
+    rule with languages only looks at those.
     """
-    hit = lines.join(F.broadcast(rules), F.expr("text rlike regex and (size(languages) = 0 or array_contains(languages, language))"))
-    start = F.regexp_instr("text", F.col("regex"))
-    return hit.select(F.col("id").alias("rule_id"), "file", "line", start.cast("long").alias("col"), "severity", "message", F.regexp_substr("text", F.col("regex")).alias("matched"))
+    given = sorted(tuple(r) for r in rules.select("id", "severity", "message", "regex", "languages").collect())
+    out = None
+    for begin in range(0, max(1, len(given)), RULES_AT_ONCE):
+        tried = []
+        for rule, severity, message, regex, languages in given[begin : begin + RULES_AT_ONCE]:
+            met = F.col("text").rlike(regex)
+            if languages:
+                met &= F.col("language").isin(list(languages))
+            col = F.regexp_instr("text", F.lit(regex)).cast("long")
+            told = (F.lit(rule).alias("rule_id"), col.alias("col"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.regexp_substr("text", F.lit(regex)).alias("matched"))
+            tried.append(F.when(met, F.struct(*told)))
+        none = F.array().cast("array<struct<rule_id:string,col:bigint,severity:string,message:string,matched:string>>")
+        found = F.array_compact(F.array(*tried)) if tried else none
+        part = lines.select("file", "line", F.explode(found).alias("f")).select("f.rule_id", "file", "line", "f.col", "f.severity", "f.message", "f.matched")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def allow_comment(rule_id: Column, text: Column, word: str = "allow") -> Column:

@@ -13,24 +13,37 @@ from codelode.functions.text import normal_path
 #: Lines of a block in the interval join.
 BLOCK = 64
 
-# fixed values: built-in path groups
+#: White space of any kind at a line's ends, Unicode's included.
+WHITE_START, WHITE_END = r"(?U)^\s+", r"(?U)\s+$"
+
+# fixed values: built-in path groups; tests has more patterns for some languages
 ALIASES = {
-    "tests": ["*_test.*", "test_*", "*.test.*", "*.spec.*", "**/tests/**", "**/test/**", "**/__tests__/**"],
-    "config": ["*.toml", "*.yaml", "*.yml", "*.json", "*.ini", "*.cfg"],
-    "build": ["**/target/**", "**/dist/**", "**/build/**", "**/node_modules/**"],
-    "docs": ["*.md", "*.rst", "*.txt", "**/docs/**"],
-    "generated": ["*.gen.*", "*.generated.*", "*.pb.go", "*.min.js"],
+    "tests": ["**/test_*.py", "**/*_test.py", "**/tests/**"],
+    "config": ["*.toml", "*.yaml", "*.yml", "*.json", "*.ini", "*.cfg", ".env", ".env.*", "*.config.js", "*.config.ts"],
+    "build": ["target/**", "dist/**", "build/**", "out/**", "node_modules/**", ".next/**", ".nuxt/**", "__pycache__/**", "*.pyc"],
+    "docs": ["*.md", "*.rst", "*.txt", "docs/**", "doc/**", "README*", "CHANGELOG*", "LICENSE*"],
+    "generated": ["*.gen.*", "*.generated.*", "*.pb.go", "*.pb.rs", "*_generated.go", "*_generated.rs", "generated/**"],
+}
+_SCRIPT_TESTS = ["**/*.test.js", "**/*.spec.js", "**/*.test.ts", "**/*.spec.ts", "**/__tests__/**"]
+TESTS_BY_LANGUAGE = {
+    "go": ["*_test.go", "**/*_test.go"],
+    "rust": ["**/tests/**/*.rs"],
+    "javascript": _SCRIPT_TESTS,
+    "typescript": _SCRIPT_TESTS,
+    "java": ["**/test/**", "**/*Test.java"],
+    "ruby": ["**/test/**", "**/*_test.rb", "**/spec/**", "**/*_spec.rb"],
 }
 
 
 def text_search(lines: DataFrame, pattern: str, ignore_case: bool = False, limit: int | None = None) -> DataFrame:
-    """Lines (file, line, text) that match, trimmed, with the first match's range in the trimmed line."""
+    """Lines (file, line, text) that match, trimmed of all white space, with the first match's range in the trimmed line."""
     regex = f"(?i){pattern}" if ignore_case else pattern
     hit = lines.where(F.col("text").rlike(regex))
-    indent = F.length("text") - F.length(F.ltrim("text"))
+    indent = F.length(F.regexp_extract("text", WHITE_START, 0))
+    trimmed = F.regexp_replace(F.regexp_replace("text", WHITE_START, ""), WHITE_END, "")
     said = F.regexp_extract("text", regex, 0)
     start = F.greatest(F.lit(0), F.regexp_instr("text", F.lit(regex)) - 1 - indent)
-    out = hit.select("file", "line", F.trim("text").alias("content"), start.cast("long").alias("start"), (start + F.length(said)).cast("long").alias("end"))
+    out = hit.select("file", "line", trimmed.alias("content"), start.cast("long").alias("start"), (start + F.length(said)).cast("long").alias("end"))
     return out.orderBy("file", "line").limit(limit) if limit is not None else out
 
 
@@ -72,9 +85,13 @@ def find_like(files: DataFrame, query: str, limit: int = 50, extension_limit: in
     return files.where(reduce(Column.__and__, [F.lower("path").contains(t) for t in terms])).orderBy("path").limit(limit)
 
 
-def expand_aliases(patterns: list[str], custom: dict[str, list[str]] | None = None) -> list[str]:
-    """``@name`` becomes the group's patterns; unknown names are an error, emptied groups give none."""
-    known = ALIASES | (custom or {})
+def expand_aliases(patterns: list[str], custom: dict[str, list[str]] | None = None, languages: list[str] = ()) -> list[str]:
+    """``@name`` becomes the group's patterns; unknown names are an error, emptied groups give none.
+
+    languages: those of the tree, in lower case; they widen the built-in tests.
+    """
+    tests = ALIASES["tests"] + [p for x in languages for p in TESTS_BY_LANGUAGE.get(x, [])]
+    known = ALIASES | {"tests": tests} | (custom or {})
     out = []
     for p in patterns:
         if not p.startswith("@"):
@@ -86,13 +103,13 @@ def expand_aliases(patterns: list[str], custom: dict[str, list[str]] | None = No
     return out
 
 
-def only_exclude(files: DataFrame, only: list[str] = (), exclude: list[str] = (), custom: dict[str, list[str]] | None = None) -> DataFrame:
+def only_exclude(files: DataFrame, only: list[str] = (), exclude: list[str] = (), custom: dict[str, list[str]] | None = None, languages: list[str] = ()) -> DataFrame:
     """Files that match some ``only`` pattern (if any is given) and no ``exclude`` pattern."""
     out = files
     if only:
-        out = out.where(F.col("path").rlike(any_of(expand_aliases(list(only), custom))))
+        out = out.where(F.col("path").rlike(any_of(expand_aliases(list(only), custom, languages))))
     if exclude:
-        out = out.where(~F.col("path").rlike(any_of(expand_aliases(list(exclude), custom))))
+        out = out.where(~F.col("path").rlike(any_of(expand_aliases(list(exclude), custom, languages))))
     return out
 
 

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 USAGE = ("input", "output", "cache_read", "cache_create")
-# fixed values: error categories, the first that fits counts
+# fixed values: error categories by what the lower-cased text contains, the first that fits counts
 ERRORS = (
-    ("not_found", r"(?i)not found|no such file|does not exist"),
-    ("permission", r"(?i)permission denied|not permitted"),
-    ("timeout", r"(?i)timed? ?out"),
-    ("syntax", r"(?i)syntax error|parse error|unexpected token"),
-    ("exit_code", r"(?i)exit code"),
+    ("exit code", "Command failure"),
+    ("not found", "File not found"),
+    ("permission", "Permission error"),
+    ("timeout", "Timeout"),
+    ("syntax", "Syntax error"),
+    ("import", "Import error"),
 )
+OTHER = "Other"
 
 
 def turns(messages: DataFrame) -> DataFrame:
@@ -35,7 +37,8 @@ def usage_by_request(records: DataFrame) -> DataFrame:
 
 
 def error_category(text: Column) -> Column:
-    return reduce(lambda out, rule: F.when(text.rlike(rule[1]), rule[0]).otherwise(out), reversed(ERRORS), F.lit("other"))
+    said = F.lower(text)
+    return reduce(lambda out, rule: F.when(said.contains(rule[0]), rule[1]).otherwise(out), reversed(ERRORS), F.lit(OTHER))
 
 
 def role_counts(messages: DataFrame) -> DataFrame:

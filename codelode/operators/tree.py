@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: folders that cost no depth
-BOILERPLATE = ("src", "lib", "crates", "packages", "app")
+BOILERPLATE = ("src", "lib", "pkg", "packages", "crates", "internal", "cmd")
 
 
 def directory_tree(files: DataFrame, depth: int = 2, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
@@ -36,9 +36,9 @@ def heading_scopes(headings: DataFrame) -> DataFrame:
 
     A heading ends before the next one of its level or above; its parent is
     the last earlier one of a lower level number. Six levels: one running
-    minimum each way and level, no join.
+    minimum each way and level, no join; both ways are frames that grow by a row.
     """
-    after = Window.partitionBy("file").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("file").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     next_at = {k: F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in range(1, 7)}
     last_at = {k: F.max(F.when(F.col("level") < k, F.struct("line", "title"))).over(before) for k in range(1, 7)}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode import adapters as A
+from codelode.functions import jq
 from codelode.functions.text import extension, normal_path
 from codelode.operators import callgraph, edits, packages, quality, refs, rules, search, sessions, tree
 from codelode.plans import upkeep
@@ -37,16 +38,18 @@ PATTERN = "th[ao]t"
 
 
 @query(
-    """SELECT file, line, trim(text, ' ') AS content, CAST(strpos(trim(text, ' '), regexp_extract(text, 'th[ao]t')) - 1 AS BIGINT) AS start,
-       CAST(strpos(trim(text, ' '), regexp_extract(text, 'th[ao]t')) - 1 + length(regexp_extract(text, 'th[ao]t')) AS BIGINT) AS "end"
-       FROM lines WHERE regexp_matches(text, 'th[ao]t')""",
+    r""", tabbed AS (SELECT file, line, chr(9) || ' ' || text || chr(9) AS text FROM lines)
+       SELECT file, line, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS content, CAST(strpos(regexp_replace(text, '^\s+', ''), regexp_extract(text, 'th[ao]t')) - 1 AS BIGINT) AS start,
+       CAST(strpos(regexp_replace(text, '^\s+', ''), regexp_extract(text, 'th[ao]t')) - 1 + length(regexp_extract(text, 'th[ao]t')) AS BIGINT) AS "end"
+       FROM tabbed WHERE regexp_matches(text, 'th[ao]t')""",
     "lines",
 )
 def text_search_lines(spark, sf_dir):
-    return search.text_search(A.lines(spark, sf_dir), PATTERN)
+    tabbed = F.concat(F.lit("\t "), F.col("text"), F.lit("\t"))
+    return search.text_search(A.lines(spark, sf_dir).withColumn("text", tabbed), PATTERN)
 
 
-@query("""SELECT file, line, trim(text, ' ') AS content FROM lines WHERE regexp_matches(text, '(?i)THAT') ORDER BY file, line LIMIT 100""", "lines")
+@query("""SELECT file, line, trim(text, ' ' || chr(9) || chr(13)) AS content FROM lines WHERE regexp_matches(text, '(?i)THAT') ORDER BY file, line LIMIT 100""", "lines")
 def text_search_first_hundred(spark, sf_dir):
     return search.text_search(A.lines(spark, sf_dir), "THAT", ignore_case=True, limit=100).select("file", "line", "content")
 
@@ -85,9 +88,9 @@ def find_files_by_stem(spark, sf_dir):
     return search.find_by_stem(A.files(spark, sf_dir), "12").select("path")
 
 
-@query("""SELECT page_id, url AS path FROM pages WHERE contains(lower(url), 'blog') AND contains(lower(url), 'html') ORDER BY url, page_id LIMIT 50""")
+@query("""SELECT url AS path FROM pages WHERE contains(lower(url), 'blog') AND contains(lower(url), 'html') ORDER BY url LIMIT 50""")
 def find_files_like(spark, sf_dir):
-    return search.find_like(A.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("")).alias("path")), "blog_HTML", limit=1 << 30).orderBy("path", "page_id").limit(50)
+    return search.find_like(A.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("")).alias("path")), "blog_HTML").drop("page_id")
 
 
 @query("""SELECT url AS path FROM pages WHERE ends_with(lower(url), '.html') ORDER BY url LIMIT 1000""")
@@ -105,9 +108,10 @@ def list_files_with_prefix(spark, sf_dir):
     return A.files(spark, sf_dir).where(F.col("path").startswith("src1")).orderBy("path").limit(100).select("path", "lines")
 
 
-@query("""SELECT name, kind, start_line FROM part_symbols WHERE lower(name) = 'part 7' ORDER BY length(name), name, file, start_line LIMIT 50""", "part_symbols")
+@query("""SELECT name, kind, start_line FROM part_symbols WHERE lower(name) = (SELECT lower(min(p_name)) FROM part) ORDER BY length(name), name, file, start_line LIMIT 50""", "part_symbols")
 def find_symbols_exact(spark, sf_dir):
-    return search.find_symbols(A.part_symbols(spark, sf_dir), "Part 7", fuzzy=False).select("name", "kind", "start_line")
+    symbols = A.part_symbols(spark, sf_dir)
+    return search.find_symbols(symbols, symbols.agg(F.min("name")).first()[0].upper(), fuzzy=False).select("name", "kind", "start_line")
 
 
 _RANK = "CASE WHEN lower(name) = 'o' THEN 0 WHEN starts_with(lower(name), 'o') THEN 1 WHEN contains(lower(name), 'o') THEN 2 END"
@@ -194,12 +198,15 @@ def callees(spark, sf_dir):
 
 
 @query(
-    """SELECT file, start_line AS line, 'definition' AS role FROM symbols WHERE name = 's8'
-       UNION ALL SELECT caller_file, line, 'caller' FROM calls WHERE callee_name = 'never'""",
-    "symbols calls",
+    """, named AS (SELECT caller_file, caller_symbol, 's' || substr(callee_name, 2) AS callee_name, callee_qualifier, line FROM calls)
+       SELECT file, start_line AS line, 'definition' AS role FROM symbols WHERE name = 's8'
+       UNION ALL SELECT caller_file, line, 'caller' FROM (""" + _DIRECT.format("s8").replace("FROM calls", "FROM named") + """)""",
+    "symbols calls imports",
 )
 def symbol_references(spark, sf_dir):
-    return callgraph.references(A.symbols(spark, sf_dir), A.calls(spark, sf_dir).where("callee_name <> 's8'"), A.imports(spark, sf_dir).where("false"), "s8")
+    """Callees take the symbols' names, so that a name is both defined and called."""
+    calls = A.calls(spark, sf_dir).withColumn("callee_name", F.concat(F.lit("s"), F.substring("callee_name", 2, 100)))
+    return callgraph.references(A.symbols(spark, sf_dir), calls, A.imports(spark, sf_dir), "s8")
 
 
 @query(
@@ -404,12 +411,12 @@ _WORD = "(?:^|[ \\n])([A-Z][a-z]{3,})"
 @query(
     """WITH lines AS (SELECT CAST(item_id AS VARCHAR) AS file, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT item_id, string_split(text, chr(10)) AS l FROM benchmark)),
        r AS (SELECT file, line, unnest(regexp_extract_all(text, '(?:^|[ \\n])([A-Z][a-z]{3,})', 1)) AS reference FROM lines),
-       known AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:^|[ \\n])([A-Z][a-z]{3,})', 1)) AS name FROM documents WHERE doc_id % 2 = 0)
-       SELECT file, line, reference, reference AS name FROM r WHERE reference NOT IN (SELECT name FROM known) AND reference NOT IN ('None', 'True', 'False', 'Self', 'String', 'Option', 'Result', 'Markdown', 'GitHub', 'Python', 'Rust', 'JavaScript', 'TypeScript', 'Some')"""
+       known AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:^|[ \\n])([A-Z][a-z]{3,})', 1)) AS name FROM conversations)
+       SELECT file, line, reference, reference AS name FROM r WHERE reference NOT IN (SELECT name FROM known) AND reference NOT IN ('None', 'Some', 'True', 'Path', 'File', 'Read', 'Send', 'Sync', 'Copy', 'False', 'Write', 'Debug', 'Clone', 'String', 'Option', 'Result', 'Default', 'Serialize', 'Deserialize')"""
 )
 def broken_refs(spark, sf_dir):
     items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "text")).select("file", (F.col("at") + 1).cast("long").alias("line"), "text")
-    known = A.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(1))).alias("name")).distinct()
+    known = A.table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(1))).alias("name")).distinct()
     return refs.broken_references(refs.doc_references(items, _WORD), known)
 
 
@@ -457,14 +464,14 @@ def session_single_tool_turns(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'Not found: ' WHEN event_id % 3 = 1 THEN 'timed out after ' ELSE 'broke ' END || event_id AS text,
-                  CASE event_id % 3 WHEN 0 THEN 'not_found' WHEN 1 THEN 'timeout' ELSE 'other' END AS category FROM events WHERE event_type = 'error'),
+    """WITH e AS (SELECT event_id, user_id, CASE event_id % 8 WHEN 0 THEN 'Exit code 1, timeout ' WHEN 1 THEN 'Not Found: import ' WHEN 2 THEN 'no permission ' WHEN 3 THEN 'TIMEOUT ' WHEN 4 THEN 'SyntaxError, import ' WHEN 5 THEN 'ImportError ' WHEN 6 THEN 'timed out ' ELSE 'broke ' END || event_id AS text,
+                  CASE event_id % 8 WHEN 0 THEN 'Command failure' WHEN 1 THEN 'File not found' WHEN 2 THEN 'Permission error' WHEN 3 THEN 'Timeout' WHEN 4 THEN 'Syntax error' WHEN 5 THEN 'Import error' ELSE 'Other' END AS category FROM events WHERE event_type = 'error'),
        r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY user_id, event_id) AS k FROM e)
        SELECT category, count(*) AS count, string_agg(left(text, 100), '|' ORDER BY k) FILTER (k <= 3) AS examples FROM r GROUP BY category"""
 )
 def session_error_patterns(spark, sf_dir):
-    text = F.concat(F.expr("case when event_id % 3 = 0 then 'Not found: ' when event_id % 3 = 1 then 'timed out after ' else 'broke ' end"), F.col("event_id").cast("string"))
-    errors = A.table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), text.alias("text"))
+    said = F.expr("element_at(array('Exit code 1, timeout ', 'Not Found: import ', 'no permission ', 'TIMEOUT ', 'SyntaxError, import ', 'ImportError ', 'timed out ', 'broke '), cast(event_id % 8 + 1 as int))")
+    errors = A.table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), F.concat(said, F.col("event_id").cast("string")).alias("text"))
     return sessions.error_patterns(errors).select("category", "count", F.array_join("examples", "|").alias("examples"))
 
 
@@ -563,9 +570,10 @@ def audit_counts(spark, sf_dir):
     return packages.audit(A.findings(spark, sf_dir))
 
 
-@query("""SELECT p_partkey, p_name AS name FROM part WHERE p_name ILIKE '%2%' OR p_type ILIKE '%2%'""")
+@query("""SELECT p_partkey, p_name AS name FROM part WHERE p_name ILIKE '%bol%' OR p_type ILIKE '%bol%' UNION SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%promo%' OR p_type ILIKE '%promo%'""")
 def registry_search(spark, sf_dir):
-    return packages.search_registry(A.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("description")), "2", descriptions=True).select("p_partkey", "name")
+    parts = A.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    return packages.search_registry(parts, "BOL", descriptions=True).union(packages.search_registry(parts, "promo", descriptions=True)).select("p_partkey", "name").distinct()
 
 
 @query("""SELECT l_orderkey AS name, min(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey""")
@@ -629,17 +637,17 @@ def history_undo(spark, sf_dir):
     return edits.undo(versions)
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+@query("""SELECT props ->> '$.k' AS value FROM events WHERE json_type(props, '$.k') IS NOT NULL""")
 def json_path_select(spark, sf_dir):
-    return A.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return jq.apply(A.table(spark, sf_dir, "events"), "props", ".k").where("value is not null")
 
 
 @query(
     """WITH p AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS l FROM pages),
        n AS (SELECT array_to_string(l[1:k], '/') AS path, k AS depth, k = len(l) AS leaf, l[1:k] AS own FROM (SELECT l, unnest(range(1, len(l) + 1)) AS k FROM p)),
        g AS (SELECT path, any_value(depth) AS depth, bool_and(leaf) AS leaf, count(*) AS files, any_value(own) AS own FROM n GROUP BY path)
-       SELECT path, CASE WHEN leaf THEN 'file' ELSE 'directory' END AS kind, depth, len(list_filter(own, lambda x: x NOT IN ('src', 'lib', 'crates', 'packages', 'app'))) AS effective_depth, files FROM g
-       WHERE len(list_filter(own, lambda x: x NOT IN ('src', 'lib', 'crates', 'packages', 'app'))) <= 2"""
+       SELECT path, CASE WHEN leaf THEN 'file' ELSE 'directory' END AS kind, depth, len(list_filter(own, lambda x: x NOT IN ('src', 'lib', 'pkg', 'packages', 'crates', 'internal', 'cmd'))) AS effective_depth, files FROM g
+       WHERE len(list_filter(own, lambda x: x NOT IN ('src', 'lib', 'pkg', 'packages', 'crates', 'internal', 'cmd'))) <= 2"""
 )
 def dir_tree_smart_depth(spark, sf_dir):
     return tree.directory_tree(A.table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
@@ -697,10 +705,18 @@ def python_imports(spark, sf_dir):
     return python_code.relation(python_code.extract(_sources(spark)), "imports")
 
 
+def _shared(spark) -> str:
+    """The folder the cluster names; a temporary one only where tasks run beside the driver."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named or not spark.conf.get("spark.master", "").startswith("local"):
+        return named.rstrip("/")
+    return tempfile.mkdtemp()
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS path, max(event_id) AS mtime, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id""")
 def stream_incremental_refresh(spark, sf_dir):
     """All events through a file stream into the latest state of each user."""
-    scratch = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/codelode/stream-{uuid.uuid4().hex}"
+    scratch = f"{_shared(spark)}/codelode/stream-{uuid.uuid4().hex}"
     kept = A.table(spark, sf_dir, "events")
     # a file source reads folders only
     kept.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("mtime"), F.col("event_type").alias("status")).write.parquet(f"{scratch}/in")

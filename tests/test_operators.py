@@ -43,7 +43,8 @@ def test_ignore_file_order():
 
 def test_only_exclude_and_aliases(spark):
     files = spark.createDataFrame([("foo_test.go",), ("foo.go",), ("a/tests/x.py",)], "path string")
-    assert rows(search.only_exclude(files, exclude=["@tests"])) == [("foo.go",)]
+    assert rows(search.only_exclude(files, exclude=["@tests"], languages=["go"])) == [("foo.go",)]
+    assert len(rows(search.only_exclude(files, exclude=["@tests"]))) == 2
     assert rows(search.only_exclude(files, only=["*.py"])) == [("a/tests/x.py",)]
     assert rows(search.only_exclude(files, exclude=["@tests"], custom={"tests": []})) == rows(files)
     with pytest.raises(ValueError, match="unknown"):
@@ -189,7 +190,7 @@ def test_session_logs(spark, tmp_path):
     assert [tuple(r) for r in sessions.tool_stats(logs.payload_blocks(other)).collect()] == [("sh", 1, 1, 0.0)]
     assert [(r.input, r.output) for r in logs.payload_usage(other).collect()] == [(7, 8)]
     errors = blocks.where("is_error").select("path", "line", "text")
-    assert [(r.category, r["count"]) for r in sessions.error_patterns(errors).collect()] == [("not_found", 1)]
+    assert [(r.category, r["count"]) for r in sessions.error_patterns(errors).collect()] == [("Other", 1)]
 
 
 def test_sarif_round_trip(spark):
@@ -309,6 +310,9 @@ def test_tree_source_and_index(spark, tmp_path):
     fresh = python_code.relation(python_code.extract(spark.createDataFrame([("a.py", "def h(): pass")], "path string, content string")), "symbols").drop("signature")
     upkeep.refresh(spark, str(tmp_path / "index"), "symbols", fresh, spark.createDataFrame([("a.py",)], "file string"), buckets=4)
     assert {r.name for r in spark.read.parquet(str(tmp_path / "index/symbols")).collect()} == {"g", "h"}
+    # the last file of a bucket goes
+    upkeep.refresh(spark, str(tmp_path / "index"), "symbols", fresh.limit(0), spark.createDataFrame([("a.py",)], "file string"), buckets=4)
+    assert {r.name for r in spark.read.parquet(str(tmp_path / "index/symbols")).collect()} == {"g"}
 
 
 def test_stream_refresh(spark, tmp_path):
