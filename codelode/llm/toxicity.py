@@ -5,8 +5,10 @@ the weight that the one before it emits:
 
   lexicon     token -> class (insult, threat, target, negation, report, quote)
               and, for insults, a weight learned from labelled documents;
-  target      an insult near somebody addressed or named gains; a threat
-              weighs only where a target follows or precedes it;
+  target      an insult weighs in full where somebody is addressed or named
+              within a few tokens, before or after it, or where another insult
+              stands in the clause; alone it weighs half. A threat weighs
+              only where a target follows or precedes it;
   negation    a match within a few tokens after a negation weighs less;
   reported    a match after a verb of saying or inside quotation marks weighs less.
 
@@ -19,13 +21,15 @@ families of invented or inflected words) whose share of toxic documents is
 significant after a correction for the number of terms; a term's weight is its
 log odds ratio. A term counts once a document and once a context (the words
 beside it), whichever is less, so a word that a group of copies repeats in one
-place is no evidence. Only terms in at least ``LEAST_SHARE`` of the toxic rows
-are weighed, which bounds the lexicon by (terms a document) / LEAST_SHARE.
+place is no evidence. No term that the test could admit is left out; the test
+itself runs in Spark, and the terms that it admits come to the driver.
 
 Edge cases: null and empty texts score the training share of toxic rows (0 if
 there is none); null labels are left out; without any toxic training row the
 lexicon is empty; repeated rows are scored row by row; repeated labels count
-repeatedly; texts are read whole; only the named columns are read.
+repeatedly; texts are read whole, a null label or id joins nothing; an empty
+table gives no rows; only the named columns are read, so further ones, of
+whatever name, do not matter.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.arrowtext import slices
+from codelode.llm.workspace import materialize, small
 
 # fixed values: the closed word classes of the grammar
 TARGET = frozenset("you your yours u he she him her they them their this that these those du dich dir ihr euch sie er es der die das tu te toi vous il elle ils elles ce cette tú usted ustedes él ella ellos ellas este esta".split())
@@ -51,8 +56,6 @@ ENDS = frozenset(".!?;:\n")
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”„«»]")
 PREFIXES = (4, 5)
-#: Least documents and least share of toxic training rows of a term.
-LEAST_DOCS, LEAST_SHARE = 5, 0.001
 #: Chance that one of all tested terms is taken by accident.
 ACCIDENT = 0.05
 LEAST_WEIGHT = 2.0
@@ -60,12 +63,13 @@ LEAST_WEIGHT = 2.0
 FAMILY = 1.5
 #: (term, context) counts that a training task holds before it passes them on.
 HELD = 300_000
+#: Bytes of terms that are sent to the workers which count clean rows; beyond, those count all terms.
+SENT_BYTES = 16 << 20
 #: What the transducers multiply by, and over how many tokens they reach.
-TARGET_GAIN, NEGATION_LOSS, REPORT_LOSS = 1.2, 0.6, 0.7
+ALONE, NEGATION_LOSS, REPORT_LOSS = 0.5, 0.6, 0.7
 TARGET_REACH, NEGATION_REACH = 4, 3
 THREAT_WEIGHT = 2.5
 THRESHOLD = 0.7
-BROADCAST_LABELS = 1_000_000
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -113,23 +117,38 @@ class Lexicon:
 
 
 class Target:
-    """State: tokens since the last target, tokens since a pending threat, its weight."""
+    """State: tokens since a target; whether an insult was there; the one that is alone so far (tokens since, what it lacks); threats that wait.
 
-    start = (99, 99, 0.0)
+    A match that lacks a target is told, with what it lacks, at the target or
+    insult that comes for it.
+    """
+
+    start = (99, False, None, ())
 
     def step(self, state, symbol):
         kind, weight = symbol
-        since, since_threat, pending = state[0] + 1, state[1] + 1, state[2]
+        since, insulted, alone, threats = state
+        since += 1
+        alone = alone and (alone[0] + 1, alone[1])
+        threats = tuple((n + 1, w) for n, w in threats if n < TARGET_REACH)
         if kind == "insult":
-            weight *= TARGET_GAIN if since <= TARGET_REACH else 1.0
-        elif kind == "threat":
-            if since > TARGET_REACH:
-                since_threat, pending, weight = 0, weight, 0.0
+            if insulted or since <= TARGET_REACH:
+                weight += alone[1] if alone else 0.0
+                alone = None
+            else:
+                alone = (0, weight * (1 - ALONE))
+                weight *= ALONE
+            insulted = True
+        elif kind == "threat" and since > TARGET_REACH:
+            threats, weight = (*threats, (0, weight)), 0.0
         elif kind == "target":
             since = 0
-            if pending and since_threat <= TARGET_REACH:
-                kind, weight, pending = "threat", pending, 0.0
-        return (since, since_threat, pending), (kind, weight)
+            weight = sum(w for _, w in threats)
+            threats = ()
+            if alone and alone[0] <= TARGET_REACH:
+                weight += alone[1]
+                alone = None
+        return (since, insulted, alone, threats), (kind, weight)
 
 
 class Negation:
@@ -193,19 +212,10 @@ class Grammar:
         return 0.0 if self.prior <= 0 and not marked else 1 / (1 + math.exp(-max(-30.0, min(30.0, base))))
 
 
-def surprise(k: int, n: int, p: float) -> float:
-    """Chernoff bound of -log P(at least k of n) under chance p."""
-    q = k / n
-    if q <= p:
-        return 0.0
-    return n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """{"weights": term -> weight, "prior": share of toxic rows}, from every labelled row of ``docs``."""
     marks = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("y"))
-    side = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(side, F.col("_id") == F.col("_l")).select("text", "y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(small(marks, F.lit(24)), F.col("_id") == F.col("_l")).select("text", "y")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
@@ -228,36 +238,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def clean_rows(known):
         def run(batches):
             counts: Counter = Counter()
+
+            def told():
+                return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
             for part in slices(batches, "text"):
                 for text in part.column("text").to_pylist():
-                    counts.update(terms_of(text) & known.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+                    counts.update(terms_of(text) if known is None else terms_of(text) & known.value)
+                if len(counts) > HELD:
+                    yield told()
+                    counts = Counter()
+            yield told()
 
         return run
 
-    least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n_toxic))
     places = rows.where("y = 1").select("text").mapInArrow(met, "term string, context long, n long").groupBy("term", "context").agg(F.sum("n").alias("n"))
-    totals = places.groupBy("term").agg(F.least(F.sum("n"), F.count("*")).alias("n"))
-    toxic = dict(map(tuple, totals.where(F.col("n") >= least).collect()))
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(toxic))
-    clean = dict(map(tuple, rows.where("y = 0").select("text").mapInArrow(clean_rows(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()))
-    bar = math.log(max(1, len(toxic)) / ACCIDENT)
+    totals = materialize(places.groupBy("term").agg(F.least(F.sum("n"), F.count("*")).alias("n")).where("n > 1"), "toxic-terms")
+    bar = math.log(max(1, totals.count()) / ACCIDENT)
+    # the test admits no rarer term, even if no clean row has it
+    least = math.ceil(bar / -math.log(prior)) if prior < 1 else 2
+    tested = totals.where(F.col("n") >= least)
+    size = F.length("term") + 100
+    known = None
+    if tested.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= SENT_BYTES:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in tested.select("term").toLocalIterator()))
+    clean = rows.where("y = 0").select("text").mapInArrow(clean_rows(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("other"))
     # the most frequent word of each beginning
-    top = {n: Counter() for n in PREFIXES}
-    for term, k in toxic.items():
-        if not term.endswith("*"):
-            for n in PREFIXES:
-                if len(term) > n:
-                    top[n][term[:n] + "*"] = max(k, top[n][term[:n] + "*"])
-    weights = {}
-    for term, k in toxic.items():
-        if term.endswith("*") and k < FAMILY * top[len(term) - 1][term]:
-            continue
-        other = clean.get(term, 0)
-        weight = math.log((k + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_clean + 1))
-        if weight >= LEAST_WEIGHT and surprise(k, k + other, prior) >= bar:
-            weights[term] = weight
-    return {"weights": weights, "prior": prior}
+    begins = F.array_compact(F.array(*[F.when(F.length("term") > n, F.concat(F.left("term", F.lit(n)), F.lit("*"))) for n in PREFIXES]))
+    top = tested.where(~F.col("term").endswith("*")).select("n", F.explode(begins).alias("term")).groupBy("term").agg(F.max("n").alias("most"))
+    both = tested.join(clean, "term", "left").join(top, "term", "left").select("term", F.col("n").cast("double").alias("k"), F.coalesce("other", F.lit(0)).cast("double").alias("o"), "most")
+    q, p = F.col("k") / (F.col("k") + F.col("o")), F.lit(prior)
+    # Chernoff bound of -log P(at least k of k + o) under chance p
+    surprise = (F.col("k") + F.col("o")) * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
+    weight = F.log((F.col("k") + 0.5) / (n_toxic + 1)) - F.log((F.col("o") + 0.5) / (n_clean + 1))
+    family = ~F.col("term").endswith("*") | F.col("most").isNull() | (F.col("k") >= FAMILY * F.col("most"))
+    admitted = both.where(family & (weight >= LEAST_WEIGHT) & (q > p) & (surprise >= bar)).select("term", weight.alias("weight"))
+    return {"weights": dict(map(tuple, admitted.collect())), "prior": prior}
 
 
 def _met(counts: Counter) -> pa.RecordBatch:

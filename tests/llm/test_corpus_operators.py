@@ -239,6 +239,67 @@ def test_near_duplicates_dropped(spark):
     assert neardup.near_classes(frame(spark, [])).count() == 0
 
 
+def block_rows(texts, sides=None, classes=None):
+    row, element, count = neardup.shingles(pa.array(texts))
+    bands = neardup.band_hashes(neardup.signatures(row, element, count.astype(float), len(texts)))
+    return [
+        {"node": k, "l": classes[k] if classes else k, "side": sides[k] if sides else 0, "band": 7, "bands": [7, *map(int, bands[k][1:])], "elements": element[row == k].tobytes(), "counts": count[row == k].astype(np.uint32).tobytes()}
+        for k in range(len(texts))
+    ]
+
+
+def test_blocks_give_the_links_between_classes():
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)] + ["rep", "eat"] * 12
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    shingled = [weights(t) for t in texts]
+    exact = np.array([[probability_jaccard(x, y) for y in shingled] for x in shingled])
+    whole = neardup.Blocks(block_rows(texts), 0.8)
+    apart = ~np.eye(60, dtype=bool)
+    assert (whole.bound() >= exact - 1e-5)[apart].all() and (whole.bound() < exact + 0.2)[apart].all()
+
+    def classes(n, links):
+        label = list(range(n))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return sorted(sorted(k for k in range(n) if label[k] == x) for x in set(label))
+
+    links = whole.links()
+    assert len(links) < 60 and classes(60, links) == classes(60, [(a, b) for a in range(60) for b in range(a) if exact[a, b] >= 0.8])
+    sides = [k % 2 for k in range(60)]
+    links = neardup.Blocks(block_rows(texts, sides), 0.8).links()
+    assert classes(60, links) == classes(60, [(a, b) for a in range(0, 60, 2) for b in range(1, 60, 2) if exact[a, b] >= 0.8])
+    assert neardup.Blocks(block_rows(texts, classes=[0] * 60), 0.8).links() == []
+
+
+def test_near_classes_of_a_dense_bucket(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    docs = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            own[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        docs.append((k, " ".join(own), "en", "s"))
+    # several blocks, so that workers must be told too: a small block means many tasks
+    monkeypatch.setattr(neardup, "BLOCK_TEXT", 1 << 15)
+    assert {r.doc_id: r.class_id for r in neardup.near_classes(frame(spark, docs)).collect()} == brute_classes(docs)
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    names = ["_id", "_text", "_n", "node", "key", "band", "l", "v", "a", "b", "count", "x.y"]
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, text, *[f"{n}{k}" for n in names]) for k in (1, 2, 2)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    assert [r.asDict() for r in neardup.drop_near_duplicates(docs).collect()] == [{"doc_id": 1, "text": text, **{n: f"{n}1" for n in names}}]
+    alone = docs.where("doc_id = 2")
+    assert neardup.drop_near_duplicates(alone).count() == 1 and neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(50, 60), (60, 70), (70, 50), (30, 55)]
     got = {r.v: r.l for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -344,12 +405,55 @@ def test_toxicity_learns_and_scores(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def brute_clause(tokens, insults):
+    """What each match weighs, and at which token it is told, by looking at the whole clause."""
+    insult = [k for k, t in enumerate(tokens) if t in insults]
+    target = [k for k, t in enumerate(tokens) if t in toxicity.TARGET and t not in insults]
+    told = []
+    for k in insult:
+        before = any(0 < k - t <= toxicity.TARGET_REACH for t in target) or insult[0] < k
+        rest = min([t for t in target if 0 < t - k <= toxicity.TARGET_REACH] + [i for i in insult if i > k], default=None)
+        told += [(k, insults[tokens[k]])] if before else [(k, insults[tokens[k]] * toxicity.ALONE)]
+        told += [(rest, insults[tokens[k]] * (1 - toxicity.ALONE))] if not before and rest is not None else []
+    for k, t in enumerate(tokens):
+        if t in toxicity.THREAT and t not in insults:
+            before = any(0 < k - x <= toxicity.TARGET_REACH for x in target)
+            after = min((x for x in target if 0 < x - k <= toxicity.TARGET_REACH), default=None)
+            told += [(k if before else after, toxicity.THREAT_WEIGHT)] if before or after is not None else []
+    total = 0.0
+    for k, weight in told:
+        weight *= toxicity.NEGATION_LOSS if any(0 < k - x <= toxicity.NEGATION_REACH for x, t in enumerate(tokens) if t in toxicity.NEGATION) else 1
+        weight *= toxicity.REPORT_LOSS if sum(t in toxicity.QUOTES for t in tokens[:k]) % 2 or any(t in toxicity.REPORT for t in tokens[:k]) else 1
+        total += weight
+    return total
+
+
+def test_grammar_equals_brute_force():
+    rng = random.Random(1)
+    insults = {"blork": 4.0, "zimpel": 2.5}
+    g = toxicity.Grammar(insults, 0.1)
+    for _ in range(3000):
+        tokens = rng.choices(["blork", "zimpel", "you", "kill", "not", "said", '"', "a", "walk", "tree", "red"], [2, 1, 2, 2, 1, 1, 1, 4, 4, 4, 4], k=rng.randrange(0, 16))
+        assert abs(g.clause(tokens) - brute_clause(tokens, insults)) < 1e-9, tokens
+
+
+def test_toxicity_terms_sent_or_joined(spark, monkeypatch):
+    docs, labels = toxic_documents()
+    both = []
+    for bound in (0, 1 << 30):
+        monkeypatch.setattr(toxicity, "SENT_BYTES", bound)
+        both.append(toxicity.train(frame(spark, docs), frame(spark, labels, "doc_id long, toxic int")))
+    assert both[0] == both[1] and both[0]["weights"]
+    odd = frame(spark, [(1, "blork you", "en", "s")]).withColumnRenamed("lang", "_id").withColumnRenamed("source", "score")
+    assert toxicity.scored(odd, both[0]).columns == ["doc_id", "score", "predicted"] and toxicity.scored(odd.limit(0), both[0]).count() == 0
+
+
 def test_grammar_composes():
     g = toxicity.Grammar({"fool": 4.0, "grom*": 3.0}, 0.1)
-    plain, addressed, denied, reported = (g.clause(t.split()) for t in ("the fool walks", "you fool walk", "not fool", "she said fool"))
+    plain, addressed, denied, reported = (g.clause(t.split()) for t in ("the fool walks", "you fool walk", "not fool", "someone said fool"))
     assert addressed > plain > reported > 0 and plain > denied > 0
     assert g.clause("i will kill you".split()) > 0 == g.clause("kill the process".split())
-    assert g.clause(['"', "fool", '"', "fool"]) < 2 * plain
+    assert g.clause(['"', "fool", '"', "fool"]) < 2 * 4.0
     assert g.lexicon.insult("gromwald") == 3.0 and g.lexicon.insult("grom") == 0.0
     assert g.score("A fool. You fool!") > g.score("A fool.") > g.score("Nothing.") == g.score(None)
 
