@@ -15,7 +15,9 @@ leave at most orphans. ``read_tokens`` opens the named files by themselves.
 Edge cases: null and empty texts have the end id alone; repeated document ids
 are all written, ordered by text; null ids come first; an empty table gives an
 empty manifest; texts of any length are encoded whole (a document never spans
-files, so one longer than ``file_ids`` makes a file of its own).
+files, so one longer than ``file_ids`` makes a file of its own);
+only the named columns are read, so further ones, of whatever name, do not
+matter.
 """
 
 from __future__ import annotations

@@ -12,13 +12,13 @@ All segments of a slice of documents are scanned in lock step with numpy.
 Edge cases: null or empty text, or text without words, has 0 words and no hit;
 items that are null or have no word give no window; windows that several items
 share count for each of those items; repeated document rows are judged row by
-row; an empty benchmark leaves every document clean. Only the named columns
-are read, so further columns, of whatever name, do not matter.
+row; an item without an id is searched, and what it hits is hit, but it isn't
+listed or counted; an empty benchmark leaves every document clean. Only the
+named columns are read, so further columns, of whatever name, do not matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.arrowtext import LOWER, mix, slices, text_bytes, words
+from codelode.llm.workspace import materialize
 
 WINDOW = 10
 #: Words of a segment; segments overlap by the window length less one.
@@ -50,8 +51,8 @@ def _slot(block: np.ndarray) -> np.ndarray:
 class Searcher:
     """Windows of a block of benchmark items, by window length."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        """items: (item id as string, text)."""
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        """items: (item id as string, or none, text)."""
         self.ids = [i for i, _ in items]
         by_length: dict[int, dict[bytes, list]] = defaultdict(dict)
         for number, (_, text) in enumerate(items):
@@ -133,7 +134,7 @@ class Searcher:
         for begin, size, owners in sorted(found, key=lambda x: x[0]):
             r = int(row[begin])
             spans, items = hits.setdefault(r, ([], set()))
-            items.update(self.ids[o] for o in owners)
+            items.update(self.ids[o] for o in owners if self.ids[o] is not None)
             a, b = begin - int(first_word[r]), begin - int(first_word[r]) + size
             if spans and a <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], max(spans[-1][1], b))
@@ -150,7 +151,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
         if block and size + len(text) > block_bytes:
             yield block
             block, size = [], 0
-        block.append((str(item), text))
+        block.append((item, text))
         size += len(text)
     if block:
         yield block
@@ -163,33 +164,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document row: n_words, ranges (merged, of hit words), items (sorted ids).
 
     A benchmark beyond ``block_bytes`` is searched block by block, each in a
-    scan of its own; the ranges and items of the scans are then merged.
+    scan of its own with one searcher in memory; what the later scans hit is
+    written, and merged into the first scan's rows.
     """
     spark = docs.sparkSession
-    blocks = list(map(lambda b: spark.sparkContext.broadcast(Searcher(b, window)), benchmark_blocks(benchmark, "item_id", "text", block_bytes)))
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(Searcher([], window))]
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = f"_id {source.schema['_id'].dataType.simpleString()}, n_words bigint, ranges {_RANGES}, items array<string>"
+    source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    kind = source.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, _th bigint, n_words bigint, ranges {_RANGES}, items array<string>"
 
-    def scan(searchers):
+    def scan(searcher, hits_only):
         def run(batches):
             for part in slices(batches, "_text"):
-                n_words, ranges, items = None, [[] for _ in range(part.num_rows)], [set() for _ in range(part.num_rows)]
-                for searcher in searchers:
-                    n_words, hits = searcher.value.judge(part.column("_text"))
-                    for r, (spans, named) in hits.items():
-                        ranges[r] += spans
-                        items[r] |= named
-                kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(n_words, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in merge(r)] if r else [] for r in ranges], kind), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                    names=["_id", "n_words", "ranges", "items"],
+                n_words, hits = searcher.value.judge(part.column("_text"))
+                found = [hits.get(r, ((), ())) for r in range(part.num_rows)]
+                out = pa.RecordBatch.from_arrays(
+                    [part.column("_id"), part.column("_th"), pa.array(n_words, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in spans] for spans, _ in found], _SPANS), pa.array([sorted(i) for _, i in found], pa.list_(pa.string()))],
+                    names=["_id", "_th", "n_words", "ranges", "items"],
                 )
+                yield out.filter(pa.array([bool(spans) for spans, _ in found], pa.bool_())) if hits_only else out
 
         return run
 
-    return source.mapInArrow(scan(blocks), schema).withColumnRenamed("_id", id_col)
+    blocks = benchmark_blocks(benchmark, "item_id", "text", block_bytes)
+    first = spark.sparkContext.broadcast(Searcher(next(blocks, []), window))
+    out = source.mapInArrow(scan(first, False), schema)
+    later = None
+    for block in blocks:
+        searcher = spark.sparkContext.broadcast(Searcher(block, window))
+        part = materialize(source.mapInArrow(scan(searcher, True), schema).distinct(), "leak-hits")
+        searcher.destroy()
+        later = part if later is None else later.unionByName(part)
+    if later is not None:
+        more = later.groupBy(F.col("_id").alias("_lid"), F.col("_th").alias("_lth")).agg(F.flatten(F.collect_list("ranges")).alias("_r"), F.flatten(F.collect_list("items")).alias("_i"))
+        both = out.join(more, F.col("_id").eqNullSafe(F.col("_lid")) & (F.col("_th") == F.col("_lth")), "left")
+        items = F.array_sort(F.array_union("items", F.coalesce("_i", F.array().cast("array<string>"))))
+        both = both.select("_id", "_th", "n_words", F.concat("ranges", F.coalesce("_r", F.array().cast(_RANGES))).alias("ranges"), items.alias("items"))
+        out = both.mapInArrow(_merged, schema)
+    return out.drop("_th").withColumnRenamed("_id", id_col)
+
+
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _merged(batches):
+    for batch in batches:
+        ranges = [[{"a": a, "b": b} for a, b in merge([(x["a"], x["b"]) for x in spans])] for spans in batch.column("ranges").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("ranges"), "ranges", pa.array(ranges, _SPANS))
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -215,21 +235,27 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Document rows without any occurrence; all columns stay as they are."""
-    spark = docs.sparkSession
-    searchers = [spark.sparkContext.broadcast(Searcher(b, window)) for b in benchmark_blocks(benchmark)]
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Document rows without any occurrence; all columns stay as they are.
 
-    def run(batches):
-        for part in slices(batches, text_col):
-            keep = np.ones(part.num_rows, bool)
-            for searcher in searchers:
+    One scan a block; between blocks the rows that are left are written.
+    """
+
+    def without(searcher):
+        def run(batches):
+            for part in slices(batches, text_col):
+                keep = np.ones(part.num_rows, bool)
                 _, hits = searcher.value.judge(part.column(text_col))
                 keep[list(hits)] = False
-            yield part.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema) if searchers else docs
+                yield part.filter(pa.array(keep))
 
+        return run
 
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    out, before = docs, None
+    for block in benchmark_blocks(benchmark, block_bytes=block_bytes):
+        if before is not None:
+            out = materialize(out, "leak-left")
+            before.destroy()
+        before = docs.sparkSession.sparkContext.broadcast(Searcher(block, window))
+        out = out.mapInArrow(without(before), docs.schema)
+    return out

@@ -16,7 +16,8 @@ Edge cases: null text is an empty payload of 64 zero bytes, as is empty text;
 very long payloads have longer chunk lists, nothing else; repeated document
 rows give repeated rows; rows of one id, or of none, may have different texts
 (what a row stores is planned by id and text); an empty table gives an empty
-store.
+store; only the named columns are read, so further ones, of whatever name, do
+not matter.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.arrowtext import slices, text_bytes
-from codelode.llm.workspace import materialize
+from codelode.llm.workspace import materialize, small
 
 UNIT = 64
 MIN, MASK, MAX = 512, (1 << 11) - 1, 16_384
@@ -88,8 +89,8 @@ def read_manifest(raw: bytes) -> tuple[int, list[tuple[bytes, int]]]:
 
 
 _OWN = pa.struct([("at", pa.int32()), ("shared", pa.bool_()), ("data", pa.binary())])
-#: Rows of a plan up to which it is broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 500_000
+#: Payloads that are put together at once.
+REBUILT = 256
 
 
 def _payloads(batch: pa.RecordBatch):
@@ -142,13 +143,15 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     chosen = listed.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull(), "_id"))["_id"].alias("_id"), F.first("_sha").alias("_sha"), F.first("digests").alias("digests"))
     places = materialize(chosen.select("key", "_id", "_sha", F.posexplode("digests").alias("at", "digest")), "media-places")
     owners = places.groupBy("digest").agg(F.min(F.struct("key", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-    linked = materialize(places.join(owners, "digest").select("key", "_id", "_sha", "at", F.col("owner.key").alias("owner"), F.col("owner.at").alias("owner_at")), "media-links")
+    # a digest may have very many places: counted first, then a skewed join that Spark can split
+    owners = materialize(owners, "media-owners")
+    linked = materialize(places.join(small(owners, F.lit(120)), "digest").select("key", "_id", "_sha", "at", F.col("owner.key").alias("owner"), F.col("owner.at").alias("owner_at")), "media-links")
     mine = (F.col("owner") == F.col("key")) & (F.col("owner_at") == F.col("at"))
     foreign = linked.where(~mine).select("key", "at", "owner", "owner_at")
     plan = linked.groupBy("_id", "_sha").agg(F.collect_list(F.when(~mine, F.col("at"))).alias("_away"), F.collect_list(F.when(mine, F.col("at"))).alias("_shared"))
     spare = listed.select("_id", "_sha", "key").join(chosen.select("key", F.col("_id").alias("_first")), "key").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_sha").distinct()
     plan = materialize(plan.unionByName(spare.select("_id", "_sha", F.array(F.lit(-1)).alias("_away"), F.array().cast("array<int>").alias("_shared"))).groupBy("_id", "_sha").agg(F.flatten(F.collect_list("_away")).alias("_away"), F.flatten(F.collect_list("_shared")).alias("_shared")), "media-plan")
-    side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    side = small(plan, 100 + 4 * (F.size("_away") + F.size("_shared")))
     side = side.withColumnsRenamed({"_id": "_p", "_sha": "_psha"})
     todo = source.join(side, F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_sha") == F.col("_psha")), "left").drop("_p", "_sha", "_psha")
     objects = materialize(todo.mapInArrow(_keep, "key binary, manifest binary, whole boolean, any_shared boolean, own array<struct<at:int,shared:boolean,data:binary>>"), "media-store")
@@ -170,7 +173,7 @@ _FEATURES = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 
 def _rebuild(batches):
-    for batch in batches:
+    for batch in (b.slice(at, REBUILT) for b in batches for at in range(0, b.num_rows, REBUILT)):
         rows = []
         for key, raw, own, borrowed in zip(*(batch.column(c).to_pylist() for c in ("key", "manifest", "own", "borrowed"))):
             n_bytes, listed = read_manifest(raw)
@@ -201,6 +204,8 @@ def rebuild(references: DataFrame, objects: DataFrame, foreign: DataFrame, id_co
     got = foreign.join(lent, ["owner", "owner_at"]).groupBy("key").agg(F.collect_list(F.struct("at", "data")).alias("borrowed"))
     mixed = objects.where("not whole").select("key", "manifest", F.transform("own", lambda c: F.struct(c["at"].alias("at"), c["data"].alias("data"))).alias("own")).join(got, "key")
     described = whole.mapInArrow(_rebuild, _FEATURES).unionByName(mixed.select("key", "manifest", "own", "borrowed").mapInArrow(_rebuild, _FEATURES)).groupBy("key").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
+    # a payload may have very many references
+    described = small(materialize(described, "media-described"), F.lit(400))
     # a reference without its payload is an error, not a row less
     there = F.coalesce("payload_bytes", F.raise_error(F.lit("a payload isn't in the store")).cast("long"))
     return references.join(described, "key", "left").withColumn("payload_bytes", there).withColumnRenamed("_id", id_col).drop("key")

@@ -13,7 +13,8 @@ blocks' offsets; no bucket is gathered in one task.
 
 Edge cases: null and empty texts have the end id alone (length 1); a document
 longer than the budget is a batch of its own; repeated rows are placed one by
-one; an empty table gives no rows; ties in length share a bucket.
+one; an empty table gives no rows; ties in length share a bucket; only the
+named columns are read, so further ones, of whatever name, do not matter.
 """
 
 from __future__ import annotations

@@ -9,12 +9,13 @@ after a telling word. Three labelers vote on each candidate and base span
 
   regex       the strict form of the kind;
   gazetteer   listed words inside the span (domains, country and area codes);
-  context     telling words shortly before the span.
+  context     telling words shortly before the span, after the last match.
 
 Expectation-maximisation over the counts of vote patterns, one row a pattern
 (a table of bounded size), estimates how reliable each labeler is for each
 kind. Its posteriors train the final span classifier, a naive Bayes model over
-kind, votes and length class; candidates that it takes are added to the base.
+kind, votes and features that no labeler looks at (length class, separators,
+what stands right before); candidates that it takes are added to the base.
 
 Positions are code points, end exclusive. A pattern's matches are extracted
 with their gaps (split), whose lengths give the positions. Possessive forms
@@ -24,7 +25,7 @@ text as the plain forms.
 Edge cases: null text is empty; documents without spans give empty lists;
 equal positions order by kind as listed; repeated rows are judged row by row;
 texts are read whole; an empty table trains nothing and adds nothing; only the
-named columns are read.
+named columns are read, so further ones, of whatever name, do not matter.
 """
 
 from __future__ import annotations
@@ -48,9 +49,9 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[a-z0-9-]{1,63}+ ?(?:\(dot\)|\[dot\]|\.) ?[a-z]{2,24}",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[a-z0-9-]++ ?(?:\(dot\)|\[dot\]|\.) ?[a-z]{2,24}",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])",
-    "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\"[^\"\s]{8,200}\"",
+    "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\"[^\"\s]{8,}+\"",
 }
 LOOSE_GUARDS = {"email": r"(?i)[(\[]at[)\]]", "phone": r"[0-9]{3}[-.][0-9]{4}", "secret": r"(?i)(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\""}
 GAZETTEER = {"email": r"(?i)(?:com|org|net|edu|gov|info|de|fr|es|uk)$", "ip": r"^(?:10\.|127\.|192\.168\.)", "card": r"^(?:3[47]|4|5[1-5]|6)", "phone": r"555|^\+?1[^0-9]", "secret": r"(?i)^(?:token|secret|password|passwd|api)"}
@@ -66,20 +67,25 @@ ACCEPT = 0.5
 
 
 def matches(text: Column, pattern: str, guard: str, kind: str) -> Column:
-    """Structs (start, end, kind, said) of a pattern's matches, leftmost and non-overlapping."""
+    """Structs (start, end, kind, said, before) of a pattern's matches, leftmost and non-overlapping; before: up to CONTEXT_CHARS since the last match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,said:string>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,said:string,before:string>>")
+    pairs = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("said"))), lambda p: p["said"].isNotNull())
+    # ends of the matches: sums of all lengths so far
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
 
     def add(state, pair):
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.coalesce(F.length(pair["said"]), F.lit(0))
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(kind).alias("kind"), pair["said"].alias("said"))
-        return F.struct(end.cast("long").alias("at"), F.when(pair["said"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(span))).alias("out"))
-
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("said")))
-    return F.when(text.rlike(guard), F.aggregate(pairs, zero, add, lambda s: s["out"])).otherwise(none)
+        end = state["at"] + F.length(pair["gap"]) + F.length(pair["said"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(end)).alias("out"))
+
+    ends = F.aggregate(pairs, zero, add, lambda s: s["out"])
+    spans = F.zip_with(
+        pairs,
+        ends,
+        lambda p, e: F.struct((e - F.length(p["said"])).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), p["said"].alias("said"), F.substring(p["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before")),
+    )
+    return F.when(text.rlike(guard), spans).otherwise(none)
 
 
 def _digits(said: Column) -> Column:
@@ -117,11 +123,11 @@ def _vote(span: Column, lists: dict[str, str], text: Column, otherwise: int) ->
     return out
 
 
-_SPAN = ("start", "end", "kind", "said")
+_SPAN = ("start", "end", "kind", "said", "before")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and spans: structs (start, end, kind, base, regex, gazetteer, context, size)."""
+    """_id and spans: structs (start, end, kind, base, regex, gazetteer, context, size, form, lead)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*[matches(F.col("_text"), p, GUARDS[k], k) for k, p in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))])
     loose = F.concat(*[matches(F.col("_text"), p, LOOSE_GUARDS[k], k) for k, p in LOOSE.items()])
@@ -137,14 +143,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("_all", F.concat("_some", apart))
 
     def voted(s):
-        begin = F.greatest(F.lit(0).cast("long"), s["start"] - CONTEXT_CHARS)
-        before = F.substring(F.col("_text"), (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
         return F.struct(
             *[s[c].alias(c) for c in ("start", "end", "kind", "base")],
             F.when(s["base"], 1).when(s["strict"], -1).otherwise(0).alias("regex"),
             _vote(s, GAZETTEER, s["said"], -1).alias("gazetteer"),
-            _vote(s, CONTEXT, before, 0).alias("context"),
+            _vote(s, CONTEXT, s["before"], 0).alias("context"),
             F.when(F.length(s["said"]) < 12, "short").when(F.length(s["said"]) < 24, "middle").otherwise("long").alias("size"),
+            F.when(s["said"].rlike(r"^[0-9]+$"), "plain").when(s["said"].contains("-"), "dashed").when(s["said"].contains(" "), "spaced").when(s["said"].contains("."), "dotted").otherwise("other").alias("form"),
+            F.when(s["before"] == "", "first").when(s["before"].rlike(r"[:=]\s*$"), "told").when(s["before"].rlike("[(\\[\"]$"), "quoted").when(s["before"].rlike(r"\s$"), "free").otherwise("joined").alias("lead"),
         )
 
     return rows.select("_id", F.transform("_all", voted).alias("spans"))
@@ -154,7 +160,12 @@ VOTES = ("regex", "gazetteer", "context")
 
 
 def fit(patterns: list[tuple], steps: int = 50) -> dict[tuple, float]:
-    """EM over (kind, regex, gazetteer, context, size, count): the final classifier's probability of each pattern."""
+    """EM over (kind, regex, gazetteer, context, size, form, lead, count): the final classifier's probability of each pattern.
+
+    The labelers' votes alone rule the expectation; the classifier that learns
+    from its soft labels sees the span's own features besides, which no
+    labeler looks at.
+    """
     out: dict[tuple, float] = {}
     for kind in KINDS:
         own = [p for p in patterns if p[0] == kind]
@@ -164,7 +175,8 @@ def fit(patterns: list[tuple], steps: int = 50) -> dict[tuple, float]:
         post: list[float] = []
         for _ in range(steps):
             post = []
-            for _, *votes, _, _ in own:
+            for _, *rest in own:
+                votes = rest[:3]
                 yes, no = math.log(share), math.log(1 - share)
                 for vote, r in zip(votes, right):
                     if vote:
@@ -179,24 +191,24 @@ def fit(patterns: list[tuple], steps: int = 50) -> dict[tuple, float]:
                 right[j] = min(0.99, max(0.55, (hit + 2) / (sum(c for *_, c in cast) + 3)))
         # naive Bayes over votes and length class, from the soft labels
         total = [1.0, 1.0]
-        seen: list[dict] = [{} for _ in range(4)]
+        seen: list[dict] = [{} for _ in range(6)]
         for q, p in zip(post, own):
             for y, w in ((1, q), (0, 1 - q)):
                 total[y] += w * p[-1]
-                for j, value in enumerate(p[1:5]):
+                for j, value in enumerate(p[1:7]):
                     seen[j].setdefault(value, [1.0, 1.0])[y] += w * p[-1]
         for p in own:
             odds = math.log(total[1] / total[0])
-            for j, value in enumerate(p[1:5]):
+            for j, value in enumerate(p[1:7]):
                 odds += math.log(seen[j][value][1] / (total[1] + len(seen[j]))) - math.log(seen[j][value][0] / (total[0] + len(seen[j])))
-            out[p[:5]] = 1 / (1 + math.exp(max(-50.0, min(50.0, -odds))))
+            out[p[:7]] = 1 / (1 + math.exp(max(-50.0, min(50.0, -odds))))
     return out
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """One row per document row: its id, base (spans) and spans (base and added), structs (start, end, kind) in order."""
     rows = materialize(candidates(docs, id_col, text_col), "pii-candidates")
-    shape = ("kind", *VOTES, "size")
+    shape = ("kind", *VOTES, "size", "form", "lead")
     counted = rows.select(F.explode("spans").alias("s")).groupBy(*[F.col(f"s.{c}").alias(c) for c in shape]).count().collect()
     model = fit([tuple(r) for r in counted])
     taken = sorted("|".join(map(str, key)) for key, p in model.items() if p >= accept)

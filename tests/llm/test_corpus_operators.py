@@ -364,10 +364,22 @@ def test_em_finds_reliable_labelers():
     for _ in range(4000):
         y = rng.random() < 0.4
         votes = [(1 if (rng.random() < right) == y else -1) if rng.random() < 0.9 else 0 for right in (0.95, 0.7, 0.85)]
-        counts[("phone", *votes, "middle")] += 1
+        counts[("phone", *votes, "middle", "plain", "free")] += 1
     model = pii.fit([(*k, n) for k, n in counts.items()])
-    assert model["phone", 1, 1, 1, "middle"] > 0.9 and model["phone", -1, -1, -1, "middle"] < 0.1
-    assert model["phone", 1, -1, 1, "middle"] > model["phone", -1, 1, -1, "middle"]
+    told = lambda *votes: model["phone", *votes, "middle", "plain", "free"]
+    assert told(1, 1, 1) > 0.9 and told(-1, -1, -1) < 0.1
+    assert told(1, -1, 1) > told(-1, 1, -1)
+
+
+def test_personal_data_of_many_spans(spark):
+    # positions are sums over the gaps, whatever their number
+    text = "".join(f"mail{k}@host.org or +1 555 010 {1000 + k}; " for k in range(3000))
+    row = pii.report(pii.find(frame(spark, [(1, text, "en", "s")]))).first()
+    assert (row.n_email, row.n_phone) == (3000, 3000)
+    spans = [tuple(x.split(":")) for x in row.spans.split(",")]
+    assert all(text[int(a) : int(b)] == f"mail{k}@host.org" for k, (kind, a, b) in enumerate(x for x in spans if x[0] == "email"))
+    odd = spark.createDataFrame([(1, "a@b.co", "x", "y")], "doc_id long, text string, _text string, spans string")
+    assert pii.report(pii.find(odd)).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
 # ---- toxicity --------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Small-fixture tests of operators 4, 6, 7, 8, 9 and 10 against brute force."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -8,8 +9,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from codelode.llm import dac, decontaminate, langid, media, packing, tokens, urlrules
+from codelode.llm import dac, decontaminate, langid, media, packing, tokens, urlrules, workspace
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -72,6 +74,36 @@ def test_decontamination_keeps_clean_documents_and_columns(spark):
     assert decontaminate.clean(docs, items.limit(0)).count() == docs.count()
 
 
+def test_decontamination_with_an_item_without_id(spark):
+    items = frame(spark, [(None, "a b c"), ("None", "d e f")], "item_id string, text string")
+    for block_bytes in (1 << 20, 1):
+        rows = decontaminate.contamination(frame(spark, [(1, "x a b c", "e", "s"), (2, "d e f x", "e", "s"), (3, "x", "e", "s")]), items, block_bytes=block_bytes).collect()
+        assert {r.doc_id: (len(r.ranges), r["items"]) for r in rows} == {1: (1, []), 2: (1, ["None"]), 3: (0, [])}
+        kept = decontaminate.clean(frame(spark, [(1, "x a b c", "e", "s"), (2, "d e f x", "e", "s"), (3, "x", "e", "s")]), items, block_bytes=block_bytes)
+        assert [r.doc_id for r in kept.collect()] == [3]
+
+
+def test_columns_of_any_name_are_not_read(spark):
+    names = ["_id", "_text", "_th", "_sha", "n_words", "items", "key", "n_bytes", "n_tokens", "bucket", "lang_pred", "score", "start", "host", "short"]
+    docs = spark.createDataFrame([(k, f"some words of text {k}", "en", *names) for k in range(6)], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    items = frame(spark, [(1, "other words", "x")], "item_id long, text string, _id string")
+    assert decontaminate.report(decontaminate.contamination(docs, items)).count() == 6
+    assert decontaminate.clean(docs, items).columns == docs.columns
+    assert packing.pack_documents(docs, TOKENIZER).count() == 6
+    assert dac.read_tokens(dac.write_tokens(docs, TOKENIZER)).count() == 6
+    model = langid.train(docs)
+    assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"en"} and langid.keep_known(docs, model).columns == docs.columns
+    assert media.rebuild(*media.store(docs)).count() == 6
+    pages = docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "url")
+    assert urlrules.judge(pages, urlrules.rules_frame(spark, urlrules.RULES)).count() == 6
+
+
+def test_url_rules_of_a_long_host(spark):
+    url = "http://" + "a." * 50_000 + "example.net/en/" + "x/" * 50_000
+    row = urlrules.judge(frame(spark, [(1, url)], "page_id long, url string"), urlrules.rules_frame(spark, urlrules.RULES)).first()
+    assert row.rule == "example.net/en/" and row.verdict == "allow"
+
+
 def test_url_rules(spark):
     urls = ["http://net/", "https://A.NET/x?y", "http://www.example.net/en/1#z", "http://example.net/enx", "http://example.com/de/", "ftp://x.example.com/de/a/b", "http://example.org/fr/", "nourl", None, "", "http://net", "http://notnet.com/", "a://b://net/", "http://.net/", "http://net/" * 2]
     pages = frame(spark, [(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")
@@ -160,6 +192,49 @@ def test_packing_is_optimal_beside_one_long_document(spark):
     assert {r.bucket_len for r in rows} <= set(lengths)
 
 
+def brute_grams(text):
+    raw = [langid._SYMBOL[b] for b in (text or "").lower().encode()]
+    symbols = [int(x) for k, x in enumerate(raw) if x or k == 0 or raw[k - 1]]
+    return collections.Counter([(x,) for x in symbols if x] + [tuple(symbols[k : k + n]) for n in (2, 3) for k in range(len(symbols) - n + 1)])
+
+
+def code_of(gram):
+    n = langid._N
+    return {1: n**3 + n**2 + gram[0], 2: n**3 + gram[0] * n + gram[-1], 3: (gram[0] * n + gram[len(gram) // 2]) * n + gram[-1]}[len(gram)]
+
+
+def brute_language(train, text, profile):
+    """Out-of-place distances by the definition."""
+    counts, total = {}, collections.Counter()
+    for t, lang in train:
+        counts.setdefault(lang, collections.Counter()).update(brute_grams(t))
+    ranked = {x: [g for g, _ in sorted(c.items(), key=lambda y: (-y[1], code_of(y[0])))] for x, c in counts.items()}
+    for x, grams in ranked.items():
+        total.update({g: counts[x][g] for g in grams[: langid.CANDIDATES]})
+    order = {g: k for k, g in enumerate(sorted(total, key=lambda g: (-total[g], code_of(g))))}
+    own = sorted(brute_grams(text).items(), key=lambda x: (-x[1], order.get(x[0], len(order) + code_of(x[0]))))[:profile]
+    away = {}
+    for x in sorted(ranked):
+        ranks = {g: k for k, g in enumerate(ranked[x][:profile])}
+        away[x] = sum(abs(ranks[g] - k) if g in ranks else profile for k, (g, _) in enumerate(own)) / max(1, len(own))
+    best = min(away, key=lambda x: (away[x], x))
+    return best, 1 - away[best] / profile
+
+
+@pytest.mark.parametrize("piece", [64, 512 << 10])
+def test_language_equals_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rng = random.Random(3)
+    letters = {"a": "abcdeé ", "b": "defghß ", "c": "ghijkñ ."}
+    train = [("".join(rng.choice(letters[x]) for _ in range(rng.randrange(1, 90))), x) for x in "abc" * 12]
+    model = langid.train(frame(spark, [(k, t, x, "s") for k, (t, x) in enumerate(train)]), profile=40)
+    texts = ["".join(rng.choice("abcdefghijk éßñ.z") for _ in range(rng.randrange(1, 120))) + "q" for _ in range(80)]
+    lang, score = langid.Identifier(model).judge(pa.array(texts))
+    for text, x, y in zip(texts, lang, score):
+        want = brute_language(train, text, 40)
+        assert x == want[0] and abs(y - want[1]) < 1e-9
+
+
 def test_language(spark):
     rng = random.Random(4)
     vocabulary = {"en": "the house and water is where they think of this".split(), "de": "der die und nicht straße schön für einen haus".split(), "fr": "le la où été garçon maison avec pour dans".split()}
@@ -210,7 +285,7 @@ def test_media_round_trip(spark):
 
 @pytest.mark.parametrize("bound", [0, 1 << 40])
 def test_media_rows_of_one_id(spark, monkeypatch, bound):
-    monkeypatch.setattr(media, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", bound)
     rng = random.Random(10)
     body = "".join(chr(rng.randrange(97, 123)) for _ in range(20_000))
     docs = [(7, "A", "x", "s"), (7, "B", "x", "s"), (3, "A", "x", "s"), (None, "A", "x", "s"), (None, "C", "x", "s"), (None, None, "x", "s"), (8, "", "x", "s")]
