@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import registered
+from codelode.plans import registered, registered_views  # noqa: F401  the second adds its queries to the first
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
