@@ -311,9 +311,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct(), f"{label}-edges")
     now = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("l")), label)
     while True:
-        heard = both.join(now.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        spread = now.join(heard, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jumped = spread.join(now.select(F.col("v").alias("l"), F.col("l").alias("further")), "l").select("v", "was", F.least("l", "further").alias("l"))
+        # few labels are sent round, many are shuffled
+        known = small(now, F.lit(32))
+        heard = both.join(known.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
+        spread = heard.join(known, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
+        jumped = spread.join(known.select(F.col("v").alias("l"), F.col("l").alias("further")), "l").select("v", "was", F.least("l", "further").alias("l"))
         after = materialize(jumped, label)
         if after.where("l <> was").limit(1).count() == 0:
             return after.select("v", "l")
@@ -346,23 +348,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
     def named() -> DataFrame:
-        return members.select("band", "node").join(labels, F.col("node") == F.col("v"), "left").select("band", "node", F.coalesce("l", "node").alias("l"))
+        return members.select("band", "node").join(small(labels, F.lit(32)), F.col("node") == F.col("v"), "left").select("band", "node", F.coalesce("l", "node").alias("l"))
 
     tested = pairs = materialize(members.where("node <> leader").select(*pairs_of("leader", "node")).distinct(), "near-pairs")
     labels = _joined(None, linked(pairs))
     for turn in range(1, rounds):
         # buckets that still hold several classes, and untold pairs
         head = F.min_by(F.struct("node", "l"), F.xxhash64("node", F.lit(turn))).alias("head")
-        open_bands = named().groupBy("band").agg(F.min("l").alias("_a"), F.max("l").alias("_b"), F.count("*").alias("_n"), head).where("_a <> _b and _n > 2").select("band", "head")
-        fresh = named().join(open_bands, "band").where(F.col("l") != F.col("head.l")).select(*pairs_of("head.node", "node"))
-        pairs = materialize(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        held = materialize(named(), "near-named")
+        open_bands = held.groupBy("band").agg(F.min("l").alias("_a"), F.max("l").alias("_b"), F.count("*").alias("_n"), head).where("_a <> _b and _n > 2").select("band", "head")
+        fresh = held.join(open_bands, "band").where(F.col("l") != F.col("head.l")).select(*pairs_of("head.node", "node"))
+        pairs = materialize(fresh.distinct().join(small(tested, F.lit(32)), ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(pairs)
         if pairs.limit(1).count():
             labels = _joined(labels, linked(pairs))
     dealt = _dealt(materialize(named(), "near-named"), sets)
     if dealt is not None:
         labels = _joined(labels, materialize(dealt.mapInArrow(_met(least, to_arrow_schema(members.selectExpr("node as a", "node as b").schema)), pair), "near-edges"))
-    classes = described.select("_id", "key").join(nodes.select("key", "node"), "key", "left").join(labels, F.col("node") == F.col("v"), "left")
+    classes = described.select("_id", "key").join(nodes.select("key", "node"), "key", "left").join(small(labels, F.lit(32)), F.col("node") == F.col("v"), "left")
     class_id = F.when(F.col("_id").isNotNull(), F.coalesce("l", "node", "_id"))
     return classes.select(F.col("_id").alias(id_col), class_id.alias("class_id"), F.coalesce(F.col("_id") == class_id, F.lit(True)).alias("kept"))
 
@@ -382,7 +385,7 @@ def _dealt(named: DataFrame, sets: DataFrame) -> DataFrame | None:
     by_class = named.groupBy("band", "l").agg(F.count("*").alias("n"))
     heads = by_class.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max_by("l", F.struct("n", "l")).alias("head")).where("classes > 1 and n > 2")
     size = F.greatest(F.length("elements") + F.length("counts"), F.lit(BLOCK_TEXT)).alias("size")
-    rows = named.join(heads.select("band", "head"), "band").join(sets.select("node", size), "node").select("band", "node", "l", "size", (F.col("l") == F.col("head")).alias("main"))
+    rows = named.join(small(heads.select("band", "head"), F.lit(32)), "band").join(sets.select("node", size), "node").select("band", "node", "l", "size", (F.col("l") == F.col("head")).alias("main"))
     rows = materialize(rows, "near-open")
     if rows.limit(1).count() == 0:
         return None
@@ -391,7 +394,7 @@ def _dealt(named: DataFrame, sets: DataFrame) -> DataFrame | None:
     # blocks of the largest class are numbered before the others
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     own = F.when(F.col("main"), spread(F.col("mains"))).otherwise(F.col("mains") + spread(F.col("others")))
-    rows = rows.join(numbers, "band").withColumn("own", own)
+    rows = rows.join(small(materialize(numbers, "near-blocks"), F.lit(32)), "band").withColumn("own", own)
     every = F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1)
     partners = F.filter(every, lambda k: ~F.col("main") | (k >= F.col("mains")))
     tasks = rows.select("band", "node", "l", "own", F.explode(partners).alias("_k"))
