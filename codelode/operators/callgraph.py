@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.operators.tiers import first_answer, first_answer_by
+from codelode.operators.tiers import first_answer_by
 
 CALLER = ("caller_file", "caller_symbol", "line")
 
@@ -36,15 +36,29 @@ def direct_callers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, nam
 
 
 def find_callers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, name: str, like_limit: int = 100) -> DataFrame:
-    """Callers of ``name`` or ``Class.method``; looser answers only if stricter ones are empty."""
+    """Callers of ``name`` or ``Class.method``; looser answers only if stricter ones are empty.
+
+    Tiers: a method of that class, the name or an import's alias for it, the
+    name in any case, a part of the name. Each call is labelled with its
+    strictest tier in one scan; the least of all is one row.
+    """
     owner, method = name.split(".", 1) if "." in name else (None, name)
-    frames = []
+    first = 0 if owner is None else 1
+    local = F.coalesce("alias", "name")
+    aliased = imports.where(F.col("name") == method).select(F.col("file").alias("caller_file"), local.alias("callee_name"), F.lit(True).alias("_aliased")).distinct()
+    rows = calls.join(aliased, ["caller_file", "callee_name"], "left")
+    direct = (F.col("callee_name") == method) | F.coalesce("_aliased", F.lit(False))
+    tier = F.when(direct, first + 1).when(F.lower("callee_name") == method.lower(), first + 2).when(F.col("callee_name").ilike(f"%{method}%"), first + 3)
     if owner is not None:
-        frames.append(_methods(calls.where(F.col("callee_name") == method), symbols).where(F.col("parent") == owner).select(*CALLER))
-    frames.append(direct_callers(calls, symbols, imports, method))
-    frames.append(calls.where(F.lower("callee_name") == method.lower()).select(*CALLER))
-    frames.append(calls.where(F.col("callee_name").ilike(f"%{method}%")).orderBy(*CALLER).limit(like_limit).select(*CALLER))
-    return first_answer(*frames)
+        own = symbols.where(F.col("parent") == owner).select(F.col("file").alias("caller_file"), F.col("name").alias("caller_symbol"), F.lit(True).alias("_own")).distinct()
+        rows = rows.join(own, ["caller_file", "caller_symbol"], "left")
+        tier = F.when((F.col("callee_name") == method) & (F.col("callee_qualifier") == "self") & F.col("_own"), 1).otherwise(tier)
+    rows = rows.select(*CALLER, tier.alias("tier")).where("tier is not null")
+    # one row: the aggregate has no keys
+    best = rows.join(F.broadcast(rows.agg(F.min("tier").alias("tier"))), "tier")
+    # places of the direct tier count once, those of the others once a call
+    strict = best.where(F.col("tier") < first + 3).withColumn("_call", F.when(F.col("tier") != first + 1, F.monotonically_increasing_id())).distinct().select(*CALLER, "tier")
+    return strict.union(best.where(F.col("tier") == first + 3).orderBy(*CALLER).limit(like_limit).select(*CALLER, "tier"))
 
 
 def find_callees(calls: DataFrame, file: str, symbol: str) -> DataFrame:

@@ -178,7 +178,7 @@ def callers_union(spark, sf_dir):
 
 
 @query(
-    """, t1 AS (SELECT c.caller_file, c.caller_symbol, c.line FROM calls c JOIN symbols s ON c.caller_file = s.file AND c.caller_symbol = s.name WHERE c.callee_name = 'p15' AND c.callee_qualifier = 'self' AND s.parent = 'C3'),
+    """, t1 AS (SELECT caller_file, caller_symbol, line FROM calls c WHERE callee_name = 'p15' AND callee_qualifier = 'self' AND EXISTS (SELECT 1 FROM symbols s WHERE c.caller_file = s.file AND c.caller_symbol = s.name AND s.parent = 'C3')),
        t2 AS (""" + _DIRECT.format("p15") + """)
        SELECT *, 1 AS tier FROM t1 UNION ALL SELECT *, 2 FROM t2 WHERE NOT EXISTS (SELECT 1 FROM t1)""",
     "calls symbols imports",
@@ -192,6 +192,12 @@ def callers_any_case(spark, sf_dir):
     return callgraph.find_callers(A.calls(spark, sf_dir), A.symbols(spark, sf_dir), A.imports(spark, sf_dir), "P77").select("caller_file", "caller_symbol", "line", "tier")
 
 
+@query("""SELECT caller_file, caller_symbol, line, 3 AS tier FROM calls WHERE callee_name ILIKE '%p_7%' ORDER BY caller_file, caller_symbol, line LIMIT 100""", "calls")
+def callers_by_part(spark, sf_dir):
+    calls = A.calls(spark, sf_dir)
+    return callgraph.find_callers(calls, A.symbols(spark, sf_dir), A.imports(spark, sf_dir), "P_7").select("caller_file", "caller_symbol", "line", "tier")
+
+
 @query("""SELECT callee_name, callee_qualifier, line FROM calls WHERE caller_file = 'f7' AND caller_symbol = 's7'""", "calls")
 def callees(spark, sf_dir):
     return callgraph.find_callees(A.calls(spark, sf_dir), "f7", "s7")

@@ -18,16 +18,15 @@ SKIPPED = ("node_modules", "target", "vendor")
 def tree(spark: SparkSession, root: str, hidden: bool = True, skip: tuple[str, ...] = (), ignore: bool = True) -> DataFrame:
     """files (path, is_dir, mtime, size, lines, content) below a root.
 
-    ``.git`` is never read. The ignore files of the tree (a small side) are
-    read first; the last line that matches a path decides, deeper files after
-    higher ones.
+    ``.git`` is never read. Of the ignore files' lines the last one that matches
+    a path decides, deeper files after higher ones.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     # Spark's listing leaves out names that start with a dot or an underscore
     unlisted = _unlisted(spark, base)
-    if unlisted:
-        raw = raw.select("path", "modificationTime", "length", "content").unionByName(_opened(spark, unlisted))
+    if unlisted is not None:
+        raw = raw.select("path", "modificationTime", "length", "content").unionByName(unlisted)
     start = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     prefix = "/" + base.split(":", 1)[-1].lstrip("/") + "/"
     files = raw.select(F.replace(start, F.lit(prefix), F.lit("")).alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
@@ -42,49 +41,62 @@ def tree(spark: SparkSession, root: str, hidden: bool = True, skip: tuple[str, .
     return files.select("path", F.lit(False).alias("is_dir"), "mtime", "size", F.coalesce(line_count(text, MOST_BYTES), F.lit(0)).alias("lines"), text.alias("content"))
 
 
-def _unlisted(spark: SparkSession, base: str) -> list[str]:
-    """Files below ``base`` that Spark's own listing would skip, but for those of ``.git``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
-    out = []
-    while listed.hasNext():
-        path = listed.next().getPath().toString()
-        below = path.split(base.split(":", 1)[-1], 1)[-1].split("/")
-        if any(p[:1] in (".", "_") for p in below) and ".git" not in below:
-            out.append(path)
-    return out
-
+def _unlisted(spark: SparkSession, base: str) -> DataFrame | None:
+    """Files below ``base`` that Spark's own listing would skip, but for those of ``.git``.
 
-def _opened(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files that Spark's readers refuse by name, opened on the executors."""
+    The driver lists the root alone; what lies below is walked, and opened, on
+    the executors, a folder of the root at a time.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    top = [(s.getPath().toString(), s.isDirectory()) for s in listed if s.getPath().getName() != ".git"]
+    top = [(path, is_dir) for path, is_dir in top if is_dir or path.rsplit("/", 1)[-1][:1] in (".", "_")]
+    if not top:
+        return None
+    schema = pa.schema([("path", pa.string()), ("changed", pa.int64()), ("length", pa.int64()), ("content", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, is_dir in zip(batch.column("path").to_pylist(), batch.column("is_dir").to_pylist()):
                 system, name = pafs.FileSystem.from_uri(path)
-                with system.open_input_file(name) as source:
-                    content = source.read()
-                changed = int(system.get_file_info(name).mtime.timestamp())
-                yield pa.RecordBatch.from_pylist([{"path": path, "changed": changed, "length": len(content), "content": content}], schema=pa.schema([("path", pa.string()), ("changed", pa.int64()), ("length", pa.int64()), ("content", pa.binary())]))
-
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 64))
+                hidden = path.rsplit("/", 1)[-1][:1] in (".", "_")
+                for info in system.get_file_info(pafs.FileSelector(name, recursive=True)) if is_dir else system.get_file_info([name]):
+                    below = info.path[len(name) :].lstrip("/").split("/")
+                    if info.type != pafs.FileType.File or ".git" in below or not (hidden or any(x[:1] in (".", "_") for x in below)):
+                        continue
+                    with system.open_input_file(info.path) as source:
+                        content = source.read()
+                    yield pa.RecordBatch.from_pylist([{"path": path + info.path[len(name) :], "changed": int(info.mtime.timestamp()), "length": len(content), "content": content}], schema=schema)
+
+    rows = spark.createDataFrame(top, "path string, is_dir boolean").repartition(min(len(top), 256))
     found = rows.mapInArrow(run, "path string, changed long, length long, content binary")
     return found.select("path", F.timestamp_seconds("changed").alias("modificationTime"), "length", "content")
 
 
 def without_ignored(files: DataFrame) -> DataFrame:
-    """Applies the ``.gitignore`` files among ``files``."""
-    verdict = F.lit(False)
+    """Applies the ``.gitignore`` files among ``files``: the last line that matches decides, deeper files after higher ones.
+
+    Files are joined with the lines of the folders above them.
+    """
     notes = files.where(F.col("path").rlike(r"(?:^|/)\.gitignore$")).select("path", F.col("content").cast("string").alias("text"))
-    for path, text in sorted(map(tuple, notes.toLocalIterator()), key=lambda x: x[0].count("/")):
-        folder = path.removesuffix(".gitignore")
-        inside = F.startswith("path", F.lit(folder)) if folder else F.lit(True)
-        rest = F.substr("path", F.lit(len(folder) + 1))
-        for line in text.splitlines():
-            regex = ignore_glob(line)
-            if regex:
-                verdict = F.when(inside & rest.rlike(regex), not line.strip().startswith("!")).otherwise(verdict)
-    return files.where(~verdict)
+    schema = pa.schema([("folder", pa.string()), ("depth", pa.int32()), ("n", pa.int32()), ("regex", pa.string()), ("back", pa.bool_())])
+
+    def compiled(batches):
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                folder = path.removesuffix(".gitignore")
+                for n, line in enumerate((text or "").splitlines()):
+                    if regex := ignore_glob(line):
+                        rows.append({"folder": folder, "depth": folder.count("/"), "n": n, "regex": regex, "back": line.strip().startswith("!")})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    rules = notes.mapInArrow(compiled, "folder string, depth int, n int, regex string, back boolean")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
+    near = files.select("path", F.explode(above).alias("folder")).join(rules, "folder").where(F.expr("substring(path, length(folder) + 1) rlike regex"))
+    out = near.groupBy("path").agg(F.max_by("back", F.struct("depth", "n")).alias("back")).where("not back").select("path")
+    return files.join(out, "path", "left_anti")
 
 
 def with_language(files: DataFrame, languages: DataFrame) -> DataFrame:
