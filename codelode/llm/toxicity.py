@@ -61,10 +61,8 @@ ACCIDENT = 0.05
 LEAST_WEIGHT = 2.0
 #: A beginning needs so many times the count of its most frequent word.
 FAMILY = 1.5
-#: (term, context) counts that a training task holds before it passes them on.
+#: Counts of terms, with or without contexts, that a training task holds before it passes them on.
 HELD = 300_000
-#: Bytes of terms that are sent to the workers which count clean rows; beyond, those count all terms.
-SENT_BYTES = 16 << 20
 #: What the transducers multiply by, and over how many tokens they reach.
 ALONE, NEGATION_LOSS, REPORT_LOSS = 0.5, 0.6, 0.7
 TARGET_REACH, NEGATION_REACH = 4, 3
@@ -235,22 +233,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 counts = Counter()
         yield _met(counts)
 
-    def clean_rows(known):
-        def run(batches):
-            counts: Counter = Counter()
-
-            def told():
-                return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+    def clean_rows(batches):
+        counts: Counter = Counter()
 
-            for part in slices(batches, "text"):
-                for text in part.column("text").to_pylist():
-                    counts.update(terms_of(text) if known is None else terms_of(text) & known.value)
-                if len(counts) > HELD:
-                    yield told()
-                    counts = Counter()
-            yield told()
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-        return run
+        for part in slices(batches, "text"):
+            for text in part.column("text").to_pylist():
+                counts.update(terms_of(text))
+            if len(counts) > HELD:
+                yield told()
+                counts = Counter()
+        yield told()
 
     places = rows.where("y = 1").select("text").mapInArrow(met, "term string, context long, n long").groupBy("term", "context").agg(F.sum("n").alias("n"))
     totals = materialize(places.groupBy("term").agg(F.least(F.sum("n"), F.count("*")).alias("n")).where("n > 1"), "toxic-terms")
@@ -258,11 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # the test admits no rarer term, even if no clean row has it
     least = math.ceil(bar / -math.log(prior)) if prior < 1 else 2
     tested = totals.where(F.col("n") >= least)
-    size = F.length("term") + 100
-    known = None
-    if tested.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= SENT_BYTES:
-        known = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in tested.select("term").toLocalIterator()))
-    clean = rows.where("y = 0").select("text").mapInArrow(clean_rows(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("other"))
+    # every task counts all its terms: what it passes on depends on its share of the text alone
+    clean = rows.where("y = 0").select("text").mapInArrow(clean_rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("other"))
     # the most frequent word of each beginning
     begins = F.array_compact(F.array(*[F.when(F.length("term") > n, F.concat(F.left("term", F.lit(n)), F.lit("*"))) for n in PREFIXES]))
     top = tested.where(~F.col("term").endswith("*")).select("n", F.explode(begins).alias("term")).groupBy("term").agg(F.max("n").alias("most"))
