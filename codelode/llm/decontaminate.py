@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.arrowtext import LOWER, mix, slices, text_bytes, words
-from codelode.llm.workspace import materialize
+from codelode.llm.workspace import materialize, plainly_named
 
 WINDOW = 10
 #: Words of a segment; segments overlap by the window length less one.
@@ -243,19 +243,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def without(searcher):
         def run(batches):
-            for part in slices(batches, text_col):
+            for part in slices(batches, text):
                 keep = np.ones(part.num_rows, bool)
-                _, hits = searcher.value.judge(part.column(text_col))
+                _, hits = searcher.value.judge(part.column(text))
                 keep[list(hits)] = False
                 yield part.filter(pa.array(keep))
 
         return run
 
-    out, before = docs, None
+    plain, text = plainly_named(docs, text_col)
+    out, before = plain, None
     for block in benchmark_blocks(benchmark, block_bytes=block_bytes):
         if before is not None:
             out = materialize(out, "leak-left")
             before.destroy()
         before = docs.sparkSession.sparkContext.broadcast(Searcher(block, window))
-        out = out.mapInArrow(without(before), docs.schema)
-    return out
+        out = out.mapInArrow(without(before), plain.schema)
+    return out.toDF(*docs.columns)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.arrowtext import slices, text_bytes
+from codelode.llm.workspace import plainly_named
 
 PROFILE = 300
 CANDIDATES = 1500
@@ -183,11 +184,12 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def keep_known(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """Rows whose text has a language (not ``und``) and a score over ``least``; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, text = plainly_named(docs, text_col)
 
     def run(batches):
         identifier = Identifier(shared.value)
-        for part in slices(batches, text_col, PIECE):
-            lang, score = identifier.judge(part.column(text_col))
+        for part in slices(batches, text, PIECE):
+            lang, score = identifier.judge(part.column(text))
             yield part.filter(pa.array((np.array(lang) != UNKNOWN) & (score > least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -52,3 +52,8 @@ def free_name(df: DataFrame, wish: str = "_n") -> str:
     while wish in taken:
         wish += "_"
     return wish
+
+
+def plainly_named(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``df`` under names that every Spark call takes (no dots), and the new name of ``column``; ``toDF(*df.columns)`` names them back."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), f"c{df.columns.index(column)}"

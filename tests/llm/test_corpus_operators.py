@@ -113,13 +113,13 @@ def test_line_dedup_removes_every_passage_of_50_words(spark):
     # lines of one to three words; a period of few words
     passages += ["\n".join(" ".join(words(k)) for _ in range(60 // k)) for k in (1, 2, 3) for _ in range(8)]
     docs, outer = passage_documents(passages)
-    docs += [(9001, "  " + docs[0][1], "en", "s"), (9002, passages[1].replace(" ", "\n"), "en", "s"), (9003, "a b " * 300, "en", "s"), (9004, "z " + "a b " * 200, "en", "s"), (None, docs[5][1], "en", "s")]
+    docs += [(9001, " " + docs[0][1], "en", "s"), (9011, "\t  " + docs[0][1].replace(" ", "  ") + " ", "en", "s"), (9002, passages[1].replace(" ", "\n"), "en", "s"), (9003, "a b " * 300, "en", "s"), (9004, "z " + "a b " * 200, "en", "s"), (None, docs[5][1], "en", "s")]
     rows = {r.doc_id: r for r in linededup.remove_repeats(frame(spark, docs)).collect()}
     for k in range(len(passages)):
         assert rows[2 * k].n_removed == 0 and rows[2 * k].text == docs[2 * k][1]
         # the words before, with the white space behind them, and the words behind the passage
         assert rows[2 * k + 1].text == f"{outer[2 * k + 1][0]} {outer[2 * k + 1][1]}"
-    assert rows[9002].text == "" and rows[9001].text.strip() == "" and len(rows[9003].text.split()) < 40 and len(rows[9004].text.split()) < 40 and rows[None].text == ""
+    assert rows[9002].text == "" and rows[9001].text == " " and rows[9011].text == "\t  " and len(rows[9003].text.split()) < 40 and len(rows[9004].text.split()) < 40 and rows[None].text == ""
 
 
 def test_line_dedup_with_chunks_of_one_source_in_another_order(spark):
@@ -449,11 +449,11 @@ def test_grammar_equals_brute_force():
         assert abs(g.clause(tokens) - brute_clause(tokens, insults)) < 1e-9, tokens
 
 
-def test_toxicity_terms_sent_or_joined(spark, monkeypatch):
+def test_toxicity_terms_held_or_passed_on(spark, monkeypatch):
     docs, labels = toxic_documents()
     both = []
-    for bound in (0, 1 << 30):
-        monkeypatch.setattr(toxicity, "SENT_BYTES", bound)
+    for bound in (10, 1 << 30):
+        monkeypatch.setattr(toxicity, "HELD", bound)
         both.append(toxicity.train(frame(spark, docs), frame(spark, labels, "doc_id long, toxic int")))
     assert both[0] == both[1] and both[0]["weights"]
     odd = frame(spark, [(1, "blork you", "en", "s")]).withColumnRenamed("lang", "_id").withColumnRenamed("source", "score")
@@ -499,3 +499,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen["near_dedup"]) - set(seen["decontaminate"]) == {104}
     assert set(seen["pack"]) == set(seen["decontaminate"])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["pack"])
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["n_removed", "_n", "_id", "_row", "_text", "key", "node", "x.y"]
+    frame(spark, [(1, "lorem ipsum dolor sit amet")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(f"wort{k}" for k in range(90))
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(None, text, "en", *names), (1, text, None, *names), (2, "other words here", "en", *names), (2, "other words here", "en", *names), (3, None, "en", *names), (4, "", None, *names)], schema)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, table, str(tmp_path))
+            rows = after.collect()
+            assert name == "pack" or after.columns == table.columns and all(r[n] == n for r in rows for n in names)
+            assert bool(rows) == (table is docs)
