@@ -714,8 +714,11 @@ def python_imports(spark, sf_dir):
 def _shared(spark) -> str:
     """The folder the cluster names; a temporary one only where tasks run beside the driver."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named or not spark.conf.get("spark.master", "").startswith("local"):
+    if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return tempfile.mkdtemp()
 
 
