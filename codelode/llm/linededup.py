@@ -24,7 +24,7 @@ rows of one id with different texts count as one document, so what they share
 with each other stays, as is so for rows without an id, which come last;
 passages that repeat inside a text go but for the first; an empty table gives
 an empty table; text in one word of any length is no passage. Columns of any
-name are carried along, but for ``n_removed``, which is replaced.
+name are carried along, but for one named ``count_col``, which is replaced.
 """
 
 from __future__ import annotations
@@ -60,8 +60,12 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    """Words; white space at the text's ends gives an empty word there."""
-    return F.split(text, r"\s+")
+    """Words, without the white space around and between them."""
+    for sign in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    # a split at one space is far cheaper than one at a pattern
+    words = F.split(F.trim(text), " ")
+    return F.when(text.contains("  "), F.array_remove(words, "")).otherwise(words)
 
 
 def _least(df: DataFrame, name: str) -> DataFrame:
@@ -79,11 +83,10 @@ def _least(df: DataFrame, name: str) -> DataFrame:
 def with_lines(df: DataFrame, text: Column) -> DataFrame:
     """Adds ``_at``: the first words of lines, and ``_pair``: the rolling hash at each line but the last two places."""
     df = held(df, _w=_words(text))
-    df = held(df, _h=F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
-    df = _least(held(df, _k=F.transform("_h", lambda x, i: x.bitwiseAND(F.lit(_HASH)).bitwiseOR(i.cast("long")))), "_k")
-    df = held(df, _at=F.array_distinct(F.transform("_k", lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))).drop("_k")
-    lines = F.transform(F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, i: F.xxhash64(F.slice("_h", a + 1, F.get("_at", i + 1) - a)))
-    df = held(df, _line=lines).drop("_h")
+    df = _least(held(df, _k=F.transform("_w", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(_HASH)).bitwiseOR(i.cast("long")))), "_k")
+    df = held(df, _at=F.transform(F.array_distinct("_k"), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))).drop("_k")
+    lines = F.transform(F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, i: F.xxhash64(F.slice("_w", a + 1, F.get("_at", i + 1) - a)))
+    df = held(df, _line=lines).drop("_w")
     most = F.greatest(F.size("_line") - 1, F.lit(0))
     return held(df, _pair=F.zip_with(F.slice("_line", 1, most), F.slice("_line", 2, most), lambda x, y: F.xxhash64(x, y))).drop("_line")
 
@@ -143,9 +146,14 @@ def _regions(spans: DataFrame, text: list[str]) -> DataFrame:
 
 
 def _alike(mine: str, theirs: str) -> Column:
-    """How many leading words of two arrays are equal."""
-    equal = F.zip_with(mine, theirs, lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False)))
-    return F.when(F.array_contains(equal, False), F.array_position(equal, False) - 1).otherwise(F.size(equal)).cast("int")
+    """Which words of two arrays are equal, place by place."""
+    return F.zip_with(mine, theirs, lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False)))
+
+
+def _leading(equal: str) -> Column:
+    """How many leading values are true."""
+    at = F.array_position(equal, False).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(equal))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,36 +178,44 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a source may stand for very many chunks: a skewed join that Spark can split
     met = chunks.join(firsts, F.col("source") == F.col("_s"))
     # of its own text, only what stands before
-    limit = F.when(F.col("_id") == F.col("_s"), F.when(F.col("_th") == F.col("_sth"), F.col("ahead")).otherwise(F.lit(0))).otherwise(F.length("_there") + 1)
-    before = lambda place: (place > 0) & (place < F.col("_limit"))
-    met = held(met, _limit=limit, _place=F.instr(F.col("_there"), F.col("said")))
+    limit = F.when(F.col("_id") == F.col("_s"), F.when(F.col("_th") == F.col("_sth"), F.col("ahead")).otherwise(F.lit(0)))
+    before = lambda place: (place > 0) & (F.col("_limit").isNull() | (place < F.col("_limit")))
+    met = held(met.withColumn("_limit", limit), _place=F.instr(F.col("_there"), F.col("said")))
     ahead = F.split(F.substring_index(F.expr("substring(_there, 1, _place - 1)"), " ", -EDGE), " ")
     after = F.split(F.substring_index(F.expr("substring(_there, _place + length(said))"), " ", EDGE), " ")
     grown = held(met, _ahead=F.reverse(ahead), _after=after)
-    whole = F.array(F.struct((F.col("from") - _alike("left", "_ahead")).alias("from"), (F.col("to") + _alike("right", "_after")).alias("to")))
+    grown = held(grown, _back=_alike("left", "_ahead"), _on=_alike("right", "_after")).drop("_ahead", "_after", "left", "right")
+    whole = F.array(F.struct((F.col("from") - _leading("_back")).alias("from"), (F.col("to") + _leading("_on")).alias("to")))
     # a chunk that its source has in several places: two lines at a time
     grown = held(grown, _w=F.when(~before(F.col("_place")), F.split(F.expr("substring(said, 2)"), " ")))
 
-    def pair(a, i):
+    def confirmed(a, i):
         end = F.get("cuts", i + 2)
-        two = F.concat(F.lit(" "), F.array_join(F.slice("_w", a - F.col("from") + 1, end - a), " "), F.lit(" "))
-        return F.when(before(F.instr(F.col("_there"), two)), F.struct(a.alias("from"), end.alias("to")))
+        return before(F.instr(F.col("_there"), F.concat(F.lit(" "), F.array_join(F.slice("_w", a - F.col("from") + 1, end - a), " "), F.lit(" "))))
+
+    grown = held(grown, _told=F.when(F.col("_w").isNotNull(), F.transform(F.slice("cuts", 1, F.size("cuts") - 2), confirmed)))
+
+    def stretch(told, i):
+        n = F.array_position(F.slice("_told", i + 1, F.size("_told") - i), False).cast("int")
+        last = F.when(n > 0, i + n - 2).otherwise(F.size("_told") - 1)
+        return F.when(told & ((i == 0) | ~F.get("_told", i - 1)), F.struct(F.get("cuts", i).alias("from"), F.get("cuts", last + 2).alias("to")))
 
-    parts = F.array_compact(F.transform(F.slice("cuts", 1, F.size("cuts") - 2), pair))
+    parts = F.array_compact(F.transform("_told", stretch))
     spans = grown.select("_id", "_th", F.inline(F.when(before(F.col("_place")), whole).otherwise(parts)))
     merged = _regions(spans, ["_id", "_th"]).groupBy("_id", "_th", "region").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     return merged.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_runs"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeated passages taken out of the text; ``n_removed`` counts the runs of words that went."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
+    """The documents with repeated passages taken out of the text; ``count_col`` counts the runs of words that went."""
     gone = materialize(repeated_runs(docs, id_col, text_col), "line-gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
     joined = rows.join(small(gone, 32 + 16 * F.size("_runs")), _same_text("_gid", "_gth"), "left")
-    cut = held(joined, _pieces=F.split(F.when(F.col("_runs").isNotNull(), F.col("_text")), r"(?<=\s)(?=\S)"))
+    lead = F.regexp_extract("_text", r"^\s*", 0)
+    cut = held(joined, _pieces=F.split(F.when(F.col("_runs").isNotNull(), F.regexp_replace("_text", r"^\s+", "")), r"(?<=\s)(?=\S)"))
     ends = F.concat(F.transform("_runs", lambda r: r["from"]), F.array(F.size("_pieces")))
     begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["to"]))
     kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("_pieces", a + 1, F.greatest(b - a, F.lit(0)))))
-    text = F.when(F.col("_runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col("_text"))
+    text = F.when(F.col("_runs").isNotNull(), F.concat(lead, F.array_join(kept, ""))).otherwise(F.col("_text"))
     removed = F.when(F.col("_runs").isNotNull(), F.size("_runs")).otherwise(0).cast("long")
-    return cut.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "n_removed"], removed.alias("n_removed"))
+    return cut.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c != count_col], removed.alias(count_col))
