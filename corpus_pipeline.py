@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the repeats of passages that stand elsewhere."""
-    return linededup.remove_repeats(docs).select(*docs.columns)
+    return linededup.remove_repeats(docs, count_col=workspace.free_name(docs)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
