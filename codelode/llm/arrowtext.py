@@ -75,8 +75,8 @@ def _coefficients(longest: int) -> np.ndarray:
     return np.cumprod(np.full(longest, _POWER, np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray):
-    """Words of each row, A-Z lower-cased.
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD):
+    """Words of each row, A-Z lower-cased; ``is_word``: which bytes they are made of.
 
     Returns (hash, row, start, end): a 64-bit hash of every word's lower-cased
     bytes, its row, and its byte range in ``data``. A word is a maximal run of
@@ -85,7 +85,7 @@ def words(data: np.ndarray, offsets: np.ndarray):
     empty = np.zeros(0, np.int64)
     if len(data) == 0:
         return np.zeros(0, np.uint64), empty, empty, empty
-    inside = IS_WORD[data]
+    inside = is_word[data]
     begins = np.zeros(len(data), bool)
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[heads] = True
@@ -104,3 +104,11 @@ def words(data: np.ndarray, offsets: np.ndarray):
     hashed = mix(np.add.reduceat(body, at) ^ length.astype(np.uint64))
     row = np.searchsorted(offsets, start, side="right") - 1
     return hashed, row, start, start + length
+
+
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """The byte ranges of ``data``, each of whole characters, as strings."""
+    length = end - start
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    picked = data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(picked)))
