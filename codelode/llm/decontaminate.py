@@ -19,7 +19,6 @@ named columns are read, so further columns, of whatever name, do not matter.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +32,11 @@ from codelode.llm.workspace import materialize, plainly_named
 WINDOW = 10
 #: Words of a segment; segments overlap by the window length less one.
 SEGMENT = 512
-TABLE_BITS = 18
-#: Text bytes of the benchmark that one block (one broadcast searcher) may hold.
-BLOCK_BYTES = 32 << 20
+#: Slots of the shift table for each window, as a power of two: few slots, and so few places, have shift 0.
+SPARE_BITS = 4
+#: Text bytes of the benchmark that one block (one broadcast searcher) may hold. A searcher takes some 36 bytes a word
+#: and 16 to 32 slots of a byte: about 10 times the text for words of 5 letters, 26 times at the very worst.
+BLOCK_BYTES = 16 << 20
 
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -44,42 +45,79 @@ def _block(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _SALT + right)
 
 
-def _slot(block: np.ndarray) -> np.ndarray:
-    return (block >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _slot(block: np.ndarray, bits: int) -> np.ndarray:
+    return (block >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Windows:
+    """All windows of one length, as numbers of their first words: ordered by suffix block, then by a hash of all words."""
+
+    def __init__(self, size: int, hashed: np.ndarray, first: np.ndarray):
+        self.size, self.wide = size, min(2, size)
+        suffix = self._blocks(hashed, first, size - self.wide)
+        whole = self.whole(hashed, first)
+        order = np.lexsort((whole, suffix))
+        self.first, self.suffix, self.hash = first[order], suffix[order], whole[order]
+        self.bits = max(10, int(len(first) - 1).bit_length() + SPARE_BITS)
+        last = size - self.wide
+        self.shift = np.full(1 << self.bits, last + 1, np.int8 if size < 127 else np.int32)
+        for at in range(last + 1):  # later blocks allow smaller jumps
+            self.shift[_slot(self._blocks(hashed, first, at), self.bits)] = last - at
+
+    def _blocks(self, hashed: np.ndarray, first: np.ndarray, at: int) -> np.ndarray:
+        return _block(hashed[first + at], hashed[first + at + 1]) if self.wide == 2 else mix(hashed[first + at])
+
+    def whole(self, hashed: np.ndarray, first: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(first), np.uint64)
+        for j in range(self.size):
+            total = total * _SALT + hashed[first + j]
+        return mix(total)
+
+    def bucket(self, suffix: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges, of the suffixes' buckets, of those windows that have the same hash."""
+        low, high = np.searchsorted(self.suffix, suffix, "left"), np.searchsorted(self.suffix, suffix, "right")
+        return self._within(low, high, whole, False), self._within(low, high, whole, True)
+
+    def _within(self, low: np.ndarray, high: np.ndarray, whole: np.ndarray, after: bool) -> np.ndarray:
+        """Binary search for all places at once."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            there = self.hash[np.minimum(middle, len(self.hash) - 1)]
+            right = open_ & ((there <= whole) if after else (there < whole))
+            low = np.where(right, middle + 1, low)
+            high = np.where(open_ & ~right, middle, high)
+        return low
 
 
 class Searcher:
-    """Windows of a block of benchmark items, by window length."""
+    """Windows of a block of benchmark items, by window length; words are byte ranges of one buffer."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         """items: (item id as string, or none, text)."""
         self.ids = [i for i, _ in items]
-        by_length: dict[int, dict[bytes, list]] = defaultdict(dict)
-        for number, (_, text) in enumerate(items):
-            arr = pa.array([text], pa.large_string())
-            data, offsets = text_bytes(arr)
-            hashed, _, start, end = words(data, offsets)
-            lowered = LOWER[data].tobytes()
-            tokens = [lowered[a:b] for a, b in zip(start, end)]
-            size = min(window, len(tokens))
-            for k in range(len(tokens) - size + 1) if size else ():
-                key = b" ".join(tokens[k : k + size])
-                known = by_length[size].setdefault(key, [hashed[k : k + size], set()])
-                known[1].add(number)
-        self.groups = [self._group(size, found) for size, found in sorted(by_length.items())]
-
-    def _group(self, size: int, found: dict[bytes, list]) -> dict:
-        hashes = np.stack([h for h, _ in found.values()])
-        wide = min(2, size)
-        blocks = _block(hashes[:, :-1], hashes[:, 1:]) if wide == 2 else mix(hashes)
-        last = blocks.shape[1] - 1
-        shift = np.full(1 << TABLE_BITS, last + 1, np.int16)
-        for at in range(last + 1):
-            np.minimum.at(shift, _slot(blocks[:, at]), last - at)
-        buckets: dict[int, list] = defaultdict(list)
-        for (key, (_, owners)), block in zip(found.items(), blocks[:, last]):
-            buckets[int(block)].append((key, sorted(owners)))
-        return {"size": size, "wide": wide, "shift": shift, "buckets": dict(buckets), "suffixes": np.sort(np.array(list(buckets), np.uint64))}
+        data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
+        hashed, row, start, end = words(data, offsets)
+        self.data, self.start, self.end = LOWER[data], start, end
+        counts = np.bincount(row, minlength=len(items))
+        heads = np.cumsum(counts) - counts
+        #: of each item, its first word's number
+        self.heads = heads
+        sizes = np.minimum(counts, window)
+        self.groups = []
+        for size in sorted(set(sizes[sizes > 0].tolist())):
+            own = np.flatnonzero(sizes == size)
+            n = counts[own] - size + 1
+            first = np.repeat(heads[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self.groups.append(Windows(size, hashed, first))
+
+    def _owners(self, group: Windows, places: range, said: bytes) -> list[int]:
+        """The items whose windows are word for word what is said."""
+        own = []
+        for first in group.first[places.start : places.stop].tolist():
+            if b" ".join(self.data[self.start[i] : self.end[i]].tobytes() for i in range(first, first + group.size)) == said:
+                own.append(int(np.searchsorted(self.heads, first, "right")) - 1)
+        return own
 
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """Occurrences: (first word, words, owners) by index into the slice's words, and the words' rows."""
@@ -98,26 +136,24 @@ class Searcher:
         stop = np.repeat(tails, n)
         lowered = None
         for group in self.groups:
-            size, key_of = group["size"], pairs if group["wide"] == 2 else blocks
+            size, key_of = group.size, pairs if group.wide == 2 else blocks
             at = first + size - 1
             limit = np.minimum(first + SEGMENT + size - 1, stop)
             live = at < limit
             at, limit = at[live], limit[live]
             while len(at):
-                jump = group["shift"][_slot(key_of[at])].astype(np.int64)
+                jump = group.shift[_slot(key_of[at], group.bits)].astype(np.int64)
                 zero = np.flatnonzero(jump == 0)
                 if len(zero):
-                    here, suffix = at[zero], key_of[at[zero]]
-                    place = np.searchsorted(group["suffixes"], suffix)
-                    place[place == len(group["suffixes"])] = 0
-                    for k in np.flatnonzero(group["suffixes"][place] == suffix):
-                        if lowered is None:
-                            lowered = LOWER[data]
-                        begin = int(here[k]) - size + 1
+                    begins = at[zero] - size + 1
+                    low, high = group.bucket(key_of[at[zero]], group.whole(hashed, begins))
+                    for k in np.flatnonzero(low < high).tolist():
+                        lowered = LOWER[data] if lowered is None else lowered
+                        begin = int(begins[k])
                         said = b" ".join(lowered[start[i] : end[i]].tobytes() for i in range(begin, begin + size))
-                        for key, owners in group["buckets"][int(suffix[k])]:
-                            if key == said:
-                                found.append((begin, size, owners))
+                        owners = self._owners(group, range(int(low[k]), int(high[k])), said)
+                        if owners:
+                            found.append((begin, size, owners))
                     jump[zero] = 1
                 at = at + jump
                 live = at < limit
@@ -148,11 +184,11 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     block, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
     for item, text in rows.toLocalIterator():
-        if block and size + len(text) > block_bytes:
+        if block and size + len(text.encode()) > block_bytes:
             yield block
             block, size = [], 0
         block.append((item, text))
-        size += len(text)
+        size += len(text.encode())
     if block:
         yield block
 

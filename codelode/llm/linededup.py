@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.llm.workspace import materialize, small
+from codelode.llm.workspace import materialize, one_of_each, small
 
 #: Words of the shortest passage that is found wherever it begins.
 WORDS = 50
@@ -101,20 +101,21 @@ def _places(df: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.length(text_col) >= 2 * LEAST - 1).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    """One row for each id and text, however often it repeats."""
+    return one_of_each(docs.where(F.length(text_col) >= 2 * LEAST - 1).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")), "_id", "_th")
 
 
 def _same_text(ids: str, hashes: str) -> Column:
     return F.col("_id").eqNullSafe(F.col(ids)) & (F.col("_th") == F.col(hashes))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(texts: DataFrame) -> DataFrame:
     """(_sid, _sth, _runs): of a text, the chunks to compare, structs (cuts, source).
 
     cuts: the first words of its lines, and the end; source: the id of the
     document that has its lines first.
     """
-    lines = materialize(with_lines(_texts(docs, id_col, text_col), F.col("_text")).drop("_text").where(F.size("_pair") > 0), "line-pairs")
+    lines = materialize(with_lines(texts, F.col("_text")).drop("_text").where(F.size("_pair") > 0), "line-pairs")
     counted = lines.select("_id", F.explode("_pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"), F.min("_id").alias("source"))
     often = materialize(counted.where("n > 1").select("pair", "source"), "line-often")
     places = _places(lines.select("_id", "_th", "_pair")).select("_id", "_th", F.inline("_places"))
@@ -158,8 +159,8 @@ def _leading(equal: str) -> Column:
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_gid, _gth, _runs) with the runs of words to remove: structs (from, to), the end exclusive, in order."""
-    runs = materialize(candidates(docs, id_col, text_col), "line-runs")
     texts = _texts(docs, id_col, text_col)
+    runs = materialize(candidates(texts), "line-runs")
     near = held(texts.join(small(runs, 32 + 48 * F.size("_runs")), _same_text("_sid", "_sth")).drop("_sid", "_sth"), _w=_words(F.col("_text"))).drop("_text")
     near = near.select("_id", "_th", "_w", F.inline("_runs")).withColumns({"from": F.get("cuts", F.lit(0)), "to": F.element_at("cuts", -1)})
 

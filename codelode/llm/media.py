@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.arrowtext import slices, text_bytes
-from codelode.llm.workspace import materialize
+from codelode.llm.workspace import materialize, one_of_each, small
 
 UNIT = 64
 MIN, MASK, MAX = 512, (1 << 11) - 1, 16_384
@@ -89,9 +89,7 @@ def read_manifest(raw: bytes) -> tuple[int, list[tuple[bytes, int]]]:
 
 
 _OWN = pa.struct([("at", pa.int32()), ("shared", pa.bool_()), ("data", pa.binary())])
-#: Rows of a plan up to which it is broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 500_000
-#: Payloads that are put together at once.
+#: Descriptions that are handed on at once.
 REBUILT = 256
 
 
@@ -136,10 +134,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     foreign: (key, at, owner, owner_at) of every chunk owned elsewhere.
     """
     # of a text, as its key is: tells rows with one id apart
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), sha.alias("_sha"))
     kind = source.schema["_id"].dataType.simpleString()
-    listed = materialize(source.mapInArrow(_list, f"_id {kind}, _sha string, n_bytes long, key binary, digests array<binary>"), "media-list")
+    listed = materialize(source.mapInArrow(_list, f"_id {kind}, _sha binary, n_bytes long, key binary, digests array<binary>"), "media-list")
     references = listed.drop("digests", "_sha")
     # one document stands for each payload
     chosen = listed.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull(), "_id"))["_id"].alias("_id"), F.first("_sha").alias("_sha"), F.first("digests").alias("digests"))
@@ -151,9 +149,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     plan = linked.groupBy("_id", "_sha").agg(F.collect_list(F.when(~mine, F.col("at"))).alias("_away"), F.collect_list(F.when(mine, F.col("at"))).alias("_shared"))
     spare = listed.select("_id", "_sha", "key").join(chosen.select("key", F.col("_id").alias("_first")), "key").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_sha").distinct()
     plan = materialize(plan.unionByName(spare.select("_id", "_sha", F.array(F.lit(-1)).alias("_away"), F.array().cast("array<int>").alias("_shared"))).groupBy("_id", "_sha").agg(F.flatten(F.collect_list("_away")).alias("_away"), F.flatten(F.collect_list("_shared")).alias("_shared")), "media-plan")
-    side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    side = small(plan, F.lit(80) + 4 * (F.size("_away") + F.size("_shared")))
     side = side.withColumnsRenamed({"_id": "_p", "_sha": "_psha"})
-    todo = source.join(side, F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_sha") == F.col("_psha")), "left").drop("_p", "_sha", "_psha")
+    # rows that repeat in id and text are stored once
+    todo = one_of_each(source, "_id", "_sha", listed=listed).join(side, F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_sha") == F.col("_psha")), "left").drop("_p", "_sha", "_psha")
     objects = materialize(todo.mapInArrow(_keep, "key binary, manifest binary, whole boolean, any_shared boolean, own array<struct<at:int,shared:boolean,data:binary>>"), "media-store")
     return references, objects, foreign
 
@@ -175,7 +174,8 @@ _FEATURES = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 l
 def _rebuild(batches):
     for batch in (b.slice(at, REBUILT) for b in batches for at in range(0, b.num_rows, REBUILT)):
         rows = []
-        for key, raw, own, borrowed in zip(*(batch.column(c).to_pylist() for c in ("key", "manifest", "own", "borrowed"))):
+        # one payload at a time
+        for key, raw, own, borrowed in (tuple(batch.column(c)[r].as_py() for c in ("key", "manifest", "own", "borrowed")) for r in range(batch.num_rows)):
             n_bytes, listed = read_manifest(raw)
             found = {c["at"]: c["data"] for c in [*own, *(borrowed or ())]}
             for k, (digest, size) in enumerate(listed):

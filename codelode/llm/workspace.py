@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/codelode/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scratch/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -46,6 +46,19 @@ def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+def one_of_each(df: DataFrame, *keys: str, listed: DataFrame | None = None) -> DataFrame:
+    """``df`` with one row of those that are equal in ``keys``; only such rows are shuffled, all others stay where they are.
+
+    listed: a table that has the same keys, as often, and is cheaper to read.
+    """
+    met = [F.col(k).eqNullSafe(F.col(f"{k}_again")) for k in keys]
+    again = (df if listed is None else listed).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"{k}_again") for k in keys])
+    if again.isEmpty():
+        return df
+    again = small(materialize(again, "again"), F.lit(64))
+    return df.join(again, met, "left_anti").unionByName(df.join(again, met, "left_semi").dropDuplicates(list(keys)))
+
+
 def free_name(df: DataFrame, wish: str = "_n") -> str:
     """A column name that ``df`` doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -81,6 +81,17 @@ def test_line_dedup_resists_shifts_and_leaves_unique_texts(spark):
     assert rows[1].text == "Some. Other words here. Longer! End."
 
 
+def test_line_dedup_of_very_often_repeated_rows(spark):
+    rng = random.Random(8)
+    passage = "".join(sentence(rng) for _ in range(12))
+    first, second = "One. " + passage, "Another start. " + passage + "And its end."
+    docs = [(1, first, "en", "s"), (2, second, "en", "s")] * 1000 + [(3, "short", "en", "s")]
+    rows = linededup.remove_repeats(frame(spark, docs)).collect()
+    texts = {i: {r.text for r in rows if r.doc_id == i} for i in (1, 2, 3)}
+    assert len(rows) == 2001 and texts[1] == {first} and texts[3] == {"short"}
+    assert len(texts[2]) == 1 and len(texts[2].pop().split()) < 20
+
+
 def test_line_dedup_broadcast_or_not(spark, monkeypatch):
     both = []
     for bound in (0, 1 << 40):

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from codelode.llm import dac, decontaminate, langid, media, packing, tokens, urlrules
+from codelode.llm import dac, decontaminate, langid, media, packing, tokens, urlrules, workspace
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -64,6 +64,22 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert all(tuple(r)[1:] == want[r.doc_id] for r in got)
 
 
+def test_searcher_of_a_large_block_is_small_and_skips():
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in ("ka", "to", "mi", "re", "so", "la", "nu", "pe") for b in range(2000)]
+    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(3000)]
+    searcher = decontaminate.Searcher(items)
+    n_bytes = sum(len(t) for _, t in items)
+    held = sum(a.nbytes for g in searcher.groups for a in (g.first, g.suffix, g.hash, g.shift)) + sum(a.nbytes for a in (searcher.data, searcher.start, searcher.end))
+    (group,) = searcher.groups
+    assert held < 16 * n_bytes and (group.shift == 0).mean() < 0.1 and len(group.first) == 3000 * 51
+    # a window that many items share, and one that differs in a middle word
+    shared = " ".join(vocabulary[:10])
+    many = decontaminate.Searcher([(str(i), f"{shared} tail{i}") for i in range(300)] + [("odd", " ".join([*vocabulary[:4], "other", *vocabulary[5:10]]))])
+    _, hits = many.judge(pa.array([f"before {shared} after", shared.upper().replace(vocabulary[4].upper(), "OTHER"), shared[:-1]]))
+    assert hits[0] == ([(1, 11)], {str(i) for i in range(300)}) and hits[1] == ([(0, 10)], {"odd"}) and 2 not in hits
+
+
 def test_decontamination_keeps_clean_documents_and_columns(spark):
     docs = frame(spark, odd_documents())
     items = frame(spark, [(1, "gamma the of x1 alpha the of gamma x1 of the")], "item_id long, text string")
@@ -283,9 +299,9 @@ def test_media_round_trip(spark):
     assert media.rebuild(*media.store(frame(spark, []))).count() == 0
 
 
-@pytest.mark.parametrize("bound", [0, 1 << 40])
+@pytest.mark.parametrize("bound", [-1, 1 << 40])
 def test_media_rows_of_one_id(spark, monkeypatch, bound):
-    monkeypatch.setattr(media, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", bound)
     rng = random.Random(10)
     body = "".join(chr(rng.randrange(97, 123)) for _ in range(20_000))
     docs = [(7, "A", "x", "s"), (7, "B", "x", "s"), (3, "A", "x", "s"), (None, "A", "x", "s"), (None, "C", "x", "s"), (None, None, "x", "s"), (8, "", "x", "s")]
@@ -295,6 +311,31 @@ def test_media_rows_of_one_id(spark, monkeypatch, bound):
     assert sorted(map(repr, ((r.doc_id, r.payload_sha256) for r in rows))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("bound", [-1, 1 << 40])
+def test_media_stores_repeated_rows_once(spark, monkeypatch, bound):
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", bound)
+    rng = random.Random(11)
+    body = "".join(chr(rng.randrange(97, 123)) for _ in range(40_000))
+    one = [(1, body, "x", "s"), (2, "ahead " + body, "x", "s"), (3, "alone", "x", "s")]
+    stored = lambda docs: sorted((r.key, len(c.data)) for r in media.store(frame(spark, docs))[1].collect() for c in r.own)
+    assert stored(one[:2] * 1000 + one[2:]) == stored(one)
+    assert media.rebuild(*media.store(frame(spark, one[:2] * 1000 + one[2:]))).count() == 2001
+
+
+def test_media_cuts_equal_brute_force():
+    rng = random.Random(12)
+    for n in (1, 64, media.MIN, media.MIN + 1, 5000, 70_000):
+        for payload in (bytes(rng.randrange(256) for _ in range(n)), bytes(n), b"ab" * (n // 2)):
+            h, ends, last = 0, [], 0
+            for i, b in enumerate(payload):
+                h = ((h << 1) + int(media.GEAR[b])) & 0xFFFFFFFF
+                size = i + 1 - last
+                if (h & media.MASK == 0 and size >= media.MIN) or size == media.MAX or i + 1 == len(payload):
+                    ends.append(i + 1)
+                    last = i + 1
+            assert [len(c) for c in media.chunk(payload)] == [b - a for a, b in zip([0, *ends], ends)]
+
+
 def test_media_missing_payload_is_an_error(spark):
     references, objects, foreign = media.store(frame(spark, [(1, "A", "x", "s"), (2, "B", "x", "s")]))
     with pytest.raises(Exception, match="isn't in the store"):
