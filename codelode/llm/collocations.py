@@ -17,7 +17,8 @@ scores need is among the counts that reach the threshold.
 
 The sketch has a cell for each ``CELL_BYTES`` bytes of text, up to
 ``MAX_CELLS``. Beyond, more phrases pass and are counted for nothing; results
-don't depend on it.
+don't depend on it. A task's cells are mostly empty, and travel compressed: what
+it sends is in proportion to what it has read, however large the sketch is.
 
 Edge cases: null text is empty, and has no words; null languages count as
 ``und``; repeated rows count each; equal scores are ranked by count, then by
@@ -34,7 +35,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +44,12 @@ from codelode.llm.workspace import materialize, small
 
 WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bytes of text for each cell of a sketch row, and cells at least and at most.
-CELL_BYTES, MIN_CELLS, MAX_CELLS = 256, 1 << 16, 1 << 24
+CELL_BYTES, MIN_CELLS, MAX_CELLS = 64, 1 << 16, 1 << 24
 #: Cells that one row of a written sketch holds.
-BLOCK = 1 << 15
-SLICE_BYTES = 8 << 20
+BLOCK = 1 << 18
+SLICE_BYTES = 4 << 20
+#: Counts that a task holds before it hands them on.
+HELD = 1_000_000
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?"]] = _ENDS[0x0A:0x0E] = True
@@ -108,6 +111,11 @@ def _starts_passing(at: np.ndarray, k: int, last: np.ndarray) -> np.ndarray:
     return last[at] & last[at + 1] if k > 1 else np.ones(len(at), bool)
 
 
+def _sketch_rows(**columns: list) -> pa.RecordBatch:
+    kinds = {"block": pa.int32(), "cells": pa.binary(), "lang": pa.string(), "n": pa.int64()}
+    return pa.RecordBatch.from_pydict({c: pa.array(columns[c], kind) for c, kind in kinds.items()})
+
+
 def sketch(docs: DataFrame, text_col: str, lang_col: str, cells: int, least: int, most: int, pairs: Bits | None = None) -> tuple[Bits, DataFrame]:
     """The sketch's bits, and (lang, n): all words of each language.
 
@@ -119,8 +127,12 @@ def sketch(docs: DataFrame, text_col: str, lang_col: str, cells: int, least: int
     known = None if pairs is None else spark.sparkContext.broadcast(pairs)
     kind = next(t for t in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(t).max)
 
+    width = min(BLOCK, cells)
+
     def count(batches):
-        table = np.zeros((2, cells), np.uint32)
+        table = np.zeros((2, cells), np.uint16 if least < 1 << 15 else np.uint32)
+        # so many at once that no cell overflows before it is clipped
+        step = int(np.iinfo(table.dtype).max) - least
         n: dict[str, int] = {}
         for part in slices(batches, "_text", SLICE_BYTES):
             said = Slice(part.column("_text"), part.column("_lang"))
@@ -138,29 +150,30 @@ def sketch(docs: DataFrame, text_col: str, lang_col: str, cells: int, least: int
                     for j in range(1, k - 1):
                         whole &= linked[at + j]
                     hashed = hashed[whole]
-                for r, cell in enumerate(_cells(hashed, cells)):
-                    np.add.at(table[r], cell, np.uint32(1))
-        table = np.minimum(table, least).astype(kind)
-        width = min(BLOCK, cells)
-        task = TaskContext.get().partitionId()
-        for r in range(2):
-            for b in np.flatnonzero(table[r].reshape(-1, width).any(axis=1)).tolist():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([r * (cells // width) + b], pa.int32()), "task": pa.array([task], pa.int32()), "cells": pa.array([table[r, b * width : (b + 1) * width].tobytes()], pa.binary()), "lang": pa.array([None], pa.string()), "n": pa.array([None], pa.int64())})
+                for own, cell in zip(table, _cells(hashed, cells)):
+                    for some in (cell[i : i + step] for i in range(0, len(cell), step)):
+                        np.add.at(own, some, 1)
+                        own[some] = np.minimum(own[some], least)
+        pack = zstandard.ZstdCompressor(level=1)
+        blocks = table.astype(kind).reshape(-1, width)
+        used = np.flatnonzero(blocks.any(axis=1)).tolist()
+        for b in used:
+            yield _sketch_rows(block=[b], cells=[pack.compress(blocks[b].tobytes())], lang=[None], n=[None])
         if n:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([None] * len(n), pa.int32()), "task": pa.array([task] * len(n), pa.int32()), "cells": pa.array([None] * len(n), pa.binary()), "lang": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+            yield _sketch_rows(block=[None] * len(n), cells=[None] * len(n), lang=list(n), n=list(n.values()))
 
     def add(batches):
         # all tasks' versions of a block meet here, one at a time; the sums are no more than the sketch
         sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("cells")):
-                values = np.frombuffer(raw.as_buffer(), kind)
+                values = np.frombuffer(unpack.decompress(raw.as_py()), kind)
                 sums[block] = np.minimum(sums[block] + values, least) if block in sums else values.astype(np.uint32)
         for block, total in sums.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
 
-    made = materialize(docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).mapInArrow(count, "block int, task int, cells binary, lang string, n bigint"), "phrase-sketch")
-    width = min(BLOCK, cells)
+    made = materialize(docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).mapInArrow(count, "block int, cells binary, lang string, n bigint"), "phrase-sketch")
     packed = [np.zeros(cells // 8, np.uint8) for _ in range(2)]
     # a bit a cell: bounded by MAX_CELLS
     for block, bits in made.where("block is not null").select("block", "cells").repartition("block").mapInArrow(add, "block int, bits binary").toLocalIterator():
@@ -196,7 +209,7 @@ def guarded(said: Slice, lang: int) -> str:
     return out.tobytes().decode()
 
 
-def _matches(said: Slice, found: list[tuple[np.ndarray, int]], lang: int) -> tuple[list[str], np.ndarray]:
+def _matches(said: Slice, found: list[tuple[np.ndarray, int]], lang: int) -> tuple[list[str], list[int]]:
     """The phrases of one language, and how often each stands in the slice."""
     # a phrase is told by its text; two of one hash or more occurrences are one
     named: dict[str, None] = {}
@@ -213,10 +226,10 @@ def _matches(said: Slice, found: list[tuple[np.ndarray, int]], lang: int) -> tup
     for k, phrase in enumerate(phrases):
         automaton.add_word(f" {phrase} ", k)
     if not phrases:
-        return phrases, np.zeros(0, np.int64)
+        return phrases, []
     automaton.make_automaton()
     hits = np.fromiter(map(itemgetter(1), automaton.iter(guarded(said, lang))), np.int64)
-    return phrases, np.bincount(hits, minlength=len(phrases))
+    return phrases, np.bincount(hits, minlength=len(phrases)).tolist()
 
 
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -229,13 +242,22 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     longer, _ = sketch(source, "_text", "_lang", cells, least, most, pairs)
     known = spark.sparkContext.broadcast((pairs, longer))
 
+    def told(counts: dict[tuple[str, str], int]):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([x for _, x in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "f"])
+
     def scan(batches):
+        held: dict[tuple[str, str], int] = {}
         for part in slices(batches, "_text", SLICE_BYTES):
             said = Slice(part.column("_text"), part.column("_lang"))
             found = list(proposed(said, *known.value, most))
             for number, lang in enumerate(said.langs.dictionary.to_pylist()):
-                phrases, counts = _matches(said, found, number)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
+                for phrase, n in zip(*_matches(said, found, number)):
+                    held[lang, phrase] = held.get((lang, phrase), 0) + n
+            if len(held) >= HELD:
+                yield told(held)
+                held = {}
+        if held:
+            yield told(held)
 
     counted = source.mapInArrow(scan, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return materialize(counted.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f"), "phrase-counts"), totals

@@ -148,6 +148,7 @@ def test_collocations_do_not_depend_on_the_sketch(spark, monkeypatch):
     monkeypatch.setattr(collocations, "MAX_CELLS", 1 << 12)
     monkeypatch.setattr(collocations, "MIN_CELLS", 1 << 12)
     monkeypatch.setattr(collocations, "BLOCK", 64)
+    monkeypatch.setattr(collocations, "HELD", 20)
     assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows).repartition(7), least=12).collect()) == want
     assert collocations.collocations(frame(spark, [])).collect() == []
 
