@@ -15,10 +15,10 @@ is bounded by the slice, not by the corpus. Counts are summed in Spark; since a
 part of a phrase is at least as frequent as the phrase, everything that the
 scores need is among the counts that reach the threshold.
 
-The sketch has a cell for each ``CELL_BYTES`` bytes of text, up to
-``MAX_CELLS``. Beyond, more phrases pass and are counted for nothing; results
-don't depend on it. A task's cells are mostly empty, and travel compressed: what
-it sends is in proportion to what it has read, however large the sketch is.
+The sketch has ``CELLS`` cells a row, and there is one for each task; tasks are
+as many as the cluster's cores ask for, not as the input has splits, so what is
+sent of sketches doesn't grow with the corpus. In a corpus that fills all cells
+more phrases pass and are counted for nothing; results don't depend on it.
 
 Edge cases: null text is empty, and has no words; null languages count as
 ``und``; repeated rows count each; equal scores are ranked by count, then by
@@ -43,8 +43,10 @@ from codelode.llm.arrowtext import LOWER, gathered, mix, slices, text_bytes, wor
 from codelode.llm.workspace import materialize, small
 
 WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bytes of text for each cell of a sketch row, and cells at least and at most.
-CELL_BYTES, MIN_CELLS, MAX_CELLS = 64, 1 << 16, 1 << 24
+#: Cells of each of a sketch's two rows, a power of two.
+CELLS = 1 << 23
+#: Tasks for each core of the cluster: as many sketches and partial counts there are, however large the corpus is.
+TASKS_PER_CORE = 2
 #: Cells that one row of a written sketch holds.
 BLOCK = 1 << 18
 SLICE_BYTES = 4 << 20
@@ -130,9 +132,7 @@ def sketch(docs: DataFrame, text_col: str, lang_col: str, cells: int, least: int
     width = min(BLOCK, cells)
 
     def count(batches):
-        table = np.zeros((2, cells), np.uint16 if least < 1 << 15 else np.uint32)
-        # so many at once that no cell overflows before it is clipped
-        step = int(np.iinfo(table.dtype).max) - least
+        table = np.zeros((2, cells), np.uint32)
         n: dict[str, int] = {}
         for part in slices(batches, "_text", SLICE_BYTES):
             said = Slice(part.column("_text"), part.column("_lang"))
@@ -151,9 +151,8 @@ def sketch(docs: DataFrame, text_col: str, lang_col: str, cells: int, least: int
                         whole &= linked[at + j]
                     hashed = hashed[whole]
                 for own, cell in zip(table, _cells(hashed, cells)):
-                    for some in (cell[i : i + step] for i in range(0, len(cell), step)):
-                        np.add.at(own, some, 1)
-                        own[some] = np.minimum(own[some], least)
+                    np.add.at(own, cell, np.uint32(1))
+            np.minimum(table, np.uint32(least), out=table)
         pack = zstandard.ZstdCompressor(level=1)
         blocks = table.astype(kind).reshape(-1, width)
         used = np.flatnonzero(blocks.any(axis=1)).tolist()
@@ -236,10 +235,9 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     """(lang, phrase, k, f) of all phrases of 1 to ``most`` words that occur ``least`` times, and (lang, n): all words."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("_lang"))
-    n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    cells = min(max(MIN_CELLS, 1 << (n_bytes // CELL_BYTES).bit_length()), MAX_CELLS)
-    pairs, totals = sketch(source, "_text", "_lang", cells, least, most)
-    longer, _ = sketch(source, "_text", "_lang", cells, least, most, pairs)
+    source = source.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    pairs, totals = sketch(source, "_text", "_lang", CELLS, least, most)
+    longer, _ = sketch(source, "_text", "_lang", CELLS, least, most, pairs)
     known = spark.sparkContext.broadcast((pairs, longer))
 
     def told(counts: dict[tuple[str, str], int]):

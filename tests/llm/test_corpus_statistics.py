@@ -142,11 +142,9 @@ def test_collocations_equal_brute_force(spark, monkeypatch, slice_bytes):
 def test_collocations_do_not_depend_on_the_sketch(spark, monkeypatch):
     rows = phrase_rows(5)
     want = brute_collocations([(t, la) for _, t, la, _ in rows], 12)
-    monkeypatch.setattr(collocations, "MIN_CELLS", 8)
-    monkeypatch.setattr(collocations, "MAX_CELLS", 8)
+    monkeypatch.setattr(collocations, "CELLS", 8)
     assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows), least=12).collect()) == want
-    monkeypatch.setattr(collocations, "MAX_CELLS", 1 << 12)
-    monkeypatch.setattr(collocations, "MIN_CELLS", 1 << 12)
+    monkeypatch.setattr(collocations, "CELLS", 1 << 12)
     monkeypatch.setattr(collocations, "BLOCK", 64)
     monkeypatch.setattr(collocations, "HELD", 20)
     assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows).repartition(7), least=12).collect()) == want
