@@ -21,13 +21,12 @@ def around(intervals: DataFrame, points: DataFrame, group: str = "path", start:
     """
     spans, asked = {c: f"_i{k}" for k, c in enumerate(intervals.columns)}, {c: f"_p{k}" for k, c in enumerate(points.columns)}
     # columns, not structs: the optimizer can't prune structs that windows pass on
-    own = intervals.select(F.col(group).alias("_g"), F.col(start).cast("long").alias("_from"), F.col(end).cast("long").alias("_to"), *[F.col(c).alias(n) for c, n in spans.items()])
     # of one place: first what opens there (the longer one first), then points, then what closes
-    opens = own.select("_g", F.col("_from").alias("_at"), F.lit(0).alias("_turn"), (-F.col("_to")).alias("_tie"), F.lit(1).alias("_step"), *spans.values())
-    closes = own.select("_g", F.col("_to").alias("_at"), F.lit(2).alias("_turn"), F.lit(0).cast("long").alias("_tie"), F.lit(-1).alias("_step"))
+    opens, closes = (F.struct(place.cast("long").alias("_at"), F.lit(turn).alias("_turn"), tie.cast("long").alias("_tie"), F.lit(step).alias("_step")) for place, turn, tie, step in ((F.col(start), 0, -F.col(end), 1), (F.col(end), 2, F.lit(0), -1)))
+    own = intervals.select(F.col(group).alias("_g"), F.inline(F.array(opens, closes)), *[F.col(c).alias(n) for c, n in spans.items()])
     asks = points.select(F.col(group).alias("_g"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(0).cast("long").alias("_tie"), F.lit(0).alias("_step"), *[F.col(c).alias(n) for c, n in asked.items()])
     order = ["_at", "_turn", "_tie"]
-    events = opens.unionByName(closes, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True)
+    events = own.unionByName(asks, allowMissingColumns=True)
     events = events.withColumn("_depth", F.sum("_step").over(_running(["_g"], order))).where("_step >= 0 and _depth > 0")
     least = F.lit(1) if least is None else least
     levels = F.when(F.col("_step") == 1, F.array("_depth")).when(least <= F.col("_depth"), F.sequence(least.cast("long"), F.col("_depth"))).otherwise(F.array().cast("array<bigint>"))
@@ -38,6 +37,19 @@ def around(intervals: DataFrame, points: DataFrame, group: str = "path", start:
     return found.select(*[F.col(n).alias(c) for c, n in asked.items()], F.struct(*[F.col(n).alias(c) for c, n in spans.items()]).alias("around"), F.col("depth").cast("int").alias("depth"))
 
 
+def with_parent(intervals: DataFrame, group: str = "path", start: str = "start", end: str = "end", name: str = "name", into: str = "parent") -> DataFrame:
+    """Intervals, nested or apart, with the ``name`` of the innermost one around each (``into``); one pass over them."""
+    held = {c: f"_i{k}" for k, c in enumerate(intervals.columns)}
+    opens, closes = (F.struct(place.cast("long").alias("_at"), tie.cast("long").alias("_tie"), F.lit(step).alias("_step")) for place, tie, step in ((F.col(start), -F.col(end), 1), (F.col(end), F.lit(1), -1)))
+    events = intervals.select(F.col(group).alias("_g"), F.inline(F.array(opens, closes)), *[F.col(c).alias(n) for c, n in held.items()])
+    opened = events.withColumn("_depth", F.sum("_step").over(_running(["_g"], ["_at", "_tie"]))).where("_step = 1")
+    # at its own depth it may become a parent, one above it looks for its own
+    keyed = opened.withColumn("_key", F.explode(F.array(F.col("_depth"), F.col("_depth") - 1)))
+    here = _running(["_g", "_key"], ["_at", "_tie"])
+    found = keyed.withColumn("_parent", F.max_by(held[name], F.when(F.col("_key") == F.col("_depth"), F.struct("_at", -F.col("_tie")))).over(here)).where("_key < _depth")
+    return found.select(*[F.col(n).alias(c) for c, n in held.items()], F.col("_parent").alias(into))
+
+
 def innermost(intervals: DataFrame, points: DataFrame, group: str = "path", start: str = "start", end: str = "end", at: str = "at") -> DataFrame:
     """Points with the innermost interval around each; points outside of all are left out."""
     return around(intervals, points, group, start, end, at, least=F.col("_depth")).drop("depth")

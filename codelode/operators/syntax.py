@@ -74,11 +74,11 @@ def _not_called(token: Column) -> Column:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(path, language, pos, line, token, kind, first, indent, depth, match, shape) of all tokens but comments and line ends.
+    """(path, language, pos, line, token, kind, first, indent, depth, match, match_line, shape) of all tokens but comments and line ends.
 
     kind: name, number, string, sign; first: whether a line begins here, then
     with its indent; depth: brackets around; match: where the bracket's other
-    half stands; shape: at a closing parenthesis, what stands before its opening
+    half stands, match_line: its line, of an opening one; shape: at a closing parenthesis, what stands before its opening
     one (token, pos, line).
     """
     family = F.try_element_at(_by_language({k: v[0] for k, v in LANGUAGES.items()}), F.col("language"))
@@ -110,6 +110,7 @@ def tokens(files: DataFrame) -> DataFrame:
     return found.select(
         "path", "language", "pos", "line", "token", "kind", "first", "indent", "depth",
         F.when(F.col("_open"), F.lead("pos").over(pairs)).when(F.col("_close"), F.lag("pos").over(pairs)).alias("match"),
+        F.when(F.col("_open"), F.lead("line").over(pairs)).alias("match_line"),
         F.when(F.col("_close"), F.lag("_ahead").over(pairs)).alias("shape"),
     )
 
@@ -118,10 +119,11 @@ def definitions(found: DataFrame) -> DataFrame:
     """(path, name, kind, start, end, start_line, end_line, parent): symbols, with the places of their first and last token."""
     kinds = _by_language({f"{language} {word}": kind for language, (_, words, _) in LANGUAGES.items() for word, kind in words.items()})
     own = Window.partitionBy("path").orderBy("pos")
-    last = F.max("pos").over(Window.partitionBy("path"))
+    last = F.max(F.struct("pos", "line")).over(Window.partitionBy("path"))
     rows = found.withColumns({
         "_kind": F.when(F.col("kind") == "name", F.try_element_at(kinds, F.concat_ws(" ", "language", "token"))),
         "_next": F.struct(F.lead("token").over(own).alias("token"), F.lead("kind").over(own).alias("kind")), "_prev": F.lag("token").over(own), "_held": F.lag("shape").over(own), "_last": last,
+        "_ahead": F.struct(F.lag("pos").over(own).alias("pos"), F.lag("line").over(own).alias("line")),
     })
     # a method with a receiver: the name after the parentheses that follow the keyword
     received = (F.col("language") == "Go") & (F.col("_prev") == ")") & (F.col("_held.token") == "func") & (F.col("kind") == "name")
@@ -132,12 +134,13 @@ def definitions(found: DataFrame) -> DataFrame:
     # the body's brace: the next at this depth, unless a statement ends or another definition begins before
     braces = rows.where(F.col("token").isin("{", ";") & (F.col("kind") == "sign") | F.col("_def").isNotNull())
     after = Window.partitionBy("path", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    here = F.struct("token", F.col("pos").alias("at"), "match")
+    here = F.struct("token", F.col("pos").alias("at"), "match", "match_line")
     braces = braces.withColumn("_body", F.when(F.col("token") == "{", here).otherwise(F.last(here).over(after))).where("_def is not null and language <> 'Python'")
     # a shaped function may also be one by its keyword: function f() {
-    end = F.when(F.col("_body.token") == "{", F.coalesce("_body.match", "_last")).otherwise(F.col("pos") + 1)
-    braced = braces.select("path", "_def.*", end.alias("end")).groupBy("path", "name", "end").agg(F.min_by(F.struct("kind", "start", "start_line"), "start").alias("s")).select("path", "name", "s.*", "end")
-    return _with_parents(braced.unionByName(_indented(rows)), found)
+    body = F.col("_body.token") == "{"
+    ends = {"end": F.when(body, F.coalesce("_body.match", "_last.pos")).otherwise(F.col("pos") + 1), "end_line": F.when(body, F.coalesce("_body.match_line", "_last.line")).otherwise(F.col("line"))}
+    braced = braces.select("path", "_def.*", *[c.alias(n) for n, c in ends.items()]).groupBy("path", "name", "end", "end_line").agg(F.min_by(F.struct("kind", "start", "start_line"), "start").alias("s")).select("path", "name", "s.*", "end", "end_line")
+    return nested.with_parent(braced.unionByName(_indented(rows)))
 
 
 def _indented(rows: DataFrame) -> DataFrame:
@@ -150,20 +153,11 @@ def _indented(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("path").orderBy("pos")
     # async stands before the keyword on its line
     lines = python.where("(first and depth = 0) or _def is not null").withColumn("indent", F.when(F.col("first"), F.col("indent")).otherwise(F.lag("indent").over(own)))
-    stop = F.lit(None).cast("int")
+    stop = F.lit(None).cast("struct<pos:int,line:bigint>")
     for width in widths:
-        stop = F.when(F.col("indent") == width, F.last(F.when(F.col("first") & (F.col("indent") <= width), F.col("pos")), ignorenulls=True).over(back)).otherwise(stop)
-    return lines.withColumn("_stop", stop).where("_def is not null").select("path", "_def.name", "_def.kind", "_def.start", "_def.start_line", F.coalesce(F.col("_stop") - 1, "_last").alias("end"))
-
-
-def _with_parents(spans: DataFrame, found: DataFrame) -> DataFrame:
-    # the last token at or before the end gives the end's line; comments and line ends leave gaps in the places
-    ends = spans.select("path", F.col("end").alias("pos"), F.struct(*[c for c in spans.columns if c != "path"]).alias("_s"), F.lit(None).cast("bigint").alias("line")).unionByName(found.select("path", "pos", F.lit(None).cast(spans.select(F.struct(*[c for c in spans.columns if c != "path"]).alias("s")).schema["s"].dataType).alias("_s"), F.col("line").cast("bigint").alias("line")))
-    order = Window.partitionBy("path").orderBy("pos", F.col("_s").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    closed = ends.withColumn("end_line", F.last("line", ignorenulls=True).over(order)).where("_s is not null").select("path", "_s.*", "end_line")
-    outer = nested.around(closed.select("path", "name", "kind", "start", "end"), closed.withColumn("at", F.col("start")), least=F.greatest(F.col("_depth") - 1, F.lit(1)))
-    # around its own start stand itself and, if there is one, its parent
-    return outer.groupBy("path", "name", "kind", "start", "end", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line")).agg(F.max(F.when(F.col("around.start") < F.col("start"), F.struct(F.col("around.start").alias("s"), F.col("around.name").alias("name"))))["name"].alias("parent"))
+        stop = F.when(F.col("indent") == width, F.last(F.when(F.col("first") & (F.col("indent") <= width), F.col("_ahead")), ignorenulls=True).over(back)).otherwise(stop)
+    found = lines.withColumn("_stop", F.coalesce(stop, "_last")).where("_def is not null")
+    return found.select("path", "_def.name", "_def.kind", "_def.start", "_def.start_line", F.col("_stop.pos").alias("end"), F.col("_stop.line").alias("end_line"))
 
 
 def complexity(found: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -205,3 +199,29 @@ def clone_hashes(found: DataFrame, symbols: DataFrame, elide_names: bool = False
     own = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("token") == F.col("around.name"), F.lit("self")).otherwise(F.col("text")).alias("text"))))
     key = [F.col(f"around.{c}").alias(c) for c in ("name", "start", "start_line", "end_line")]
     return met.groupBy("path", *key).agg(F.sha2(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), 256).alias("hash")).select("path", "name", "start_line", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"), "hash")
+
+
+def imports(found: DataFrame) -> DataFrame:
+    """(file, module, name, alias, line) of Python's import statements and Rust's use declarations, nested groups included."""
+    own = Window.partitionBy("path").orderBy("pos")
+    python, rust = F.col("language") == "Python", F.col("language") == "Rust"
+    fresh = python & F.col("first") & (F.col("depth") == 0)
+    begins = fresh & F.col("token").isin("import", "from") | rust & (F.col("token") == "use") & (F.col("kind") == "name")
+    ends = fresh | rust & (F.col("token") == ";")
+    said = F.last(F.when(begins, F.col("pos")).when(ends, F.lit(-1)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.where(python | rust).withColumn("stmt", said).where("stmt >= 0").select("path", "language", "pos", "line", "token", "kind", "match", "stmt")
+    one = Window.partitionBy("path", "stmt").orderBy("pos")
+    near = {f"_{'b' if by > 0 else 'a'}{abs(by)}": F.lag("token", by).over(one) if by > 0 else F.lead("token", -by).over(one) for by in (1, 2, -1, -2)}
+    rows = rows.withColumns(near | {"_verb": F.first("token").over(one)}).withColumns({"_module": F.when(F.col("_verb") == "from", F.max(F.when((F.col("_b1") == "from") & (F.col("kind") == "name"), F.col("token"))).over(Window.partitionBy("path", "stmt")))})
+    alias = F.when(F.col("_a1") == "as", F.col("_a2"))
+    listed = F.col("_b1").isin("import", ",", "(", "*") & (F.col("kind") == "name") | (F.col("token") == "*") & (F.col("_b1") == "import")
+    plain = rows.where((F.col("language") == "Python") & listed & (F.col("token") != "import")).select("path", F.col("_module").alias("module"), F.col("token").alias("name"), alias.alias("alias"), "line")
+    uses = rows.where("language = 'Rust'")
+    groups = uses.where("token = '{'").select("path", F.col("pos").alias("start"), F.coalesce("match", F.col("pos")).alias("end"), F.when(F.col("_b1") == "::", F.col("_b2")).alias("prefix"), F.col("stmt").alias("of"))
+    star = (F.col("token") == "*") & (F.col("_b1") == "::")
+    leaf = uses.where(((F.col("kind") == "name") & (F.col("token") != "as") & ~F.coalesce(F.col("_a1") == "::", F.lit(False)) & ~F.coalesce(F.col("_b1") == "as", F.lit(False)) & (F.col("pos") > F.col("stmt"))) | star)
+    leaf = leaf.select("path", "stmt", F.col("pos").alias("at"), "line", F.when(star, F.concat_ws("::", "_b2", "token")).otherwise(F.col("token")).alias("said"), alias.alias("alias"))
+    met = nested.around(groups, leaf).where(F.col("around.of") == F.col("stmt")).groupBy("path", "at").agg(F.array_sort(F.collect_list(F.struct("depth", F.col("around.prefix").alias("p")))).alias("_p"))
+    full = leaf.join(met, ["path", "at"], "left").withColumn("_full", F.concat_ws("::", F.coalesce(F.transform("_p", lambda x: x["p"]), F.array().cast("array<string>")), "said"))
+    full = full.select("path", F.nullif(F.regexp_extract("_full", "^(.*)::([^:]+)$", 1), F.lit("")).alias("module"), F.regexp_extract("_full", "([^:]+)$", 1).alias("name"), "alias", "line")
+    return plain.unionByName(full).select(F.col("path").alias("file"), "module", "name", "alias", F.col("line").cast("long").alias("line"))

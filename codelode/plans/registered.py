@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +12,7 @@ from codelode.functions import jq
 from codelode.functions.text import extension, normal_path
 from codelode.operators import callgraph, edits, packages, quality, refs, rules, search, sessions, tree
 from codelode.plans import upkeep
-from codelode.sources import python_code
+from codelode.scratch import folder
 from codelode.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,56 +674,12 @@ def normalized_paths(spark, sf_dir):
     return A.files(spark, sf_dir).select("path", normal_path(F.col("path")).alias("normal"))
 
 
-# ---- streams and code (rows only) ------------------------------------------------------------
-
-#: A fixture in the code domain: path to source.
-SOURCES = {
-    "src/shapes.py": "import math\n\n\nclass Shape:\n    '''A shape.'''\n\n    def area(self):\n        return 0\n\n    def describe(self):\n        return self.area()\n\n\nclass Circle(Shape):\n    def __init__(self, r):\n        self.r = r\n\n    def area(self):\n        return math.pi * self.r ** 2\n",
-    "src/report.py": "from shapes import Circle\n\n\ndef total(radii):\n    out = 0\n    for r in radii:\n        if r > 0 and r < 99:\n            out += Circle(r).area()\n    return out\n",
-}
-
-
-def _sources(spark):
-    return spark.createDataFrame(list(SOURCES.items()), "path string, content string")
-
-
-@query(
-    """SELECT * FROM (VALUES ('src/shapes.py', 'Shape', 'class', 4, 11, NULL, NULL), ('src/shapes.py', 'area', 'method', 7, 8, 'Shape', 1), ('src/shapes.py', 'describe', 'method', 10, 11, 'Shape', 1),
-       ('src/shapes.py', 'Circle', 'class', 14, 19, NULL, NULL), ('src/shapes.py', '__init__', 'method', 15, 16, 'Circle', 1), ('src/shapes.py', 'area', 'method', 18, 19, 'Circle', 1), ('src/report.py', 'total', 'function', 4, 9, NULL, 4))
-       AS t(file, name, kind, start_line, end_line, parent, complexity)"""
-)
-def python_symbols(spark, sf_dir):
-    return python_code.relation(python_code.extract(_sources(spark)), "symbols").select("file", "name", "kind", "start_line", "end_line", "parent", "complexity")
-
-
-@query(
-    """SELECT * FROM (VALUES ('src/shapes.py', 'describe', 'area', 'self', 11), ('src/report.py', 'total', 'area', 'Circle(r)', 8), ('src/report.py', 'total', 'Circle', NULL, 8))
-       AS t(caller_file, caller_symbol, callee_name, callee_qualifier, line)"""
-)
-def python_calls(spark, sf_dir):
-    return python_code.relation(python_code.extract(_sources(spark)), "calls")
-
-
-@query("""SELECT * FROM (VALUES ('src/shapes.py', NULL, 'math', NULL, 1), ('src/report.py', 'shapes', 'Circle', NULL, 1)) AS t(file, module, name, alias, line)""")
-def python_imports(spark, sf_dir):
-    return python_code.relation(python_code.extract(_sources(spark)), "imports")
-
-
-def _shared(spark) -> str:
-    """The folder the cluster names; a temporary one only where tasks run beside the driver."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp()
-
+# ---- streams ------------------------------------------------------------
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS path, max(event_id) AS mtime, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id""")
 def stream_incremental_refresh(spark, sf_dir):
     """All events through a file stream into the latest state of each user."""
-    scratch = f"{_shared(spark)}/codelode/stream-{uuid.uuid4().hex}"
+    scratch = folder(spark, "stream")
     kept = A.table(spark, sf_dir, "events")
     # a file source reads folders only
     kept.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("mtime"), F.col("event_type").alias("status")).write.parquet(f"{scratch}/in")

@@ -118,3 +118,15 @@ def test_around_equals_brute_force(spark):
     assert got == sorted(want) and len(want) > 100
     inner = {(r.path or "", r.id): r.around.name for r in nested.innermost(intervals, asked).collect()}
     assert inner == {(g, k): name for g, k, _, name in sorted(want)}
+
+
+def test_imports(spark):
+    rust = "use std::{fs, io::{self, Read as R, buf::*}};\nuse a::b::c;\nuse x as y;\npub use q::*;\nfn f() { g(); }\nuse {one, two::{three}};\n"
+    python = "import os, sys as s\nfrom a.b import (c as d,\n  e)\nfrom . import k\nx = 1\nfrom m import *\n"
+    found = syntax.tokens(spark.createDataFrame([("a.rs", "Rust", rust), ("a.py", "Python", python)], "path string, language string, content string"))
+    got = {(r.file, r.module, r.name, r.alias, r.line) for r in syntax.imports(found).collect()}
+    assert got == {
+        ("a.rs", "std", "fs", None, 1), ("a.rs", "std::io", "self", None, 1), ("a.rs", "std::io", "Read", "R", 1), ("a.rs", "std::io::buf", "*", None, 1), ("a.rs", "a::b", "c", None, 2), ("a.rs", None, "x", "y", 3),
+        ("a.rs", "q", "*", None, 4), ("a.rs", None, "one", None, 6), ("a.rs", "two", "three", None, 6),
+        ("a.py", None, "os", None, 1), ("a.py", None, "sys", "s", 1), ("a.py", "a.b", "c", "d", 2), ("a.py", "a.b", "e", None, 3), ("a.py", None, "k", None, 4), ("a.py", "m", "*", None, 6),
+    }
