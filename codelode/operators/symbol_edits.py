@@ -1,147 +1,179 @@
-"""Edits of symbols by their lines: delete, replace, insert, move, copy, swap; pure functions of a file's text.
-
-A symbol is given by its first and last line (from 1). Text that goes in takes
-the symbol's indentation; blank lines around follow what stands there.
+"""Edits of symbols as an algebra of line rows: delete, replace, insert, move, copy, swap.
+
+Files become rows (path, line, text, ended). Edits name lines of the original:
+what goes is a set of lines (an anti-join), what comes is a list of texts at an
+anchor (a union, ordered by anchor and edit), and both read blank lines,
+indentation and container bodies around the symbol from windows over the rows.
+All edits of a batch see the original text; a batch with overlapping symbols
+leaves every file as it is.
+
+edits: edit_id (by place if left out), path, action, start_line, end_line, text. Actions: delete,
+replace, before, after, prepend, append; without lines, prepend and append mean
+the file, with them a container. Text that goes in takes the symbol's
+indentation, or the container's and four blanks.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _indent(text: str, by: str) -> list[str]:
-    return [by + x if x.strip() else x for x in text.split("\n")]
-
-
-def _lead(line: str) -> str:
-    return line[: len(line) - len(line.lstrip())]
-
-
-def _blank(lines: list[str], at: int, step: int) -> int:
-    """Blank lines from ``at`` on, in the direction of ``step``."""
-    n = 0
-    while 0 <= at < len(lines) and not lines[at].strip():
-        n, at = n + 1, at + step
-    return n
-
-
-def delete(content: str, first: int, last: int) -> str:
-    """Without the symbol's lines; if a blank line stands before, one that follows goes too."""
-    lines = content.split("\n")
-    before = first >= 2 and not lines[first - 2].strip() and first > 1
-    after = 1 if before and last < len(lines) - 1 and not lines[last].strip() else 0
-    return "\n".join(lines[: first - 1] + lines[last + after :])
-
-
-def replace(content: str, first: int, last: int, text: str) -> str:
-    lines = content.split("\n")
-    new = _indent(text.strip("\n"), _lead(lines[first - 1]))
-    return "\n".join(lines[: first - 1] + new + lines[last:])
-
-
-def insert(content: str, first: int, last: int, text: str, after: bool = False) -> str:
-    """Before or after the symbol, with as many blank lines between as the symbol has on that side, one at least."""
-    lines = content.split("\n")
-    new = _indent(text.strip("\n"), _lead(lines[first - 1]))
-    if not after:
-        gap = [""] * max(1, _blank(lines, first - 2, -1))
-        return "\n".join(lines[: first - 1] + new + gap + lines[first - 1 :])
-    blank = _blank(lines, last, 1)
-    gap = [""] * max(1, blank if last + blank < len(lines) else 1)
-    rest = lines[last + blank :]
-    return "\n".join(lines[:last] + gap + new + (gap + rest if rest else [""]))
-
-
-def at_file(content: str, text: str, end: bool = False) -> str:
-    """Before or behind everything else in the file."""
-    text = text if text.endswith("\n") else text + "\n"
-    if not end:
-        return text + content
-    return content + ("" if content.endswith("\n") or not content else "\n") + text
-
-
-def in_container(content: str, first: int, last: int, text: str, end: bool = False) -> str:
-    """First or last in a container's body, whose header is its first line and whose closing line, if any, is a lone bracket."""
-    lines = content.split("\n")
-    closed = last > first and lines[last - 1].strip() in ("}", "};", ")", "]", "end")
-    body = lines[first : last - closed]
-    filled = [x for x in body if x.strip()]
-    inner = _lead(filled[0]) if filled else _lead(lines[first - 1]) + "    "
-    new = _indent(text.strip("\n"), inner)
-    if not end:
-        body = new + ([""] + body if filled else body)
-    else:
-        while body and not body[-1].strip():
-            body.pop()
-        body = body + ([""] if filled else []) + new
-    return "\n".join(lines[:first] + body + lines[last - closed :])
-
-
-def swap(content: str, a: tuple[int, int], b: tuple[int, int]) -> str:
-    """Two symbols in each other's place; one inside the other is an error."""
-    (f1, l1), (f2, l2) = sorted([a, b])
-    if f2 <= l1:
-        raise ValueError("symbols overlap")
-    lines = content.split("\n")
-    return "\n".join(lines[: f1 - 1] + lines[f2 - 1 : l2] + lines[l1 : f2 - 1] + lines[f1 - 1 : l1] + lines[l2:])
-
-
-def move(content: str, source: tuple[int, int], target: tuple[int, int], where: str = "after", copy: bool = False) -> str:
-    """The source symbol before, after, or first or last inside (prepend, append) the target; a copy stays if asked for."""
-    lines = content.split("\n")
-    cut = lines[source[0] - 1 : source[1]]
-    lead = _lead(cut[0])
-    text = "\n".join(x.removeprefix(lead) for x in cut)
-    first, last = target
-    put = {"before": lambda c, a, b: insert(c, a, b, text), "after": lambda c, a, b: insert(c, a, b, text, after=True), "prepend": lambda c, a, b: in_container(c, a, b, text), "append": lambda c, a, b: in_container(c, a, b, text, end=True)}[where]
-    if copy:
-        return put(content, first, last)
-    if source[0] <= last and first <= source[1] and not (first < source[0] and source[1] <= last and where in ("prepend", "append")):
-        raise ValueError("symbols overlap")
-    # the later place first, so that the other's lines still hold
-    if source[0] > first:
-        before = len(lines)
-        done = delete(content, *source)
-        gone = before - len(done.split("\n"))
-        return put(done, first, last - gone if last >= source[1] else last)
-    return delete(put(content, first, last), *source)
+from codelode.functions.globs import plain_glob
+from codelode.operators.edits import conflicts
+
+ACTIONS = ("delete", "replace", "before", "after", "prepend", "append")
+_CLOSERS = ("}", "};", ")", "]", "end")
+
+
+def _blank() -> Column:
+    return F.lit("")
+
+
+def line_rows(files: DataFrame) -> DataFrame:
+    """(path, line, text, ended) of files (path, content); ended: a line feed follows."""
+    parts = files.select("path", F.posexplode(F.split("content", "\n")).alias("k", "text"), F.size(F.split("content", "\n")).alias("n"))
+    return parts.where("k < n - 1 or text <> ''").select("path", (F.col("k") + 1).cast("long").alias("line"), "text", (F.col("k") < F.col("n") - 1).alias("ended"))
+
+
+def content_of(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Files (path, content) of line rows in the order of some columns."""
+    key = F.struct(*order, "text", "ended")
+    said = F.transform(F.array_sort(F.collect_list(key)), lambda x: F.concat(x["text"], F.when(x["ended"], "\n").otherwise("")))
+    return rows.groupBy("path").agg(F.array_join(said, "").alias("content"))
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """Line rows with the next line that isn't empty, the next and the last that aren't blank, and the last of all."""
+    ahead = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("path").orderBy("line")
+    blank = F.trim(F.translate("text", "\t\r", "  ")) == ""
+    return rows.withColumns({
+        "next_full": F.last(F.when(F.col("text") != "", F.col("line")), ignorenulls=True).over(ahead), "next_said": F.last(F.when(~blank, F.col("line")), ignorenulls=True).over(ahead),
+        "last_said": F.last(F.when(~blank, F.col("line")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "before": F.lag("text").over(back), "n": F.max("line").over(Window.partitionBy("path")),
+    })
+
+
+def _said(text: Column, indent: Column) -> Column:
+    """Lines of a text, indented; empty ones, but for the first, stay empty."""
+    lines = F.split(F.regexp_replace(F.coalesce(text, _blank()), "\n$", ""), "\n")
+    return F.transform(lines, lambda x, i: F.when((i > 0) & (x == ""), x).otherwise(F.concat(indent, x)))
+
+
+def _blanks(n: Column) -> Column:
+    return F.array_repeat(_blank(), F.greatest(n, F.lit(0)).cast("int"))
+
+
+def plan(files: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gone, come): lines that go (path, line), and rows (path, line, slot, edit_id, texts) to put before (-1) or after (1) a line."""
+    rows = _around(line_rows(files.join(edits.select("path").distinct(), "path", "left_semi")))
+    first = rows.select("path", F.col("line").alias("start_line"), F.regexp_extract("text", r"^[ \t]*", 0).alias("indent"), F.col("before").alias("text_before"), "last_said")
+    last = rows.select("path", F.col("line").alias("end_line"), "next_full", "next_said", "ended", "n", F.trim("text").alias("closing"))
+    whole = rows.groupBy("path").agg(F.max("line").alias("n_file"))
+    cast = edits.withColumns({"start_line": F.col("start_line").cast("long"), "end_line": F.col("end_line").cast("long")})
+    asked = cast.where("start_line is not null").join(first, ["path", "start_line"], "left").join(last, ["path", "end_line"], "left")
+    empty_after = F.coalesce("next_full", F.col("n") + 1) - F.col("end_line") - 1
+    blank_after = F.coalesce("next_said", F.col("n") + 1) - F.col("end_line") - 1
+    blank_before = F.when(F.col("last_said").isNotNull(), F.col("start_line") - F.col("last_said") - 1).otherwise(F.greatest(F.col("start_line") - 2, F.lit(0)))
+    # a blank line before the symbol makes those behind it superfluous
+    spare = F.when((F.col("start_line") >= 3) & (F.col("text_before") == ""), empty_after).otherwise(0)
+    new = _said(F.col("text"), F.coalesce("indent", _blank()))
+    gap = F.greatest(blank_after, F.lit(1))
+    simple = asked.where(F.col("action").isin("delete", "replace", "before", "after"))
+    planned = simple.select(
+        "edit_id", "path", "action", "start_line", "end_line",
+        F.when(F.col("action") == "delete", F.struct(F.col("start_line").alias("a"), (F.col("end_line") + spare).alias("b")))
+        .when(F.col("action") == "replace", F.struct(F.col("start_line").alias("a"), F.col("end_line").alias("b")))
+        .when((F.col("action") == "after") & (empty_after > 0), F.struct((F.col("end_line") + 1).alias("a"), (F.col("end_line") + empty_after).alias("b"))).alias("range"),
+        F.when(F.col("action") == "replace", F.struct(F.col("start_line").alias("line"), F.lit(-1).alias("slot"), new.alias("texts")))
+        .when(F.col("action") == "before", F.struct(F.col("start_line").alias("line"), F.lit(-1).alias("slot"), F.concat(new, _blanks(F.greatest(blank_before, F.lit(1)))).alias("texts")))
+        .when(F.col("action") == "after", F.struct(F.col("end_line").alias("line"), F.lit(1).alias("slot"), F.concat(_blanks(gap - F.when(F.col("ended"), 0).otherwise(1)), new, F.when(F.col("next_full").isNotNull(), _blanks(gap)).otherwise(F.array().cast("array<string>"))).alias("texts"))).alias("put"),
+    )
+    inside = _container(asked.where(F.col("action").isin("prepend", "append")), rows)
+    gone = planned.select("path", "range").unionByName(inside.select("path", "range")).where("range is not null").select("path", F.explode(F.sequence("range.a", "range.b")).alias("line")).distinct()
+    come = planned.select("path", "edit_id", "put").unionByName(inside.select("path", "edit_id", "put")).where("put is not null").select("path", "edit_id", "put.*")
+    # of a whole file: a file without lines has them at place 0
+    ends = cast.where("start_line is null").join(whole, "path", "left").withColumn("_t", F.split(F.regexp_replace(F.coalesce("text", _blank()), "\n$", ""), "\n"))
+    file_end = F.coalesce("n_file", F.lit(0)).cast("long")
+    come = come.unionByName(ends.select("path", "edit_id", F.when(F.col("action") == "append", file_end + 1).otherwise(F.lit(0).cast("long")).alias("line"), F.lit(1).alias("slot"), F.when((F.col("action") == "append") & F.col("n_file").isNull(), F.concat(F.array(_blank()), "_t")).otherwise(F.col("_t")).alias("texts")))
+    return gone, come
+
+
+def _container(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(edit_id, path, range, put) of edits at the head or the end of containers; a container's lines meet in one row."""
+    spans = asked.select("edit_id", "path", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    own = F.array_sort(F.collect_list(F.struct("line", "text", F.trim(F.translate("text", "\t\r", "  ")).alias("t"))))
+    bodies = spans.join(rows.select("path", "line", "text"), ["path", "line"]).groupBy("edit_id", "path").agg(own.alias("_all"))
+    held = asked.join(bodies, ["edit_id", "path"])
+    closed = F.col("closing").isin(*_CLOSERS) & (F.col("end_line") > F.col("start_line"))
+    python = F.col("path").rlike(r"\.pyi?$")
+    body = F.slice("_all", 2, F.greatest(F.size("_all") - 1 - F.when(closed, 1).otherwise(0), F.lit(0)))
+    filled = F.filter(body, lambda x: x["t"] != "")
+    held = held.withColumns({"_closed": closed, "_filled": filled}).withColumn("_head", F.get("_filled", F.lit(0)))
+    quotes = F.substring("_head.t", 1, 3)
+    doc = python & quotes.isin('"""', "'''")
+    # the line that ends the docstring: the first itself, or the next with its quotes
+    here = F.length("_head.t") >= 6
+    ends = F.when(doc & here & F.col("_head.t").endswith(quotes), F.col("_head.line")).when(doc, F.get(F.filter("_filled", lambda x: (x["line"] > F.col("_head.line")) & x["t"].contains(quotes)), F.lit(0))["line"])
+    held = held.withColumn("_doc", ends)
+    real = F.filter("_filled", lambda x: (F.col("_doc").isNull()) | (x["line"] > F.col("_doc")))
+    held = held.withColumn("_real", real)
+    empty = F.when(python, F.forall("_real", lambda x: x["t"] == "pass")).otherwise(F.size("_filled") == 0)
+    new = _said(F.col("text"), F.concat(F.coalesce("indent", _blank()), F.lit("    ")))
+    space = _blanks(F.when(empty, 0).otherwise(1))
+    top = F.when(python & (F.size("_real") > 0), F.get("_real", F.lit(0))["line"] - 1).when(python & F.col("_doc").isNotNull(), F.col("_doc")).otherwise(F.col("start_line"))
+    bottom = F.when(F.size("_filled") > 0, F.element_at("_filled", -1)["line"]).otherwise(F.col("start_line"))
+    stop = F.col("end_line") - F.when(F.col("_closed"), 1).otherwise(0)
+    prepend = F.struct(top.alias("line"), F.lit(1).alias("slot"), F.concat(new, space).alias("texts"))
+    append = F.struct(bottom.alias("line"), F.lit(1).alias("slot"), F.concat(space, new).alias("texts"))
+    return held.select("edit_id", "path", F.when((F.col("action") == "append") & (stop > bottom), F.struct((bottom + 1).alias("a"), stop.alias("b"))).alias("range"), F.when(F.col("action") == "prepend", prepend).otherwise(append).alias("put"))
 
 
 def edit_symbols(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """files (path, content) after edits (path, action, start_line, end_line, text), the last symbol of a file first.
+    """files (path, content) after all edits; none is made if any two name overlapping symbols."""
+    if "edit_id" not in edits.columns:
+        edits = edits.withColumn("edit_id", F.concat_ws(":", F.lpad(F.col("start_line").cast("string"), 12, "0"), "action"))
+    known = edits.withColumn("action", F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.coalesce("action", F.lit("null"))))))
+    ranged = known.where("start_line is not null").select("edit_id", F.col("path").alias("file"), "start_line", "end_line")
+    blocked = conflicts(ranged).limit(1).agg((F.count("*") > 0).alias("_blocked"))
+    gone, come = plan(files, known)
+    # the last line that stays before an inserted text is ended
+    kept = line_rows(files.join(edits.select("path").distinct(), "path", "left_semi")).join(gone, ["path", "line"], "left_anti").select("path", "line", F.lit(0).alias("slot"), F.lit("").alias("edit_id"), F.lit(0).alias("k"), "text", "ended")
+    put = come.select("path", "line", "slot", F.col("edit_id").cast("string").alias("edit_id"), F.posexplode("texts").alias("k", "text")).withColumn("ended", F.lit(True))
+    order = ["line", "slot", "edit_id", "k"]
+    rows = kept.unionByName(put)
+    rows = rows.withColumn("ended", F.col("ended") | F.lead("line").over(Window.partitionBy("path").orderBy(*order)).isNotNull())
+    done = content_of(rows, order).select("path", F.col("content").alias("_done"))
+    edited = edits.select("path", F.lit(True).alias("_edited")).distinct()
+    # one row says whether the batch is blocked
+    out = files.select("path", "content").join(done, "path", "left").join(edited, "path", "left").crossJoin(F.broadcast(blocked))
+    return out.select("path", F.when(F.col("_blocked") | F.col("_edited").isNull(), F.col("content")).otherwise(F.coalesce("_done", _blank())).alias("content"))
+
+
+def glob_edits(symbols: DataFrame, requests: list[tuple[str, str, str | None]]) -> DataFrame:
+    """Edits of all symbols (file, name, parent, start_line, end_line) whose path ``parent/name`` matches; requests: (glob, action, text).
+
+    The stated requests share one pass over the symbols.
+    """
+    path = F.concat_ws("/", "parent", "name")
+    tried = [F.when(path.rlike(plain_glob(glob)), F.struct(F.lit(k).alias("k"), F.lit(action).alias("action"), F.lit(text).cast("string").alias("text"))) for k, (glob, action, text) in enumerate(requests)]
+    met = symbols.select("file", "start_line", "end_line", path.alias("_p"), F.explode(F.array_compact(F.array(*tried))).alias("r"))
+    return met.select(F.concat_ws(":", F.lpad(F.col("r.k").cast("string"), 6, "0"), F.lpad(F.col("start_line").cast("string"), 12, "0"), "_p").alias("edit_id"), F.col("file").alias("path"), "r.action", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "r.text")
+
+
+def moves(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Edits that move, copy or swap symbols: wanted (edit_id, path, action, start_line, end_line, to_start, to_end, place).
 
-    Actions: delete, replace, before, after, prepend, append; without lines,
-    prepend and append mean the file. Symbols that a glob names are one edit
-    each. A file's edits meet in one row, as any rewrite of its text needs.
+    action: move, copy or swap; place: before, after, prepend or append. The
+    text leaves its own indentation behind.
     """
-    per = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "action", "text")), asc=False).alias("edits"))
-    joined = files.select("path", "content").join(per, "path", "left")
-    schema = pa.schema([("path", pa.string()), ("content", pa.string())])
-
-    def one(content: str, e: dict) -> str:
-        first, last, text = e["start_line"], e["end_line"], e["text"] or ""
-        if first is None:
-            return at_file(content, text, end=e["action"] == "append")
-        if e["action"] == "delete":
-            return delete(content, first, last)
-        if e["action"] == "replace":
-            return replace(content, first, last, text)
-        if e["action"] in ("before", "after"):
-            return insert(content, first, last, text, after=e["action"] == "after")
-        if e["action"] in ("prepend", "append"):
-            return in_container(content, first, last, text, end=e["action"] == "append")
-        raise ValueError(f"unknown action {e['action']!r}")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for path, content, todo in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "edits"))):
-                # edits of the whole file last
-                for e in sorted(todo or [], key=lambda x: x["start_line"] is None):
-                    content = one(content or "", e)
-                out.append({"path": path, "content": content})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return joined.mapInArrow(run, "path string, content string")
+    side = lambda name, *lines: F.struct(F.lit(name).alias("side"), *[F.col(c).cast("long").alias(n) for c, n in zip(lines, "abcd")])
+    both = F.array(side("own", "start_line", "end_line", "to_start", "to_end"), side("other", "to_start", "to_end", "start_line", "end_line"))
+    spans = wanted.select("edit_id", "path", "action", "place", F.explode(both).alias("s")).where("s.side = 'own' or action = 'swap'")
+    numbered = spans.withColumn("line", F.explode(F.sequence("s.a", "s.b")))
+    said = numbered.join(line_rows(files), ["path", "line"]).groupBy("edit_id", "path", "action", "place", "s").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
+    lead = F.regexp_extract(F.get("l", F.lit(0))["text"], r"^[ \t]*", 0)
+    said = said.withColumn("_lead", lead)
+    text = F.array_join(F.transform("l", lambda x: F.when(x["text"].startswith(F.col("_lead")), F.substr(x["text"], F.length("_lead") + 1)).otherwise(x["text"])), "\n")
+    put = said.select(F.concat_ws(":", "edit_id", "s.side").alias("edit_id"), "path", F.when(F.col("action") == "swap", "replace").otherwise(F.col("place")).alias("action"), F.col("s.c").cast("long").alias("start_line"), F.col("s.d").cast("long").alias("end_line"), text.alias("text"))
+    drop = wanted.where("action = 'move'").select(F.concat_ws(":", "edit_id", F.lit("gone")).alias("edit_id"), "path", F.lit("delete").alias("action"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.lit(None).cast("string").alias("text"))
+    return put.unionByName(drop)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codelode.sources.perfile import rows_per_file
 
-NAMES = re.compile(r"\(|\)|@[\w.-]+|#[\w-]+\?|\"(?:[^\"\\]|\\.)*\"|[\w.-]+:|[\w.*-]+")
+NAMES = re.compile(r"\(|\)|//|@[\w.-]+|#[\w-]+\?|\"(?:[^\"\\]|\\.)*\"|[\w.-]+:|[\w.*-]+")
 
 
 def parse_query(text: str) -> list:
