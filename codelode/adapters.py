@@ -116,4 +116,4 @@ CTES = {
 
 def with_ctes(names: str, body: str) -> str:
     """SQL that starts with the named expressions; a body with expressions of its own starts with a comma."""
-    return "WITH " + ", ".join(CTES[n] for n in names.split()) + " " + body.strip()
+    return "WITH RECURSIVE " + ", ".join(CTES[n] for n in names.split()) + " " + body.strip()

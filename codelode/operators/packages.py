@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators import graphs
+
 
 def version_pair(text: Column) -> Column:
     """major and minor of a dotted version as a comparable struct."""
@@ -58,30 +60,9 @@ def dependency_paths(edges: DataFrame, roots: DataFrame, target: str, levels: in
 def dependency_tree(edges: DataFrame, project_col: str = "project") -> DataFrame:
     """Pre-order rows (depth, position) of each project's tree; a package is expanded at its first occurrence only.
 
-    edges (project, parent, child, ordinal), roots are parents that are no
-    child. A project's graph is walked in one task, as its order asks for.
+    edges (project, parent, child, ordinal), roots are parents that are no child.
     """
-    schema = f"{project_col} string, position long, depth long, name string, expanded boolean"
-
-    def walk(pdf):
-        import pandas as pd
-
-        children: dict[str, list[str]] = {}
-        for row in pdf.sort_values(["ordinal", "child"]).itertuples():
-            children.setdefault(row.parent, []).append(row.child)
-        below = {c for own in children.values() for c in own}
-        out, seen = [], set()
-        stack = [(0, r) for r in sorted(set(children) - below, reverse=True)]
-        while stack:
-            depth, name = stack.pop()
-            first = name not in seen
-            seen.add(name)
-            out.append((pdf[project_col].iloc[0], len(out), depth, name, first))
-            if first:
-                stack += [(depth + 1, c) for c in reversed(children.get(name, []))]
-        return pd.DataFrame(out, columns=[project_col, "position", "depth", "name", "expanded"])
-
-    return edges.groupBy(project_col).applyInPandas(walk, schema)
+    return graphs.preorder(edges, project_col)
 
 
 def outdated(installed: DataFrame, latest: DataFrame) -> DataFrame:

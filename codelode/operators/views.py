@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.globs import ignore_glob, plain_glob
 from codelode.functions.text import extension
-from codelode.operators import callgraph, quality, search
+from codelode.operators import callgraph, graphs, quality, search
 
 # fixed values: kinds that hold others, in a skeleton of types
 TYPE_KINDS = ("class", "struct", "enum", "trait", "interface", "type", "module")
@@ -46,9 +46,12 @@ def at_line(symbols: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def type_skeleton(symbols: DataFrame) -> DataFrame:
-    """Types that are top-level or stand in types; their methods go."""
+    """Types that are top-level or stand in kept types; whatever is below anything else goes, types too."""
     types = symbols.where(F.col("kind").isin(*TYPE_KINDS))
-    parents = types.select("file", F.col("name").alias("parent")).distinct()
+    # names below names, from the top-level ones down
+    inside = types.where("parent is not null").select(F.struct("file", F.col("parent").alias("name")).alias("node"), F.struct("file", "name").alias("below"))
+    kept = graphs.reached(inside, types.where("parent is null").select(F.struct("file", "name").alias("node")), "node", "below")
+    parents = kept.select("node.file", F.col("node.name").alias("parent"))
     return types.where("parent is null").unionByName(types.join(parents, ["file", "parent"], "left_semi").select(*types.columns))
 
 
@@ -209,8 +212,13 @@ def ordered_findings(findings: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def merged_sessions(stats: DataFrame) -> DataFrame:
-    """Statistics of sessions (path, calls, errors, tokens, min_context, max_context) as one row: sums, least and greatest."""
-    return stats.agg(F.count("*").alias("sessions"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("calls", "errors", "tokens")], F.min("min_context").alias("min_context"), F.max("max_context").alias("max_context"))
+    """Statistics of sessions (path, calls, errors, tokens, min_context, max_context) as one row: sums, least and greatest; a least of 0 is none."""
+    return stats.agg(F.count("*").alias("sessions"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("calls", "errors", "tokens")], F.min(F.when(F.col("min_context") > 0, F.col("min_context"))).alias("min_context"), F.max("max_context").alias("max_context"))
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """(kind, key, n, errors) over all sessions of counts (path, kind, key, n, errors): messages by role, calls and errors by tool, tokens by kind, tokens by file."""
+    return counts.groupBy("kind", "key").agg(F.sum("n").cast("long").alias("n"), F.coalesce(F.sum("errors"), F.lit(0)).cast("long").alias("errors"))
 
 
 def merge_impls(symbols: DataFrame) -> DataFrame:

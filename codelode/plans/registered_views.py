@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelode import adapters as A
-from codelode.operators import symbol_edits, views
+from codelode.operators import views
 from codelode.plans.registered import _DIRECT, query
 
 _PATH = "CASE WHEN parent IS NULL THEN name ELSE parent || '/' || name END"
@@ -40,13 +40,17 @@ def symbol_at_line(spark, sf_dir):
 
 
 @query(
-    """, typed AS (SELECT file, name, CASE start_line % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'struct' ELSE 'method' END AS kind, CASE WHEN parent IS NOT NULL THEN 's' || (start_line * 7) END AS parent FROM symbols)
-       SELECT file, name, kind, parent FROM typed t WHERE kind <> 'method' AND (parent IS NULL OR EXISTS (SELECT 1 FROM typed p WHERE p.file = t.file AND p.name = t.parent AND p.kind <> 'method'))""",
+    """, typed AS (SELECT file, name, CASE start_line % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'struct' ELSE 'method' END AS kind, CASE WHEN start_line % 4 <> 1 THEN 's' || (start_line * 7) END AS parent FROM symbols),
+       held AS (SELECT DISTINCT file, name, parent FROM typed WHERE kind <> 'method'),
+       chain AS (SELECT file, name, parent AS up, [name] AS seen FROM held
+                 UNION ALL SELECT c.file, c.name, h.parent, list_append(seen, h.name) FROM chain c JOIN held h ON h.file = c.file AND h.name = c.up WHERE NOT list_contains(seen, h.name)),
+       rooted AS (SELECT DISTINCT file, name FROM chain WHERE up IS NULL)
+       SELECT file, name, kind, parent FROM typed t WHERE kind <> 'method' AND (parent IS NULL OR EXISTS (SELECT 1 FROM rooted r WHERE r.file = t.file AND r.name = t.parent))""",
     "symbols",
 )
 def type_skeleton(spark, sf_dir):
     kind = F.expr("case start_line % 3 when 0 then 'class' when 1 then 'struct' else 'method' end")
-    parent = F.when(F.col("parent").isNotNull(), A.tag("s", "start_line * 7"))
+    parent = F.when(F.expr("start_line % 4 <> 1"), A.tag("s", "start_line * 7"))
     return views.type_skeleton(A.symbols(spark, sf_dir).select("file", "name", kind.alias("kind"), parent.alias("parent")))
 
 
@@ -157,7 +161,7 @@ def clone_groups_ordered(spark, sf_dir):
 
 @query(
     """WITH s AS (SELECT user_id, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors, sum(event_id) AS tokens, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY user_id)
-       SELECT count(*) AS sessions, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(tokens) AS BIGINT) AS tokens, min(a) AS min_context, max(b) AS max_context FROM s"""
+       SELECT count(*) AS sessions, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(tokens) AS BIGINT) AS tokens, min(a) FILTER (a > 0) AS min_context, max(b) AS max_context FROM s"""
 )
 def sessions_merged(spark, sf_dir):
     events = A.table(spark, sf_dir, "events")
@@ -171,17 +175,3 @@ def length_findings(spark, sf_dir):
 
     report = quality.metric_report(A.functions(spark, sf_dir).select("file", "name", "length", "start_line"), "length", limit=None)
     return views.metric_sarif(report, "length", "length")
-
-
-@query(
-    """SELECT path AS file, md5(CASE WHEN lines >= 4 THEN 'head' || chr(10) || array_to_string(list_concat(l[1:1], ['new', ''], l[2:2], l[4:]), chr(10)) ELSE content END) AS digest
-       FROM (SELECT path, lines, content, string_split(content, chr(10)) AS l FROM (SELECT path, lines, regexp_replace(regexp_replace(content, '[ \\t]+', '_', 'g'), '\\n\\n+', chr(10), 'g') AS content FROM (SELECT path, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(regexp_replace(text, '[ \\t]+', '_', 'g'), '\\n\\n+', chr(10), 'g'), chr(10))) END AS lines, text AS content FROM (SELECT source || '/' || doc_id AS path, text FROM documents))))"""
-)
-def symbol_edits_applied(spark, sf_dir):
-    """On texts without blank lines or indentation: line 3 goes, a line comes before line 2 with a blank line, a head comes first."""
-    content = F.regexp_replace(F.regexp_replace("content", r"[ \t]+", "_"), r"\n\n+", "\n")
-    files = A.files(spark, sf_dir).select("path", content.alias("content"))
-    some = files.where(F.size(F.split("content", "\n")) >= 4).where("content <> ''").select("path")
-    edit = lambda action, line, text: some.select("path", F.lit(action).alias("action"), F.lit(line).cast("long").alias("start_line"), F.lit(line).cast("long").alias("end_line"), F.lit(text).alias("text"))
-    edits = edit("delete", 3, None).union(edit("before", 2, "new")).union(edit("prepend", None, "head"))
-    return symbol_edits.edit_symbols(files, edits).select(F.col("path").alias("file"), F.md5(F.col("content").cast("binary")).alias("digest"))
