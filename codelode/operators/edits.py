@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import split_lines
+from codelode.operators import graphs
 
 ACTIONS = ("delete", "replace", "insert")
 
@@ -109,6 +110,34 @@ def redo(versions: DataFrame) -> DataFrame:
     return out.select("file", (F.col("top") + 1).alias("version"), F.lit("redo").alias("operation"), "content", F.col("last.git_head").alias("git_head"))
 
 
+def goto(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file, step, version, operation, content) of the way from one version to another in a tree of versions.
+
+    versions (file, version, parent, content), the first without a parent;
+    wanted (file, source, target). Edits are undone up to the nearest version
+    that both descend from, then redone down to the target; content is what the
+    file holds after the step.
+    """
+    edges = versions.where("parent is not null").select(F.struct("file", "version").alias("node"), F.struct("file", F.col("parent").alias("version")).alias("above"))
+    ends = wanted.select("file", F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("source").alias("version")), F.struct(F.lit("target").alias("side"), F.col("target").alias("version")))).alias("e"))
+    known = graphs.reached(edges, ends.select("file", "e.side", F.struct("file", "e.version").alias("node")), "node", "above").select("file", "side", "node.version", "depth")
+    both = known.groupBy("file", "version").agg(F.max(F.when(F.col("side") == "source", F.col("depth"))).alias("up"), F.max(F.when(F.col("side") == "target", F.col("depth"))).alias("down")).where("up is not null and down is not null")
+    turn = both.groupBy("file").agg(F.min_by(F.struct("version", "up", "down"), "up").alias("turn"))
+    # undoing leads to the parent, redoing to the version itself
+    way = known.join(turn, "file")
+    undone = way.where("side = 'source' and depth > 0 and depth <= turn.up").select("file", F.col("depth").alias("step"), "version", F.lit("undo").alias("operation"))
+    redone = way.where("side = 'target' and depth < turn.down").select("file", (F.col("turn.up") + F.col("turn.down") - F.col("depth")).alias("step"), "version", F.lit("redo").alias("operation"))
+    return undone.unionByName(redone).join(versions.select("file", "version", "content"), ["file", "version"]).select("file", F.col("step").cast("long").alias("step"), "version", "operation", "content")
+
+
+def line_conflicts(base: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
+    """(file, line) where two successors of a text, all as line rows (file, line, text), differ from it and from each other."""
+    texts = [df.select("file", "line", F.struct("text").alias(name)) for df, name in ((base, "b"), (own, "o"), (other, "t"))]
+    met = texts[0].join(texts[1], ["file", "line"], "full").join(texts[2], ["file", "line"], "full")
+    differ = lambda x, y: ~F.col(x).eqNullSafe(F.col(y))
+    return met.where(differ("b", "o") & differ("b", "t") & differ("o", "t")).select("file", "line")
+
+
 def prune(versions: DataFrame, keep: int) -> DataFrame:
     """The last ``keep`` versions of each file."""
     ranked = versions.withColumn("_r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("version"))))

@@ -83,6 +83,18 @@ def meets(requires: Column, context: Column, numeric: bool = False) -> Column:
     return F.forall(F.map_entries(requires), lambda e: one(e["key"], e["value"]))
 
 
+def nearest_contexts(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """files (path) with the context (map) of the manifest (folder, context) nearest above; ``""`` is the root's folder.
+
+    A file meets its folders by equality, however many manifests there are;
+    without any manifest above, the context is empty.
+    """
+    parts = F.split("path", "/")
+    own = files.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_n", "folder"))
+    best = own.join(manifests, "folder").groupBy("path").agg(F.max_by("context", "_n").alias("context"))
+    return files.join(best, "path", "left").withColumn("context", F.coalesce("context", F.create_map().cast("map<string,string>")))
+
+
 def line_findings(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Matches of line rules (id, severity, message, regex) on lines (file, line, text, language).
 
@@ -104,7 +116,9 @@ def line_findings(lines: DataFrame, rules: DataFrame) -> DataFrame:
             tried.append(F.when(met, F.struct(*told)))
         none = F.array().cast("array<struct<rule_id:string,col:bigint,severity:string,message:string,matched:string>>")
         found = F.array_compact(F.array(*tried)) if tried else none
-        part = lines.select("file", "line", F.explode(found).alias("f")).select("f.rule_id", "file", "line", "f.col", "f.severity", "f.message", "f.matched")
+        # lines that no pattern finds leave by one pass of all patterns together
+        some = lines.where(F.col("text").rlike("|".join(f"(?:{x[3]})" for x in given[begin : begin + RULES_AT_ONCE]))) if tried else lines.limit(0)
+        part = some.select("file", "line", F.explode(found).alias("f")).select("f.rule_id", "file", "line", "f.col", "f.severity", "f.message", "f.matched")
         out = part if out is None else out.unionByName(part)
     return out
 

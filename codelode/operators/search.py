@@ -143,20 +143,9 @@ def search_symbols(symbols: DataFrame, path: str, pool: int = 50, limit: int = 1
     return found.orderBy("rank", F.length("name"), "name", "file", "start_line").limit(limit)
 
 
-def subsequence_score(text: Column, query: str) -> Column:
-    """A documented fuzzy score: null unless the query's characters occur in order.
-
-    100 less the number of characters between the first and last matched ones
-    (leftmost match), less the text's length over 10.
-    """
-    letters = query.lower().replace("-", " ").replace("_", " ").replace(".", " ").replace(" ", "")
-    pattern = ".*?".join("\\Q" + c + "\\E" for c in letters)
-    found = F.regexp_extract(normal_path(text), pattern, 0)
-    return F.when(F.length(found) > 0, F.lit(100) - (F.length(found) - len(letters)) - F.floor(F.length(text) / 10))
-
-
 def resolve_path(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """The cascade of path lookup: exact, equal but for separators, name or stem, suffix, fuzzy."""
+    from codelode.operators import fuzzy
     from codelode.operators.tiers import first_answer
 
     path = F.col("path")
@@ -168,9 +157,8 @@ def resolve_path(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
     alike = files.where(normal_path(path) == normal).orderBy("path").limit(1).select("path", F.lit(top).alias("score"))
     named = files.where((F.lower(last) == query.lower()) | (F.lower(stem) == query.lower())).select("path", F.lit(top - 1).alias("score"))
     ending = files.where(F.endswith(normal_path(path), F.lit("/" + normal))).select("path", F.lit(top - 2).alias("score"))
-    score = subsequence_score(path, query).cast("int")
-    fuzzy = files.withColumn("score", score).where("score is not null").orderBy(F.desc("score"), "path").limit(limit).select("path", "score")
-    return first_answer(exact, alike, named, ending, fuzzy)
+    near = fuzzy.ranked(files.select("path").distinct(), "path", query, limit).select("path", "score")
+    return first_answer(exact, alike, named, ending, near)
 
 
 def split_unified(queries: DataFrame, files: DataFrame, column: str = "query") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codelode import adapters as A
-from codelode.operators import graphs, symbol_edits, syntax, treepattern, views
+from codelode.operators import edits, fuzzy, graphs, rules, symbol_edits, syntax, treepattern, views
 from codelode.plans.registered import query
 from codelode.scratch import written
+from codelode.streaming import watch
 
 # ---- code as token rows ----------------------------------------------------------------------
 
@@ -165,9 +166,9 @@ def symbol_edits_applied(spark, sf_dir):
     files = A.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit(head), body, F.when(body == "", "").otherwise("\n")).alias("content"))
     names = [("f", "K", 6, 7), ("g", "K", 10, 11), ("x", "K", 4, 4)]
     symbols = files.select(F.col("path").alias("file"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("parent"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for n, p, a, b in names])))
-    edits = symbol_edits.glob_edits(symbols, [("K/f", "delete", None), ("*/g", "replace", "def g(): ..."), ("K/x", "replace", "new = 1")])
+    asked = symbol_edits.glob_edits(symbols, [("K/f", "delete", None), ("*/g", "replace", "def g(): ..."), ("K/x", "replace", "new = 1")])
     ends = files.select(F.lit("z").alias("edit_id"), "path", F.lit("append").alias("action"), F.lit(None).cast("long").alias("start_line"), F.lit(None).cast("long").alias("end_line"), F.lit("end").alias("text"))
-    return symbol_edits.edit_symbols(files, edits.unionByName(ends)).select(F.col("path").alias("file"), F.md5(F.col("content").cast("binary")).alias("digest"))
+    return symbol_edits.edit_symbols(files, asked.unionByName(ends)).select(F.col("path").alias("file"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 # ---- graphs ----------------------------------------------------------------------------------
@@ -267,3 +268,80 @@ def sessions_merged_counts(spark, sf_dir):
     roles = A.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("path"), F.col("role").alias("key")).agg(F.count("*").alias("n")).select("path", F.lit("role").alias("kind"), "key", "n", F.lit(0).cast("long").alias("errors"))
     tools = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("errors")).select("path", F.lit("tool").alias("kind"), "key", "n", "errors")
     return views.merged_counts(roles.unionByName(tools))
+
+
+# ---- fuzzy ranking, contexts, versions, bursts -------------------------------------------------
+
+_ASKED = "l-wdt"
+
+
+def _alignment(query: str) -> str:
+    """The alignment's rounds as list expressions, one after the other."""
+    said = fuzzy.letters(query)
+    steps = [f"""s0 AS (SELECT *, list_transform(range(len(ch)), lambda j: CASE WHEN ch[j + 1] = '{said[0]}' THEN gain[j + 1] END) AS best FROM scored)"""]
+    for k, c in enumerate(said[1:], 1):
+        far = f"list_max(list_transform(range(greatest(j - 1, 0)), lambda i: best[i + 1] + i)) - {fuzzy.GAP} - (j - 2)"
+        steps.append(f"""s{k} AS (SELECT * EXCLUDE (best), list_transform(range(len(ch)), lambda j: CASE WHEN ch[j + 1] = '{c}' THEN gain[j + 1] + greatest(best[j] + {fuzzy.NEXT}, {far}) END) AS best FROM s{k - 1})""")
+    return ", ".join(steps) + f", aligned AS (SELECT * EXCLUDE (best), list_max(best)::INTEGER AS score FROM s{len(said) - 1})"
+
+
+@query(
+    f"""WITH typed AS (SELECT DISTINCT p_name AS path FROM part), chars AS (SELECT path, string_split(lower(path), '') AS ch FROM typed WHERE path ILIKE '{"%".join(["", *fuzzy.letters(_ASKED), ""])}'),
+        scored AS (SELECT *, list_transform(range(len(ch)), lambda j: {fuzzy.MATCH} + CASE WHEN j = 0 OR ch[j] IN ('/', '-', '_', '.', ' ', ':') THEN {fuzzy.START} ELSE 0 END) AS gain FROM chars), {_alignment(_ASKED)}
+        SELECT path, score FROM aligned ORDER BY score DESC, path LIMIT 10"""
+)
+def fuzzy_ranked(spark, sf_dir):
+    return fuzzy.ranked(A.table(spark, sf_dir, "part").select(F.col("p_name").alias("path")).distinct(), "path", _ASKED).select("path", "score")
+
+
+@query(
+    """WITH given AS (SELECT 'h' || (page_id % 40) || '/s' || (page_id % 7) || '/p' || page_id AS path, page_id % 40 AS h, page_id % 7 AS s FROM pages),
+       near AS (SELECT path, CASE WHEN h % 2 = 0 AND s < 3 THEN '20' || (15 + h % 9) WHEN h % 3 = 0 THEN '20' || (16 + h % 5) ELSE '2015' END AS edition FROM given)
+       SELECT path, edition, edition >= '2018' AS gated FROM near"""
+)
+def nearest_contexts(spark, sf_dir):
+    """Of each path the edition that the nearest manifest above it names, and whether a rule that requires 2018 applies."""
+    files = A.table(spark, sf_dir, "pages").select(F.concat(A.tag("h", "page_id % 40"), A.tag("/s", "page_id % 7"), A.tag("/p", "page_id")).alias("path"), F.expr("page_id % 40").alias("h"), F.expr("page_id % 7").alias("s"))
+    edition = lambda column, text: F.create_map(F.lit("edition"), F.concat(F.lit("20"), F.expr(text).cast("string"))).alias(column)
+    low = files.where("h % 2 = 0 and s < 3").select(F.concat(A.tag("h", "h"), A.tag("/s", "s")).alias("folder"), edition("context", "15 + h % 9")).dropDuplicates(["folder"])
+    middle = files.where("h % 3 = 0").select(A.tag("h", "h").alias("folder"), edition("context", "16 + h % 5")).dropDuplicates(["folder"])
+    top = files.limit(1).select(F.lit("").alias("folder"), edition("context", "15"))
+    met = rules.nearest_contexts(files.select("path"), low.unionByName(middle).unionByName(top))
+    wanted = F.create_map(F.lit("edition"), F.lit(">=2018"))
+    return met.select("path", F.element_at("context", "edition").alias("edition"), rules.meets(wanted, F.col("context")).alias("gated"))
+
+
+_TREE = """numbered AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS v FROM events), held AS (SELECT user_id, max(v) AS top FROM numbered GROUP BY user_id)"""
+
+
+@query(
+    "WITH RECURSIVE " + _TREE + """, up(user_id, side, v, d) AS (SELECT user_id, 's', top, 0 FROM held UNION ALL SELECT user_id, 't', greatest(top - 1, 1), 0 FROM held UNION ALL SELECT user_id, side, v // 2, d + 1 FROM up WHERE v > 1),
+       turn AS (SELECT a.user_id, min(a.d) AS u, min(b.d) AS w FROM up a JOIN up b ON a.user_id = b.user_id AND a.v = b.v AND a.side = 's' AND b.side = 't' GROUP BY a.user_id),
+       steps AS (SELECT up.user_id, d AS step, v // 2 AS v, 'undo' AS operation FROM up JOIN turn USING (user_id) WHERE side = 's' AND d < u UNION ALL SELECT up.user_id, u + w - d, v, 'redo' FROM up JOIN turn USING (user_id) WHERE side = 't' AND d < w)
+       SELECT user_id AS file, CASE WHEN operation = 'undo' THEN step + 1 ELSE step END AS step, s.v AS version, operation, event_type AS content FROM steps s JOIN numbered USING (user_id, v)"""
+)
+def history_goto(spark, sf_dir):
+    """From each user's last version to the one before, in a tree where version n follows n div 2."""
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    versions = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), number.alias("version"), F.col("event_type").alias("content"))
+    versions = written(versions.withColumn("parent", F.when(F.col("version") > 1, F.expr("version div 2"))), "versions")
+    ends = versions.groupBy("file").agg(F.max("version").alias("source")).withColumn("target", F.greatest(F.col("source") - 1, F.lit(1)))
+    return edits.goto(versions, ends)
+
+
+@query("""SELECT file, line FROM lines WHERE contains(text, 'th') AND contains(text, 'an') AND replace(text, 'th', 'TH') <> replace(text, 'an', 'AN')""", "lines")
+def three_way_conflicts(spark, sf_dir):
+    base = A.lines(spark, sf_dir)
+    return edits.line_conflicts(base, base.withColumn("text", F.replace("text", F.lit("th"), F.lit("TH"))), base.withColumn("text", F.replace("text", F.lit("an"), F.lit("AN"))))
+
+
+@query(
+    """WITH e AS (SELECT 'u' || user_id || CASE WHEN event_type = 'view' THEN '.md' ELSE '.rs' END AS path, ts AS moment FROM events),
+       marked AS (SELECT path, moment, CASE WHEN moment - lag(moment) OVER (PARTITION BY path ORDER BY moment) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM e WHERE ends_with(path, '.rs')),
+       numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY moment ROWS UNBOUNDED PRECEDING) AS burst FROM marked)
+       SELECT path, min(moment) AS first, max(moment) AS last, count(*) AS events FROM numbered GROUP BY path, burst"""
+)
+def watch_runs(spark, sf_dir):
+    """Bursts of events of one file, other extensions left out."""
+    events = A.table(spark, sf_dir, "events").select(F.concat(A.tag("u", "user_id"), F.when(F.col("event_type") == "view", ".md").otherwise(".rs")).alias("path"), F.col("ts").alias("at"))
+    return watch.runs(events, ["rs"], pause="10 minutes")
