@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.operators.tiers import first_answer_by
+from codelode.scratch import written
+
 
 CALLER = ("caller_file", "caller_symbol", "line")
 
@@ -53,7 +54,8 @@ def find_callers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, name:
         own = symbols.where(F.col("parent") == owner).select(F.col("file").alias("caller_file"), F.col("name").alias("caller_symbol"), F.lit(True).alias("_own")).distinct()
         rows = rows.join(own, ["caller_file", "caller_symbol"], "left")
         tier = F.when((F.col("callee_name") == method) & (F.col("callee_qualifier") == "self") & F.col("_own"), 1).otherwise(tier)
-    rows = rows.select(*CALLER, tier.alias("tier")).where("tier is not null")
+    # what any tier finds is written once, then read for the least tier and for the answer
+    rows = written(rows.select(*CALLER, tier.alias("tier")).where("tier is not null"), "callers")
     # one row: the aggregate has no keys
     best = rows.join(F.broadcast(rows.agg(F.min("tier").alias("tier"))), "tier")
     # places of the direct tier count once, those of the others once a call
@@ -98,12 +100,14 @@ def resolve_imports(asked: DataFrame, imports: DataFrame, symbols: DataFrame, fi
     """(file, name) to (module, original, tier): named import, else verified wildcard, else first wildcard."""
     asked = asked.select("file", "name").distinct()
     own = imports.select("file", "module", F.col("name").alias("original"), "alias", "line")
-    both = own.join(asked, "file").where((F.col("original") == F.col("name")) | (F.col("alias") == F.col("name")))
-    named = both.groupBy("file", "name").agg(F.min(F.struct("line", F.coalesce("module", "original").alias("module"), "original")).alias("m")).select("file", "name", "m.module", "m.original")
-    stars = asked.join(own.where("original = '*' and module is not null").select("file", "module", "line"), "file")
-    verified = stars.join(module_files(stars, files), "module").join(exports(symbols), ["path", "name"])
-    first = lambda df: df.groupBy("file", "name").agg(F.min(F.struct("line", "module")).alias("m")).select("file", "name", "m.module", F.col("name").alias("original"))
-    return first_answer_by(["file", "name"], named, first(verified), first(stars))
+    star = (F.col("original") == "*") & F.col("module").isNotNull()
+    named = (F.col("original") == F.col("name")) | F.coalesce(F.col("alias") == F.col("name"), F.lit(False))
+    met = asked.join(own, "file").where(named | star)
+    homes = module_files(imports.where("name = '*'").select("module"), files)
+    told = met.join(homes, "module", "left").join(exports(symbols).withColumn("_verified", F.lit(True)), ["path", "name"], "left")
+    tier = F.when(named, 1).when(F.col("_verified"), 2).otherwise(3)
+    answer = F.struct(tier.alias("tier"), "line", F.when(named, F.coalesce("module", "original")).otherwise(F.col("module")).alias("module"), F.when(named, F.col("original")).otherwise(F.col("name")).alias("original"))
+    return told.groupBy("file", "name").agg(F.min(answer).alias("m")).select("file", "name", "m.module", "m.original", "m.tier")
 
 
 def find_importers(imports: DataFrame, module: str) -> DataFrame:

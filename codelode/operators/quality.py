@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.scratch import written
 from codelode.functions.globs import any_of, plain_glob
 from codelode.functions.text import tenths
 
@@ -156,10 +157,11 @@ def similar_types(fields: DataFrame, threshold: int = 70, least: int = 2, allowe
     own = fields.distinct()
     names = own.join(own.groupBy("name").agg(F.count("*").alias("df")), "name").join(sizes, "type")
     listed = names.groupBy("type", "size", "distinct").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("names"))
-    listed = listed.select("type", "size", "distinct", F.transform("names", lambda x: x["name"]).alias("names"))
+    # probes, large types and verification all read this table
+    listed = written(listed.select("type", "size", "distinct", F.transform("names", lambda x: x["name"]).alias("names")), "types")
     first = (F.col("distinct") - F.ceil(F.lit(threshold) * F.col("size") / 100.0) + 1).cast("int")
     probes = listed.where(first > 0).select(F.col("type").alias("small"), F.col("size").alias("small_size"), F.explode(F.slice("names", 1, first)).alias("name"))
-    met = probes.join(names.select("name", F.col("type").alias("large"), F.col("size").alias("large_size")), "name")
+    met = probes.join(listed.select(F.explode("names").alias("name"), F.col("type").alias("large"), F.col("size").alias("large_size")), "name")
     pairs = met.where("small_size < large_size or (small_size = large_size and small < large)").select("small", "large").distinct()
     held = lambda c: listed.select(F.col("type").alias(c), F.col("names").alias(f"names_{c}"), F.col("size").alias(f"size_{c}"))
     common = F.size(F.array_intersect("names_small", "names_large"))

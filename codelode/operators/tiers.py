@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,5 +21,5 @@ def first_answer(*frames: DataFrame) -> DataFrame:
 
 def first_answer_by(keys: list[str], *frames: DataFrame) -> DataFrame:
     """The same for each key on its own."""
-    rows = _tagged(frames)
-    return rows.join(rows.groupBy(*keys).agg(F.min("tier").alias("tier")), [*keys, "tier"])
+    rows = _tagged(frames).withColumn("_least", F.min("tier").over(Window.partitionBy(*keys)))
+    return rows.where("tier = _least").drop("_least")

@@ -154,8 +154,9 @@ def expand_sigil(query: str, aliases: dict[str, list[str]]) -> list[tuple[str, s
 
 def callees_resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFrame, file: str, symbol: str) -> DataFrame:
     """Callees (callee_name, line) with the module and original name that an import gives them."""
-    own = callgraph.find_callees(calls, file, symbol).select(F.lit(file).alias("file"), F.col("callee_name").alias("name"), "line")
-    found = callgraph.resolve_imports(own, imports, symbols, files).select("file", "name", "module", "original")
+    # the file stays a column: a literal would take the joins' keys away
+    own = calls.where((F.col("caller_file") == file) & (F.col("caller_symbol") == symbol)).select(F.col("caller_file").alias("file"), F.col("callee_name").alias("name"), "line")
+    found = callgraph.resolve_imports(own, imports.where(F.col("file") == file), symbols, files).select("file", "name", "module", "original")
     return own.join(found, ["file", "name"], "left").select(F.col("name").alias("callee_name"), "line", "module", "original")
 
 
