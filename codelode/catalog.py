@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import registered, registered_code, registered_views  # noqa: F401  the others add their queries to the first
+from codelode.plans import registered, registered_code, registered_more, registered_views  # noqa: F401  the others add their queries to the first
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,7 +17,7 @@ def merged_context(files: DataFrame, targets: DataFrame) -> DataFrame:
     parts = targets.select("path", F.split("path", "/").alias("p"))
     above = parts.select("path", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("depth"), "p").select("path", "depth", F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("folder"))
     joined = above.join(notes, "folder").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("depth", "content"))).alias("n"))
-    return joined.select("path", F.array_join(F.transform("n", lambda x: F.trim(x["content"])), "\n\n").alias("context"))
+    return joined.select("path", F.array_join(F.transform("n", lambda x: F.regexp_replace(x["content"], r"^\s+|\s+$", "")), "\n\n").alias("context"))
 
 
 def merge_layers(*layers: dict) -> dict:

@@ -22,6 +22,19 @@ LOCKFILES = (
 )
 
 
+# fixed values: folders and name endings of tests
+TEST_FOLDERS = ("/tests/", "/test/", "/__tests__/")
+TEST_ENDINGS = ("_test.rs", "_tests.rs", ".test.ts", ".test.js", ".spec.ts", ".spec.js")
+
+
+def is_test_path(path: Column) -> Column:
+    """Whether a path is a test's, by a folder below the root or by its name."""
+    low = F.lower(path)
+    name = F.substring_index(low, "/", -1)
+    tests = [low.contains(f) for f in TEST_FOLDERS] + [name.endswith(e) for e in TEST_ENDINGS] + [name.startswith("test_")]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def _steps(x: Column, steps, otherwise) -> Column:
     return reduce(lambda out, step: F.when(x <= step[0], step[1]).otherwise(out), reversed(steps), F.lit(otherwise))
 

@@ -5,12 +5,12 @@ symbols (file, name, kind, start_line, end_line, parent), lines (file, line, tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.globs import ignore_glob, plain_glob
 from codelode.functions.text import extension
-from codelode.operators import callgraph, graphs, quality, search
+from codelode.operators import callgraph, graphs, nested, quality, search
 
 # fixed values: kinds that hold others, in a skeleton of types
 TYPE_KINDS = ("class", "struct", "enum", "trait", "interface", "type", "module")
@@ -45,6 +45,52 @@ def at_line(symbols: DataFrame, hits: DataFrame) -> DataFrame:
     return search.enclosing(hits, spans, ["file", "line"])
 
 
+def ancestors_at(symbols: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits (file, line) with the names of all symbols around the line, the outermost first; lines outside of all are left out."""
+    spans = symbols.select("file", "name", "start_line", "end_line")
+    met = nested.around(spans, hits.select("file", "line").distinct(), "file", "start_line", "end_line", "line")
+    names = F.array_sort(F.collect_list(F.struct("depth", F.col("around.name").alias("name"))))
+    return met.groupBy("file", "line").agg(names.alias("n")).select("file", "line", F.transform("n", lambda x: x["name"]).alias("symbols"))
+
+
+def route(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """(target, view, file, symbol, line) of targets: how each is to be shown.
+
+    A path is a file's skeleton, a folder is a tree, ``file:12`` is the symbol
+    at that line, a file and a symbol behind ``#``, ``::``, ``:`` or ``/`` is
+    the symbol's source, ``@name`` is a group of paths, anything else a search.
+    Each kind is an equi-join with the files or their folders.
+    """
+    asked = targets.select("target").distinct()
+    path = files.select(F.col("path").alias("file")).distinct()
+    parts = F.split("file", "/")
+    above = path.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_folder")).distinct()
+    bare = F.regexp_replace("target", r"/+$", "")
+    numbered = asked.select("target", F.regexp_extract("target", r"^(.+):(\d+)$", 1).alias("file"), F.nullif(F.regexp_extract("target", r"^(.+):(\d+)$", 2), F.lit("")).cast("long").alias("line"))
+    at = numbered.where("line is not null").join(path, "file").select("target", F.lit("line").alias("view"), "file", F.lit(None).cast("string").alias("symbol"), "line", F.lit(1).alias("_rank"))
+    none = (F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("long").alias("line"))
+    whole = asked.withColumn("file", bare).join(path, "file").select("target", F.lit("file").alias("view"), "file", *none, F.lit(0).alias("_rank"))
+    folders = asked.withColumn("_folder", bare).join(above, "_folder").select("target", F.lit("folder").alias("view"), F.col("_folder").alias("file"), *none, F.lit(0).alias("_rank"))
+    split = search.split_unified(asked.withColumnRenamed("target", "query"), files.select("path")).where("file is not null and size(symbol_path) > 0")
+    symbol = split.select(F.col("query").alias("target"), F.lit("symbol").alias("view"), "file", F.array_join("symbol_path", "/").alias("symbol"), F.lit(None).cast("long").alias("line"), F.lit(2).alias("_rank"))
+    found = whole.unionByName(folders).unionByName(at).unionByName(symbol)
+    first = found.groupBy("target").agg(F.min_by(F.struct("view", "file", "symbol", "line"), F.struct("_rank", "view")).alias("r"))
+    other = F.when(F.col("target").startswith("@"), "alias").otherwise("search")
+    return asked.join(first, "target", "left").select("target", F.coalesce("r.view", other).alias("view"), "r.file", "r.symbol", "r.line")
+
+
+def allow_added(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """An allow file (line, text) with wanted texts (text, reason) that it doesn't have yet behind its last line, each below its reason's comment, by text."""
+    have = entries.select(F.trim("text").alias("text")).where("text <> '' and not startswith(text, '#')").distinct()
+    fresh = wanted.groupBy(F.trim("text").alias("text")).agg(F.min("reason").alias("reason")).join(have, "text", "left_anti")
+    said = F.when(F.col("reason").isNotNull(), F.array(F.concat(F.lit("# "), "reason"), "text")).otherwise(F.array("text"))
+    # a stated list of what is to be allowed
+    rows = fresh.select("text", F.posexplode(said).alias("k", "said")).withColumn("_n", F.row_number().over(Window.orderBy("text", "k")))
+    last = entries.agg(F.coalesce(F.max("line"), F.lit(0)).alias("_last"))
+    added = rows.crossJoin(F.broadcast(last)).select((F.col("_last") + F.col("_n")).cast("long").alias("line"), F.col("said").alias("text"))
+    return entries.select(F.col("line").cast("long").alias("line"), "text").unionByName(added)
+
+
 def type_skeleton(symbols: DataFrame) -> DataFrame:
     """Types that are top-level or stand in kept types; whatever is below anything else goes, types too."""
     types = symbols.where(F.col("kind").isin(*TYPE_KINDS))
