@@ -260,3 +260,13 @@ def index_refreshed(spark, sf_dir):
     fresh = customer.where("c_custkey % 6 = 0").select(A.tag("f", "c_custkey").alias("file"), F.lit(-1).cast("long").alias("line"), F.lit("new").alias("text"))
     upkeep.refresh(spark, path, "rows", fresh, customer.where("c_custkey % 3 = 0").select(A.tag("f", "c_custkey").alias("file")), buckets=32)
     return spark.read.parquet(f"{path}/rows").select("file", "line", "text")
+
+
+@query("""SELECT 'apt' AS registry, 'p' || p_partkey AS name, p_size || '.' || (p_partkey % 9) AS version, nullif(p_name, '') AS description, CASE WHEN p_partkey % 2 = 0 THEN 'http://' || p_brand END AS homepage FROM part""")
+def index_of_stanzas(spark, sf_dir):
+    """Parts written as an index of stanzas, and read back record by record."""
+    path = folder(spark, "index")
+    home = F.when(F.expr("p_partkey % 2 = 0"), F.concat(F.lit("\nHomepage: http://"), "p_brand")).otherwise("")
+    stanza = F.concat(A.tag("Package: p", "p_partkey"), F.lit("\nVersion: "), F.expr("p_size || '.' || (p_partkey % 9)"), F.lit("\nDescription: "), "p_name", F.lit("\n more"), home)
+    A.table(spark, sf_dir, "part").select(stanza.alias("value")).write.option("lineSep", "\n\n").text(path)
+    return registries.read_index(spark, path, "apt").select("registry", "name", "version", "description", "homepage")

@@ -10,7 +10,7 @@ business: responses are read from files, which also serve as the cache
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("name", "version", "description", "homepage", "repository", "license", "downloads")
@@ -87,6 +87,31 @@ def _stanza(key: str, form: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract("value", pattern, 1)), F.lit(""))
 
 
+def read_index(spark: SparkSession, path: str | list[str], registry: str) -> DataFrame:
+    """Packages of whole index files: stanzas parted by empty lines, or RPM metadata (``primary.xml``).
+
+    A file is split at record borders into as many tasks as its size asks for:
+    the text source's line delimiter is what ends a record. No file is read
+    whole by one task.
+    """
+    if registry in ("dnf", "opensuse") and str(path if isinstance(path, str) else path[0]).endswith(".xml"):
+        return _rpm(spark, path, registry)
+    if registry not in STANZA_KEYS:
+        raise ValueError(f"{registry} has no index of stanzas")
+    return read(spark.read.option("lineSep", "\n\n").text(path), registry)
+
+
+def _rpm(spark: SparkSession, path: str | list[str], registry: str) -> DataFrame:
+    schema = "name string, version struct<_ver:string,_rel:string>, summary string, description string, url string, format struct<license:string>"
+    # the XML source doesn't split files; ends of records as line ends do
+    said = spark.read.option("lineSep", "</package>").text(path).select(F.regexp_extract("value", r"(?s)(<package\b.*)", 1).alias("value")).where("value <> ''")
+    rows = said.select(F.from_xml(F.concat("value", F.lit("</package>")), schema, {"ignoreNamespace": "true"}).alias("x")).select("x.*")
+    version = F.concat_ws("-", "version._ver", "version._rel")
+    none = F.lit(None).cast("string")
+    out = rows.select(F.lit(registry).alias("registry"), "name", F.nullif(version, F.lit("")).alias("version"), F.coalesce("summary", "description").alias("description"), F.col("url").alias("homepage"), none.alias("repository"), F.col("format.license").alias("license"), none.cast("long").alias("downloads"))
+    return out.where("name is not null and version is not null")
+
+
 def read(responses: DataFrame, registry: str) -> DataFrame:
     """Packages of one registry's responses (value); entries without a name or version are left out."""
     if registry in JSON_PATHS:

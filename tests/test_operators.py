@@ -399,3 +399,25 @@ def test_python_symbols_in_every_branch():
     rows = list(python_code.rows_of("a.py", source))
     assert [r["name"] for r in rows if r["relation"] == "symbols"] == ["a", "b", "C", "m", "d", "e", "h", "k"]
     assert [(r["caller_symbol"], r["callee_name"]) for r in rows if r["relation"] == "calls"] == [("a", "g")]
+
+
+def test_index_files_are_read_by_many_tasks(spark, tmp_path):
+    from codelode.sources import registries
+
+    stanzas = [f"Package: p{i}\nVersion: {i}.0\nDescription: said {i}\n more of it\nHomepage: h{i}" for i in range(4000)]
+    (tmp_path / "Packages").write_text("\n\n".join(stanzas) + "\n")
+    packages = [f'<package type="rpm"><name>r{i}</name><version epoch="0" ver="{i}" rel="1"/><summary>s &amp; {i}</summary><url>u{i}</url><format><rpm:license>MIT</rpm:license></format></package>' for i in range(2000)]
+    (tmp_path / "primary.xml").write_text('<?xml version="1.0"?>\n<metadata xmlns="c" xmlns:rpm="r">\n' + "\n".join(packages) + "\n</metadata>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        apt = registries.read_index(spark, str(tmp_path / "Packages"), "apt")
+        assert apt.rdd.getNumPartitions() > 3
+        assert sorted((r.name, r.version, r.description, r.homepage) for r in apt.collect()) == sorted((f"p{i}", f"{i}.0", f"said {i}", f"h{i}") for i in range(4000))
+        rpm = registries.read_index(spark, str(tmp_path / "primary.xml"), "dnf")
+        assert rpm.rdd.getNumPartitions() > 3
+        assert sorted((r.name, r.version, r.description, r.homepage, r.license) for r in rpm.collect()) == sorted((f"r{i}", f"{i}-1", f"s & {i}", f"u{i}", "MIT") for i in range(2000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
