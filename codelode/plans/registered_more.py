@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelode import adapters as A
-from codelode.operators import callgraph, context, edits, quality, refs, rules, sessions, syntax, tree, views
+from codelode.operators import callgraph, context, edits, outline, quality, refs, rules, sessions, syntax, tree, views
 from codelode.plans import upkeep
 from codelode.plans.registered import query
 from codelode.plans.registered_code import CODE, code_files
@@ -270,3 +270,16 @@ def index_of_stanzas(spark, sf_dir):
     stanza = F.concat(A.tag("Package: p", "p_partkey"), F.lit("\nVersion: "), F.expr("p_size || '.' || (p_partkey % 9)"), F.lit("\nDescription: "), "p_name", F.lit("\n more"), home)
     A.table(spark, sf_dir, "part").select(stanza.alias("value")).write.option("lineSep", "\n\n").text(path)
     return registries.read_index(spark, path, "apt").select("registry", "name", "version", "description", "homepage")
+
+
+@query(
+    _CODE + r""" SELECT path AS file, name, 'fn ' || name || '(x: i32) -> i32 {' || chr(10) || '    let s = "for ' || w[2] || ' {{ ";' || chr(10) || '    if v_' || w[3] || '(x) && v_' || w[4] || '::v_' || w[5] || '(s) { v_' || w[6] || '.run(); }'
+         || CASE WHEN odd = 1 THEN chr(10) || '    while go(x) { }' ELSE '' END || chr(10) || '}' AS preview FROM code WHERE lang IN ('en', 'es')"""
+)
+def structural_previews(spark, sf_dir):
+    """Of the functions in Rust: signature, bindings, branches and the closing brace."""
+    files = code_files(spark, sf_dir).where("language = 'Rust'")
+    symbols = written(syntax.definitions(written(syntax.tokens(files), "tokens")), "symbols")
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("k", "text")).select("file", (F.col("k") + 1).alias("line"), "text")
+    spans = symbols.select(F.col("path").alias("file"), "name", F.lit("Rust").alias("language"), "start_line", "end_line")
+    return outline.structures(lines, spans).select("file", "name", "preview")
