@@ -143,7 +143,7 @@ def foreign_references(spark, sf_dir):
 
 
 @query(
-    """, signed AS (SELECT file, name, start_line, 'sig ' || kind AS signature FROM symbols)
+    """, signed AS (SELECT file, name, start_line, min('sig ' || kind) AS signature FROM symbols GROUP BY ALL)
        SELECT c.file, c.name, coalesce((SELECT arg_min(signature, start_line) FROM signed s WHERE s.file = c.file AND s.name = c.name), (SELECT arg_min(signature, (file, start_line)) FROM signed s WHERE s.name = c.name)) AS signature
        FROM (SELECT DISTINCT 'f' || (l_partkey % 50) AS file, 's' || (l_suppkey % 420) AS name FROM lineitem) c""",
     "symbols",
