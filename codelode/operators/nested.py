@@ -20,11 +20,13 @@ def around(intervals: DataFrame, points: DataFrame, group: str = "path", start:
     One shuffle, by the group; linear but for the depths.
     """
     spans, asked = {c: f"_i{k}" for k, c in enumerate(intervals.columns)}, {c: f"_p{k}" for k, c in enumerate(points.columns)}
+    # both sides have the group, once: what is grouped by it afterwards stays where it is
+    spans[group] = asked[group] = "_g"
     # columns, not structs: the optimizer can't prune structs that windows pass on
     # of one place: first what opens there (the longer one first), then points, then what closes
     opens, closes = (F.struct(place.cast("long").alias("_at"), F.lit(turn).alias("_turn"), tie.cast("long").alias("_tie"), F.lit(step).alias("_step")) for place, turn, tie, step in ((F.col(start), 0, -F.col(end), 1), (F.col(end), 2, F.lit(0), -1)))
-    own = intervals.select(F.col(group).alias("_g"), F.inline(F.array(opens, closes)), *[F.col(c).alias(n) for c, n in spans.items()])
-    asks = points.select(F.col(group).alias("_g"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(0).cast("long").alias("_tie"), F.lit(0).alias("_step"), *[F.col(c).alias(n) for c, n in asked.items()])
+    own = intervals.select(F.col(group).alias("_g"), F.inline(F.array(opens, closes)), *[F.col(c).alias(n) for c, n in spans.items() if n != "_g"])
+    asks = points.select(F.col(group).alias("_g"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(0).cast("long").alias("_tie"), F.lit(0).alias("_step"), *[F.col(c).alias(n) for c, n in asked.items() if n != "_g"])
     order = ["_at", "_turn", "_tie"]
     events = own.unionByName(asks, allowMissingColumns=True)
     events = events.withColumn("_depth", F.sum("_step").over(_running(["_g"], order))).where("_step >= 0 and _depth > 0")
@@ -33,7 +35,7 @@ def around(intervals: DataFrame, points: DataFrame, group: str = "path", start:
     keyed = events.withColumn("depth", F.explode(levels))
     here = _running(["_g", "depth"], order)
     # places of openings at one depth ascend
-    found = keyed.withColumns({n: F.max_by(n, F.when(F.col("_step") == 1, F.col("_at"))).over(here) for n in spans.values()}).where("_step = 0")
+    found = keyed.withColumns({n: F.max_by(n, F.when(F.col("_step") == 1, F.col("_at"))).over(here) for n in spans.values() if n != "_g"}).where("_step = 0")
     return found.select(*[F.col(n).alias(c) for c, n in asked.items()], F.struct(*[F.col(n).alias(c) for c, n in spans.items()]).alias("around"), F.col("depth").cast("int").alias("depth"))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.operators import nested
+from codelode.scratch import together
 
 _NAME = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _REST = r"\n[ \t]*+|" + _NAME + r"(?:(?:::|\?\.|\.)" + _NAME + r")*+|\p{N}[\p{L}\p{N}_]*+(?:\.\p{N}[\p{L}\p{N}_]*+)?+|&&|\|\||\?\?|\?:|=>|->|::|\?\.|\S"
@@ -74,44 +75,54 @@ def _not_called(token: Column) -> Column:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(path, language, pos, line, token, kind, first, indent, depth, match, match_line, shape) of all tokens but comments and line ends.
+    """(path, language, pos, line, token, kind, first, indent, depth, match, match_line, shape, next, next_kind, prev) of all tokens but comments and line ends.
 
     kind: name, number, string, sign; first: whether a line begins here, then
     with its indent; depth: brackets around; match: where the bracket's other
     half stands, match_line: its line, of an opening one; shape: at a closing parenthesis, what stands before its opening
-    one (token, pos, line).
+    one (token, pos, line); next, next_kind: the token behind, null at the
+    file's end; prev: the one before (token, pos, line). The files are shuffled,
+    not their tokens.
     """
     family = F.try_element_at(_by_language({k: v[0] for k, v in LANGUAGES.items()}), F.col("language"))
     text = F.concat(F.lit("\n"), F.col("content"))
     cases = F
     for name, pattern in FAMILIES.items():
         cases = cases.when(F.col("_family") == name, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    found = files.withColumn("_family", family).where("_family is not null").select("path", "language", "_family", F.posexplode(cases).alias("pos", "token"))
-    head, tail = F.substring("token", 1, 1), F.substring("token", -1, 1)
-    comment = (F.length("token") > 1) & (F.col("token").startswith("//") | F.col("token").startswith("/*")) | (head == "#") & F.col("_family").isin("hash", "python")
+    known = files.withColumn("_family", family).where("_family is not null").select("path", "language", "_family", "content")
+    # by a file's number first, so that rows are sorted as they come
+    found = together(known).withColumn("_f", F.monotonically_increasing_id()).select("path", "_f", "language", "_family", F.posexplode(cases).alias("pos", "token"))
+    # most tokens are told apart by the number of their first character
+    code, long = F.col("_code"), F.length("token") > 1
+    comment = F.when(code == ord("/"), long & (F.col("token").startswith("//") | F.col("token").startswith("/*"))).otherwise((code == ord("#")) & long & F.col("_family").isin("hash", "python"))
+    quoted = long & (F.col("token").endswith('"') | F.col("token").endswith("'") | F.col("token").endswith("`") | F.col("token").endswith("#"))
     kind = (
-        F.when(head == "\n", "end").when(comment, "comment")
-        .when((tail.isin('"', "'", "`", "#") & (F.length("token") > 1)) | head.isin('"', "`") | (head == "'") & (F.length("token") > 1), "string")
-        .when(F.col("token").rlike(r"^[\p{L}_$]"), "name").when(F.col("token").rlike(r"^\p{N}"), "number").otherwise("sign")
+        F.when(code == ord("\n"), "end").when(code.isin(ord("/"), ord("#")) & comment, "comment")
+        .when(quoted | code.isin(ord('"'), ord("`")) | (code == ord("'")) & long, "string")
+        .when(code.between(ord("a"), ord("z")) | code.between(ord("A"), ord("Z")) | code.isin(ord("_"), ord("$")), "name").when(code.between(ord("0"), ord("9")), "number").when(code < 128, "sign")
+        .when(F.col("token").rlike(r"^\p{L}"), "name").when(F.col("token").rlike(r"^\p{N}"), "number").otherwise("sign")
     )
+    found = found.withColumn("_code", F.ascii("token"))
     found = found.withColumn("kind", kind)
-    own = Window.partitionBy("path").orderBy("pos")
+    own = Window.partitionBy("_f", "path").orderBy("pos")
     so_far = own.rowsBetween(Window.unboundedPreceding, 0)
-    breaks = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
+    breaks = F.when(F.col("kind") == "end", 1).when(F.col("kind").isin("comment", "string"), F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))).otherwise(0)
     found = found.withColumns({"line": F.sum(breaks).over(so_far) - breaks, "_before": F.when(F.lag("kind").over(own) == "end", F.length(F.lag("token").over(own)) - 1)}).where("kind not in ('end', 'comment')")
     found = found.withColumns({"first": F.col("_before").isNotNull(), "indent": F.col("_before")})
     sign = F.col("kind") == "sign"
-    opens, closes = sign & F.col("token").isin("{", "(", "["), sign & F.col("token").isin("}", ")", "]")
+    opens, closes = sign & F.col("_code").isin(*map(ord, "{([")), sign & F.col("_code").isin(*map(ord, "})]"))
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    found = found.withColumn("depth", F.sum(step).over(so_far) - F.when(opens, 1).otherwise(0))
-    found = found.withColumns({"_open": opens, "_close": closes, "_ahead": F.struct(F.lag("token").over(own).alias("token"), F.lag("pos").over(own).alias("pos"), F.lag("line").over(own).alias("line"))})
+    found = found.withColumns({
+        "depth": F.sum(step).over(so_far) - F.when(opens, 1).otherwise(0), "next": F.lead("token").over(own), "next_kind": F.lead("kind").over(own),
+        "prev": F.struct(F.lag("token").over(own).alias("token"), F.lag("pos").over(own).alias("pos"), F.lag("line").over(own).alias("line")),
+    }).withColumns({"_open": opens, "_close": closes}).drop("_code")
     # brackets of one depth open and close in turn
-    pairs = Window.partitionBy("path", "depth", F.col("_open") | F.col("_close")).orderBy("pos")
+    pairs = Window.partitionBy("_f", "path", "depth", F.col("_open") | F.col("_close")).orderBy("pos")
     return found.select(
         "path", "language", "pos", "line", "token", "kind", "first", "indent", "depth",
         F.when(F.col("_open"), F.lead("pos").over(pairs)).when(F.col("_close"), F.lag("pos").over(pairs)).alias("match"),
         F.when(F.col("_open"), F.lead("line").over(pairs)).alias("match_line"),
-        F.when(F.col("_close"), F.lag("_ahead").over(pairs)).alias("shape"),
+        F.when(F.col("_close"), F.lag("prev").over(pairs)).alias("shape"), "next", "next_kind", "prev",
     )
 
 
@@ -120,42 +131,47 @@ def definitions(found: DataFrame) -> DataFrame:
     kinds = _by_language({f"{language} {word}": kind for language, (_, words, _) in LANGUAGES.items() for word, kind in words.items()})
     own = Window.partitionBy("path").orderBy("pos")
     last = F.max(F.struct("pos", "line")).over(Window.partitionBy("path"))
-    rows = found.withColumns({
-        "_kind": F.when(F.col("kind") == "name", F.try_element_at(kinds, F.concat_ws(" ", "language", "token"))),
-        "_next": F.struct(F.lead("token").over(own).alias("token"), F.lead("kind").over(own).alias("kind")), "_prev": F.lag("token").over(own), "_held": F.lag("shape").over(own), "_last": last,
-        "_ahead": F.struct(F.lag("pos").over(own).alias("pos"), F.lag("line").over(own).alias("line")),
-    })
+    kind = F.when(F.col("kind") == "name", F.try_element_at(kinds, F.concat_ws(" ", "language", "token")))
+    # few tokens matter: those that define, end or hold bodies, begin lines of Python, and the file's last
+    after_bracket = (F.col("language") == "Go") & (F.col("prev.token") == ")") & (F.col("kind") == "name")
+    line = (F.col("language") == "Python") & F.col("first") & (F.col("depth") == 0)
+    rows = found.withColumn("_kind", kind).where(F.col("_kind").isNotNull() | (F.col("kind") == "sign") & F.col("token").isin("{", ";", ")") | after_bracket | line | F.col("next").isNull())
+    # the last row is the file's last token; what a bracket holds is asked for right behind it
+    held = rows.where("language <> 'Python'").withColumns({"_last": last, "_held": F.when(F.col("prev.token") == ")", F.lag("shape").over(own))})
     # a method with a receiver: the name after the parentheses that follow the keyword
-    received = (F.col("language") == "Go") & (F.col("_prev") == ")") & (F.col("_held.token") == "func") & (F.col("kind") == "name")
-    plain = F.col("_kind").isNotNull() & (F.col("_next.kind") == "name")
+    received = after_bracket & (F.col("_held.token") == "func")
+    plain = F.col("_kind").isNotNull() & (F.col("next_kind") == "name")
     control = _not_called(F.col("_held.token")) | ~F.col("_held.token").rlike(r"^[\p{L}_$]")
-    shaped = F.col("language").isin(*SHAPED) & (F.col("token") == "{") & (F.col("_prev") == ")") & ~control
-    rows = rows.withColumn("_def", F.when(plain, F.struct(F.col("_next.token").alias("name"), F.col("_kind").alias("kind"), F.col("pos").alias("start"), F.col("line").alias("start_line"))).when(received, F.struct(F.col("token").alias("name"), F.lit("function").alias("kind"), F.col("_held.pos").alias("start"), F.col("_held.line").alias("start_line"))).when(shaped, F.struct(F.col("_held.token").alias("name"), F.lit("function").alias("kind"), F.col("_held.pos").alias("start"), F.col("_held.line").alias("start_line"))))
+    shaped = F.col("language").isin(*SHAPED) & (F.col("token") == "{") & (F.col("prev.token") == ")") & ~control
+    place = lambda of: (F.col(f"{of}pos").alias("start"), F.col(f"{of}line").alias("start_line"))
+    by_word = F.struct(F.col("next").alias("name"), F.col("_kind").alias("kind"), *place(""))
+    by_shape = lambda name: F.struct(name.alias("name"), F.lit("function").alias("kind"), *place("_held."))
+    held = held.withColumn("_def", F.when(plain, by_word).when(received, by_shape(F.col("token"))).when(shaped, by_shape(F.col("_held.token"))))
     # the body's brace: the next at this depth, unless a statement ends or another definition begins before
-    braces = rows.where(F.col("token").isin("{", ";") & (F.col("kind") == "sign") | F.col("_def").isNotNull())
+    braces = held.where(F.col("token").isin("{", ";") & (F.col("kind") == "sign") | F.col("_def").isNotNull())
     after = Window.partitionBy("path", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     here = F.struct("token", F.col("pos").alias("at"), "match", "match_line")
-    braces = braces.withColumn("_body", F.when(F.col("token") == "{", here).otherwise(F.last(here).over(after))).where("_def is not null and language <> 'Python'")
+    braces = braces.withColumn("_body", F.when(F.col("token") == "{", here).otherwise(F.last(here).over(after))).where("_def is not null")
     # a shaped function may also be one by its keyword: function f() {
     body = F.col("_body.token") == "{"
     ends = {"end": F.when(body, F.coalesce("_body.match", "_last.pos")).otherwise(F.col("pos") + 1), "end_line": F.when(body, F.coalesce("_body.match_line", "_last.line")).otherwise(F.col("line"))}
     braced = braces.select("path", "_def.*", *[c.alias(n) for n, c in ends.items()]).groupBy("path", "name", "end", "end_line").agg(F.min_by(F.struct("kind", "start", "start_line"), "start").alias("s")).select("path", "name", "s.*", "end", "end_line")
-    return nested.with_parent(braced.unionByName(_indented(rows)))
+    python = rows.where("language = 'Python'").withColumn("_def", F.when(plain, by_word))
+    return nested.with_parent(braced.unionByName(_indented(python, last)))
 
 
-def _indented(rows: DataFrame) -> DataFrame:
+def _indented(python: DataFrame, last: Column) -> DataFrame:
     """Python's definitions: to the last token before a line that isn't indented further."""
-    python = rows.where("language = 'Python'")
     lines = python.where("first and depth = 0")
     # one number for each width of indentation at which something is defined
     widths = sorted(r[0] for r in lines.where("_def is not null or token in ('async', '@')").select("indent").distinct().collect())
     back = Window.partitionBy("path").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("path").orderBy("pos")
     # async stands before the keyword on its line
-    lines = python.where("(first and depth = 0) or _def is not null").withColumn("indent", F.when(F.col("first"), F.col("indent")).otherwise(F.lag("indent").over(own)))
+    lines = python.withColumn("_last", last).where("(first and depth = 0) or _def is not null").withColumn("indent", F.when(F.col("first"), F.col("indent")).otherwise(F.lag("indent").over(own)))
     stop = F.lit(None).cast("struct<pos:int,line:bigint>")
     for width in widths:
-        stop = F.when(F.col("indent") == width, F.last(F.when(F.col("first") & (F.col("indent") <= width), F.col("_ahead")), ignorenulls=True).over(back)).otherwise(stop)
+        stop = F.when(F.col("indent") == width, F.last(F.when(F.col("first") & (F.col("indent") <= width), F.struct("prev.pos", "prev.line")), ignorenulls=True).over(back)).otherwise(stop)
     found = lines.withColumn("_stop", F.coalesce(stop, "_last")).where("_def is not null")
     return found.select("path", "_def.name", "_def.kind", "_def.start", "_def.start_line", F.col("_stop.pos").alias("end"), F.col("_stop.line").alias("end_line"))
 
@@ -172,10 +188,12 @@ def complexity(found: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def calls(found: DataFrame, symbols: DataFrame) -> DataFrame:
     """(caller_file, caller_symbol, callee_name, callee_qualifier, line) of every call in a function, for each function around it."""
-    own = Window.partitionBy("path").orderBy("pos")
     defining = sorted({word for _, words, _ in LANGUAGES.values() for word in words})
-    rows = found.withColumns({"_next": F.lead("token").over(own), "_prev": F.lag("token").over(own), "_held": F.lag("shape").over(own)})
-    called = rows.where((F.col("kind") == "name") & (F.col("_next") == "(") & ~_not_called(F.col("token")) & ~F.coalesce(F.col("_prev").isin(*defining), F.lit(False)) & ~F.coalesce(F.col("_held.token") == "func", F.lit(False)))
+    called = found.where((F.col("kind") == "name") & (F.col("next") == "(") & ~_not_called(F.col("token")) & ~F.coalesce(F.col("prev.token").isin(*defining), F.lit(False)))
+    # a name behind a receiver is defined, not called
+    receivers = found.where("language = 'Go' and token = ')' and shape.token = 'func'").select("path", F.col("pos").alias("_at"))
+    go = called.where("language = 'Go'").withColumn("_at", F.col("prev.pos")).join(receivers, ["path", "_at"], "left_anti").drop("_at")
+    called = called.where("language <> 'Go'").unionByName(go.select(*called.columns))
     # a definition's own name is no call
     called = called.join(symbols.select("path", F.col("start").alias("pos")), ["path", "pos"], "left_anti")
     met = nested.around(symbols.where("kind = 'function'"), called.select("path", "line", "token", F.col("pos").alias("at")))
@@ -210,9 +228,12 @@ def imports(found: DataFrame) -> DataFrame:
     ends = fresh | rust & (F.col("token") == ";")
     said = F.last(F.when(begins, F.col("pos")).when(ends, F.lit(-1)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
     rows = found.where(python | rust).withColumn("stmt", said).where("stmt >= 0").select("path", "language", "pos", "line", "token", "kind", "match", "stmt")
-    one = Window.partitionBy("path", "stmt").orderBy("pos")
-    near = {f"_{'b' if by > 0 else 'a'}{abs(by)}": F.lag("token", by).over(one) if by > 0 else F.lead("token", -by).over(one) for by in (1, 2, -1, -2)}
-    rows = rows.withColumns(near | {"_verb": F.first("token").over(one)}).withColumns({"_module": F.when(F.col("_verb") == "from", F.max(F.when((F.col("_b1") == "from") & (F.col("kind") == "name"), F.col("token"))).over(Window.partitionBy("path", "stmt")))})
+    # statements follow one another, so neighbours and running values of the file serve, if they are of this statement
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    near = {f"_{'b' if by > 0 else 'a'}{abs(by)}": F.when(F.lag("stmt", by).over(own) == F.col("stmt"), F.lag("token", by).over(own)) for by in (1, 2, -1, -2)}
+    rows = rows.withColumns(near | {"_verb": F.last(F.when(F.col("pos") == F.col("stmt"), F.col("token")), ignorenulls=True).over(so_far)})
+    named = F.last(F.when((F.col("_verb") == "from") & (F.col("_b1") == "from") & (F.col("kind") == "name"), F.struct("stmt", "token")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("_named", named).withColumn("_module", F.when(F.col("_named.stmt") == F.col("stmt"), F.col("_named.token")))
     alias = F.when(F.col("_a1") == "as", F.col("_a2"))
     listed = F.col("_b1").isin("import", ",", "(", "*") & (F.col("kind") == "name") | (F.col("token") == "*") & (F.col("_b1") == "import")
     plain = rows.where((F.col("language") == "Python") & listed & (F.col("token") != "import")).select("path", F.col("_module").alias("module"), F.col("token").alias("name"), alias.alias("alias"), "line")

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Text of the files that one task takes apart; a longer file is a task of its own.
+TASK_BYTES = 8 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -24,5 +28,12 @@ def folder(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as Parquet, read again: an index table that several steps read, and that outlives executors."""
     path = folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(files: DataFrame) -> DataFrame:
+    """files (path, content) dealt by path to tasks of bounded text, so that windows over what a file holds need no further shuffle."""
+    size = files.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    # a stated number: adaptive execution would join partitions by their compressed bytes
+    return files.repartition(max(1, -(-size // TASK_BYTES)), "path")
