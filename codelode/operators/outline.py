@@ -65,6 +65,8 @@ def _spans(lines: DataFrame, spans: DataFrame, wanted: Column) -> DataFrame:
     """Spans with all their lines in order, as structs (line, text, wanted)."""
     numbers = spans.select("file", "name", "language", "start_line", "end_line", F.explode(F.sequence(F.col("start_line").cast("long"), F.col("end_line").cast("long"))).alias("line"))
     rows = numbers.join(lines.select("file", F.col("line").cast("long").alias("line"), "text"), ["file", "line"]).withColumn("wanted", F.coalesce(wanted, F.lit(False)))
+    # of lines that aren't shown, the indentation is read, and whether they close
+    rows = rows.withColumn("text", F.when(F.col("wanted") | (F.trim("text") == "}"), F.col("text")).otherwise(F.regexp_extract("text", r"^\s*", 0)))
     return rows.groupBy("file", "name", "start_line", "end_line").agg(F.array_sort(F.collect_list(F.struct("line", "text", "wanted"))).alias("l"))
 
 
