@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.globs import plain_glob
 from codelode.operators import nested, rules
+from codelode.scratch import together
 from codelode.sources.python_trace import parse_query
 
 # fixed values: elements without content
@@ -34,7 +35,8 @@ def markup_nodes(pages: DataFrame, path: str = "path", content: str = "content")
     Tags match by name and depth of that name; an element that is never closed
     is a leaf. An element's text is its tag.
     """
-    said = pages.select(F.col(path).alias("path"), F.posexplode(F.regexp_extract_all(content, F.lit(_MARKUP), F.lit(0))).alias("start", "text"))
+    held = together(pages.select(F.col(path).alias("path"), F.col(content).alias("content")))
+    said = held.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(_MARKUP), F.lit(0))).alias("start", "text"))
     name = F.lower(F.regexp_extract("text", r"^</?([A-Za-z][\w:-]*)", 1))
     tag = F.col("text").startswith("<")
     said = said.withColumn("kind", F.when(~tag, "text").when(F.col("text").startswith("<!--"), "comment").otherwise(name)).where("kind <> '' and trim(text) <> ''")
