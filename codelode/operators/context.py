@@ -85,6 +85,8 @@ def identifiers(spans: DataFrame) -> DataFrame:
 
 def type_references(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     """Where each referenced type (file, identifier) is defined (file, name, start_line): the same file first, then the first other."""
-    d = definitions.select(F.col("file").alias("def_file"), F.col("name").alias("identifier"), "start_line")
+    # of a file's definitions of a name only the first matters (one without a line before all); a hash aggregate, so the join meets files, not definitions
+    first = F.when(F.count("*") == F.count("start_line"), F.min("start_line")).alias("start_line")
+    d = definitions.groupBy(F.col("file").alias("def_file"), F.col("name").alias("identifier")).agg(first)
     rank = F.struct((F.col("def_file") != F.col("file")).alias("far"), "def_file", "start_line")
     return refs.join(d, "identifier").groupBy("file", "identifier").agg(F.min(rank).alias("r")).select("file", "identifier", "r.def_file", "r.start_line")
