@@ -42,6 +42,8 @@ from codelode.llm.workspace import materialize, small
 TOP = 10
 #: Text bytes of a shard; one longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
+#: Bytes of the index rows that a task holds to write or read them.
+GROUP_BYTES = 8 << 20
 #: Text bytes of the items that are searched in one scan of the index.
 BLOCK_BYTES = 4 << 20
 #: Terms: bytes of digits, letters, and non-ASCII characters; A-Z count as a-z.
@@ -94,7 +96,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield made
 
     schema = f"ids array<{kind}>, lengths array<int>, terms array<string>, counts array<int>, docs array<int>, tfs array<int>"
-    return materialize(source.mapInArrow(run, schema), "lexical-index")
+    return materialize(source.mapInArrow(run, schema), "lexical-index", GROUP_BYTES)
 
 
 def contributions(weight: np.ndarray, tf: np.ndarray, m: np.ndarray) -> np.ndarray:

@@ -32,11 +32,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/scratch/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def materialize(df: DataFrame, label: str, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    group_bytes: bytes of a row group, looked at after every row. Otherwise the
+    writer first looks after 100 rows, and holds them all, as the reader does.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    bounds = {} if group_bytes is None else {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1}
+    df.write.options(compression="zstd", **bounds).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,13 @@
 """What queries shuffle, sort and hold: plans, and rows between steps."""
 
+import re
+from urllib.parse import unquote, urlparse
+
+import pyarrow.parquet as pq
 import pytest
-from codelode.operators import nested, syntax
+from codelode.llm import lexsearch
+from codelode.operators import context, nested, outline, refs, syntax, tree, treepattern
+from codelode.plans import registered_more
 from pyspark.sql import functions as F
 
 
@@ -10,7 +16,7 @@ def plan(df) -> list[str]:
 
 
 def places(lines: list[str], word: str) -> list[int]:
-    return [k for k, line in enumerate(lines) if f" {word} " in line or line.lstrip(" :+-*()0123456789").startswith(f"{word} ")]
+    return [k for k, line in enumerate(lines) if re.search(rf"\b{word}[ (]", line)]
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +43,60 @@ def test_receivers_are_not_called(spark):
     symbols = syntax.definitions(found)
     assert [(r.name, r.start_line, r.end_line) for r in symbols.collect()] == [("M", 1, 4)]
     assert [(r.caller_symbol, r.callee_name) for r in syntax.calls(found, symbols).collect()] == [("M", "N")]
+
+
+def test_scopes_of_headings_take_two_sorts(spark):
+    heads = spark.createDataFrame([("a", n, k, f"t{n}", 99) for n, k in ((1, 1), (3, 2), (5, 3), (7, 2), (9, 1))], "file string, line long, level int, title string, n_lines long")
+    found = tree.heading_scopes(heads)
+    assert len(places(plan(found), "Sort")) == 2
+    assert [(r.line, r.end_line, r.parent) for r in found.orderBy("line").collect()] == [(1, 8, None), (3, 6, "t1"), (5, 6, "t3"), (7, 8, "t1"), (9, 99, None)]
+
+
+def test_references_meet_files_not_definitions(spark):
+    refs_of = spark.createDataFrame([("a", "T"), ("b", "T")], "file string, identifier string")
+    defined = spark.createDataFrame([("b", "T", n) for n in (9, 4, 7)] + [("c", "T", n) for n in (2, None)], "file string, name string, start_line long")
+    found = context.type_references(refs_of, defined)
+    lines = plan(found)
+    assert any(k > min(places(lines, w)[0] for w in ("SortMergeJoin", "BroadcastHashJoin") if places(lines, w)) for k in places(lines, "HashAggregate"))
+    assert {(r.file, r.def_file, r.start_line) for r in found.collect()} == {("a", "b", 4), ("b", "b", 4)}
+
+
+def test_spans_hold_each_name_once(spark, monkeypatch):
+    monkeypatch.setattr(registered_more.context, "identifiers", lambda spans: spans)
+    for row in registered_more._spans(spark, "/root/testdata/sf0.01").collect():
+        names = row.source.split("(1); ")
+        assert len(names) == len(set(names))
+
+
+def test_notes_go_to_the_files(spark):
+    notes = spark.createDataFrame([(f"d{n}", n, "h/*" if n % 2 else "h/p1") for n in range(6)], "doc string, doc_mtime long, pattern string")
+    files = spark.createDataFrame([(f"h/p{n}", n) for n in range(12)], "path string, mtime long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = refs.cover_links(notes, files)
+        assert places(plan(found), "BroadcastHashJoin")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.count() == 3 * 12 + 3 * 3
+
+
+def test_pages_are_shuffled_not_their_nodes(spark):
+    pages = spark.createDataFrame([("a", "<ul><li><a>x</a></li></ul>")], "path string, content string")
+    lines = plan(treepattern.markup_nodes(pages))
+    assert len(places(lines, "Exchange")) == 1
+
+
+def test_unshown_lines_carry_no_text(spark):
+    lines = spark.createDataFrame([("a", 1, "fn f() {"), ("a", 2, "  // " + "x" * 99), ("a", 3, "}")], "file string, line int, text string")
+    spans = spark.createDataFrame([("a", "f", "Rust", 1, 3)], "file string, name string, language string, start_line int, end_line int")
+    held = outline._spans(lines, spans, outline.is_signature(F.col("text"), F.col("language"))).first()
+    assert [x.text for x in held.l] == ["fn f() {", "  ", "}"]
+
+
+def test_index_rows_are_written_in_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(lexsearch, "SHARD_BYTES", 4 << 10)
+    monkeypatch.setattr(lexsearch, "GROUP_BYTES", 64 << 10, raising=False)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.hex(k * 7919 * (F.col("id") + 1)))).alias("text")).coalesce(1)
+    index = lexsearch.build_index(docs)
+    groups = [g for f in index.inputFiles() for m in [pq.ParquetFile(unquote(urlparse(f).path)).metadata] for g in [m.row_group(k).num_rows for k in range(m.num_row_groups)]]
+    assert sum(groups) == index.count() > 100 and max(groups) < 60
