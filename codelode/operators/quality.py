@@ -22,6 +22,9 @@ LOCKFILES = (
 )
 
 
+#: Names of a type that is met by two of them at once; it has 276 such keys at most.
+NARROW = 24
+
 # fixed values: folders and name endings of tests
 TEST_FOLDERS = ("/tests/", "/test/", "/__tests__/")
 TEST_ENDINGS = ("_test.rs", "_tests.rs", ".test.ts", ".test.js", ".spec.ts", ".spec.js")
@@ -153,32 +156,51 @@ def clone_totals(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("members"), F.lit(0)).alias("functions"), F.coalesce(F.sum(F.col("members") * F.col("line_count")), F.lit(0)).alias("lines"))
 
 
+def _meeting(listed: DataFrame, wide: bool) -> DataFrame:
+    """(small, large): pairs of types that may share as many names as the smaller one needs, once each; see :func:`similar_types`.
+
+    listed (type, size, need, names), the names from rare to frequent; wide: whether
+    there are types of more than ``NARROW`` names, or such that need but one.
+    """
+    narrow, short = F.size("names") <= NARROW, (F.size("names") <= NARROW) & (F.col("need") >= 2)
+    prefix = lambda n: F.slice("names", 1, (F.size("names") - F.col("need") + n).cast("int"))
+    small = lambda rows, keys: rows.where(F.col("need") <= F.size("names")).select(F.explode(keys).alias("key"), F.col("type").alias("small"), F.col("size").alias("small_size"))
+    large = lambda rows, keys: rows.select(F.explode(keys).alias("key"), F.col("type").alias("large"), F.col("size").alias("large_size"))
+    # all types have one order of names, so two common names make the same key in both
+    twos = lambda names: F.flatten(F.transform(names, lambda x, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda y: F.xxhash64(x, y))))
+    joins = [(small(listed.where(short), twos(prefix(2))), large(listed.where(narrow), twos(F.col("names"))))]
+    if wide:
+        joins += [(small(listed.where(~short), prefix(1)), large(listed, F.col("names"))), (small(listed.where(short), prefix(1)), large(listed.where(~narrow), F.col("names")))]
+    met = reduce(DataFrame.unionByName, [a.join(b, "key").where("small_size < large_size or (small_size = large_size and small < large)").select("small", "large") for a, b in joins])
+    return met.distinct()
+
+
 def similar_types(fields: DataFrame, threshold: int = 70, least: int = 2, allowed: DataFrame | None = None) -> DataFrame:
     """Pairs of types whose shared fields make ``threshold`` percent of the smaller one.
 
     fields (type, name): repeated names count in a type's size, but once as
     shared. Names are ranked by how rare they are. Of a pair over the threshold
-    the smaller type, with d distinct names and size m, has one of its
-    d - ceil(t * m / 100) + 1 rarest names in common with the other, so that
-    prefix alone meets the names of types that are no smaller; frequent names
-    seldom are in a prefix. Candidates are pairs of ids; the names come back
+    the smaller type, with d distinct names, needs c = ceil(t * size / 100) in
+    common, so its d - c + 1 rarest names hold one of them, and its d - c + 2
+    rarest two. Types of up to ``NARROW`` names therefore meet by two names at
+    once, of which few other types have both; wider ones, and those that need
+    but one name, meet by one. Candidates are pairs of ids; the names come back
     for those alone. Types of equal name are no pair.
     """
     if threshold <= 0:
         raise ValueError("a threshold over 0 is needed")
-    sizes = fields.groupBy("type").agg(F.count("*").alias("size"), F.countDistinct("name").alias("distinct")).where(F.col("size") >= least)
-    own = fields.distinct()
-    names = own.join(own.groupBy("name").agg(F.count("*").alias("df")), "name").join(sizes, "type")
-    listed = names.groupBy("type", "size", "distinct").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("names"))
-    # probes, large types and verification all read this table
-    listed = written(listed.select("type", "size", "distinct", F.transform("names", lambda x: x["name"]).alias("names")), "types")
-    first = (F.col("distinct") - F.ceil(F.lit(threshold) * F.col("size") / 100.0) + 1).cast("int")
-    probes = listed.where(first > 0).select(F.col("type").alias("small"), F.col("size").alias("small_size"), F.explode(F.slice("names", 1, first)).alias("name"))
-    met = probes.join(listed.select(F.explode("names").alias("name"), F.col("type").alias("large"), F.col("size").alias("large_size")), "name")
-    pairs = met.where("small_size < large_size or (small_size = large_size and small < large)").select("small", "large").distinct()
+    need = F.ceil(F.lit(threshold) * F.col("size") / 100.0)
+    own = fields.where("type is not null").groupBy("type", "name").agg(F.count("*").alias("n"))
+    own = own.groupBy("type").agg(F.sum("n").alias("size"), F.collect_list("name").alias("names")).where((F.col("size") >= least) & (F.size("names") > 0))
+    own = written(own, "type-names")
+    each = own.select("type", "size", F.explode("names").alias("name"))
+    ranked = each.join(each.groupBy("name").agg(F.count("*").alias("df")), "name").groupBy("type", "size").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("names"))
+    # both sides of the pairs and verification read this table
+    listed = written(ranked.select("type", "size", need.alias("need"), F.transform("names", lambda x: x["name"]).alias("names")), "types")
+    wide = not listed.where((F.size("names") > NARROW) | (F.col("need") < 2)).isEmpty()
     held = lambda c: listed.select(F.col("type").alias(c), F.col("names").alias(f"names_{c}"), F.col("size").alias(f"size_{c}"))
     common = F.size(F.array_intersect("names_small", "names_large"))
-    out = pairs.join(held("small"), "small").join(held("large"), "large").withColumn("common", common.cast("long"))
+    out = _meeting(listed, wide).join(held("small"), "small").join(held("large").drop("size_large"), "large").withColumn("common", common.cast("long"))
     out = out.withColumn("overlap", F.expr("(common * 100) div size_small")).where(F.col("overlap") >= threshold)
     out = out.select(F.least("small", "large").alias("type_a"), F.greatest("small", "large").alias("type_b"), "common", "overlap")
     if allowed is not None:

@@ -6,7 +6,7 @@ from urllib.parse import unquote, urlparse
 import pyarrow.parquet as pq
 import pytest
 from codelode.llm import lexsearch
-from codelode.operators import context, nested, outline, refs, syntax, tree, treepattern
+from codelode.operators import context, nested, outline, quality, refs, syntax, tree, treepattern
 from codelode.plans import registered_more
 from pyspark.sql import functions as F
 
@@ -19,6 +19,22 @@ def places(lines: list[str], word: str) -> list[int]:
     return [k for k, line in enumerate(lines) if re.search(rf"\b{word}[ (]", line)]
 
 
+def joined(df) -> int:
+    """Most rows that came out of a join of a query that ran."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
 @pytest.fixture(scope="module")
 def code(spark):
     return spark.createDataFrame([("a.rs", "Rust", "fn f() { g(); }\n"), ("b.py", "Python", "from a import b as c\ndef f():\n    g()\n")], "path string, language string, content string")
@@ -100,3 +116,22 @@ def test_index_rows_are_written_in_small_groups(spark, monkeypatch):
     index = lexsearch.build_index(docs)
     groups = [g for f in index.inputFiles() for m in [pq.ParquetFile(unquote(urlparse(f).path)).metadata] for g in [m.row_group(k).num_rows for k in range(m.num_row_groups)]]
     assert sum(groups) == index.count() > 100 and max(groups) < 60
+
+
+def test_types_meet_by_two_names_at_once(spark):
+    """One common name makes no candidate where two are needed; neither wide types nor those that need one name are lost."""
+    sets = {f"t{k:02d}": {"id", f"a{k}", f"b{k}"} for k in range(40)}
+    sets |= {"pair": {"a1", "b1", "x"}, "wide": {f"w{k}" for k in range(60)}, "wider": {f"w{k}" for k in range(50)} | {"a2", "b2", "id"}, "few": {"a3", "b3"}, "one": {"b5"}}
+    fields = spark.createDataFrame([(t, n) for t, names in sets.items() for n in sorted(names)] + [("few", None), ("few", "a3"), (None, "a3")], "type string, name string")
+    size = {t: len(names) + 2 * (t == "few") for t, names in sets.items()}
+
+    def brute(threshold, least):
+        pairs = [(a, b) for a in sets for b in sets if a < b and min(size[a], size[b]) >= least]
+        told = [(a, b, len(sets[a] & sets[b]), 100 * len(sets[a] & sets[b]) // min(size[a], size[b])) for a, b in pairs]
+        return sorted(r for r in told if r[3] >= threshold and r[2])
+
+    for threshold, least in ((70, 2), (50, 2), (60, 1), (20, 1)):
+        assert sorted(map(tuple, quality.similar_types(fields, threshold, least=least).collect())) == brute(threshold, least)
+    # any two of these have one name in common at most
+    square = quality.similar_types(spark.range(64).selectExpr("id as type", "explode(array(id % 8, 8 + id div 8, 16 + (id + id div 8) % 8)) as name"), 60)
+    assert square.collect() == [] and joined(square) == 0
