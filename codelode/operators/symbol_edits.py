@@ -1,11 +1,12 @@
 """Edits of symbols as an algebra of line rows: delete, replace, insert, move, copy, swap.
 
-Files become rows (path, line, text, ended). Edits name lines of the original:
-what goes is a set of lines (an anti-join), what comes is a list of texts at an
-anchor (a union, ordered by anchor and edit), and both read blank lines,
-indentation and container bodies around the symbol from windows over the rows.
-All edits of a batch see the original text; a batch with overlapping symbols
-leaves every file as it is.
+A file meets its edits once, by path, and is an array of its lines from there
+on. Edits name lines of the original: what goes is a set of lines, what comes
+is a list of texts at an anchor (sorted by anchor and edit), and both read
+blank lines, indentation and container bodies around the symbol by their place
+in arrays that name each line's neighbours, so the work grows with lines plus
+edits and with the lines of containers. All edits of a batch see the original
+text; a batch with overlapping symbols leaves every file as it is.
 
 edits: edit_id (by place if left out), path, action, start_line, end_line, text. Actions: delete,
 replace, before, after, prepend, append; without lines, prepend and append mean
@@ -15,7 +16,9 @@ indentation, or the container's and four blanks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.globs import plain_glob
@@ -35,22 +38,36 @@ def line_rows(files: DataFrame) -> DataFrame:
     return parts.where("k < n - 1 or text <> ''").select("path", (F.col("k") + 1).cast("long").alias("line"), "text", (F.col("k") < F.col("n") - 1).alias("ended"))
 
 
-def content_of(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Files (path, content) of line rows in the order of some columns."""
-    key = F.struct(*order, "text", "ended")
-    said = F.transform(F.array_sort(F.collect_list(key)), lambda x: F.concat(x["text"], F.when(x["ended"], "\n").otherwise("")))
-    return rows.groupBy("path").agg(F.array_join(said, "").alias("content"))
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions read as values; a lambda evaluates what it names for every element."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
+def _let(value: Column, say: Callable[[Column], Column]) -> Column:
+    """``say`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), say), F.lit(0))
+
+
+def _blank_line(text: Column) -> Column:
+    return F.trim(F.translate(text, "\t\r", "  ")) == ""
+
+
+def _places(lines: str, wanted: Callable[[Column], Column]) -> Column:
+    """Numbers of the lines that are wanted."""
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(wanted(x), i + 1)))
+
+
+def _next(places: str) -> Column:
+    """For each line, from 0 on, the first of some places behind it."""
+    return F.flatten(F.zip_with(F.slice(F.concat(F.array(F.lit(0)), places), 1, F.size(places)), places, lambda a, b: F.array_repeat(b, b - a)))
 
 
-def _around(rows: DataFrame) -> DataFrame:
-    """Line rows with the next line that isn't empty, the next and the last that aren't blank, and the last of all."""
-    ahead = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy("path").orderBy("line")
-    blank = F.trim(F.translate("text", "\t\r", "  ")) == ""
-    return rows.withColumns({
-        "next_full": F.last(F.when(F.col("text") != "", F.col("line")), ignorenulls=True).over(ahead), "next_said": F.last(F.when(~blank, F.col("line")), ignorenulls=True).over(ahead),
-        "last_said": F.last(F.when(~blank, F.col("line")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "before": F.lag("text").over(back), "n": F.max("line").over(Window.partitionBy("path")),
-    })
+def _last(places: str, n: Column) -> Column:
+    """For each line, from the one behind the first place on, the last of some places before it."""
+    ends = F.concat(F.slice(places, 2, F.size(places)), F.array(n))
+    return F.flatten(F.zip_with(places, F.slice(ends, 1, F.size(places)), lambda a, b: F.array_repeat(a, b - a)))
 
 
 def _said(text: Column, indent: Column) -> Column:
@@ -63,69 +80,98 @@ def _blanks(n: Column) -> Column:
     return F.array_repeat(_blank(), F.greatest(n, F.lit(0)).cast("int"))
 
 
-def plan(files: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gone, come): lines that go (path, line), and rows (path, line, slot, edit_id, texts) to put before (-1) or after (1) a line."""
-    rows = _around(line_rows(files.join(edits.select("path").distinct(), "path", "left_semi")))
-    first = rows.select("path", F.col("line").alias("start_line"), F.regexp_extract("text", r"^[ \t]*", 0).alias("indent"), F.col("before").alias("text_before"), "last_said")
-    last = rows.select("path", F.col("line").alias("end_line"), "next_full", "next_said", "ended", "n", F.trim("text").alias("closing"))
-    whole = rows.groupBy("path").agg(F.max("line").alias("n_file"))
-    cast = edits.withColumns({"start_line": F.col("start_line").cast("long"), "end_line": F.col("end_line").cast("long")})
-    asked = cast.where("start_line is not null").join(first, ["path", "start_line"], "left").join(last, ["path", "end_line"], "left")
-    empty_after = F.coalesce("next_full", F.col("n") + 1) - F.col("end_line") - 1
-    blank_after = F.coalesce("next_said", F.col("n") + 1) - F.col("end_line") - 1
-    blank_before = F.when(F.col("last_said").isNotNull(), F.col("start_line") - F.col("last_said") - 1).otherwise(F.greatest(F.col("start_line") - 2, F.lit(0)))
+def _span(first: Column, last: Column) -> Column:
+    return F.struct(first.cast("long").alias("a"), last.cast("long").alias("b"))
+
+
+def _put(line: Column, slot: int, texts: Column) -> Column:
+    return F.struct(line.cast("long").alias("line"), F.lit(slot).alias("slot"), texts.alias("texts"))
+
+
+def _simple(e: Column, at: Column) -> Column:
+    """(range, put) of an edit that deletes, replaces or stands beside its lines."""
+    start, end, action = e["start_line"], e["end_line"], e["action"]
+    empty_after = F.coalesce(at["next_full"], at["n"] + 1) - end - 1
+    blank_after = F.coalesce(at["next_said"], at["n"] + 1) - end - 1
+    blank_before = F.when(at["last_said"].isNotNull(), start - at["last_said"] - 1).otherwise(F.greatest(start - 2, F.lit(0)))
     # a blank line before the symbol makes those behind it superfluous
-    spare = F.when((F.col("start_line") >= 3) & (F.col("text_before") == ""), empty_after).otherwise(0)
-    new = _said(F.col("text"), F.coalesce("indent", _blank()))
+    spare = F.when((start >= 3) & (at["text_before"] == ""), empty_after).otherwise(0)
+    new = _said(e["text"], F.coalesce(at["indent"], _blank()))
     gap = F.greatest(blank_after, F.lit(1))
-    simple = asked.where(F.col("action").isin("delete", "replace", "before", "after"))
-    planned = simple.select(
-        "edit_id", "path", "action", "start_line", "end_line",
-        F.when(F.col("action") == "delete", F.struct(F.col("start_line").alias("a"), (F.col("end_line") + spare).alias("b")))
-        .when(F.col("action") == "replace", F.struct(F.col("start_line").alias("a"), F.col("end_line").alias("b")))
-        .when((F.col("action") == "after") & (empty_after > 0), F.struct((F.col("end_line") + 1).alias("a"), (F.col("end_line") + empty_after).alias("b"))).alias("range"),
-        F.when(F.col("action") == "replace", F.struct(F.col("start_line").alias("line"), F.lit(-1).alias("slot"), new.alias("texts")))
-        .when(F.col("action") == "before", F.struct(F.col("start_line").alias("line"), F.lit(-1).alias("slot"), F.concat(new, _blanks(F.greatest(blank_before, F.lit(1)))).alias("texts")))
-        .when(F.col("action") == "after", F.struct(F.col("end_line").alias("line"), F.lit(1).alias("slot"), F.concat(_blanks(gap - F.when(F.col("ended"), 0).otherwise(1)), new, F.when(F.col("next_full").isNotNull(), _blanks(gap)).otherwise(F.array().cast("array<string>"))).alias("texts"))).alias("put"),
-    )
-    inside = _container(asked.where(F.col("action").isin("prepend", "append")), rows)
-    gone = planned.select("path", "range").unionByName(inside.select("path", "range")).where("range is not null").select("path", F.explode(F.sequence("range.a", "range.b")).alias("line")).distinct()
-    come = planned.select("path", "edit_id", "put").unionByName(inside.select("path", "edit_id", "put")).where("put is not null").select("path", "edit_id", "put.*")
-    # of a whole file: a file without lines has them at place 0
-    ends = cast.where("start_line is null").join(whole, "path", "left").withColumn("_t", F.split(F.regexp_replace(F.coalesce("text", _blank()), "\n$", ""), "\n"))
-    file_end = F.coalesce("n_file", F.lit(0)).cast("long")
-    come = come.unionByName(ends.select("path", "edit_id", F.when(F.col("action") == "append", file_end + 1).otherwise(F.lit(0).cast("long")).alias("line"), F.lit(1).alias("slot"), F.when((F.col("action") == "append") & F.col("n_file").isNull(), F.concat(F.array(_blank()), "_t")).otherwise(F.col("_t")).alias("texts")))
-    return gone, come
-
-
-def _container(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """(edit_id, path, range, put) of edits at the head or the end of containers; a container's lines meet in one row."""
-    spans = asked.select("edit_id", "path", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    own = F.array_sort(F.collect_list(F.struct("line", "text", F.trim(F.translate("text", "\t\r", "  ")).alias("t"))))
-    bodies = spans.join(rows.select("path", "line", "text"), ["path", "line"]).groupBy("edit_id", "path").agg(own.alias("_all"))
-    held = asked.join(bodies, ["edit_id", "path"])
-    closed = F.col("closing").isin(*_CLOSERS) & (F.col("end_line") > F.col("start_line"))
+    behind = F.concat(_blanks(gap - F.when(at["ended"], 0).otherwise(1)), new, F.when(at["next_full"].isNotNull(), _blanks(gap)).otherwise(F.array().cast("array<string>")))
+    gone = F.when(action == "delete", _span(start, end + spare)).when(action == "replace", _span(start, end)).when((action == "after") & (empty_after > 0), _span(end + 1, end + empty_after))
+    come = F.when(action == "replace", _put(start, -1, new)).when(action == "before", _put(start, -1, F.concat(new, _blanks(F.greatest(blank_before, F.lit(1)))))).when(action == "after", _put(end, 1, behind))
+    return F.struct(gone.alias("range"), come.alias("put"))
+
+
+def _container(e: Column, at: Column) -> Column:
+    """(range, put) of an edit at the head or the end of a container."""
+    start, end, prepends = e["start_line"], e["end_line"], e["action"] == "prepend"
     python = F.col("path").rlike(r"\.pyi?$")
-    body = F.slice("_all", 2, F.greatest(F.size("_all") - 1 - F.when(closed, 1).otherwise(0), F.lit(0)))
-    filled = F.filter(body, lambda x: x["t"] != "")
-    held = held.withColumns({"_closed": closed, "_filled": filled}).withColumn("_head", F.get("_filled", F.lit(0)))
-    quotes = F.substring("_head.t", 1, 3)
-    doc = python & quotes.isin('"""', "'''")
-    # the line that ends the docstring: the first itself, or the next with its quotes
-    here = F.length("_head.t") >= 6
-    ends = F.when(doc & here & F.col("_head.t").endswith(quotes), F.col("_head.line")).when(doc, F.get(F.filter("_filled", lambda x: (x["line"] > F.col("_head.line")) & x["t"].contains(quotes)), F.lit(0))["line"])
-    held = held.withColumn("_doc", ends)
-    real = F.filter("_filled", lambda x: (F.col("_doc").isNull()) | (x["line"] > F.col("_doc")))
-    held = held.withColumn("_real", real)
-    empty = F.when(python, F.forall("_real", lambda x: x["t"] == "pass")).otherwise(F.size("_filled") == 0)
-    new = _said(F.col("text"), F.concat(F.coalesce("indent", _blank()), F.lit("    ")))
-    space = _blanks(F.when(empty, 0).otherwise(1))
-    top = F.when(python & (F.size("_real") > 0), F.get("_real", F.lit(0))["line"] - 1).when(python & F.col("_doc").isNotNull(), F.col("_doc")).otherwise(F.col("start_line"))
-    bottom = F.when(F.size("_filled") > 0, F.element_at("_filled", -1)["line"]).otherwise(F.col("start_line"))
-    stop = F.col("end_line") - F.when(F.col("_closed"), 1).otherwise(0)
-    prepend = F.struct(top.alias("line"), F.lit(1).alias("slot"), F.concat(new, space).alias("texts"))
-    append = F.struct(bottom.alias("line"), F.lit(1).alias("slot"), F.concat(space, new).alias("texts"))
-    return held.select("edit_id", "path", F.when((F.col("action") == "append") & (stop > bottom), F.struct((bottom + 1).alias("a"), stop.alias("b"))).alias("range"), F.when(F.col("action") == "prepend", prepend).otherwise(append).alias("put"))
+    low, high = F.greatest(F.least(start, end), F.lit(1)).cast("int"), F.greatest(start, end).cast("int")
+    own = F.transform(F.slice("_lines", low, F.greatest(high - low + 1, F.lit(0))), lambda x, i: F.struct((low + i).cast("long").alias("line"), F.trim(F.translate(x, "\t\r", "  ")).alias("t")))
+    closed = at["closing"].isin(*_CLOSERS) & (end > start)
+    filled_of = lambda lines: F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1 - F.when(closed, 1).otherwise(0), F.lit(0))), lambda x: x["t"] != "")
+
+    def doc_of(filled):
+        """The line that ends the docstring: the first itself, or the next with its quotes."""
+        head = F.get(filled, F.lit(0))
+        quotes = F.substring(head["t"], 1, 3)
+        doc = python & quotes.isin('"""', "'''")
+        here = (F.length(head["t"]) >= 6) & head["t"].endswith(quotes)
+        return F.when(doc & here, head["line"]).when(doc, F.get(F.filter(filled, lambda x: (x["line"] > head["line"]) & x["t"].contains(quotes)), F.lit(0))["line"])
+
+    def placed(filled, doc, real):
+        empty = F.when(python, F.forall(real, lambda x: x["t"] == "pass")).otherwise(F.size(filled) == 0)
+        new = _said(e["text"], F.concat(F.coalesce(at["indent"], _blank()), F.lit("    ")))
+        space = _blanks(F.when(empty, 0).otherwise(1))
+        top = F.when(python & (F.size(real) > 0), F.get(real, F.lit(0))["line"] - 1).when(python & doc.isNotNull(), doc).otherwise(start)
+        bottom = F.when(F.size(filled) > 0, F.element_at(filled, -1)["line"]).otherwise(start)
+        stop = end - F.when(closed, 1).otherwise(0)
+        gone = F.when(~prepends & (stop > bottom), _span(bottom + 1, stop))
+        return F.struct(gone.alias("range"), F.when(prepends, _put(top, 1, F.concat(new, space))).otherwise(_put(bottom, 1, F.concat(space, new))).alias("put"))
+
+    real_of = lambda filled, doc: F.filter(filled, lambda x: doc.isNull() | (x["line"] > doc))
+    told = lambda filled: _let(doc_of(filled), lambda doc: _let(real_of(filled, doc), lambda real: placed(filled, doc, real)))
+    return _let(own, lambda lines: F.when(F.size(lines) > 0, _let(filled_of(lines), told)))
+
+
+def _done(edited: DataFrame) -> DataFrame:
+    """Adds ``_done``: the content of files (path, content, _edits) after their edits; null where there are none."""
+    some = lambda column: F.when(F.col("_edits").isNotNull(), column)
+    df = _held(edited, _all=some(F.split(F.coalesce("content", _blank()), "\n")))
+    df = _held(df, _lines=F.when(F.element_at("_all", -1) == "", F.slice("_all", 1, F.size("_all") - 1)).otherwise(F.col("_all")), _n_all=F.size("_all")).drop("_all")
+    df = _held(df, _n=F.size("_lines"), _full=_places("_lines", lambda x: x != ""), _text=_places("_lines", lambda x: ~_blank_line(x)))
+    df = _held(df, _next_full=_next("_full"), _next_said=_next("_text"), _last_said=_last("_text", F.col("_n")))
+
+    def around(e):
+        start, end = e["start_line"].cast("int"), e["end_line"].cast("int")
+        known = lambda line, column: F.when(line.between(1, F.col("_n")), column)
+        return F.struct(
+            F.regexp_extract(F.get("_lines", start - 1), r"^[ \t]*", 0).alias("indent"), known(start, F.get("_lines", start - 2)).alias("text_before"), F.get("_last_said", start - F.get("_text", F.lit(0)) - 1).cast("long").alias("last_said"),
+            known(end, F.get("_next_full", end)).cast("long").alias("next_full"), known(end, F.get("_next_said", end)).cast("long").alias("next_said"), known(end, end < F.col("_n_all")).alias("ended"), known(end, F.col("_n")).cast("long").alias("n"), F.trim(F.get("_lines", end - 1)).alias("closing"),
+        )
+
+    def told(e):
+        # of a whole file: a file without lines has them at place 0
+        texts = F.split(F.regexp_replace(F.coalesce(e["text"], _blank()), "\n$", ""), "\n")
+        append = e["action"] == "append"
+        at_end = _put(F.when(append, F.col("_n") + 1).otherwise(F.lit(0)), 1, F.when(append & (F.col("_n") == 0), F.concat(F.array(_blank()), texts)).otherwise(texts))
+        whole = F.struct(F.lit(None).cast("struct<a:long,b:long>").alias("range"), at_end.alias("put"))
+        simple = e["action"].isin("delete", "replace", "before", "after")
+        return F.when(e["start_line"].isNull(), whole).otherwise(_let(around(e), lambda at: F.when(simple, _simple(e, at)).otherwise(_container(e, at))))
+
+    df = _held(df, _told=F.transform("_edits", lambda e: F.struct(e["edit_id"].alias("edit_id"), told(e).alias("t"))))
+    gone = F.flatten(F.transform("_told", lambda x: F.coalesce(F.sequence(x["t"]["range"]["a"], x["t"]["range"]["b"]), F.array().cast("array<long>"))))
+    every = F.when(F.col("_n") > 0, F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))).otherwise(F.array().cast("array<long>"))
+    row = lambda line, slot, edit, k, text, ended: F.struct(line.alias("line"), slot.alias("slot"), edit.alias("edit_id"), k.alias("k"), text.alias("text"), ended.alias("ended"))
+    kept = F.transform(F.array_except(every, gone), lambda n: row(n, F.lit(0), _blank(), F.lit(0), F.get("_lines", n.cast("int") - 1), n < F.col("_n_all")))
+    put_of = lambda x: F.transform(x["t"]["put"]["texts"], lambda text, k: row(x["t"]["put"]["line"], x["t"]["put"]["slot"], x["edit_id"], k, text, F.lit(True)))
+    put = F.flatten(F.transform(F.filter("_told", lambda x: x["t"]["put"]["texts"].isNotNull()), put_of))
+    df = _held(df, _rows=F.array_sort(F.concat(kept, put)))
+    df = _held(df, _size=F.size("_rows"))
+    # the last line that stays before an inserted text is ended
+    return df.withColumn("_done", F.array_join(F.transform("_rows", lambda x, i: F.concat(x["text"], F.when(x["ended"] | (i < F.col("_size") - 1), "\n").otherwise(""))), ""))
 
 
 def edit_symbols(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -135,18 +181,11 @@ def edit_symbols(files: DataFrame, edits: DataFrame) -> DataFrame:
     known = edits.withColumn("action", F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.coalesce("action", F.lit("null"))))))
     ranged = known.where("start_line is not null").select("edit_id", F.col("path").alias("file"), "start_line", "end_line")
     blocked = conflicts(ranged).limit(1).agg((F.count("*") > 0).alias("_blocked"))
-    gone, come = plan(files, known)
-    # the last line that stays before an inserted text is ended
-    kept = line_rows(files.join(edits.select("path").distinct(), "path", "left_semi")).join(gone, ["path", "line"], "left_anti").select("path", "line", F.lit(0).alias("slot"), F.lit("").alias("edit_id"), F.lit(0).alias("k"), "text", "ended")
-    put = come.select("path", "line", "slot", F.col("edit_id").cast("string").alias("edit_id"), F.posexplode("texts").alias("k", "text")).withColumn("ended", F.lit(True))
-    order = ["line", "slot", "edit_id", "k"]
-    rows = kept.unionByName(put)
-    rows = rows.withColumn("ended", F.col("ended") | F.lead("line").over(Window.partitionBy("path").orderBy(*order)).isNotNull())
-    done = content_of(rows, order).select("path", F.col("content").alias("_done"))
-    edited = edits.select("path", F.lit(True).alias("_edited")).distinct()
+    each = F.struct(F.col("edit_id").cast("string").alias("edit_id"), "action", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("text").cast("string").alias("text"))
+    edited = files.select("path", "content").join(known.groupBy("path").agg(F.collect_list(each).alias("_edits")), "path", "left")
     # one row says whether the batch is blocked
-    out = files.select("path", "content").join(done, "path", "left").join(edited, "path", "left").crossJoin(F.broadcast(blocked))
-    return out.select("path", F.when(F.col("_blocked") | F.col("_edited").isNull(), F.col("content")).otherwise(F.coalesce("_done", _blank())).alias("content"))
+    out = _done(edited).crossJoin(F.broadcast(blocked))
+    return out.select("path", F.when(F.col("_blocked") | F.col("_edits").isNull(), F.col("content")).otherwise(F.coalesce("_done", _blank())).alias("content"))
 
 
 def glob_edits(symbols: DataFrame, requests: list[tuple[str, str, str | None]]) -> DataFrame:

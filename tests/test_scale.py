@@ -6,7 +6,7 @@ from urllib.parse import unquote, urlparse
 import pyarrow.parquet as pq
 import pytest
 from codelode.llm import lexsearch
-from codelode.operators import context, nested, outline, quality, refs, syntax, tree, treepattern
+from codelode.operators import context, nested, outline, quality, refs, symbol_edits, syntax, tree, treepattern
 from codelode.plans import registered_more
 from pyspark.sql import functions as F
 
@@ -135,3 +135,12 @@ def test_types_meet_by_two_names_at_once(spark):
     # any two of these have one name in common at most
     square = quality.similar_types(spark.range(64).selectExpr("id as type", "explode(array(id % 8, 8 + id div 8, 16 + (id + id div 8) % 8)) as name"), 60)
     assert square.collect() == [] and joined(square) == 0
+
+
+def test_edits_meet_their_file_once(spark):
+    """No line is shuffled or sorted by a window; odd batches: lines that aren't there, files without text, without edits, unknown files."""
+    files = spark.createDataFrame([("a", "x\n\ny\n\n\nz"), ("b", None), ("c", None), ("d", "k")], "path string, content string")
+    asked = [("1", "a", "delete", 3, 3, None), ("2", "a", "after", 6, 6, "n"), ("3", "b", "append", None, None, "t"), ("4", "d", "replace", 8, 9, "u"), ("5", "none", "delete", 1, 1, None), ("6", "d", "before", 1, 1, "v")]
+    done = symbol_edits.edit_symbols(files, spark.createDataFrame(asked, "edit_id string, path string, action string, start_line long, end_line long, text string"))
+    assert {r.path: r.content for r in done.collect()} == {"a": "x\n\nz\nn\n", "b": "\nt\n", "c": None, "d": "v\n\nk\nu\n"}
+    assert not places(plan(done), "Window")
