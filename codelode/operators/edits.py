@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.text import split_lines
 from codelode.operators import graphs
+from codelode.scratch import dealt
 
 ACTIONS = ("delete", "replace", "insert")
 
@@ -127,7 +128,9 @@ def goto(versions: DataFrame, wanted: DataFrame) -> DataFrame:
     way = known.join(turn, "file")
     undone = way.where("side = 'source' and depth > 0 and depth <= turn.up").select("file", F.col("depth").alias("step"), "version", F.lit("undo").alias("operation"))
     redone = way.where("side = 'target' and depth < turn.down").select("file", (F.col("turn.up") + F.col("turn.down") - F.col("depth")).alias("step"), "version", F.lit("redo").alias("operation"))
-    return undone.unionByName(redone).join(versions.select("file", "version", "content"), ["file", "version"]).select("file", F.col("step").cast("long").alias("step"), "version", "operation", "content")
+    rows, key = versions.count(), ["file", "version"]
+    said = dealt(versions.select(*key, "content"), rows, *key)
+    return dealt(undone.unionByName(redone), rows, *key).join(said, key).select("file", F.col("step").cast("long").alias("step"), "version", "operation", "content")
 
 
 def line_conflicts(base: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:

@@ -9,25 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.scratch import written
+from codelode.scratch import dealt, written
+
+#: Nodes of a round that are broadcast to the edges (about 32 MB); of more, both are dealt to tasks of bounded rows.
+BROADCAST_ROWS = 300_000
 
 
 def reached(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
     """(columns of seeds, depth): what can be reached over edges (source, target) from seeds (key columns..., ``source``), seeds at depth 0.
 
-    Every node is kept once a key, at its least depth, so cycles end.
+    Every node is kept once a key, at its least depth, so cycles end. Edges are
+    written once; a round shuffles them only if its nodes are too many to be
+    broadcast.
     """
     keys = [c for c in seeds.columns if c != source]
-    steps = edges.select(F.col(source), F.col(target).alias("_next")).distinct()
+    node = [*keys, source]
+    steps = written(edges.select(F.col(source), F.col(target).alias("_next")), "steps")
     known = written(seeds.distinct().withColumn("depth", F.lit(0)), "reached")
-    fresh, depth = known, 0
+    fresh, depth, n_steps, n_known = known, 0, steps.count(), known.count()
+    n_fresh = n_known
     while True:
         depth += 1
-        found = fresh.join(steps, source).select(*keys, F.col("_next").alias(source)).distinct()
-        fresh = written(found.join(known, [*keys, source], "left_anti").withColumn("depth", F.lit(depth)).select(*known.columns), "reached")
-        if fresh.isEmpty():
+        rows = max(n_steps, n_known)
+        if n_fresh <= BROADCAST_ROWS:
+            met = steps.join(F.broadcast(fresh), source)
+        else:
+            met = dealt(steps, rows, source).join(dealt(fresh, rows, source), source)
+        found = dealt(met.select(*keys, F.col("_next").alias(source)), rows, *node).distinct()
+        left = found.join(dealt(known.select(*node), rows, *node), node, "left_anti")
+        fresh = written(left.withColumn("depth", F.lit(depth)).select(*known.columns), "reached")
+        n_fresh = fresh.count()
+        if not n_fresh:
             return known
-        known = known.unionByName(fresh)
+        known, n_known = known.unionByName(fresh), n_known + n_fresh
 
 
 # ---- version control -------------------------------------------------------------------------

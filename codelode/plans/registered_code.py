@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codelode import adapters as A
 from codelode.operators import edits, fuzzy, graphs, rules, symbol_edits, syntax, treepattern, views
 from codelode.plans.registered import query
-from codelode.scratch import written
+from codelode.scratch import dealt, written
 from codelode.streaming import watch
 
 # ---- code as token rows ----------------------------------------------------------------------
@@ -323,7 +323,8 @@ _TREE = """numbered AS (SELECT user_id, event_type, row_number() OVER (PARTITION
 def history_goto(spark, sf_dir):
     """From each user's last version to the one before, in a tree where version n follows n div 2."""
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    versions = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), number.alias("version"), F.col("event_type").alias("content"))
+    events = A.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    versions = dealt(events, events.count(), "user_id").select(F.col("user_id").alias("file"), number.alias("version"), F.col("event_type").alias("content"))
     versions = written(versions.withColumn("parent", F.when(F.col("version") > 1, F.expr("version div 2"))), "versions")
     ends = versions.groupBy("file").agg(F.max("version").alias("source")).withColumn("target", F.greatest(F.col("source") - 1, F.lit(1)))
     return edits.goto(versions, ends)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Text of the files that one task takes apart; a longer file is a task of its own.
 TASK_BYTES = 8 << 20
+#: Rows that one task sorts or hashes where a stated number of tasks shares them.
+TASK_ROWS = 250_000
 
 _LOCAL: dict[str, str] = {}
 
@@ -37,3 +39,11 @@ def together(files: DataFrame) -> DataFrame:
     size = files.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     # a stated number: adaptive execution would join partitions by their compressed bytes
     return files.repartition(max(1, -(-size // TASK_BYTES)), "path")
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to tasks of a bounded number of rows; both sides of a join take the rows of the larger one.
+
+    A stated number, as in :func:`together`; what sorts or joins by these keys behind it shuffles no more.
+    """
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *keys)

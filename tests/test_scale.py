@@ -5,8 +5,9 @@ from urllib.parse import unquote, urlparse
 
 import pyarrow.parquet as pq
 import pytest
+from codelode import scratch
 from codelode.llm import lexsearch
-from codelode.operators import context, nested, outline, quality, refs, symbol_edits, syntax, tree, treepattern
+from codelode.operators import context, edits, graphs, nested, outline, quality, refs, symbol_edits, syntax, tree, treepattern
 from codelode.plans import registered_more
 from pyspark.sql import functions as F
 
@@ -144,3 +145,17 @@ def test_edits_meet_their_file_once(spark):
     done = symbol_edits.edit_symbols(files, spark.createDataFrame(asked, "edit_id string, path string, action string, start_line long, end_line long, text string"))
     assert {r.path: r.content for r in done.collect()} == {"a": "x\n\nz\nn\n", "b": "\nt\n", "c": None, "d": "v\n\nk\nu\n"}
     assert not places(plan(done), "Window")
+
+
+def test_rounds_of_graphs_deal_bounded_rows(spark, monkeypatch):
+    """What a task gets is stated by rows, however few partitions the session names; broadcast or dealt, the ways are the same."""
+    versions = spark.range(64 * 40).selectExpr("id div 64 as file", "id % 64 + 1 as version", "if(id % 64 = 0, null, (id % 64 + 1) div 2) as parent", "cast(id as string) as content")
+    wanted = spark.range(40).selectExpr("id as file", "64 as source", "63 as target")
+    monkeypatch.setattr(scratch, "TASK_ROWS", 100, raising=False)
+    ways = []
+    for most in (300_000, 0):
+        monkeypatch.setattr(graphs, "BROADCAST_ROWS", most, raising=False)
+        ways.append(edits.goto(versions, wanted))
+    told = [sorted(tuple(r) for r in w.where("file = 7").select("step", "version", "operation").collect()) for w in ways]
+    assert told[0] == told[1] == [(k, 64 >> k, "undo") for k in range(1, 7)] + [(6 + k, v, "redo") for k, v in enumerate((3, 7, 15, 31, 63), 1)]
+    assert all("REPARTITION_BY_NUM" in "".join(plan(w)) for w in ways)
