@@ -36,16 +36,17 @@ from codelode.llm.workspace import materialize, one_of_each, small
 
 #: Words of the shortest passage that is found wherever it begins.
 WORDS = 50
-#: Words of a window whose least hash begins a line; 16, as :func:`_least` is made for it.
+#: Words of a window whose least hash begins a line.
 REACH = 16
 #: Words in whole lines that such a passage holds at least.
 LEAST = WORDS - 2 * REACH + 1
 #: Words by which a chunk may grow on either side; more would be further lines.
 EDGE = 2 * REACH
 
-#: Bits of a word's place and of its hash in one number.
-_PLACE = (1 << 30) - 1
-_HASH = 0x7FFFFFFFFFFFFFFF & ~_PLACE
+#: More than a text has words.
+_PLACES = (1 << 31) - 1
+#: Bits of a hash that order words.
+_HASH = 0x7FFFFFFFC0000000
 
 
 def held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -59,45 +60,55 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def _spaced(text: Column) -> Column:
+    """The text with spaces as its only white space, and none at the ends."""
+    # each replacement looks at every byte, a pattern takes several times that; all but line feeds are rare
+    rare = text.contains("\t") | text.contains("\x0b") | text.contains("\f") | text.contains("\r")
+    plain = F.when(rare, F.regexp_replace(text, r"[\t\x0b\f\r]", " ")).otherwise(text)
+    return F.trim(F.replace(plain, F.lit("\n"), F.lit(" ")))
+
+
 def _words(text: Column) -> Column:
     """Words, without the white space around and between them."""
-    for sign in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(sign), F.lit(" "))
     # a split at one space is far cheaper than one at a pattern
-    words = F.split(F.trim(text), " ")
-    return F.when(text.contains("  "), F.array_remove(words, "")).otherwise(words)
-
+    words = F.split(_spaced(text), " ")
+    return F.when(_spaced(text).contains("  "), F.array_remove(words, "")).otherwise(words)
 
-def _least(df: DataFrame, name: str) -> DataFrame:
-    """Makes each value of array ``name`` the least of the 16 from there on."""
 
-    def of_four(by: int) -> Column:
-        values = F.slice(name, 1, F.greatest(F.size(name) - 3 * by, F.lit(0)))
-        return F.transform(values, lambda x, i: F.least(x, F.get(name, i + by), F.get(name, i + 2 * by), F.get(name, i + 3 * by)))
-
-    for by in (1, 4):
-        df = held(df, _next=of_four(by)).drop(name).withColumnRenamed("_next", name)
-    return df
+def _joined(text: Column) -> Column:
+    """The words with one space before, between and behind them."""
+    plain = _spaced(text)
+    return F.concat(F.lit(" "), F.when(plain.contains("  "), F.array_join(_words(text), " ")).otherwise(plain), F.lit(" "))
 
 
 def with_lines(df: DataFrame, text: Column) -> DataFrame:
-    """Adds ``_at``: the first words of lines, and ``_pair``: the rolling hash at each line but the last two places."""
-    df = held(df, _w=_words(text))
-    df = _least(held(df, _k=F.transform("_w", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(_HASH)).bitwiseOR(i.cast("long")))), "_k")
-    df = held(df, _at=F.transform(F.array_distinct("_k"), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))).drop("_k")
-    lines = F.transform(F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, i: F.xxhash64(F.slice("_w", a + 1, F.get("_at", i + 1) - a)))
-    df = held(df, _line=lines).drop("_w")
-    most = F.greatest(F.size("_line") - 1, F.lit(0))
-    return held(df, _pair=F.zip_with(F.slice("_line", 1, most), F.slice("_line", 2, most), lambda x, y: F.xxhash64(x, y))).drop("_line")
-
+    """A row for each line with another behind it: its first word ``at``, the other's, ``mid``, and the word behind both, ``to``; ``pair``: the rolling hash of both.
 
-def _places(df: DataFrame) -> DataFrame:
-    """Adds ``_places``: structs (k, pair, again); again: whether the value stands before in the same text."""
-    ordered = F.array_sort(F.transform("_pair", lambda x, i: F.struct(x.alias("pair"), i.alias("k"))))
-    df = held(df, _ordered=F.when(F.size(F.array_distinct("_pair")) < F.size("_pair"), ordered))
-    marked = F.transform("_ordered", lambda p, j: F.struct(p["k"].alias("k"), p["pair"].alias("pair"), F.coalesce(p["pair"] == F.get("_ordered", j - 1)["pair"], F.lit(False)).alias("again")))
-    once = F.transform("_pair", lambda x, i: F.struct(i.alias("k"), x.alias("pair"), F.lit(False).alias("again")))
-    return df.withColumn("_places", F.when(F.col("_ordered").isNotNull(), marked).otherwise(once)).drop("_ordered")
+    Only hashing goes through a lambda; a row for each word lets generated code find the least ones.
+    """
+    names = df.columns
+    # a slice is an array of plain numbers
+    df = held(df, _h=F.slice(F.transform(_words(text), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_HASH))), 1, _PLACES))
+    n, start = F.size("_h"), F.col("_start")
+    hashed = lambda at: F.get("_h", at)
+    some = lambda at, k: F.slice("_h", at + 1, k)
+
+    def least_of(at: Column, k: int) -> Column:
+        """Where the least of ``k`` words is, the first of equal ones."""
+        return at + F.array_position(some(at, k), F.array_min(some(at, k))).cast("int") - 1
+
+    # the words that a window and the next one have in common; lines begin at the least of both windows, if these differ
+    common = F.array_min(some(start + 1, F.lit(REACH - 1)))
+    goes, comes = common >= hashed(start), common > hashed(start + REACH)
+    df = df.select(*names, "_h", F.posexplode("_h").alias("_start", "_own")).drop("_own").where((start + REACH < n) & (goes | comes))
+    df = held(df, _common=least_of(start + 1, REACH - 1))
+    least = hashed(F.col("_common"))
+    df = held(df, at=F.when(least >= hashed(start), start).otherwise(F.col("_common")), mid=F.when(least > hashed(start + REACH), start + REACH).otherwise(F.col("_common")))
+    # then a lesser one that comes before the second leaves the window, or else the least behind it
+    mid = F.col("mid")
+    lesser = [F.when(hashed(mid + i) < hashed(mid), mid + i) for i in range(1, REACH)]
+    df = held(df, to=F.coalesce(*lesser, F.when(mid + REACH < n, least_of(mid + 1, REACH)))).where("to is not null")
+    return df.select(*names, "at", "mid", "to", F.xxhash64(F.xxhash64(some(F.col("at"), mid - F.col("at"))), F.xxhash64(some(mid, F.col("to") - mid))).alias("pair"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,24 +126,34 @@ def candidates(texts: DataFrame) -> DataFrame:
     cuts: the first words of its lines, and the end; source: the id of the
     document that has its lines first.
     """
-    lines = materialize(with_lines(texts, F.col("_text")).drop("_text").where(F.size("_pair") > 0), "line-pairs")
-    counted = lines.select("_id", F.explode("_pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"), F.min("_id").alias("source"))
+    lines = materialize(with_lines(texts, F.col("_text")).drop("_text"), "line-pairs")
+    counted = lines.groupBy("pair").agg(F.count("*").alias("n"), F.min("_id").alias("source"))
     often = materialize(counted.where("n > 1").select("pair", "source"), "line-often")
-    places = _places(lines.select("_id", "_th", "_pair")).select("_id", "_th", F.inline("_places"))
-    met = places.join(small(often, F.lit(24)), "pair").where("again or _id > source or (_id is null and source is not null)")
-    found = met.groupBy(F.col("_id").alias("_sid"), F.col("_th").alias("_sth")).agg(F.array_sort(F.collect_set(F.struct("k", "source"))).alias("_found"))
-    found = materialize(found, "line-found")
-    runs = held(lines.select("_id", "_th", "_at").join(small(found, 32 + 16 * F.size("_found")), _same_text("_sid", "_sth")).drop("_id", "_th"), _starts=_run_starts())
-    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("_found")) - 1
-    first, last = lambda s: F.get("_found", s)["k"], lambda j: F.get("_found", end(j))["k"]
-    each = F.transform("_starts", lambda s, j: F.struct(F.slice("_at", first(s) + 1, last(j) - first(s) + 3).alias("cuts"), F.get("_found", s)["source"].alias("source")))
-    runs = runs.select("_sid", "_sth", F.explode(each).alias("run")).withColumns({"from": F.get("run.cuts", F.lit(0)), "to": F.element_at("run.cuts", -1)})
+    met = materialize(lines.join(small(often, F.lit(24)), "pair"), "line-met")
+    later = met.where("_id > source or (_id is null and source is not null)")
+    # in the document that has a pair first, what its text has of it again
+    own = met.where("_id <=> source")
+    once = own.groupBy("_id", "_th", "pair").agg(F.count("*").alias("n"), F.min("at").alias("_first")).where("n > 1")
+    once = materialize(once.select(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"), F.col("pair").alias("_again"), "_first"), "line-again")
+    again = own.join(small(once, F.lit(40)), _same_text("_sid", "_sth") & (F.col("pair") == F.col("_again")) & (F.col("at") > F.col("_first"))).select(*met.columns)
+    found = later.unionByName(again).groupBy(F.col("_id").alias("_sid"), F.col("_th").alias("_sth")).agg(F.sort_array(F.collect_list(F.struct("at", "mid", "to", "source"))).alias("_found"))
+    runs = held(found, _starts=_run_starts())
+    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("_found"))
+    last = lambda j: F.get("_found", end(j) - 1)
+    cuts = lambda s, j: F.concat(F.slice("_found", s + 1, end(j) - s)["at"], F.array(last(j)["mid"], last(j)["to"]))
+    each = F.transform("_starts", lambda s, j: F.struct(cuts(s, j).alias("cuts"), F.get("_found", s)["source"].alias("source")))
+    runs = _bounded(runs.select("_sid", "_sth", F.explode(each).alias("run")), "run.cuts")
     return _regions(runs, ["_sid", "_sth"]).groupBy("_sid", "_sth").agg(F.collect_list("run").alias("_runs"))
 
 
+def _bounded(runs: DataFrame, cuts: str) -> DataFrame:
+    """Adds the first word of a run of lines, ``from``, and where it ends, ``to``."""
+    return runs.withColumns({"from": F.get(cuts, F.lit(0)), "to": F.element_at(cuts, -1)})
+
+
 def _run_starts() -> Column:
-    """Places in ``_found`` where a stretch of neighbours with one source begins."""
-    fresh = lambda x, i: (i == 0) | (x["k"] != F.get("_found", i - 1)["k"] + 1) | ~x["source"].eqNullSafe(F.get("_found", i - 1)["source"])
+    """Places in ``_found`` where a stretch of pairs with one source begins."""
+    fresh = lambda x, i: (i == 0) | (x["at"] != F.get("_found", i - 1)["mid"]) | ~x["source"].eqNullSafe(F.get("_found", i - 1)["source"])
     return F.array_compact(F.transform("_found", lambda x, i: F.when(fresh(x, i), i)))
 
 
@@ -162,7 +183,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = _texts(docs, id_col, text_col)
     runs = materialize(candidates(texts), "line-runs")
     near = held(texts.join(small(runs, 32 + 48 * F.size("_runs")), _same_text("_sid", "_sth")).drop("_sid", "_sth"), _w=_words(F.col("_text"))).drop("_text")
-    near = near.select("_id", "_th", "_w", F.inline("_runs")).withColumns({"from": F.get("cuts", F.lit(0)), "to": F.element_at("cuts", -1)})
+    near = _bounded(near.select("_id", "_th", "_w", F.inline("_runs")), "cuts")
 
     def said(a, b):
         return F.concat(F.lit(" "), F.array_join(F.slice("_w", a + 1, b - a), " "), F.lit(" "))
@@ -170,12 +191,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunks = near.select(
         "_id", "_th", "source", "cuts", "from", "to",
         said(F.col("from"), F.col("to")).alias("said"),
-        F.when(F.col("from") > 0, F.length(said(F.lit(0), F.col("from")))).otherwise(1).alias("ahead"),
+        F.when((F.col("from") > 0) & (F.col("source") == F.col("_id")), F.length(said(F.lit(0), F.col("from")))).otherwise(1).alias("ahead"),
         F.reverse(F.slice("_w", F.greatest(F.col("from") - EDGE, F.lit(0)) + 1, F.least(F.col("from"), F.lit(EDGE)))).alias("left"),
         F.slice("_w", F.col("to") + 1, EDGE).alias("right"),
     )
     sources = runs.select(F.explode("_runs.source").alias("_s")).distinct()
-    firsts = texts.join(small(sources, F.lit(16)), F.col("_id") == F.col("_s")).select("_s", F.col("_th").alias("_sth"), F.concat(F.lit(" "), F.array_join(_words(F.col("_text")), " "), F.lit(" ")).alias("_there"))
+    firsts = texts.join(small(sources, F.lit(16)), F.col("_id") == F.col("_s")).select("_s", F.col("_th").alias("_sth"), _joined(F.col("_text")).alias("_there"))
     # a source may stand for very many chunks: a skewed join that Spark can split
     met = chunks.join(firsts, F.col("source") == F.col("_s"))
     # of its own text, only what stands before
@@ -191,17 +212,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grown = held(grown, _w=F.when(~before(F.col("_place")), F.split(F.expr("substring(said, 2)"), " ")))
 
     def confirmed(a, i):
-        end = F.get("cuts", i + 2)
-        return before(F.instr(F.col("_there"), F.concat(F.lit(" "), F.array_join(F.slice("_w", a - F.col("from") + 1, end - a), " "), F.lit(" "))))
-
-    grown = held(grown, _told=F.when(F.col("_w").isNotNull(), F.transform(F.slice("cuts", 1, F.size("cuts") - 2), confirmed)))
-
-    def stretch(told, i):
-        n = F.array_position(F.slice("_told", i + 1, F.size("_told") - i), False).cast("int")
-        last = F.when(n > 0, i + n - 2).otherwise(F.size("_told") - 1)
-        return F.when(told & ((i == 0) | ~F.get("_told", i - 1)), F.struct(F.get("cuts", i).alias("from"), F.get("cuts", last + 2).alias("to")))
+        words = F.concat(F.lit(" "), F.array_join(F.slice("_w", a - F.col("from") + 1, F.get("cuts", i + 2) - a), " "), F.lit(" "))
+        # a search for bytes where no place is asked for
+        return F.when(F.col("_limit").isNull(), F.col("_there").contains(words)).otherwise(before(F.instr(F.col("_there"), words)))
 
-    parts = F.array_compact(F.transform("_told", stretch))
+    parts = F.array_compact(F.transform(F.slice("cuts", 1, F.size("cuts") - 2), lambda a, i: F.when(confirmed(a, i), F.struct(a.alias("from"), F.get("cuts", i + 2).alias("to")))))
     spans = grown.select("_id", "_th", F.inline(F.when(before(F.col("_place")), whole).otherwise(parts)))
     merged = _regions(spans, ["_id", "_th"]).groupBy("_id", "_th", "region").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     return merged.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_runs"))

@@ -152,6 +152,28 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     assert rows[1].asDict() == {"doc_id": 1, "text": "", **{n: f"{n}1" for n in names}, "n_removed": 1}
 
 
+def test_line_dedup_finds_lines_in_generated_code(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(k)}" for _ in range(n)) for k, n in ((10**9, 400), (40, 300), (3, 200), (1, 60), (10**9, 33), (10**9, 17), (10**9, 16), (10**9, 3))] + ["", "a\tb\r\n" * 40]
+    lines = linededup.with_lines(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), F.col("text"))
+    # hashing the words is the one step that interprets an expression for every word
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(") == 1
+    got = collections.defaultdict(list)
+    for r in lines.collect():
+        got[r.k].append((r.at, r.mid, r.to, r.pair))
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for t in texts for w in set(t.split())], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = collections.defaultdict(set)
+    for k, text in enumerate(texts):
+        words = text.split()
+        h = [hashes[w] & linededup._HASH for w in words]
+        firsts = sorted({min(range(s, s + linededup.REACH), key=lambda i: (h[i], i)) for s in range(len(h) - linededup.REACH + 1)})
+        assert sorted(p[:3] for p in got[k]) == list(zip(firsts, firsts[1:], firsts[2:]))
+        for at, mid, to, pair in got[k]:
+            pairs[pair].add((tuple(words[at:mid]), tuple(words[mid:to])))
+    assert len(got[0]) > 20 and len(got[3]) == 43 and all(len(p) == 1 for p in pairs.values())
+    assert len(set().union(*pairs.values())) == len(pairs)
+
+
 # ---- near duplicates -------------------------------------------------------------------------
 
 
