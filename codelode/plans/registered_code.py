@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codelode import adapters as A
 from codelode.operators import edits, fuzzy, graphs, rules, symbol_edits, syntax, treepattern, views
 from codelode.plans.registered import query
-from codelode.scratch import dealt, written
+from codelode.scratch import dealt, together, written
 from codelode.streaming import watch
 
 # ---- code as token rows ----------------------------------------------------------------------
@@ -24,9 +24,15 @@ def _function(lines: tuple[str, ...]) -> str:
     return f"array_join(transform(sequence(0, size(w) div 30 - 1), k -> concat_ws('\\n', {', '.join(said)}, '')), '')"
 
 
+def _worded(spark, sf_dir):
+    """path, lang, w: the words of documents, which are dealt to tasks before anything is made of them."""
+    docs = A.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "lang", F.col("text").alias("content"))
+    return together(docs).select("path", "lang", F.expr("regexp_extract_all(lower(content), '[a-z]+', 0)").alias("w"))
+
+
 def code_files(spark, sf_dir):
     """path, language, content: documents of at least thirty words as Rust (en, es), Python (fr) or Java (de)."""
-    docs = A.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "lang", F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)").alias("w")).where(F.size("w") >= 30)
+    docs = _worded(spark, sf_dir).where(F.size("w") >= 30)
     content = F.expr(f"case lang when 'fr' then {_function(_PYTHON)} when 'de' then concat('class Box {{\\n', {_function(_JAVA)}, '}}\\n') else {_function(_RUST)} end")
     return docs.select("path", F.expr("case lang when 'fr' then 'Python' when 'de' then 'Java' else 'Rust' end").alias("language"), content.alias("content"))
 
@@ -38,8 +44,13 @@ CODE = r""", worded AS (SELECT source || '/' || doc_id AS path, lang, regexp_ext
 _CODE = "WITH nothing AS (SELECT 1)" + CODE
 
 
+def placed_files(files):
+    """Files with their tokens, as a table: a row a file, so nothing is said twice."""
+    return written(syntax.placed(files, dealt=True), "tokens")
+
+
 def _tokens(spark, sf_dir):
-    return written(syntax.tokens(code_files(spark, sf_dir)), "tokens")
+    return syntax.rows(placed_files(code_files(spark, sf_dir)))
 
 
 def _symbols(found):
@@ -71,13 +82,13 @@ def code_calls(spark, sf_dir):
 @query(_CODE + """ SELECT members, count(*) AS groups FROM (SELECT lang IN ('fr') AS py, lang IN ('de') AS java, odd, w[1] = w[3] AND false AS x, count(*) AS members FROM code GROUP BY ALL) GROUP BY members""")
 def code_clones_elided(spark, sf_dir):
     """Functions alike but for names and literals: two forms a language."""
-    found = _tokens(spark, sf_dir)
-    hashes = syntax.clone_hashes(found, _symbols(found), elide_names=True, elide_literals=True)
+    found = placed_files(code_files(spark, sf_dir))
+    hashes = syntax.clone_hashes(found, _symbols(syntax.rows(found)), elide_names=True, elide_literals=True)
     return hashes.groupBy("hash").agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("groups"))
 
 
 def _python(spark, sf_dir):
-    return written(syntax.tokens(code_files(spark, sf_dir).where("language = 'Python'")), "tokens")
+    return syntax.rows(placed_files(code_files(spark, sf_dir).where("language = 'Python'")))
 
 
 @query(_CODE + """ SELECT path AS file, name, 'function' AS kind, start_line, start_line + 4 + odd AS end_line, CAST(NULL AS VARCHAR) AS parent, 3 + odd AS complexity FROM code WHERE lang = 'fr'""")
@@ -101,9 +112,10 @@ def python_calls(spark, sf_dir):
 )
 def python_imports(spark, sf_dir):
     """Each three words of a text as an import statement."""
-    docs = A.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)").alias("w")).where(F.size("w") >= 3)
+    docs = _worded(spark, sf_dir).where(F.size("w") >= 3)
     statements = F.expr("array_join(transform(sequence(0, size(w) div 3 - 1), k -> concat('from v_', w[3 * k], ' import v_', w[3 * k + 1], ' as v_', w[3 * k + 2], ', other\\n')), '')")
-    return syntax.imports(syntax.tokens(docs.select("path", F.lit("Python").alias("language"), statements.alias("content"))))
+    files = docs.select("path", F.lit("Python").alias("language"), statements.alias("content"))
+    return syntax.imports(syntax.rows(syntax.placed(files, dealt=True)))
 
 
 # ---- trees of markup -------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import pytest
 from codelode import scratch
 from codelode.llm import lexsearch
 from codelode.operators import context, edits, graphs, nested, outline, quality, refs, symbol_edits, syntax, tree, treepattern
-from codelode.plans import registered_more
+from codelode.plans import registered_code, registered_more
 from pyspark.sql import functions as F
 
 
@@ -159,3 +159,53 @@ def test_rounds_of_graphs_deal_bounded_rows(spark, monkeypatch):
     told = [sorted(tuple(r) for r in w.where("file = 7").select("step", "version", "operation").collect()) for w in ways]
     assert told[0] == told[1] == [(k, 64 >> k, "undo") for k in range(1, 7)] + [(6 + k, v, "redo") for k, v in enumerate((3, 7, 15, 31, 63), 1)]
     assert all("REPARTITION_BY_NUM" in "".join(plan(w)) for w in ways)
+
+
+def test_tokens_are_neither_sorted_nor_windowed(spark, code):
+    """What a file's tokens say of each other are numbers in its row; imports of Python need nothing else, and symbols and calls sort only what defines, ends or calls."""
+    lines = plan(registered_code.python_imports(spark, "/root/testdata/sf0.001"))
+    assert not places(lines, "Window") and not places(lines, "Sort")
+    lines = plan(syntax.tokens(code))
+    assert not places(lines, "Window") and not places(lines, "Sort")
+    # filters that ask for tokens stay behind the files' deal, else tokens are made twice
+    asked = plan(syntax.imports(syntax.tokens(code)).where("alias is not null"))
+    assert all(k < max(places(asked, "Exchange")) for k in places(asked, "ArrowEvalPython"))
+
+
+def test_numbers_of_tokens_are_those_of_a_loop(spark, monkeypatch):
+    """Brackets that don't match, comments and strings over lines, letters beyond ASCII, empty and null files, and few tokens at a time."""
+    texts = {"a": ")f(a(b) {\n\t/* x\n{ */ \"y\n\" é é1 ٣ ;\n  }}]\n", "b": "(((\n x", "c": "", "d": None, "e": "\n\n//\n", "f": "// only", "g": "g() { h(); }\n" * 9}
+    files = spark.createDataFrame(list(texts.items()), "path string, content string").withColumn("language", F.lit("Java")).coalesce(1)
+    monkeypatch.setattr(syntax, "_CHUNK", 7)
+    got = {r.path: r.told for r in syntax.tokens(files).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "kind", "line", "depth", "match", "match_line", F.col("held.token").alias("held"), "next", "first", "indent", F.col("prev.token").alias("before")))).alias("told")).collect()}
+    assert set(got) == {"a", "b", "g"}
+    for path, told in got.items():
+        depth, held = 0, []
+        for k, t in enumerate(told):
+            opens, closes = t.token in "{([", t.token in "})]"
+            depth -= closes
+            assert (t.pos, t.depth, t.next, t.before) == (k, depth, told[k + 1].token if k + 1 < len(told) else None, told[k - 1].token if k else None)
+            if opens or closes:
+                near = [x for x in (told[k + 1 :] if opens else told[:k][::-1]) if x.token in "{([})]" and x.depth == depth][:1]
+                assert (t.match, t.match_line) == ((near[0].pos if near else None), (near[0].line if near and opens else None))
+            depth += opens
+            behind = k and told[k - 1].token == ")" and told[k - 1].match
+            assert t.held == (told[behind - 1].token if behind else None)
+    assert [(t.token, t.kind, t.line) for t in got["a"]] == [(")", "sign", 1), ("f", "name", 1), ("(", "sign", 1), ("a", "name", 1), ("(", "sign", 1), ("b", "name", 1), (")", "sign", 1), ("{", "sign", 1), ('"y\n"', "string", 3), ("é", "name", 4), ("é1", "name", 4), ("٣", "number", 4), (";", "sign", 4), ("}", "sign", 5), ("}", "sign", 5), ("]", "sign", 5)]
+    assert [t.token for t in got["a"] if t.first] == [")", "}"] and [t.indent for t in got["a"] if t.first] == [0, 2]
+    assert len(got["g"]) == 81
+
+
+def test_clones_read_their_stretch_of_a_file(spark):
+    """No token is shuffled or sorted; placed files and token rows give the same digests, nested functions, comments and strings included."""
+    files = spark.createDataFrame([("a.rs", "Rust", "fn f(x: i32) { // no\n g(1, \"s\"); fn h() { f(2); } }\nfn k(y: i32) { g(3, \"t\"); fn h() { k(4); } }\n"), ("b.rs", "Rust", None)], "path string, language string, content string")
+    placed = syntax.placed(files).cache()
+    symbols = syntax.definitions(syntax.rows(placed))
+    symbols = spark.createDataFrame(symbols.collect(), symbols.schema)
+    for told in ({}, {"elide_names": True}, {"elide_literals": True}, {"elide_names": True, "elide_literals": True}):
+        found = syntax.clone_hashes(placed, symbols, **told)
+        assert not places(plan(found), "Window")
+        rows = sorted(map(tuple, found.collect()))
+        assert rows == sorted(map(tuple, syntax.clone_hashes(syntax.rows(placed), symbols, **told).collect()))
+        hashes = {(r[1], r[2]): r[4] for r in rows}
+        assert len(rows) == 4 and (hashes["f", 1] == hashes["k", 3]) == (len(told) == 2)
