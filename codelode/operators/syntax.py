@@ -250,30 +250,34 @@ def definitions(found: DataFrame) -> DataFrame:
     kinds = _by_language({f"{language} {word}": kind for language, (_, words, _) in LANGUAGES.items() for word, kind in words.items()})
     kind = F.when(F.col("mark") == 1, F.try_element_at(kinds, F.concat_ws(" ", "language", "token")))
     # few tokens matter: those that define, end or hold bodies, and those that begin lines of Python
-    after_bracket = (F.col("language") == "Go") & (F.col("prev.token") == ")") & (F.col("kind") == "name")
+    after_bracket = (F.col("language") == "Go") & (F.col("kind") == "name") & (F.col("prev.token") == ")")
     line = F.col("first") & (F.col("depth") == 0)
-    told = found.withColumn("_kind", kind)
-    held = told.where((F.col("language") != "Python") & ((F.col("mark") > 0) | after_bracket)).where(F.col("_kind").isNotNull() | (F.col("mark") == 2) | after_bracket)
+    held = found.where((F.col("language") != "Python") & ((F.col("mark") > 0) | after_bracket))
+    # what is asked of each token is asked behind the shuffle: in one step with the arrays it would be more code than the JVM compiles
+    held = held.select(
+        "path", "language", "pos", "line", "token", "depth", "match", "match_line", "mark", F.when(F.col("mark") == 1, F.col("next")).alias("next"), (F.col("next_kind") == "name").alias("_named"),
+        (F.col("prev.token") == ")").alias("_behind"), after_bracket.alias("_after"), "held", F.struct("last.pos", "last.line").alias("_last"),
+    ).repartition("path").withColumn("_kind", kind)
     # a method with a receiver: the name after the parentheses that follow the keyword
-    received = after_bracket & (F.col("held.token") == "func")
-    plain = F.col("_kind").isNotNull() & (F.col("next_kind") == "name")
+    received = F.col("_after") & (F.col("held.token") == "func")
+    plain = F.col("_kind").isNotNull() & F.col("_named")
     control = _not_called(F.col("held.token")) | ~F.col("held.token").rlike(r"^[\p{L}_$]")
-    shaped = F.col("language").isin(*SHAPED) & (F.col("token") == "{") & (F.col("prev.token") == ")") & ~control
+    shaped = F.col("language").isin(*SHAPED) & (F.col("token") == "{") & F.col("_behind") & ~control
     place = lambda of: (F.col(f"{of}pos").alias("start"), F.col(f"{of}line").alias("start_line"))
     by_word = F.struct(F.col("next").alias("name"), F.col("_kind").alias("kind"), *place(""))
     by_shape = lambda name: F.struct(name.alias("name"), F.lit("function").alias("kind"), *place("held."))
-    held = held.withColumn("_def", F.when(plain, by_word).when(received, by_shape(F.col("token"))).when(shaped, by_shape(F.col("held.token"))))
+    braces = held.withColumn("_def", F.when(plain, by_word).when(received, by_shape(F.col("token"))).when(shaped, by_shape(F.col("held.token"))))
     # the body's brace: the next at this depth, unless a statement ends or another definition begins before
-    braces = held.where((F.col("mark") == 2) | F.col("_def").isNotNull()).select("path", "pos", "line", "token", "depth", "match", "match_line", "_def", F.struct("last.pos", "last.line").alias("_last"))
     after = Window.partitionBy("path", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     here = F.struct("token", F.col("pos").alias("at"), "match", "match_line")
-    # by file, so that all that follows stays there
-    braces = braces.repartition("path").withColumn("_body", F.when(F.col("token") == "{", here).otherwise(F.last(here).over(after))).where("_def is not null")
+    met = F.when((F.col("mark") == 2) | F.col("_def").isNotNull(), here)
+    braces = braces.withColumn("_body", F.when(F.col("token") == "{", here).otherwise(F.last(met, ignorenulls=True).over(after))).where("_def is not null")
     # a shaped function may also be one by its keyword: function f() {
     body = F.col("_body.token") == "{"
     ends = {"end": F.when(body, F.coalesce("_body.match", "_last.pos")).otherwise(F.col("pos") + 1), "end_line": F.when(body, F.coalesce("_body.match_line", "_last.line")).otherwise(F.col("line"))}
     braced = braces.select("path", "_def.*", *[c.alias(n) for n, c in ends.items()]).groupBy("path", "name", "end", "end_line").agg(F.min_by(F.struct("kind", "start", "start_line"), "start").alias("s")).select("path", "name", "s.*", "end", "end_line")
-    python = told.where((F.col("language") == "Python") & ((F.col("mark") == 1) | line)).where(F.col("_kind").isNotNull() | line).withColumn("_def", F.when(plain, by_word))
+    python = found.withColumn("_kind", kind).where((F.col("language") == "Python") & ((F.col("mark") == 1) | line)).where(F.col("_kind").isNotNull() | line)
+    python = python.withColumn("_def", F.when(F.col("_kind").isNotNull() & (F.col("next_kind") == "name"), by_word))
     return nested.with_parent(braced.unionByName(_indented(python)))
 
 

@@ -209,3 +209,17 @@ def test_clones_read_their_stretch_of_a_file(spark):
         assert rows == sorted(map(tuple, syntax.clone_hashes(syntax.rows(placed), symbols, **told).collect()))
         hashes = {(r[1], r[2]): r[4] for r in rows}
         assert len(rows) == 4 and (hashes["f", 1] == hashes["k", 3]) == (len(told) == 2)
+
+
+def test_steps_over_tokens_are_compiled(spark, code):
+    """The JVM interprets methods of more than 8,000 bytes, for every token."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    placed = syntax.placed(code)
+    placed = spark.createDataFrame(placed.collect(), placed.schema)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = syntax.definitions(syntax.rows(placed))._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+    assert sizes and max(sizes) < 8000
