@@ -223,3 +223,14 @@ def test_steps_over_tokens_are_compiled(spark, code):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)]
     assert sizes and max(sizes) < 8000
+
+
+def test_calls_meet_no_other_tokens(spark):
+    """A definition's own name is told by its tokens, not by joins; shaped functions, receivers and keywords."""
+    texts = [("a.go", "Go", "func (t T) M(x int) {\n\tgo(x)\n\tN(x)\n}\n"), ("A.java", "Java", "class A { int f(int x) { g(x); if (x) { h.k(f(x)); } } }"), ("a.js", "JavaScript", "function a(x) { b(c(x)); }\nclass C { m(y) { n(y) } }")]
+    found = syntax.tokens(spark.createDataFrame(texts, "path string, language string, content string"))
+    symbols = syntax.definitions(found)
+    symbols = spark.createDataFrame(symbols.collect(), symbols.schema)
+    called = syntax.calls(found, symbols)
+    assert not any("Join" in line for line in plan(called))
+    assert sorted((r.caller_symbol, r.callee_qualifier or "", r.callee_name) for r in called.collect()) == [("M", "", "N"), ("a", "", "b"), ("a", "", "c"), ("f", "", "f"), ("f", "", "g"), ("f", "h", "k"), ("m", "", "n")]
