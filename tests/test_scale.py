@@ -234,3 +234,10 @@ def test_calls_meet_no_other_tokens(spark):
     called = syntax.calls(found, symbols)
     assert not any("Join" in line for line in plan(called))
     assert sorted((r.caller_symbol, r.callee_qualifier or "", r.callee_name) for r in called.collect()) == [("M", "", "N"), ("a", "", "b"), ("a", "", "c"), ("f", "", "f"), ("f", "", "g"), ("f", "h", "k"), ("m", "", "n")]
+
+
+def test_branches_are_told_without_a_table(spark, code):
+    found = syntax.tokens(code)
+    symbols = spark.createDataFrame([("a.rs", "f", "function", 0, 8, 1, 1, None)], "path string, name string, kind string, start int, end int, start_line long, end_line long, parent string")
+    counted = syntax.complexity(found, symbols)
+    assert sum("Join" in line for line in plan(counted)) == 1 and counted.first().complexity == 1
